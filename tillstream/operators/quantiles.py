@@ -13,16 +13,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     """Linear-interpolation quantiles q0, q1, ... per group, equal to `percentile`.
 
     `percentile` keeps every distinct value of a group in one task. Here values are
-    first counted in parallel, then placed into rank bands by a mergeable sketch; only
-    the bands that hold a wanted rank are ordered, each by itself. The sketch decides
-    where bands lie, never the result.
+    counted in parallel first; a mergeable sketch cuts a group's distinct values into
+    bands of similar size, and only the bands that hold a wanted rank are ordered, each
+    by itself. The sketch decides where bands lie, never the result. All steps start
+    from the counts, so the input is read once.
     """
     keys = list(keys)
     rows = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
     counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     cuts = [i / N_EDGES for i in range(1, N_EDGES)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4096).alias("_edges"),
-                                    F.count("*").alias("_n"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4096).alias("_edges"),
+                                      F.sum("_c").alias("_n"))
     if keys:
         banded = counts.join(edges, keys)
     else:  # one row: read both fields as a scalar subquery

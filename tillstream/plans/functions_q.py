@@ -94,7 +94,7 @@ def _row(t):
 
 
 @register("f08_row_wise", "store:i product:s date:d row_mean:f first_value:f best:s", f"""
-SELECT store, product, date, list_avg(list_filter([a, b, c], x -> x IS NOT NULL)) AS row_mean, coalesce(a, b, c) AS first_value,
+SELECT store, product, date, list_avg(list_filter([a, b, c], lambda x: x IS NOT NULL)) AS row_mean, coalesce(a, b, c) AS first_value,
   CASE WHEN a IS NOT NULL AND a >= coalesce(b, -1) AND a >= coalesce(c, -1) THEN 'a'
        WHEN b IS NOT NULL AND b >= coalesce(c, -1) THEN 'b' WHEN c IS NOT NULL THEN 'c' END AS best FROM ({_ROW})""")
 def row_wise(t):
