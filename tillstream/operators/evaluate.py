@@ -16,6 +16,7 @@ from tillstream.operators.joins import pivot_models
 from tillstream.operators.quantiles import exact_quantiles
 from tillstream.operators.ranking import common_dates
 from tillstream.operators.series import horizon_forecast
+from tillstream.session import cut_lineage
 
 METRICS = ("r2", "mse", "mae", "wmape")
 
@@ -217,8 +218,10 @@ def r2_bin(col: str = "best_r2") -> Column:
 
 
 def bin_profile(skus: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows, median score and column means per R2 bin; the medians are found in bands."""
-    binned = skus.withColumn("r2_bin", r2_bin())
+    """Rows, median score and column means per R2 bin; the medians are found in bands.
+
+    The SKU table (one row per pair) is written once, as both parts read it."""
+    binned = cut_lineage(skus.select(*PAIR, "best_r2", *[c for c in cols if c != "best_r2"], r2_bin().alias("r2_bin")))
     base = binned.groupBy("r2_bin").agg(F.count("*").alias("n_sku"), F.avg("best_r2").alias("mean_r2"),
                                         *[F.avg(c).alias(f"mean_{c}") for c in cols])
     med = exact_quantiles(binned, ["r2_bin"], "best_r2", [0.5]).withColumnRenamed("q0", "median_r2")
@@ -261,6 +264,9 @@ def failure_reasons(skus: DataFrame, limits: dict[str, float] = REASON_LIMITS) -
 
 
 def reason_summary(flagged: DataFrame) -> DataFrame:
+    """Size, scores and behaviour per primary reason; the SKU table is written once."""
+    flagged = cut_lineage(flagged.select(*PAIR, "primary_reason", "is_bad_r2", "best_r2", "mean_demand", "cv_demand",
+                                         "share_censored", "lost_mean"))
     base = flagged.groupBy("primary_reason").agg(
         F.count("*").alias("n_sku"), F.avg("is_bad_r2").alias("bad_r2_share"), F.avg("best_r2").alias("avg_r2"),
         *[F.avg(c).alias(f"avg_{c}") for c in ("mean_demand", "cv_demand", "share_censored", "lost_mean")])
