@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tillstream.functions.maths import round_half_up
 from tillstream.operators.common import DATE, PAIR
 
 
@@ -23,7 +24,8 @@ def top_n_per_group(df: DataFrame, group: str, key: str, value: str, n: int) ->
 
 
 def extreme_predictions(preds: DataFrame, n: int, worst: bool, ties: Sequence[str]) -> DataFrame:
-    err = F.abs(F.col("fact") - F.col("prediction"))
+    """Smallest or largest errors; errors equal to six digits are ordered by `ties`."""
+    err = round_half_up(F.abs(F.col("fact") - F.col("prediction")), 6)
     scored = preds.filter(F.col("prediction").isNotNull()).withColumn("abs_error", err)
     order = F.desc("abs_error") if worst else F.asc("abs_error")
     return scored.orderBy(order, *ties).limit(n)

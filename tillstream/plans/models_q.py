@@ -1 +1,247 @@
-"""To come."""
+"""G and B: clusters, models, per-series fits, future rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillstream.functions import weather as wx
+from tillstream.operators import aggregates as agg, clusters as cl, evaluate as ev, filters as flt
+from tillstream.operators import local_models as lm, models as md, targets as tg
+from tillstream.plans.registry import register
+from tillstream.sources.testdata import daily, sales, stock_daily, weather
+
+_M = "n_rows:i mae:f wmape:f r2:f"
+
+
+def _frames(t, lags=(1, 2, 3, 7)):
+    return md.training_frames(stock_daily(t), 90, "demand", lags)
+
+
+def _score(df, *by, col="prediction"):
+    named = df.withColumn("fact", F.col("label")).withColumn("prediction", F.col(col))
+    return ev.score(named, by, ("n_rows", "mae", "wmape", "r2"))
+
+
+@register("g01_sku_clusters", "store:i product:s cluster:i k:i silhouette:f")
+def sku_clusters(t):
+    train, _ = flt.train_test(stock_daily(t), 90)
+    fit = cl.fit_sku_clusters(train)
+    return fit.assign(cl.sku_cluster_rows(train)).withColumns({"k": F.lit(fit.k), "silhouette": F.lit(fit.silhouette)})
+
+
+def _locations(t):
+    """Store attributes: a supplier's balance (unknown if negative), its traffic, price level and rivals."""
+    sup = t("supplier")
+    traffic = t("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.count("*").cast("double").alias("traffic"), F.avg("l_extendedprice").alias("rent"))
+    rivals = sup.groupBy("s_nationkey").agg(F.count("*").cast("double").alias("competitors"))
+    return (sup.join(traffic, "s_suppkey", "left").join(rivals, "s_nationkey").select(
+        F.col("s_suppkey").alias("store"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("area"),
+        "traffic", "rent", "competitors"))
+
+
+_LOC = ("area", "traffic", "rent", "competitors")
+
+
+@register("g02_store_location_clusters", "store:i cluster:i k:i silhouette:f")
+def store_location_clusters(t):
+    rows = _locations(t)
+    fit = cl.fit_store_clusters(rows, _LOC)
+    return fit.assign(rows).withColumns({"k": F.lit(fit.k), "silhouette": F.lit(fit.silhouette)})
+
+
+@register("g03_store_sales_clusters", "store:i cluster:i k:i silhouette:f")
+def store_sales_clusters(t):
+    rows = agg.store_profile(daily(t)).withColumns({c: F.col(c).cast("double") for c in ("n_products", "n_days")})
+    fit = cl.fit_clusters(rows, ("mean", "std", "median", "total", "n_products", "n_days", "cv"), (3, 4, 5))
+    return fit.assign(rows).withColumns({"k": F.lit(fit.k), "silhouette": F.lit(fit.silhouette)})
+
+
+@register("g04_assign_and_summarise", "cluster:i n_rows:i demand_mean_mean:f cv_mean:f trend_mean:f")
+def assign_and_summarise(t):
+    df = stock_daily(t)
+    fit = cl.fit_sku_clusters(flt.train_test(df, 90)[0], (3, 5))
+    return cl.cluster_summary(fit.assign(cl.sku_cluster_rows(df)), "cluster", ("demand_mean", "cv", "trend"))
+
+
+@register("b01_global_squared", f"category:s {_M}")
+def global_squared(t):
+    train, test, f = _frames(t)
+    return _score(md.fit_predict(md.gbt(f), train, test), "category")
+
+
+@register("b02_global_median", f"category:s {_M}")
+def global_median(t):
+    train, test, f = _frames(t)
+    return _score(md.fit_predict(md.gbt(f, loss="absolute"), train, test), "category")
+
+
+@register("b03_intervals", "n_rows:i coverage_pct:f width_mean:f width_median:f width_p90:f pinball_p10:f pinball_p90:f")
+def intervals(t):
+    train, test, f = _frames(t)
+    out = md.residual_intervals(md.gbt(f, loss="absolute"), train, test, "category")
+    return ev.interval_report(out.withColumn("fact", F.col("label")))
+
+
+@register("b04_tweedie", f"category:s {_M}")
+def tweedie(t):
+    train, test, f = _frames(t)
+    return _score(md.fit_predict(md.tweedie(f), train, test), "category")
+
+
+@register("b05_log_target", f"category:s {_M}")
+def log_target(t):
+    train, test, f = _frames(t)
+    return _score(md.log_forecast(train, test, f), "category")
+
+
+@register("b05_log_residual", f"category:s {_M}")
+def log_residual(t):
+    train, test, f = _frames(t)
+    return _score(md.log_residual_forecast(train, test, f, 10), "category")
+
+
+@register("b06_weighted_models", f"weights:s {_M}")
+def weighted_models(t):
+    train, test, f = _frames(t)
+    weak = train.groupBy("store", "product").agg((F.stddev_samp("label") > F.avg("label") * 0.6).cast("int").alias("is_weak_sku"))
+    rows = tg.sample_weights(train.join(weak, ["store", "product"]), "label")
+    out = None
+    for w in ("w_inverse_std", "w_weak_050"):
+        part = _score(md.fit_predict(md.gbt(f, weight=w, trees=10), rows, test)).withColumn("weights", F.lit(w))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("b07_segment_models", f"model_scope:s {_M}")
+def segment_models(t):
+    train, test, f = _frames(t)
+    return _score(md.segmented_forecast(train, test, "category", f, 500, 8), "model_scope")
+
+
+@register("b07_tier_models", f"tier:s {_M}")
+def tier_models(t):
+    train, test, f = _frames(t)
+    tiered = tg.volume_tiers(train, train, "label"), tg.volume_tiers(train, test, "label")
+    return _score(md.segmented_forecast(*tiered, "tier", f, 500, 8), "tier")
+
+
+@register("b11_stacking", f"category:s {_M}")
+def stacking(t):
+    train, test, f = _frames(t)
+    return _score(md.stacked_forecast(train, test, f, 2, trees=5), "category")
+
+
+@register("b11_temporal_stacking", f"category:s {_M}")
+def temporal_stacking(t):
+    train, test, f = _frames(t)
+    return _score(md.stacked_forecast(train, test, f, 2, True, 5), "category")
+
+
+@register("b11_window_ensemble", f"category:s {_M}")
+def window_ensemble(t):
+    train, test, f = _frames(t)
+    return _score(md.window_ensemble(train, test, f, (365, 730, None), 6), "category")
+
+
+@register("b11_residual_chain", f"category:s {_M}")
+def residual_chain(t):
+    train, test, f = _frames(t)
+    stages = [list(agg.ENCODINGS), [c for c in f if c.startswith("demand_")], list(md.CALENDAR)]
+    return _score(md.residual_chain(train, test, stages, 6), "category")
+
+
+@register("b12_two_stage", f"routing:s {_M}")
+def two_stage(t):
+    train, test, f = _frames(t)
+    out = md.two_stage_forecast(train, test, f, 6)
+    hard = _score(out, col="prediction_hard").withColumn("routing", F.lit("hard"))
+    return hard.unionByName(_score(out, col="prediction_soft").withColumn("routing", F.lit("soft")))
+
+
+@register("b15_search", "depth:i step:f mae:f")
+def search(t):
+    train, _, f = _frames(t)
+    return md.search(train, f)
+
+
+@register("b16_feature_importance", "feature:s importance:f6")
+def feature_importance(t):
+    train, _, f = _frames(t)
+    return md.feature_importance(md.gbt(f, trees=10).fit(train), f, train)
+
+
+@register("b17_learning_curve", "history_days:i mae:f exponent:f fitted_mae:f")
+def learning_curve(t):
+    train, test, f = _frames(t)
+    return md.learning_curve(train, test, f)
+
+
+def _local(t):
+    return flt.label_split(stock_daily(t), 90)
+
+
+def _local_score(df, *by):
+    return _score(df.withColumn("label", F.col("demand")), *by)
+
+
+@register("b08_local_models", f"status:s {_M}")
+def local_models(t):
+    from tillstream.operators import series
+    rows = _local(t).transform(series.add_series_features, "demand", "demand", (1, 2, 3, 7), (3, 7))
+    return _local_score(lm.local_forecast(rows, series.feature_columns(rows, ["demand"])), "status")
+
+
+@register("b09_trend_season", f"variant:s {_M}")
+def trend_season(t):
+    rows, out = _local(t), None
+    for v in lm.VARIANTS:
+        part = _local_score(lm.trend_season_forecast(rows, v)).withColumn("variant", F.lit(v))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("b10_store_totals", f"family:s {_M}")
+def store_totals(t):
+    from tillstream.operators import series
+    totals = agg.store_totals(stock_daily(t), ["demand"]).withColumn("product", F.lit("all")).withColumn("category", F.lit("all"))
+    train, test, f = md.training_frames(totals, 90, "demand", (1, 2, 3, 7))
+    glob = _score(md.fit_predict(md.gbt(f, trees=10), train, test)).withColumn("family", F.lit("global"))
+    rows = flt.label_split(totals, 90).transform(series.add_series_features, "demand", "demand", (1, 2, 3, 7), (3, 7))
+    local = _local_score(lm.local_forecast(rows, series.feature_columns(rows, ["demand"]), keys=("store",)))
+    season = _local_score(lm.trend_season_forecast(flt.label_split(totals, 90), keys=("store",)))
+    return (glob.unionByName(local.withColumn("family", F.lit("per_store")))
+                .unionByName(season.withColumn("family", F.lit("per_store_trend"))))
+
+
+@register("b18_stationarity", "store:i product:s adf_stat:f adf_pvalue:f kpss_stat:f kpss_pvalue:f stationary_adf:i stationary_kpss:i")
+def stationarity(t):
+    return lm.stationarity(stock_daily(t))
+
+
+_FUT = " ".join(f"sold_lag{k}:f" for k in (1, 2, 3, 7, 14, 30))
+
+
+@register("b19_future_rows", f"store:i product:s date:d category:s last_sale:d dow:i is_holiday:i is_payday_week:i {_FUT} temp_mean:f is_rainy:i",
+          """
+WITH m AS (SELECT max(date) AS last FROM daily),
+p AS (SELECT store, product, max(category) AS category, max(city) AS city, max(date) AS last_sale FROM daily GROUP BY store, product),
+f AS (SELECT p.*, last + CAST(k AS INT) AS date FROM p, m, (SELECT unnest(range(1, 15)) AS k))
+SELECT f.*, isodow(f.date) - 1 AS dow, CAST(month(f.date) * 100 + day(f.date) IN (101,102,103,104,105,106,107,108,223,308,501,509,612,1104) AS INT) AS is_holiday,
+  CAST(day(f.date) IN (4,5,6,19,20,21) AS INT) AS is_payday_week, """
+          + ", ".join(f"l{k}.sold AS sold_lag{k}" for k in (1, 2, 3, 7, 14, 30))
+          + ", w.temp_mean, w.is_rainy FROM f "
+          + " ".join(f"LEFT JOIN daily l{k} ON l{k}.store = f.store AND l{k}.product = f.product AND l{k}.date = f.date - {k}"
+                     for k in (1, 2, 3, 7, 14, 30))
+          + " LEFT JOIN weather_full w ON w.city = f.city AND w.date = f.date")
+def future_rows(t):
+    forecast = weather(t).transform(wx.add_weather_flags)
+    return md.future_rows(daily(t), "sold", forecast)
+
+
+@register("b20_autoregressive", f"exog:s {_M}")
+def autoregressive(t):
+    rows = _local(t)
+    plain = _local_score(lm.autoregressive_forecast(rows)).withColumn("exog", F.lit("none"))
+    cal = _local_score(lm.autoregressive_forecast(rows, exog=("is_weekend", "is_holiday", "is_payday_week")))
+    return plain.unionByName(cal.withColumn("exog", F.lit("calendar")))

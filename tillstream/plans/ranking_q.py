@@ -29,7 +29,7 @@ def _long(t):
 
 
 _EXT = """SELECT *, abs(fact - prediction) AS abs_error FROM long_preds WHERE prediction IS NOT NULL
-ORDER BY round(abs(fact - prediction), 9) {o}, date, store, product, model LIMIT 20"""
+ORDER BY floor(abs(fact - prediction) * 1e6 + 0.5e0) {o}, date, store, product, model LIMIT 20"""
 _EXT_SPEC = "date:d store:i product:s model:s abs_error:f6"
 
 
