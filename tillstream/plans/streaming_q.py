@@ -1 +1,56 @@
-"""To come."""
+"""T: streaming jobs run over what has landed and compared with the batch answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillstream.plans.registry import register
+from tillstream.plans.sources_q import _scratch
+from tillstream.sources.testdata import daily
+from tillstream.streaming import jobs
+
+
+def _events(t):
+    raw = jobs.read_landing(t.spark, t.sf_dir, t("events").schema, glob="events.parquet")
+    return raw.select(F.col("user_id").alias("store"), F.col("event_type").alias("product"),
+                      F.col("ts").alias("check_ts"), F.lit(1.0).alias("qty"), F.col("value").alias("amount"))
+
+
+@register("t01_hourly_stream", "store:i product:s date:d hour:i qty:f amount:f n_lines:i", """
+SELECT user_id AS store, event_type AS product, CAST(ts AS DATE) AS date, hour(ts) AS hour, CAST(count(*) AS DOUBLE) AS qty,
+  sum(value) AS amount, count(*) AS n_lines FROM events GROUP BY 1, 2, 3, 4""")
+def hourly_stream(t):
+    df = jobs.hourly_windows(_events(t))
+    out = jobs.run_update(df, _scratch(t.spark, "t01"), _scratch(t.spark, "t01-ckpt"), ["store", "product", "window_start"])
+    return out.withColumns({"date": F.to_date("window_start"), "hour": F.hour("window_start")})
+
+
+@register("t01_daily_stream", "store:i product:s date:d qty:f amount:f2 n_lines:i", """
+SELECT user_id AS store, event_type AS product, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS qty,
+  sum(value) AS amount, count(*) AS n_lines FROM events GROUP BY 1, 2, 3""")
+def daily_stream(t):
+    df = jobs.hourly_windows(_events(t), size="1 day")
+    out = jobs.run_update(df, _scratch(t.spark, "t01d"), _scratch(t.spark, "t01d-ckpt"), ["store", "product", "window_start"])
+    return out.withColumn("date", F.to_date("window_start"))
+
+
+@register("t02_drift_stream", "window_start:d n_recent:i recent_mean:f6 drift_ratio:f6 is_drift:i", """
+WITH h AS (SELECT avg(sold) AS m, stddev_samp(sold) AS s FROM daily),
+w AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS window_start, value FROM events, (SELECT unnest(range(7)) AS k)),
+g AS (SELECT window_start, count(*) AS n_recent, avg(value) AS recent_mean FROM w GROUP BY window_start)
+SELECT *, abs(recent_mean - m) / (s + 1e-8) AS drift_ratio, CAST(n_recent >= 10 AND abs(recent_mean - m) / (s + 1e-8) > 2 AS INT) AS is_drift
+FROM g, h""")
+def drift_stream(t):
+    raw = jobs.read_landing(t.spark, t.sf_dir, t("events").schema, glob="events.parquet")
+    log = raw.select(F.col("ts").alias("timestamp"), F.col("value").alias("prediction"))
+    hist = daily(t).agg(F.avg("sold").alias("m"), F.stddev_samp("sold").alias("s")).first()  # one row, fixed at start
+    df = jobs.drift_windows(log, hist["m"], hist["s"])
+    return jobs.run_update(df, _scratch(t.spark, "t02"), _scratch(t.spark, "t02-ckpt"), ["window_start"])
+
+
+@register("t03_early_stop_stream", "store:i product:s date:d last_hour:i sold:f is_early_stop:i", """
+SELECT user_id AS store, event_type AS product, CAST(ts AS DATE) AS date, max(hour(ts)) AS last_hour, CAST(count(*) AS DOUBLE) AS sold,
+  CAST(max(hour(ts)) <= 14 AS INT) AS is_early_stop FROM events GROUP BY 1, 2, 3""")
+def early_stop_stream(t):
+    df = jobs.last_sale_windows(_events(t))
+    return jobs.run_update(df, _scratch(t.spark, "t03"), _scratch(t.spark, "t03-ckpt"), ["store", "product", "date"])
