@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillstream.functions.maths import clip, ratio, safe_corr
 from tillstream.operators.common import DATE, PAIR, drop_null_keys
 from tillstream.operators.quantiles import exact_quantiles
+from tillstream.session import cut_lineage
 
 HOURS = range(24)
 
@@ -153,7 +154,12 @@ ENCODINGS = ("store_mean", "product_mean", "product_cv", "category_mean", "pair_
 
 
 def profile_encodings(train: DataFrame, rows: DataFrame, value: str = "sold") -> DataFrame:
-    """Means learnt on `train`, attached to `rows`; unseen keys get the column's median."""
+    """Means learnt on `train`, attached to `rows`; unseen keys get the column's median.
+
+    The encodings meet in a table of the rows' distinct (store, product, category), so the
+    rows are joined once, and the medians over all rows are medians of that table weighted
+    by its row counts.
+    """
     store = train.groupBy("store").agg(F.avg(value).alias("store_mean"),
                                        F.countDistinct("product").alias("store_products"))
     product = train.groupBy("product").agg(
@@ -161,17 +167,17 @@ def profile_encodings(train: DataFrame, rows: DataFrame, value: str = "sold") ->
         (F.stddev_samp(value) / (F.avg(value) + 1e-8)).alias("product_cv"))
     category = train.groupBy("category").agg(F.avg(value).alias("category_mean"))
     pair = train.groupBy(*PAIR).agg(F.avg(value).alias("pair_mean"))
-    out = (rows.join(store, "store", "left").join(product, "product", "left")
-               .join(category, "category", "left").join(pair, list(PAIR), "left"))
-    # (column, value) pairs of every row, so that one job finds all medians
-    long = out.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in ENCODINGS])).alias("e")
-    ).select("e.name", "e.v")
-    medians = exact_quantiles(long, ["name"], "v", [0.5])
-    table = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "q0")))).scalar()
-    return (out.withColumn("_m", table)
-               .withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at("_m", F.lit(c)))
-                             for c in ENCODINGS}).drop("_m"))
+    keys = ["store", "product", "category"]
+    seen = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    joined = (seen.join(store, "store", "left").join(product, "product", "left")
+                  .join(category, "category", "left").join(pair, list(PAIR), "left"))
+    table = cut_lineage(joined.select(*keys, "_n", *[F.col(c).cast("double").alias(c) for c in ENCODINGS]))
+    long = table.select("_n", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ENCODINGS])).alias("e")).select("_n", "e.*")
+    medians = exact_quantiles(long, ["name"], "v", [0.5], "_n")
+    fill = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "q0")))).scalar()  # one entry a column
+    return (rows.join(table.drop("_n"), keys, "left").withColumn("_m", fill)
+                .withColumns({c: F.coalesce(c, F.try_element_at("_m", F.lit(c))) for c in ENCODINGS}).drop("_m"))
 
 
 def sku_behaviour(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:

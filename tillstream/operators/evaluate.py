@@ -125,7 +125,10 @@ def best_by_sku(metrics: DataFrame, models: Sequence[str], keys: Sequence[str] =
 
 
 def model_summary(metrics: DataFrame, best: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Means, medians and wins per model over all SKUs."""
+    """Means, medians and wins per model over all SKUs.
+
+    The metric table (one row per SKU and model) is read three times and so written once."""
+    metrics = cut_lineage(metrics)
     base = metrics.groupBy("model").agg(
         F.count("r2").alias("n_pairs"), F.avg("r2").alias("avg_r2"), F.avg("mae").alias("avg_mae"),
         F.avg("mse").alias("avg_mse"), F.avg("wmape").alias("avg_wmape"))

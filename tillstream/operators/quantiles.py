@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 N_EDGES = 256
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
+                    weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles q0, q1, ... per group, equal to `percentile`.
 
+    `weight` names a column of row counts: a row then stands for that many equal rows.
+
     `percentile` keeps every distinct value of a group in one task. Here values are
     counted in parallel first; a mergeable sketch cuts a group's distinct values into
     bands of similar size, and only the bands that hold a wanted rank are ordered, each
@@ -19,8 +22,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     from the counts, so the input is read once.
     """
     keys = list(keys)
-    rows = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
-    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    rows = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"), times.alias("_w"))
+    counts = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
     cuts = [i / N_EDGES for i in range(1, N_EDGES)]
     edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4096).alias("_edges"),
                                       F.sum("_c").alias("_n"))
@@ -29,8 +33,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     else:  # one row: read both fields as a scalar subquery
         one = edges.select(F.struct("_edges", "_n")).scalar()
         banded = counts.withColumn("_one", one).select("*", "_one._edges", "_one._n").drop("_one")
-    band = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    banded = banded.withColumn("_band", band).drop("_edges")
+    banded = banded.withColumn("_band", F.lit(0))
+    step = N_EDGES // 2
+    while step:  # binary search for the number of edges below the value
+        above = F.col("_v") > F.element_at("_edges", F.col("_band") + step)
+        banded = banded.withColumn("_band", F.col("_band") + F.when(above, step).otherwise(0))
+        step //= 2
+    banded = banded.drop("_edges")
 
     sizes = banded.groupBy(*keys, "_band").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
     upto = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_band")

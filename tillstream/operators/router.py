@@ -106,12 +106,14 @@ def chosen_metrics(wide: DataFrame, choice: str, models: Sequence[str], prefix:
 def scheme_summary(wide: DataFrame, schemes: Sequence[str], models: Sequence[str]) -> DataFrame:
     """One row per routing scheme: means, median R2 and share of positive R2 over all SKUs.
 
-    All schemes are scored in one pass over a long (scheme, metrics) view.
+    All schemes are scored in one pass over a long (scheme, metrics) table, written once as
+    the means and the medians both read it.
     """
     metric = {v: {m: _c(f"{m}_{v}") for m in models} for v in ("r2", "mae", "mse", "wmape")}
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(s).alias("scheme"), *[pick_by_name(metric[v], _c(s)).alias(v) for v in metric])
         for s in schemes])).alias("x")).select("x.*")
+    rows = cut_lineage(rows)
     base = rows.groupBy("scheme").agg(
         *[F.avg(v).alias(f"avg_{v}") for v in metric], F.count("*").alias("n_rows"),
         F.avg(F.coalesce(F.col("r2") > 0, F.lit(False)).cast("int")).alias("positive_r2_share"))

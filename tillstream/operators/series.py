@@ -231,49 +231,69 @@ def neighbour_sum(df: DataFrame, col: str, keys: Sequence[str], order: str = "ho
     return F.when(F.count(col).over(w) == 3, F.sum(col).over(w)).otherwise(0.0)
 
 
-def longest_zero_run(df: DataFrame, col: str, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Length of the longest run of zeros and its share of the series (gaps and islands)."""
-    x = F.coalesce(F.col(col), F.lit(0.0))
+def _ranked(df: DataFrame, col: str, keys: Sequence[str], lags: Sequence[int] = ()) -> DataFrame:
+    """Rows with what the descriptors below need, from one exchange and one sort by date:
+    value, position, position from the end, length, lags, and zeros up to this row."""
     w = by_date(keys)
-    marked = df.withColumn("_zero", (x == 0).cast("int")).withColumn("_rn", F.row_number().over(w))
-    zeros = F.sum("_zero").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = (marked.withColumn("_island", F.col("_rn") - zeros)
-                  .groupBy(*keys, "_island").agg(F.count("*").alias("_rows"), F.sum("_zero").alias("_zeros")))
-    return (runs.groupBy(*keys).agg(F.max("_zeros").alias("zero_run_max"), F.sum("_rows").alias("_n"))
-                .withColumn("zero_run_ratio", F.col("zero_run_max") / F.col("_n")).drop("_n"))
+    x = F.coalesce(F.col(col), F.lit(0.0))
+    base = df.withColumns({
+        "_raw": F.col(col), "_x": x, "_rn": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*keys)),
+        **{f"_l{k}": F.lag(x, k).over(w) for k in lags}})
+    sold = F.max(F.when(F.col("_x") != 0, F.col("_rn"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return base.withColumns({"_back": F.col("_n") - F.col("_rn") + 1,
+                             "_zeros": F.col("_rn") - F.coalesce(sold, F.lit(0))})
+
+
+def _acf(k: int) -> Column:
+    r = F.coalesce(safe_corr(F.col("_x"), F.col(f"_l{k}")), F.lit(0.0))
+    return F.when(F.count("*") <= k + 1, 0.0).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
+def _trend(n: int) -> Column:
+    tail = F.when(F.col("_back") <= n, F.col("_x"))
+    slope = F.regr_slope(tail, -F.col("_back").cast("double"))
+    flat = (F.max("_n") < 5) | (F.stddev_pop(tail) < 1e-8)
+    return F.when(flat, 0.0).otherwise(F.coalesce(F.abs(slope) / (F.abs(F.avg(tail)) + 1), F.lit(0.0)))
+
+
+def _shift(recent: int, prior: int, stat: str) -> Column:
+    back, n = F.col("_back"), F.col("_n")
+    usual = (F.least(F.greatest(n - recent, F.lit(0)), F.lit(prior)) >= 3) & (F.least(n, F.lit(recent)) >= 3)
+    newer = n - F.floor(n / 2)
+    in_recent = F.when(usual, back <= recent).otherwise(back <= newer)
+    in_prior = F.when(usual, (back > recent) & (back <= recent + prior)).otherwise(back > newer)
+    fn = F.avg if stat == "level" else F.stddev_pop
+    a = F.coalesce(fn(F.when(in_recent, F.col("_x"))), F.lit(0.0))
+    b = F.coalesce(fn(F.when(in_prior, F.col("_x"))), F.lit(0.0))
+    scale = F.abs(b) + 1 if stat == "level" else b + 1
+    return F.when(F.max("_n") < 4, 0.0).otherwise(F.abs((a - b) / scale))
+
+
+def _seasonal() -> Column:
+    """Std of the weekday means present over the std of the series."""
+    means = F.array_compact(F.array(*[F.avg(F.when(F.weekday(DATE) == d, F.col("_raw"))) for d in range(7)]))
+    n = F.size(means)
+    mean = F.aggregate(means, F.lit(0.0), lambda acc, m: acc + m) / n
+    spread = F.sqrt(F.aggregate(means, F.lit(0.0), lambda acc, m: acc + (m - mean) * (m - mean)) / n)
+    sd = F.stddev_pop("_raw")
+    return F.when((F.count("*") < 8) | sd.isNull() | (sd < 1e-8), 0.0).otherwise(F.least(spread / sd, F.lit(5.0)))
+
+
+def longest_zero_run(df: DataFrame, col: str, keys: Sequence[str] = PAIR) -> DataFrame:
+    """Length of the longest run of zeros and its share of the series."""
+    return _ranked(df, col, keys).groupBy(*keys).agg(
+        F.max("_zeros").alias("zero_run_max"), (F.max("_zeros") / F.count("*")).alias("zero_run_ratio"))
 
 
 def autocorrelation(df: DataFrame, col: str, lags: Sequence[int] = (1, 7),
                     keys: Sequence[str] = PAIR) -> DataFrame:
     """Correlation with the value k rows earlier, in [-1, 1]; 0 for short or flat series."""
-    w = by_date(keys)
-    x = F.coalesce(F.col(col), F.lit(0.0))
-    lagged = df.withColumns({"_x": x, **{f"_l{k}": F.lag(x, k).over(w) for k in lags}})
-    out = []
-    for k in lags:
-        r = F.coalesce(safe_corr(F.col("_x"), F.col(f"_l{k}")), F.lit(0.0))
-        out.append(F.when(F.count("*") <= k + 1, 0.0)
-                    .otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias(f"acf_lag{k}"))
-    return lagged.groupBy(*keys).agg(*out)
-
-
-def _from_end(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumns({
-        "_x": F.coalesce(F.col(col), F.lit(0.0)),
-        "_back": F.row_number().over(w.orderBy(F.col(DATE).desc())),
-        "_n": F.count("*").over(w),
-    })
+    return _ranked(df, col, keys, lags).groupBy(*keys).agg(*[_acf(k).alias(f"acf_lag{k}") for k in lags])
 
 
 def trend_strength(df: DataFrame, col: str, n: int = 60, keys: Sequence[str] = PAIR) -> DataFrame:
     """|OLS slope| over the last n rows, scaled by |mean| + 1; 0 below five rows."""
-    tail = _from_end(df, col, keys).filter(F.col("_back") <= n)
-    slope = F.regr_slope(F.col("_x"), -F.col("_back").cast("double"))
-    value = F.abs(slope) / (F.abs(F.avg("_x")) + 1)
-    return tail.groupBy(*keys).agg(
-        F.when((F.max("_n") < 5) | (F.stddev_pop("_x") < 1e-8), 0.0)
-         .otherwise(F.coalesce(value, F.lit(0.0))).alias(f"trend_abs_{n}"))
+    return _ranked(df, col, keys).groupBy(*keys).agg(_trend(n).alias(f"trend_abs_{n}"))
 
 
 def window_shift(df: DataFrame, col: str, recent: int, prior: int, stat: str, out: str,
@@ -283,55 +303,23 @@ def window_shift(df: DataFrame, col: str, recent: int, prior: int, stat: str, ou
     The prior block holds the `prior` rows before the last `recent` ones. If either has
     fewer than three rows the series is cut in half; below four rows the shift is 0.
     """
-    ranked = _from_end(df, col, keys)
-    back, n = F.col("_back"), F.col("_n")
-    n_recent = F.least(n, F.lit(recent))
-    n_prior = F.least(F.greatest(n - recent, F.lit(0)), F.lit(prior))
-    usual = (n_prior >= 3) & (n_recent >= 3)
-    newer = n - F.floor(n / 2)
-    in_recent = F.when(usual, back <= recent).otherwise(back <= newer)
-    in_prior = F.when(usual, (back > recent) & (back <= recent + prior)).otherwise(back > newer)
-    fn = F.avg if stat == "level" else F.stddev_pop
-    a = F.coalesce(fn(F.when(F.col("_r"), F.col("_x"))), F.lit(0.0))
-    b = F.coalesce(fn(F.when(F.col("_p"), F.col("_x"))), F.lit(0.0))
-    scale = F.abs(b) + 1 if stat == "level" else b + 1
-    return (ranked.withColumn("_r", in_recent).withColumn("_p", in_prior).groupBy(*keys)
-            .agg(F.when(F.max("_n") < 4, 0.0).otherwise(F.abs((a - b) / scale)).alias(out)))
+    return _ranked(df, col, keys).groupBy(*keys).agg(_shift(recent, prior, stat).alias(out))
 
 
 def seasonal_strength(df: DataFrame, col: str, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Std of weekday means over the std of the series, in [0, 5]; 0 below eight rows.
-
-    One pass: per-weekday sums roll up to the series totals.
-    """
-    x = F.col(col)
-    per = (df.groupBy(*keys, F.weekday(DATE).alias("_dow"))
-             .agg(F.count("*").alias("_rows"), F.count(x).alias("_n"), F.sum(x).alias("_s"),
-                  F.sum(x * x).alias("_ss"))
-             .withColumn("_mean", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))))
-    n, s, ss = F.sum("_n"), F.sum("_s"), F.sum("_ss")
-    var = F.greatest(ss / n - (s / n) * (s / n), F.lit(0.0))
-    sd = F.when(n > 0, F.sqrt(var))
-    value = F.least(F.stddev_pop("_mean") / sd, F.lit(5.0))
-    return per.groupBy(*keys).agg(
-        F.when((F.sum("_rows") < 8) | sd.isNull() | (sd < 1e-8), 0.0).otherwise(value)
-         .alias("seasonal_strength_7"))
+    """Std of weekday means over the std of the series, in [0, 5]; 0 below eight rows."""
+    return df.withColumn("_raw", F.col(col)).groupBy(*keys).agg(_seasonal().alias("seasonal_strength_7"))
 
 
 def stability_features(df: DataFrame, col: str = "demand", keys: Sequence[str] = PAIR) -> DataFrame:
-    """All stability descriptors of a series, joined on the pair (co-partitioned joins)."""
-    parts = [
-        autocorrelation(df, col, (1, 7), keys),
-        trend_strength(df, col, 60, keys),
-        window_shift(df, col, 30, 30, "level", "mean_shift_norm_30_60", keys),
-        window_shift(df, col, 7, 30, "volatility", "variance_shift_norm_7_30", keys),
-        seasonal_strength(df, col, keys),
-        longest_zero_run(df, col, keys),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, list(keys))
-    return out
+    """All stability descriptors of a series in one pass: one exchange by key, one sort, and
+    one aggregation on the same partitioning."""
+    return _ranked(df, col, keys, (1, 7)).groupBy(*keys).agg(
+        _acf(1).alias("acf_lag1"), _acf(7).alias("acf_lag7"), _trend(60).alias("trend_abs_60"),
+        _shift(30, 30, "level").alias("mean_shift_norm_30_60"),
+        _shift(7, 30, "volatility").alias("variance_shift_norm_7_30"),
+        _seasonal().alias("seasonal_strength_7"), F.max("_zeros").alias("zero_run_max"),
+        (F.max("_zeros") / F.count("*")).alias("zero_run_ratio"))
 
 
 def decompose(df: DataFrame, col: str, period: int = 7, keys: Sequence[str] = PAIR) -> DataFrame:

@@ -8,7 +8,7 @@ from tillstream.operators import aggregates as agg, filters as flt, ranking
 from tillstream.functions.maths import bucket
 from tillstream.plans.oracle_base import add_base
 from tillstream.plans.registry import register
-from tillstream.sources.testdata import check_lines, daily, hourly, sale_events, sales, stock_daily
+from tillstream.sources.testdata import daily, hourly, sale_events, sales, stock_daily
 
 add_base("sale_events", """
 SELECT event_id AS check_id, user_id AS store, event_type AS product, user_id AS seller, ts AS check_ts,
@@ -21,7 +21,7 @@ FROM events""")
 SELECT date, store, category, product, sum(qty) AS sold FROM check_lines WHERE event_type = 'sale'
 GROUP BY date, store, category, product""")
 def daily_sales(t):
-    return agg.daily_sales(flt.keep_sales(check_lines(t)))
+    return agg.daily_sales(sales(t))
 
 
 @register("a02_hourly_sales", "store:i product:s date:d hour:i qty:f amount:f stale_qty:f n_lines:i last_minute:i", """

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType(),
+          "timestamp_ntz": T.TimestampNTZType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """`name type, ...` to a schema without needing a session."""
+    fields = [item.split() for item in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 CHECK_LINES_RAW = _struct(

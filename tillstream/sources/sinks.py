@@ -8,9 +8,13 @@ from tillstream import schemas
 
 
 def write_mart(df: DataFrame, path: str, date: str = "date") -> None:
-    """Monthly partitions; only the months present in `df` are replaced."""
+    """Monthly partitions; only the months present in `df` are replaced.
+
+    The rebalance hint lets AQE size the files: small months share a task and a large or
+    hot month is split over many.
+    """
     (df.withColumn("month", F.date_format(date, "yyyy-MM"))
-       .repartition("month", F.pmod(F.dayofmonth(date), F.lit(8)))
+       .hint("rebalance", "month")
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("month").parquet(path))
 

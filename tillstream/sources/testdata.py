@@ -18,14 +18,20 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def check_lines(t: Tables) -> DataFrame:
-    """Check lines: store = supplier's nation, product = brand, category = part type."""
+def check_lines(t: Tables, sales_only: bool = False) -> DataFrame:
+    """Check lines: store = supplier's nation, product = brand, category = part type.
+
+    `sales_only` filters on the stored flag, which the Parquet scan can push down.
+    """
     stores = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"),
                                   F.col("s_nationkey").alias("store"))
     cities = t("nation").select(F.col("n_nationkey").alias("store"), F.col("n_name").alias("city"))
     products = t("part").select(F.col("p_partkey").alias("l_partkey"),
                                 F.col("p_brand").alias("product"), F.col("p_type").alias("category"))
-    return (t("lineitem")
+    lines = t("lineitem")
+    if sales_only:
+        lines = lines.filter(F.col("l_returnflag") == "N")
+    return (lines
             .join(products, "l_partkey").join(stores, "l_suppkey").join(cities, "store")
             .select(
                 F.col("l_orderkey").alias("check_id"),
@@ -43,7 +49,7 @@ def check_lines(t: Tables) -> DataFrame:
 
 
 def sales(t: Tables) -> DataFrame:
-    return check_lines(t).filter(F.col("event_type") == "sale")
+    return check_lines(t, sales_only=True)
 
 
 def daily(t: Tables) -> DataFrame:
