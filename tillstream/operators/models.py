@@ -134,7 +134,8 @@ def segmented_forecast(train: DataFrame, test: DataFrame, segment: str, features
     """Own model for every segment with enough training rows, the global one elsewhere.
 
     Meant for a few segments (clusters, categories, tiers); for a model per store or SKU
-    use the local models, which Spark runs as one shuffle.
+    use the local models, which Spark runs as one shuffle. Both frames are read once per
+    segment, so pass written ones (`training_frames` does that).
     """
     sizes = train.groupBy(segment).agg(F.count("*").alias("n")).limit(MAX_SEGMENTS + 1).collect()
     if len(sizes) > MAX_SEGMENTS:

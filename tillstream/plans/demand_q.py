@@ -264,7 +264,18 @@ def advanced_mask(t):
         F.count("*").alias("n_days"), F.sum("suspected").alias("n_suspected"), F.sum("strict").alias("n_strict"))
 
 
-@register("d14_censored_rates", "store:i product:s hour:i n_days:i n_censored:i observed_rate:f rate:f")
+# A strict mask holds counts of 0 and 1 only, for which the EM step has a closed form.
+@register("d14_censored_rates", "store:i product:s hour:i n_days:i n_censored:i observed_rate:f rate:f", """
+WITH RECURSIVE m AS (SELECT *, median(CASE WHEN qty > 0 THEN qty END) OVER w AS usual, median(traffic) OVER w AS ut
+           FROM near_grid WINDOW w AS (PARTITION BY store, product, hour)),
+f AS (SELECT *, coalesce(qty < usual * 0.3e0 AND traffic >= ut * 0.5e0 AND near > 0, FALSE) AND qty <= 1 AS c FROM m),
+g AS (SELECT store, product, hour, count(*) AS n_days, count(*) FILTER (c) AS n_censored, sum(qty) / count(*) AS observed_rate,
+  coalesce(sum(qty) FILTER (NOT c), 0) AS s, count(*) FILTER (c AND qty = 0) AS c0, count(*) FILTER (c AND qty = 1) AS c1
+  FROM f GROUP BY store, product, hour),
+em AS (SELECT *, greatest(observed_rate, 1e-6) AS rate, 0 AS step FROM g UNION ALL
+  SELECT store, product, hour, n_days, n_censored, observed_rate, s, c0, c1,
+    (s + c0 * rate + c1 * greatest(rate / greatest(1 - exp(-rate), 1e-12), 1)) / n_days, step + 1 FROM em WHERE step < 25)
+SELECT * FROM em WHERE step = 25""")
 def censored_rates(t):
     return dem.censored_rates(dem.advanced_stockout_mask(dem.pair_hour_grid(hourly(t))))
 

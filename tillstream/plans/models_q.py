@@ -8,7 +8,8 @@ from tillstream.functions import weather as wx
 from tillstream.operators import aggregates as agg, clusters as cl, evaluate as ev, filters as flt
 from tillstream.operators import local_models as lm, models as md, targets as tg
 from tillstream.plans.registry import register
-from tillstream.sources.testdata import daily, sales, stock_daily, weather
+from tillstream.session import cut_lineage
+from tillstream.sources.testdata import daily, stock_daily, weather
 
 _M = "n_rows:i mae:f wmape:f r2:f"
 
@@ -126,6 +127,24 @@ def tier_models(t):
     return _score(md.segmented_forecast(*tiered, "tier", f, 500, 8), "tier")
 
 
+@register("b07_cluster_routed", f"model_scope:s {_M}")
+def cluster_routed(t):
+    from tillstream.operators import joins
+    train, test, f = _frames(t)
+    fit = cl.fit_sku_clusters(train, (3, 5))
+    groups = cut_lineage(fit.assign(cl.sku_cluster_rows(train)).select("store", "product", "cluster"))
+    rows = [joins.attach_cluster(x, groups, "cluster") for x in (train, test)]
+    return _score(md.segmented_forecast(*rows, "cluster", f, 500, 8), "model_scope")
+
+
+@register("b07_high_demand_routed", f"is_high_demand:i {_M}")
+def high_demand_routed(t):
+    train, test, f = _frames(t)
+    mean = F.col("pair_mean") >= tg.HIGH_DEMAND
+    rows = [x.withColumn("is_high_demand", mean.cast("int")) for x in (train, test)]
+    return _score(md.segmented_forecast(*rows, "is_high_demand", f, 500, 8), "is_high_demand")
+
+
 @register("b11_stacking", f"category:s {_M}")
 def stacking(t):
     train, test, f = _frames(t)
@@ -219,6 +238,20 @@ def stationarity(t):
     return lm.stationarity(stock_daily(t))
 
 
+@register("b18_kpss", "store:i product:s kpss_stat:f stationary_kpss:i", """
+WITH e AS (SELECT store, product, row_number() OVER w AS i, count(*) OVER p AS n, demand - avg(demand) OVER p AS e,
+  stddev_pop(demand) OVER p AS sd FROM stock_daily WINDOW p AS (PARTITION BY store, product), w AS (PARTITION BY store, product ORDER BY date)),
+c AS (SELECT *, sum(e) OVER (PARTITION BY store, product ORDER BY i) AS s, least(ceil(12e0 * pow(n / 100e0, 0.25e0)), n - 1) AS l FROM e),
+a AS (SELECT x.store, x.product, sum((1 - (x.i - y.i) / (x.l + 1)) * x.e * y.e) AS acv FROM c x JOIN c y
+      ON x.store = y.store AND x.product = y.product AND x.i > y.i AND x.i - y.i <= x.l GROUP BY x.store, x.product),
+g AS (SELECT store, product, max(n) AS n, max(sd) AS sd, sum(s * s) AS ss, sum(e * e) AS ee FROM c GROUP BY store, product),
+k AS (SELECT g.store, g.product, CASE WHEN n < 8 OR sd < 1e-8 THEN 0 ELSE ss / (n * n * ((ee + 2 * coalesce(acv, 0)) / n)) END AS kpss_stat
+      FROM g LEFT JOIN a USING (store, product))
+SELECT *, CAST(kpss_stat < 0.463e0 AS INT) AS stationary_kpss FROM k""")
+def kpss(t):
+    return lm.stationarity(stock_daily(t))
+
+
 _FUT = " ".join(f"sold_lag{k}:f" for k in (1, 2, 3, 7, 14, 30))
 
 

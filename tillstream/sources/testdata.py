@@ -80,10 +80,17 @@ def stock_daily(t: Tables) -> DataFrame:
 
 
 def hourly(t: Tables) -> DataFrame:
-    """Hourly series: store = user, product = event type, one unit per event."""
-    return (t("events").groupBy(F.col("user_id").alias("store"), F.col("event_type").alias("product"),
-                                F.to_date("ts").alias("date"), F.hour("ts").alias("hour"))
-            .agg(F.count("*").cast("double").alias("qty"), F.sum("value").alias("amount")))
+    """Hourly series: store = user, product = event type, one unit per event.
+
+    Null keys are dropped here, which also keeps every use of the mart the same subplan, so
+    that Spark reuses its exchange.
+    """
+    keys = ["store", "product", "date", "hour"]
+    known = F.col("user_id").isNotNull() & F.col("event_type").isNotNull() & F.hour("ts").isNotNull()
+    rows = t("events").filter(known).select(F.col("user_id").alias("store"), F.col("event_type").alias("product"),
+                              F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), "value")
+    return (rows.groupBy(*keys)
+                .agg(F.count("*").cast("double").alias("qty"), F.sum("value").alias("amount")))
 
 
 def daily_prices(t: Tables) -> DataFrame:
