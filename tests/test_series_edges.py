@@ -131,3 +131,10 @@ def test_split_is_inclusive(frame):
 def test_nearest_row_breaks_ties_low(frame):
     df = frame("buffer int, x double", [(2, 1.0), (1, 3.0), (3, 9.0)])
     assert ranking.nearest_row(df, "x", F.lit(2.0), "buffer").first().buffer == 1
+
+
+def test_salted_join_equals_plain_join(frame):
+    big = frame("k int, d int", [(1, i) for i in range(50)] + [(2, 1), (3, 1)])
+    small = frame("k int, v int", [(1, 10), (1, 11), (2, 20)])
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    assert sorted(map(tuple, joins.salted_join(big, small, ["k"], ["d"], 4).collect())) == want and len(want) == 101

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillstream.functions.maths import ratio, round_half_up
 from tillstream.operators.common import DATE, PAIR
+from tillstream.operators.joins import salted_join
 from tillstream.session import cut_lineage
 
 # Fixed values of the restoration rule.
@@ -213,13 +214,13 @@ def hour_share_profiles(hourly: DataFrame) -> DataFrame:
 def share_expectations(hourly: DataFrame) -> DataFrame:
     """Actual and expected quantity of every pair on every day its store sold something.
 
-    Store hours meet profiles on (store, hour): the rows are the store's days x hours x
-    products that the report is about, summed to (pair, date) in the same stage.
+    Store hours meet profiles on (store, hour), salted by date: the rows are the store's
+    days x hours x products that the report is about.
     """
     prof = hour_share_profiles(hourly)
     sh = store_hours(hourly)
     actual = hourly.select(*PAIR, DATE, "hour", "qty")
-    rows = sh.join(prof, ["store", "hour"]).join(actual, [*PAIR, DATE, "hour"], "left").fillna(0.0, subset=["qty"])
+    rows = salted_join(sh, prof, ["store", "hour"], [DATE], 8).join(actual, [*PAIR, DATE, "hour"], "left").fillna(0.0, subset=["qty"])
     expected = F.col("store_qty") * F.col("avg_share")
     return rows.groupBy(*PAIR, DATE).agg(
         F.sum("store_qty").alias("store_qty"), F.sum("qty").alias("actual"), F.sum(expected).alias("expected"),
@@ -236,7 +237,7 @@ def daily_share_variants(hourly: DataFrame, low_quantile: float = 0.2) -> DataFr
     per_pair = hourly.groupBy(*PAIR, DATE).agg(F.sum("qty").alias("actual"))
     per_store = hourly.groupBy("store", DATE).agg(F.sum("qty").alias("store_qty"))
     pairs = hourly.select(*PAIR).distinct()
-    dense = (per_store.join(pairs, "store").join(per_pair, [*PAIR, DATE], "left").fillna(0.0, subset=["actual"])
+    dense = (salted_join(per_store, pairs, ["store"], [DATE]).join(per_pair, [*PAIR, DATE], "left").fillna(0.0, subset=["actual"])
                       .withColumn("share", ratio(F.col("actual"), F.col("store_qty")))
                       .withColumn("_dow", F.weekday(DATE)))
     w, wd = Window.partitionBy(*PAIR), Window.partitionBy(*PAIR, "_dow")

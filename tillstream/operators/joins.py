@@ -17,6 +17,19 @@ from tillstream.operators.common import DATE, PAIR
 from tillstream.operators.series import value_days_ago
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], by: Sequence[str],
+                salts: int = 32) -> DataFrame:
+    """Inner join whose hot keys are spread by the columns `by` of the larger side.
+
+    For joins that multiply rows (a store's days with a store's products) a hot key is hot in
+    its output, which AQE cannot see from the input sizes. The smaller side is repeated once
+    per salt inside its own tasks.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def with_last_hour(hourly: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """Last sale hour of the day on every hourly row; a window instead of a self join."""
     return hourly.withColumn("last_hour", F.max("hour").over(Window.partitionBy(*keys, DATE)))

@@ -19,77 +19,91 @@ from tillstream.session import cut_lineage
 ROUTER_FEATURES = ("n_days", "mean_demand", "median_demand", "std_demand", "share_zero", "share_censored",
                    "lost_mean", "demand_trend_mean", "cv_7d_mean", "cv_demand")
 
-# Roles of the candidate models in the rules.
-ROLES = {"simple": "two_week_avg", "censoring": "61_censoring_behavioral",
-         "assortment": "62_assortment_availability", "cluster": "66_cluster_features", "local": "lgbm_local"}
+# The candidate model that plays each role in the rules.
+ROLES = {"simple": "two_week_avg", "censoring": "censoring", "assortment": "assortment",
+         "cluster": "clustered", "local": "local"}
+
+# The three rule sets, (role, condition) in order; the first that holds wins.
+RULES = {
+    "rule_v0": [
+        ("simple", "cv_demand > 1.0"),
+        ("simple", "mean_demand < 5"),
+        ("censoring", "share_censored > 0.5"),
+        ("cluster", "cv_demand < 0.6 and mean_demand > 10"),
+        ("assortment", "share_censored > 0.35"),
+        ("local", "mean_demand > 8 and cv_demand < 0.8"),
+    ],
+    "rule_v1": [
+        ("simple", "cv_demand > 1.25 and mean_demand < 8"),
+        ("simple", "mean_demand < 4 and cv_demand > 0.8"),
+        ("censoring", "share_censored > 0.65 and mean_demand < 15"),
+        ("assortment", "share_censored > 0.45 and mean_demand < 12"),
+        ("cluster", "cv_demand < 0.7 and mean_demand > 8"),
+        ("cluster", "mean_demand > 12 and cv_demand < 0.85"),
+        ("local", "mean_demand > 6 and cv_demand < 1.0"),
+    ],
+    "rule_v2": [
+        ("simple", "n_days < 14"),
+        ("simple", "cv_demand > 1.35 and mean_demand < 6"),
+        ("simple", "difficulty >= 3.0 and mean_demand < 8"),
+        ("censoring", "share_censored > 0.7 and mean_demand < 18"),
+        ("assortment", "share_censored > 0.5 and mean_demand < 12"),
+        ("cluster", "mean_demand > 14 and cv_demand < 0.75 and share_censored < 0.6"),
+        ("cluster", "mean_demand > 8 and cv_demand < 0.9 and share_censored < 0.55"),
+        ("local", "mean_demand > 6 and cv_demand < 0.8 and n_days > 90"),
+    ],
+}
+DEFAULT_ROLE = "cluster"
+
+# Points added up into the difficulty of a pair; of the conditions on one
+# descriptor only the first that holds counts.
+DIFFICULTY = {
+    "mean_demand": [("mean_demand < 4", 1.2), ("mean_demand < 8", 0.6)],
+    "cv_demand": [("cv_demand > 1.2", 1.2), ("cv_demand > 0.9", 0.7)],
+    "share_censored": [("share_censored > 0.7", 1.1), ("share_censored > 0.5", 0.6)],
+    "n_days": [("n_days < 30", 1.0), ("n_days < 60", 0.4)],
+    "demand_trend_mean": [("demand_trend_mean < 0.85 or demand_trend_mean > 1.15", 0.25)],
+    "cv_7d_mean": [("cv_7d_mean > 0.45", 0.2)],
+}
 
 _c = F.col
 
 
-def _rules(table: Sequence[tuple[Column, str]], default: str, roles: dict[str, str]) -> Column:
+def _first(table: Sequence[tuple[str, object]], default: object) -> Column:
     out = F
-    for cond, role in table:
-        out = out.when(cond, roles[role])
-    return out.otherwise(roles[default])
-
-
-def rule_v0(roles: dict[str, str] = ROLES) -> Column:
-    cv, mean, cens = _c("cv_demand"), _c("mean_demand"), _c("share_censored")
-    return _rules([
-        ((cv > 1.0) | (mean < 5), "simple"), (cens > 0.5, "censoring"),
-        ((cv < 0.6) & (mean > 10), "cluster"), (cens > 0.35, "assortment"),
-        ((mean > 8) & (cv < 0.8), "local")], "cluster", roles)
-
-
-def rule_v1(roles: dict[str, str] = ROLES) -> Column:
-    cv, mean, cens = _c("cv_demand"), _c("mean_demand"), _c("share_censored")
-    return _rules([
-        (((cv > 1.25) & (mean < 8)) | ((mean < 4) & (cv > 0.8)), "simple"),
-        ((cens > 0.65) & (mean < 15), "censoring"), ((cens > 0.45) & (mean < 12), "assortment"),
-        (((cv < 0.7) & (mean > 8)) | ((mean > 12) & (cv < 0.85)), "cluster"),
-        ((mean > 6) & (cv < 1.0), "local")], "cluster", roles)
+    for value, cond in table:
+        out = out.when(F.expr(cond), F.lit(value))
+    return out.otherwise(F.lit(default))
 
 
-def _or(col: str, default: float) -> Column:
-    """Null counts as the default; so does a zero trend."""
-    x = F.coalesce(_c(col), F.lit(default))
-    return F.when(x == 0, F.lit(default)).otherwise(x) if default else x
+def difficulty() -> Column:
+    """How hard a pair is to forecast: the points of all descriptors added up."""
+    parts = [_first([(points, cond) for cond, points in steps], 0.0) for steps in DIFFICULTY.values()]
+    return sum(parts[1:], parts[0])
 
 
-# Descriptor -> (bound, points), the first bound that holds scores.
-_DIFFICULTY = {
-    "mean_demand": ("<", [(4, 1.2), (8, 0.6)]),
-    "cv_demand": (">", [(1.2, 1.2), (0.9, 0.7)]),
-    "share_censored": (">", [(0.7, 1.1), (0.5, 0.6)]),
-    "n_days": ("<", [(30, 1.0), (60, 0.4)]),
-    "cv_7d_mean": (">", [(0.45, 0.2)]),
-}
+def _fill_unknown(skus: DataFrame) -> DataFrame:
+    """Unknown descriptors count as 0, an unknown or zero trend as 1."""
+    known = skus.fillna(0, subset=[c for c in DIFFICULTY if c != "demand_trend_mean"])
+    trend = F.coalesce(F.nullif(_c("demand_trend_mean"), F.lit(0.0)), F.lit(1.0))
+    return known.withColumn("demand_trend_mean", trend)
 
 
-def difficulty() -> Column:
-    """How hard a pair is to forecast: points of all descriptors added up."""
-    total = F.lit(0.0)
-    for col, (sign, steps) in _DIFFICULTY.items():
-        x, points = _or(col, 0.0), F
-        for bound, score in steps:
-            points = points.when(x < bound if sign == "<" else x > bound, F.lit(score))
-        total = total + points.otherwise(0.0)
-    trend = _or("demand_trend_mean", 1.0)
-    return total + F.when((trend < 0.85) | (trend > 1.15), 0.25).otherwise(0.0)
-
-
-def rule_v2(roles: dict[str, str] = ROLES) -> Column:
-    mean, cv, cens, n = (_or(x, 0.0) for x in ("mean_demand", "cv_demand", "share_censored", "n_days"))
-    return _rules([
-        ((n < 14) | ((cv > 1.35) & (mean < 6)) | ((difficulty() >= 3.0) & (mean < 8)), "simple"),
-        ((cens > 0.7) & (mean < 18), "censoring"), ((cens > 0.5) & (mean < 12), "assortment"),
-        (((mean > 14) & (cv < 0.75) & (cens < 0.6)) | ((mean > 8) & (cv < 0.9) & (cens < 0.55)), "cluster"),
-        ((mean > 6) & (cv < 0.8) & (n > 90), "local")], "cluster", roles)
+def _choose(name: str, roles: dict[str, str]) -> Column:
+    return _first([(roles[role], cond) for role, cond in RULES[name]], roles[DEFAULT_ROLE])
 
 
 def add_rules(skus: DataFrame, roles: dict[str, str] = ROLES) -> DataFrame:
-    return skus.withColumns({"difficulty": difficulty(), "rule_v0": rule_v0(roles), "rule_v1": rule_v1(roles),
-                             "rule_v2": rule_v2(roles), "single": F.lit(roles["cluster"])})
+    """Difficulty, the choice of every rule set, and the single-model baseline.
+
+    Only the difficulty and the last rule set fill unknown descriptors; the descriptors
+    themselves stay as they came.
+    """
+    raw = skus.withColumns({n: _choose(n, roles) for n in ("rule_v0", "rule_v1")}).withColumn(
+        "_known", F.struct(*DIFFICULTY))
+    filled = _fill_unknown(raw).withColumn("difficulty", difficulty())
+    return (filled.withColumns({"rule_v2": _choose("rule_v2", roles), "single": F.lit(roles[DEFAULT_ROLE])})
+                  .withColumns({c: F.col(f"_known.{c}") for c in DIFFICULTY}).drop("_known"))
 
 
 def oracle_model(wide: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -8,14 +8,17 @@ from tillstream.functions.calendar import flag
 
 
 class Tables:
-    """Lazy table access: `Tables(spark, sf_dir)("lineitem")`."""
+    """Lazy table access: `Tables(spark, sf_dir)("lineitem")`; a footer is read once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._known: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._known:
+            self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._known[name]
 
 
 def check_lines(t: Tables, sales_only: bool = False) -> DataFrame:
