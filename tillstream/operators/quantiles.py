@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tillstream.session import cut_lineage
+
 N_EDGES = 256
 
 
@@ -18,13 +20,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequenc
     `percentile` keeps every distinct value of a group in one task. Here values are
     counted in parallel first; a mergeable sketch cuts a group's distinct values into
     bands of similar size, and only the bands that hold a wanted rank are ordered, each
-    by itself. The sketch decides where bands lie, never the result. All steps start
-    from the counts, so the input is read once.
+    by itself. The sketch decides where bands lie, never the result. The counts are written
+    once and every step reads them: a recomputed floating-point sum may differ in its last
+    bit and would fall into another band.
     """
     keys = list(keys)
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     rows = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"), times.alias("_w"))
-    counts = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
+    counts = cut_lineage(rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c")))
     cuts = [i / N_EDGES for i in range(1, N_EDGES)]
     edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4096).alias("_edges"),
                                       F.sum("_c").alias("_n"))

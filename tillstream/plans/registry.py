@@ -2,7 +2,9 @@
 
 A spec such as `"store:i date:d sold:f"` names the output columns and their form:
 i bigint, s string, d ISO date text, f double at 4 decimals, f6 at 6, f2 at 2.
-The same spec shapes the DataFrame and the SQL, so both emit equal bits.
+The same spec shapes the DataFrame and the SQL, so both emit equal bits. Halves are
+rounded from slightly below one half (`HALF`): a mean such as 1.00005 is then rounded up
+by both engines even where a sum in another order leaves it one bit short.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from tillstream.plans.oracle_base import with_base
 from tillstream.sources.testdata import Tables
 
 
+HALF = 0.50001
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -49,7 +54,7 @@ def _spark_col(name: str, kind: str) -> Column:
     if kind == "d":
         return F.date_format(c, "yyyy-MM-dd").alias(name)
     scale = 10.0 ** int(kind[1:] or 4)
-    return (F.floor(c.cast("double") * scale + 0.5).cast("double") / scale).alias(name)
+    return (F.floor(c.cast("double") * scale + HALF).cast("double") / scale).alias(name)
 
 
 def _sql_col(name: str, kind: str) -> str:
@@ -60,7 +65,7 @@ def _sql_col(name: str, kind: str) -> str:
     if kind == "d":
         return f"strftime(CAST(\"{name}\" AS DATE), '%Y-%m-%d') AS \"{name}\""
     scale = f"1e{int(kind[1:] or 4)}"
-    return f'floor(CAST("{name}" AS DOUBLE) * {scale} + 0.5e0) / {scale} AS "{name}"'
+    return f'floor(CAST("{name}" AS DOUBLE) * {scale} + {HALF}e0) / {scale} AS "{name}"'
 
 
 def present(df: DataFrame, spec: str) -> DataFrame:
