@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillstream.operators import aggregates as agg, filters as flt, ranking
+from tillstream.operators import aggregates as agg, filters as flt
 from tillstream.functions.maths import bucket
 from tillstream.plans.oracle_base import add_base
 from tillstream.plans.registry import register

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillstream.functions import calendar as cal, maths, text, weather as wx
-from tillstream.operators import joins
 from tillstream.plans.registry import register
 from tillstream.sources.testdata import daily, stock_daily, weather
 

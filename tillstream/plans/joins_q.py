@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillstream.functions import weather as wx
-from tillstream.operators import aggregates as agg, joins
+from tillstream.operators import joins
 from tillstream.plans.oracle_base import add_base
 from tillstream.plans.registry import register
-from tillstream.sources.testdata import daily, daily_prices, hourly, stock_daily, weather
+from tillstream.sources.testdata import daily, daily_prices, hourly, weather
 
 add_base("weather_full", """
 SELECT *, temp_max - temp_min AS temp_range, CAST(rain > 1 AS INT) AS is_rainy, CAST(snowfall > 0.5e0 AS INT) AS is_snowy,

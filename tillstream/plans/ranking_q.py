@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillstream.operators import evaluate as ev, ranking as rk
-from tillstream.plans.oracle_base import add_base
 from tillstream.plans.registry import register
 from tillstream.sources.testdata import check_lines, daily, daily_fine, sales, weather
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillstream.operators import evaluate as ev, router as rt
-from tillstream.plans.evaluate_q import best_sku, sku_profile
+from tillstream.operators import router as rt
+from tillstream.plans.evaluate_q import best_sku
 from tillstream.plans.forecasts import MODELS
 from tillstream.plans.oracle_base import add_base
 from tillstream.plans.registry import register

@@ -6,12 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillstream import schemas
-from tillstream.operators import aggregates as agg
 from tillstream.plans.registry import register
 from tillstream.session import ensure_checkpoint_dir
 from tillstream.sources import readers, sinks
-from tillstream.sources.testdata import Tables, check_lines, daily, hourly, sales
+from tillstream.sources.testdata import Tables, check_lines, daily, hourly
 
 
 def _scratch(spark: SparkSession, name: str) -> str:

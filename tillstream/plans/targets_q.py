@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillstream.functions import calendar as cal
-from tillstream.operators import evaluate as ev, filters as flt, series, targets as tg
+from tillstream.operators import filters as flt, series, targets as tg
 from tillstream.plans.evaluate_q import best_sku
 from tillstream.plans.forecasts import all_forecasts
 from tillstream.plans.registry import register
