@@ -46,6 +46,3 @@ def test_matches_oracle(spark, duck, name):
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() > 0
 
-
-def test_names():
-    assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
