@@ -55,9 +55,9 @@ WITH RECURSIVE w AS (SELECT doc_id, {SQL_WORDS.format(SQL_LOWER)} AS words FROM
 d AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
       ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams FROM w),
 e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM d),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
            FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-link AS (SELECT a, b FROM common WHERE 100 * both >= 85 * (na + nb - both)),
+link AS (SELECT a, b FROM common WHERE 100 * shared >= 85 * (na + nb - shared)),
 reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT d.doc_id, CAST(len(d.grams) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
 FROM d LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = d.doc_id""")
