@@ -15,7 +15,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 __all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "cut_lineage", "ensure_checkpoint_dir",
-           "keep_rows", "mix64", "ngram_hashes", "read", "text_or_empty"]
+           "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order; quicker on short arrays than a hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words; with fewer words, of the whole sequence; none of no words."""
     if not len(words):

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillstream.llm.common import WordHashes, bounded_batches, cut_lineage, mix64, ngram_hashes, text_or_empty
+from tillstream.llm.common import WordHashes, bounded_batches, cut_lineage, mix64, ngram_hashes, sorted_unique, text_or_empty
 from tillstream.llm.components import components
 
 N2, K2 = 2, 1
@@ -130,7 +130,7 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
 def _sets(texts: Iterator[bytes], n: int) -> Iterator[np.ndarray]:
     words = WordHashes()
     for text in texts:
-        yield np.unique(ngram_hashes(words.of(text.lower().split()), n))
+        yield sorted_unique(ngram_hashes(words.of(text.lower().split()), n))
 
 
 def _text_bytes(batch: pa.RecordBatch) -> list[bytes]:

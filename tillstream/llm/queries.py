@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillstream.llm import block_names, mixing, partenum
+from tillstream.llm import block_names, mixing, partenum, sampled_pieces, toxicity
 from tillstream.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +66,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(read(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op7_sampled_pieces")
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each sampled segmentation, and whether it decodes to the text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    samples = sampled_pieces.sample_encodings(read(spark, sf_dir, "documents"), path, carry=("doc_id", "text"))
+    text = sampled_pieces.decoded(path, F.col("ids"))
+    return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"),
+                          F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion",
+                          (text == F.coalesce("text", F.lit(""))).alias("decodes"))
+
+
 @query("op9_block_names", """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
