@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillstream.llm import block_names, mixing, partenum, sampled_pieces, toxicity
-from tillstream.llm.common import read
+from tillstream.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,11 +75,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each sampled segmentation, and whether it decodes to the text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    samples = sampled_pieces.sample_encodings(read(spark, sf_dir, "documents"), path, carry=("doc_id", "text"))
-    text = sampled_pieces.decoded(path, F.col("ids"))
+    docs = read(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64(text_or_empty()))
+    samples = sampled_pieces.sample_encodings(docs, path, carry=("doc_id", "text_hash"))
     return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"),
                           F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion",
-                          (text == F.coalesce("text", F.lit(""))).alias("decodes"))
+                          (F.xxhash64(sampled_pieces.decoded(path, F.col("ids"))) == F.col("text_hash")).alias("decodes"))
 
 
 @query("op9_block_names", """

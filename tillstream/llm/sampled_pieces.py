@@ -31,9 +31,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tillstream.llm.common import bounded_batches
 
@@ -193,6 +195,8 @@ class Lattices:
 
     def log_weight(self, ids: np.ndarray) -> np.ndarray:
         """Log weight of each piece or spelled character."""
+        if not len(ids) or ids.max() < SPELLED:
+            return self.vocab.log_weight[ids]
         known = self.vocab.log_weight[np.where(ids < SPELLED, ids, 0)]
         return np.where(ids < SPELLED, known, np.log(self.vocab.least) * _width(ids.astype(np.int64) - SPELLED))
 
@@ -234,12 +238,8 @@ class Lattices:
         ends = self.size[unit] - 1 - np.concatenate([[0], np.cumsum(path)[:-1]]).astype(np.int64)
         return self.ids[self.base[ends] + self.rank[unit], np.array(path) - 1]
 
-    def log_chance(self, unit: int, path: tuple[int, ...]) -> float:
-        return min(0.0, float(self.log_weight(self.path_ids(unit, path)).sum() - self.log_total[unit]))
-
-    def other_path(self, unit: int, taken: list[tuple[int, ...]], rng: np.random.Generator) -> tuple[int, ...]:
+    def other_path(self, unit: int, taken: list[tuple[int, ...]], chances: list[float], rng: np.random.Generator) -> tuple[int, ...]:
         """Draw a segmentation of a unit other than those taken (piece lengths, last piece first)."""
-        chances = [np.exp(self.log_chance(unit, t)) for t in taken]
         while True:
             left, path, mass, alive = int(self.size[unit]), (), 1.0, list(range(len(taken)))
             while left:
@@ -271,7 +271,20 @@ def _largest(values: np.ndarray, most: int) -> list[int]:
 
 
 def _units(text: str) -> list[str]:
-    return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or MARK in text or "\0" in text:
+        return UNIT.findall(MARK + text.replace(" ", MARK))
+    # The same with single spaces, by plain splitting.
+    return [u for u in (MARK + text.replace(" ", "\0" + MARK).replace("\n", "\0\n\0")).split("\0") if u]
+
+
+class _Numbers(dict):
+    """Units numbered in the order in which they come up."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
 
 
 def _width(code: np.ndarray) -> np.ndarray:
@@ -297,8 +310,8 @@ def _cut_gumbel(place: np.ndarray, top: float, random: np.ndarray) -> np.ndarray
 
 def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per text up to k of (ids, log probability, inclusion score), in the order drawn."""
-    known: dict[str, int] = {}
-    split = [np.array([known.setdefault(u, len(known)) for u in _units(t)], np.int64) for t in texts]
+    known = _Numbers()
+    split = [np.fromiter(map(known.__getitem__, u), np.int64, len(u)) for u in map(_units, texts)]
     lattices = Lattices(list(known), vocab)
     rngs = [np.random.Generator(np.random.PCG64(xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), seed))) for key in keys]
 
@@ -317,11 +330,11 @@ def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, s
         return out
 
     results: list[list] = [[] for _ in texts]
-    regions: list[list] = [[] for _ in texts]  # (value, parent sample, place, mass left, taken paths)
+    regions: list[list] = [[] for _ in texts]  # (value, parent sample, place, taken paths, their chances)
 
     def settle(d: int, value: float, sample, start: int) -> None:
         """Record a sample and open the regions that turn off it at its units from `start` on."""
-        ids, count, chance, long = sample
+        _, count, chance, long = sample
         before = np.cumsum(chance) - chance
         with np.errstate(divide="ignore"):
             rest = np.log1p(-np.exp(np.minimum(chance, 0.0)))
@@ -334,11 +347,9 @@ def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, s
         results[d].append((sample, value, float(chance.sum())))
         for i in _largest(values, k + 1 - number):
             if values[i] > -np.inf:
-                regions[d].append((float(values[i]), number, i, _lengths(sample, i)))
-
-    def _lengths(sample, i: int) -> list[tuple[int, ...]]:
-        ends = np.cumsum(sample[1][:i + 1])
-        return [tuple(sample[3][int(ends[i] - sample[1][i]):int(ends[i])][::-1].tolist())]
+                end = int(count[:i + 1].sum())
+                path = tuple(long[end - int(count[i]):end][::-1].tolist())
+                regions[d].append((float(values[i]), number, i, [path], [float(np.exp(chance[i]))]))
 
     live = list(range(len(texts)))
     for d, sample in zip(live, draws(live, [0] * len(live))):
@@ -351,10 +362,11 @@ def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, s
             best = max(range(len(regions[d])), key=lambda r: regions[d][r][0])
             turned.append((d, regions[d].pop(best)))
         live = [d for d, _ in turned]
-        for (d, (value, parent, i, taken)), fresh in zip(turned, draws(live, [r[2] + 1 for _, r in turned])):
+        for (d, (value, parent, i, taken, chances)), fresh in zip(turned, draws(live, [r[2] + 1 for _, r in turned])):
             unit = int(split[d][i])
-            path = lattices.other_path(unit, taken, rngs[d])
-            ids, logp = lattices.path_ids(unit, path)[::-1], lattices.log_chance(unit, path)
+            path = lattices.other_path(unit, taken, chances, rngs[d])
+            ids = lattices.path_ids(unit, path)[::-1]
+            logp = min(0.0, float(lattices.log_weight(ids).sum() - lattices.log_total[unit]))
             old = results[d][parent][0]
             upto = int(old[1][:i].sum())
             joined = (np.concatenate([old[0][:upto], ids, fresh[0]]),
@@ -362,12 +374,12 @@ def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, s
                       np.concatenate([old[2][:i], [logp], fresh[2]]),
                       np.concatenate([old[3][:upto], path[::-1], fresh[3]]))
             # What is left at this unit: neither the earlier paths nor this one.
-            spent = taken + [path]
-            mass = 1 - sum(np.exp(lattices.log_chance(unit, t)) for t in spent)
+            spent, gone = taken + [path], chances + [float(np.exp(logp))]
+            mass = 1 - sum(gone)
             if mass > ROUNDING:
                 place = np.array([float(old[2][:i].sum()) + np.log(mass)])
                 again = float(_cut_gumbel(place, value, np.array([max(rngs[d].random(), 1e-300)]))[0])
-                regions[d].append((again, parent, i, spent))
+                regions[d].append((again, parent, i, spent, gone))
             settle(d, value, joined, i + 1)
     out = []
     for d in range(len(texts)):
@@ -415,9 +427,6 @@ def sample_encodings(docs: DataFrame, path: str, k: int = SAMPLES, theta: float
 
 def decoded(path: str, ids: Column) -> Column:
     """The text of an array of ids, as the library decodes it: without the leading space."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("string")
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = vocabulary(path, THETA).bytes
