@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillstream.llm import block_names, mixing, partenum, sampled_pieces, toxicity
+from tillstream.llm import (block_names, chat_trees, licence_rules, line_crf, mixing, partenum, sampled_pieces, secret_scan,
+                            toxicity, wavelet)
 from tillstream.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,39 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table and one more conversation whose texts are control strings."""
+    table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    return table.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], table.schema))
+
+
+# The length of a formatted conversation: its turns with their marks, and a backslash per control string.
+_ESCAPED = "length(regexp_replace({}, '" + chat_trees.ESCAPE + "', '\\1\\\\\\2\\3', 'g'))"
+
+
+@query("op1_chat_trees", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS trained,
+             sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + {len(chat_trees.START) + len(chat_trees.SEP) + len(chat_trees.END)}) AS chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained) AS loss_chars, sha256(trained) AS loss_sha256,
+       CAST(chars AS BIGINT) AS formatted_chars FROM g""")
+def op1_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = chat_trees.format_paths(chat_trees.chain_replies(_conversations(spark, sf_dir)))
+    return chat_trees.read_back(formatted.select(F.col("root.conv_id").alias("conv_id"), "formatted", "loss"), ["conv_id"])
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, secret_scan.KINDS[:3]), "base_sha256", listed.alias("spans"), count("random"))
+
+
 @query("op3_source_mix", f"""
 WITH d AS (
   SELECT doc_id, source, len({SQL_WORDS.format("coalesce(text, '')")}) AS size,
@@ -71,6 +105,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op6_licence_rules", licence_rules.oracle())
+def op6_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_rules.scan(read(spark, sf_dir, "documents"))
+
+
 @query("op7_sampled_pieces")
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each sampled segmentation, and whether it decodes to the text."""
@@ -82,6 +121,11 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.xxhash64(sampled_pieces.decoded(path, F.col("ids"))) == F.col("text_hash")).alias("decodes"))
 
 
+@query("op8_line_crf")
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op9_block_names", """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -90,3 +134,8 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOU
 def op9_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(read(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_wavelet_shards")
+def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
