@@ -114,14 +114,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows equal in id, source and text share evenly what the mix takes of them.
     """
-    digest, words, size = (f"{c}_{len(docs.columns)}" for c in ("_digest", "_words", "_size"))
+    digest, words, size, epoch, ident, origin, other = (f"_{c}_{len(docs.columns)}" for c in (
+        "digest", "words", "size", "epoch", "id", "source", "other"))
     chosen = mix(docs, **options).groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("digest").alias("_dig")).agg(
+        F.col("doc_id").alias(ident), F.col("source").alias(origin), F.col("digest").alias(other)).agg(
         F.floor(F.sum("taken") / F.count("*")).cast("int").alias(words), F.max("size").cast("int").alias(size)).filter(F.col(words) > 0)
     wide = docs.withColumn(digest, F.xxhash64(text_or_empty()))
-    on = wide["doc_id"].eqNullSafe(chosen["_id"]) & wide["source"].eqNullSafe(chosen["_src"]) & (wide[digest] == chosen["_dig"])
-    found = wide.join(chosen, on)
-    left = F.col(words) - F.col("_epoch") * F.col(size)
-    rows = found.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col(words) / F.col(size)).cast("int") - 1)))
+    on = F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(origin)) & (F.col(digest) == F.col(other))
+    left = F.col(words) - F.col(epoch) * F.col(size)
+    rows = wide.join(chosen, on).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.ceil(F.col(words) / F.col(size)).cast("int") - 1)))
     cut = F.when(left < F.col(size), first_words(F.col("text"), left)).otherwise(F.col("text"))
     return rows.withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns])

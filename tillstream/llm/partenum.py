@@ -12,7 +12,8 @@ sets of this kind share.
 No bucket of a signature is expanded into pairs:
 
 1. Equal sets are one class, named by a 128-bit fingerprint; only different sets are joined.
-2. Signatures that two classes share are found by a pre-aggregated count, not by collecting buckets.
+2. Signatures that two classes share are found by sorting them in arrays. Each task combines its own
+   chunk first, so a signature that a third of all sets have is one entry per chunk.
 3. Each shared signature names one pivot, its member with the most neighbours; members are
    compared with their pivot only. In a family of near copies this links the bulk at once.
 4. What is left are signatures whose members are still in several components. Their members go
@@ -47,6 +48,9 @@ N2, K2 = 2, 1
 BAND = 1.25
 RARE = 0.02
 SEEN = 100_000
+CHUNK = 1 << 20  # signatures that a task sorts at a time
+BUCKET = 4 << 20  # shingles per receiving task, of which well under half become signatures
+SHARED, MEMBER = 1, 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -149,11 +153,32 @@ def _fingerprints(n: int):
     return run
 
 
-def _signature_rows(n: int, percent: int):
+def _signature_blocks(n: int, percent: int, buckets: int):
+    """Signatures with their class, in one block of arrays per chunk and bucket.
+
+    Within a chunk a signature travels once, marked if more classes of the chunk have it; these others are
+    known to share it and go to a bucket of their own class, so that a signature of very many sets
+    costs its bucket one entry per chunk.
+    """
+    def blocks(sigs: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(sigs, kind="stable")
+        again = np.concatenate([[False], sigs[order][1:] == sigs[order][:-1]])
+        state = np.zeros(len(sigs), np.uint8)
+        state[order[:-1][again[1:]]] = SHARED
+        state[order[again]] = MEMBER
+        bucket = (np.where(state == MEMBER, mix64(names.view(np.uint64)), sigs) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        found, starts = np.unique(bucket[by], return_index=True)
+        cuts = [*starts.tolist(), len(by)]
+        parts = [by[x:y] for x, y in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([
+            pa.array(found, pa.int64()), *[pa.array([v[x].tobytes() for x in parts], pa.binary()) for v in (sigs, names, state)]],
+            names=["bucket", "sigs", "names", "states"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sigs, names, many = [], [], 0
         for batch in batches:
-            names, sigs = [], []
             for s in _sets(_text_bytes(batch), n):
                 if not len(s):
                     continue
@@ -166,12 +191,35 @@ def _signature_rows(n: int, percent: int):
                 found = signatures(s, percent)
                 sigs.append(found)
                 names.append(np.full(len(found), name, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], names=["sig", "p1"])
+                many += len(found)
+                if many >= CHUNK:
+                    yield blocks(np.concatenate(sigs), np.concatenate(names))
+                    sigs, names, many = [], [], 0
+        if many:
+            yield blocks(np.concatenate(sigs), np.concatenate(names))
     return run
 
 
+def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, p1) of the signatures that two classes share, from all blocks of a partition's buckets."""
+    columns: list[list[bytes]] = [[], [], []]
+    for batch in batches:
+        for column, name in zip(columns, ("sigs", "names", "states")):
+            column += batch.column(name).to_pylist()
+    sigs, names, state = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int64, np.int64, np.uint8)))
+    if not len(sigs):
+        return
+    known = state == MEMBER
+    order = np.argsort(sigs[~known], kind="stable")
+    s, p, shared = sigs[~known][order], names[~known][order], state[~known][order] == SHARED
+    if len(s):
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        several = (np.minimum.reduceat(p, starts) != np.maximum.reduceat(p, starts)) | np.logical_or.reduceat(shared, starts)
+        keep = np.repeat(several, np.diff(starts, append=len(s)))
+        s, p = s[keep], p[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s, sigs[known]])), pa.array(np.concatenate([p, names[known]]))], names=["sig", "p1"])
+
+
 def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,11 +325,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def find_links(content: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect every component, between names of classes of equal sets."""
-    signed = content.select("content").mapInArrow(_signature_rows(n, percent), "sig long, p1 long")
-    shared = signed.groupBy("sig").agg(F.min("p1").alias("low"), F.max("p1").alias("high"), F.count("*").alias("many"))
-    shared = shared.filter("low <> high").select("sig", "many")
-    members = cut_lineage(signed.join(shared, "sig").distinct())
-    weight = members.groupBy("p1").agg(F.sum("many").alias("weight"))
+    # Blocks are dealt so that a task of the receiving side reads some millions of signatures at most.
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = total // BUCKET + 1
+    blocks = content.select("content").mapInArrow(
+        _signature_blocks(n, percent, 4 * buckets), "bucket long, sigs binary, names binary, states binary")
+    members = cut_lineage(blocks.repartition(buckets, "bucket").mapInArrow(_shared_signatures, "sig long, p1 long").distinct())
+    many = members.groupBy("sig").agg(F.count("*").alias("many"))
+    weight = members.join(many, "sig").groupBy("p1").agg(F.sum("many").alias("weight"))
     weighed = members.join(weight, "p1")
     pivots = weighed.groupBy("sig").agg(F.max(F.struct("weight", "p1")).alias("best")).select("sig", F.col("best.p1").alias("b1"))
     pairs = cut_lineage(members.join(pivots, "sig").filter("p1 <> b1").select(
