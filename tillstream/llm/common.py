@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import xxhash
@@ -14,8 +16,8 @@ from tillstream.session import cut_lineage, ensure_checkpoint_dir
 WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-__all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "cut_lineage", "ensure_checkpoint_dir",
-           "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "text_or_empty"]
+__all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "broadcast_if_small", "cut_lineage", "ensure_checkpoint_dir",
+           "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "stored", "text_or_empty", "word_hashes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,10 +34,29 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it from there.
+
+    Like a checkpoint, but compressed and by column: for wide rows of which later steps read a part.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Mark a written table of narrow rows (a few numbers each) for broadcast if it has at most `rows` rows.
+
+    A larger one is left to a shuffled join.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to `limit` words per task."""
+    """64-bit hashes of words, remembered for up to `limit` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
@@ -49,6 +70,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The one of this worker process, which later tasks use again."""
+    return WordHashes()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit integers (a bijection), element by element."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

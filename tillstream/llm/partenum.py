@@ -41,7 +41,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillstream.llm.common import WordHashes, bounded_batches, cut_lineage, mix64, ngram_hashes, sorted_unique, text_or_empty
+from tillstream.llm.common import (bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, sorted_unique, stored,
+                                   text_or_empty, word_hashes)
 from tillstream.llm.components import components
 
 N2, K2 = 2, 1
@@ -132,7 +133,7 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(texts: Iterator[bytes], n: int) -> Iterator[np.ndarray]:
-    words = WordHashes()
+    words = word_hashes()
     for text in texts:
         yield sorted_unique(ngram_hashes(words.of(text.lower().split()), n))
 
@@ -201,7 +202,7 @@ def _signature_blocks(n: int, percent: int, buckets: int):
 
 
 def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, p1) of the signatures that two classes share, from all blocks of a partition's buckets."""
+    """(sig, p1, many) of the signatures that classes share, from all blocks of a partition's buckets."""
     columns: list[list[bytes]] = [[], [], []]
     for batch in batches:
         for column, name in zip(columns, ("sigs", "names", "states")):
@@ -212,12 +213,16 @@ def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     known = state == MEMBER
     order = np.argsort(sigs[~known], kind="stable")
     s, p, shared = sigs[~known][order], names[~known][order], state[~known][order] == SHARED
+    many = np.empty(0, np.int64)
     if len(s):
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         several = (np.minimum.reduceat(p, starts) != np.maximum.reduceat(p, starts)) | np.logical_or.reduceat(shared, starts)
-        keep = np.repeat(several, np.diff(starts, append=len(s)))
-        s, p = s[keep], p[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s, sigs[known]])), pa.array(np.concatenate([p, names[known]]))], names=["sig", "p1"])
+        size = np.diff(starts, append=len(s))
+        keep = np.repeat(several, size)
+        s, p, many = s[keep], p[keep], np.repeat(size, size)[keep]
+    yield pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([s, sigs[known]])), pa.array(np.concatenate([p, names[known]])),
+        pa.array(np.concatenate([many, np.full(known.sum(), 2, np.int64)]))], names=["sig", "p1", "many"])
 
 
 def _set_rows(n: int):
@@ -257,7 +262,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among (a1, b1) pairs of first fingerprints; a and b of the result are class names."""
     a = sets.select(F.col("p1").alias("a1"), F.col("node").alias("a"), F.col("elements").alias("a_set"))
     b = sets.select(F.col("p1").alias("b1"), F.col("node").alias("b"), F.col("elements").alias("b_set"))
-    return cut_lineage(pairs.join(a, "a1").join(b, "b1").select("a", "b", "a_set", "b_set")
+    sizes = broadcast_if_small(cut_lineage(sets.select("p1", "size").distinct()))
+    close = (pairs.join(sizes.select(F.col("p1").alias("a1"), F.col("size").alias("a_size")), "a1")
+             .join(sizes.select(F.col("p1").alias("b1"), F.col("size").alias("b_size")), "b1")
+             .filter(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")).select("a1", "b1").distinct())
+    return cut_lineage(close.join(a, "a1").join(b, "b1").select("a", "b", "a_set", "b_set")
                        .mapInArrow(_linked(percent), "a string, b string"))
 
 
@@ -270,12 +279,12 @@ def _rest(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -
     left = cut_lineage(at.join(still, "sig", "left_semi").select("p1", "node", "root").distinct())
     if left.isEmpty():
         return left.select(F.col("p1").alias("a1"), F.col("p1").alias("b1"))
-    left = left.join(sets.select("node", "elements"), "node")
-    rows = left.select("p1", "root", (F.octet_length("elements") / 8).cast("int").alias("size"), "elements").mapInArrow(
+    left = left.join(sets.select("node", "size", "elements"), "node")
+    rows = left.select("p1", "root", "size", "elements").mapInArrow(
         _element_rows, "p1 long, root string, size int, element long")
     counts = rows.groupBy("element").agg(F.count("*").alias("many"))
     own = rows.join(counts, "element").groupBy("p1", "root", "size").agg(
-        F.sort_array(F.collect_list(F.struct("many", "element"))).alias("own"))
+        F.sort_array(F.collect_set(F.struct("many", "element"))).alias("own"))
     length = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int") + 1
     prefix = cut_lineage(own.select("p1", "root", "size", F.posexplode(F.slice("own", F.lit(1), length)).alias("pos", "e"))
                          .select("p1", "root", "size", "pos", F.col("e.element").alias("element")))
@@ -330,24 +339,31 @@ def find_links(content: DataFrame, rows: DataFrame, n: int, percent: int) -> Dat
     buckets = total // BUCKET + 1
     blocks = content.select("content").mapInArrow(
         _signature_blocks(n, percent, 4 * buckets), "bucket long, sigs binary, names binary, states binary")
-    members = cut_lineage(blocks.repartition(buckets, "bucket").mapInArrow(_shared_signatures, "sig long, p1 long").distinct())
-    many = members.groupBy("sig").agg(F.count("*").alias("many"))
-    weight = members.join(many, "sig").groupBy("p1").agg(F.sum("many").alias("weight"))
-    weighed = members.join(weight, "p1")
-    pivots = weighed.groupBy("sig").agg(F.max(F.struct("weight", "p1")).alias("best")).select("sig", F.col("best.p1").alias("b1"))
+    members = stored(blocks.repartition(buckets, "bucket").mapInArrow(_shared_signatures, "sig long, p1 long, many long"))
+    weight = broadcast_if_small(cut_lineage(members.groupBy("p1").agg(F.sum("many").alias("weight"))))
+    pivots = members.join(weight, "p1").groupBy("sig").agg(F.max(F.struct("weight", "p1")).alias("best")).select(
+        "sig", F.col("best.p1").alias("b1"))
     pairs = cut_lineage(members.join(pivots, "sig").filter("p1 <> b1").select(
         F.least("p1", "b1").alias("a1"), F.greatest("p1", "b1").alias("b1")).distinct())
-    wanted = members.select("p1").distinct()
-    ids = rows.join(wanted, "p1", "left_semi").groupBy("p1", "p2").agg(F.min("doc_id").alias("least")).select("least").distinct()
-    texts = content.join(ids, content["doc_id"].eqNullSafe(ids["least"]), "left_semi").select("content")
-    sets = texts.mapInArrow(_set_rows(n), "p1 long, p2 long, elements binary").withColumn("node", _node(F.col("p1"), F.col("p2")))
-    sets = cut_lineage(sets.dropDuplicates(["p1", "p2"]))
+    sets = stored(_sets_of(content, rows, weight.select("p1"), n))
     first = _verified(pairs, sets, percent)
     roots = components(first)
     rest = _rest(members.select("sig", "p1"), sets, roots, percent)
     return first.unionByName(_verified(rest, sets, percent))
 
 
+def _sets_of(content: DataFrame, rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """p1, node, size, elements of the wanted classes, from the text of one document of each.
+
+    A repeated id may give a class twice, which later steps bear.
+    """
+    ids = broadcast_if_small(cut_lineage(rows.join(wanted, "p1", "left_semi").groupBy("p1", "p2").agg(
+        F.min("doc_id").alias("least")).select("least").distinct()))
+    texts = content.join(ids, content["doc_id"].eqNullSafe(ids["least"]), "left_semi").select("content")
+    return texts.mapInArrow(_set_rows(n), "p1 long, p2 long, elements binary").select(
+        "p1", _node(F.col("p1"), F.col("p2")).alias("node"), (F.octet_length("elements") / 8).cast("int").alias("size"), "elements")
+
+
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each component, that of the smallest id, all columns as they are.
 
