@@ -5,7 +5,6 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF  # noqa: F401
 from tillstream.llm import block_names
 
 
