@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillstream.llm.common import WordHashes, bounded_batches, ngram_hashes, word_hashes
+from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, ngram_hashes, word_hashes
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -193,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1)).withColumn(
         "order", F.xxhash64(F.lit(SEED), "doc_id"))
     picked = [known.filter(F.col("quality") == y).orderBy("order", "doc_id").limit(per_class) for y in (0, 1)]
-    texts = docs.select("doc_id", "text").join(picked[0].unionByName(picked[1]), "doc_id")
+    sample = broadcast_if_small(cut_lineage(picked[0].unionByName(picked[1])), 2 * per_class)
+    texts = docs.select("doc_id", "text").join(sample, "doc_id")
     if texts.agg(F.count_distinct("quality")).first()[0] < 2:
         return [0.0, 1.0] + [0.0] * (2 * len(FEATURES) - 2), [0.0] * 4
     one = texts.select("order", "text", "quality").repartition(1).sortWithinPartitions("order", "quality", "text")

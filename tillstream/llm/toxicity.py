@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tillstream.llm.common import WordHashes, bounded_batches, mix64, sorted_unique, word_hashes
+from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, sorted_unique, word_hashes
 
 BITS = 20
 LEVELS = (2, 4, 8)
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         rate = 1e-6 if counts.get(1, 0) == 0 else 1 - 1e-6
         return float(np.log(rate / (1 - rate))), b"", b""
     picked = [known.filter(F.col("toxic") == y).orderBy("order", "doc_id").limit(per_class) for y in (0, 1)]
-    sample = picked[0].unionByName(picked[1])
+    sample = broadcast_if_small(cut_lineage(picked[0].unionByName(picked[1])), 2 * per_class)
     share = counts[1] / (counts[0] + counts[1])
     used = {y: min(per_class, counts[y]) for y in counts}
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select("order", "toxic", "text")
