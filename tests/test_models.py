@@ -46,8 +46,19 @@ def test_segments_fall_back_to_the_global_model(frames):
     out = md.segmented_forecast(few, test, "category", features, 200, 3)
     scopes = {(r.category, r.model_scope) for r in out.select("category", "model_scope").distinct().collect()}
     assert scopes == {("c0", "global"), ("c1", "segment"), ("c2", "segment")} and out.count() == test.count()
-    with pytest.raises(ValueError):
-        md.segmented_forecast(train.withColumn("d", F.col("date").cast("string")), test, "d", features)
+
+
+def test_many_segments_and_unknown_features(frames):
+    train, test, features = frames
+    many = [x.withColumn("segment", F.concat_ws("-", "store", "product", F.pmod(F.dayofmonth("date"), F.lit(7)))) for x in (train, test)]
+    out = md.segmented_forecast(*many, "segment", features[:4], 5, 1, parallelism=8)
+    assert out.count() == test.count() and out.filter("model_scope = 'segment'").select("segment").distinct().count() > 64
+    gaps = test.withColumn(features[0], F.when(F.pmod(F.dayofmonth("date"), F.lit(3)) > 0, F.col(features[0])))
+    assert gaps.filter(F.col(features[0]).isNull()).count() > 0
+    for pipe in (md.gbt(features, trees=3), md.tweedie(features)):
+        scored = md.fit_predict(pipe, train, gaps)
+        assert scored.count() == test.count() and scored.filter("prediction is null").count() == 0
+    assert scored.columns == [*test.columns, "prediction"]
 
 
 def test_intervals_cover_the_middle(frames):

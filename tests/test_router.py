@@ -25,8 +25,11 @@ def test_rules_and_difficulty(frame):
 def test_unknown_descriptors(frame):
     row = rules(frame, 50, None, None, None, None, None)
     assert row.rule_v2 == "clustered" and row.rule_v0 == "clustered" and row.mean_demand is None
-    assert row.difficulty == pytest.approx(1.2 + 0.4)
-    assert rules(frame, None, 20.0, 0.4, 0.1, 0.2, 0.0).rule_v2 == "two_week_avg"
+    assert row.difficulty == pytest.approx(0.4)
+    nan = float("nan")
+    none = rules(frame, None, nan, nan, nan, nan, nan)
+    assert none.difficulty == 0 and (none.rule_v0, none.rule_v1, none.rule_v2) == ("clustered",) * 3
+    assert rules(frame, None, 20.0, 0.4, 0.1, 0.2, 0.0).rule_v2 == "clustered"
 
 
 def test_gate_falls_back_below_the_threshold(frame):
@@ -40,3 +43,18 @@ def test_gate_falls_back_below_the_threshold(frame):
     assert got[0.5].gate_coverage == pytest.approx(1 / 3) and got[0.5].avg_wmape == pytest.approx(20 / 3)
     best = rt.best_gate(rt.gate_sweep(df, ("a", "b"), ("b",), (0.3, 0.5))).first()
     assert best.threshold == 0.5
+
+
+def test_the_first_listed_setting_wins_a_tie(frame):
+    cols = "fallback string, threshold double, position int, avg_wmape double, avg_r2 double, avg_mae double"
+    df = frame(cols, [("a", 0.3, 2, 5.0, 0.1, 1.0), ("b", 0.4, 1, 5.0, 0.1, 1.0), ("b", 0.3, 0, 5.01, 0.1, 1.0)])
+    assert rt.best_gate(df).first().position == 1
+
+
+def test_learned_router_says_how_it_was_scored(frame):
+    cols = "store string, product string, oracle string, x double"
+    few = frame(cols, [("s", "p", "a", 1.0), ("s", "q", "b", 2.0), ("s", "r", "b", 3.0)])
+    assert {r.status for r in rt.learned_router(few, ("x",)).collect()} == {"in_sample"}
+    many = frame(cols, [("s", f"p{i}", "ab"[i % 2], float(i % 2)) for i in range(12)])
+    assert {r.status for r in rt.learned_router(many, ("x",)).collect()} == {"out_of_fold"}
+    assert rt.learned_router(few.filter("oracle is null"), ("x",)).count() == 0

@@ -17,12 +17,15 @@ def clip(x: Column, low: float | None = None, high: float | None = None) -> Colu
     return out
 
 
-def round_half_up(x: Column, digits: int = 0) -> Column:
-    """floor(x * 10^d + 1/2) / 10^d: the same bits in every engine."""
+def round_half_up(x: Column, digits: int = 0, half: float = 0.5) -> Column:
+    """floor(x * 10^d + half) / 10^d: the same bits in every engine.
+
+    A `half` a little above 1/2 also rounds up what a sum in another order leaves one bit short.
+    """
     if digits == 0:
-        return F.floor(x + 0.5).cast("double")
+        return F.floor(x + half).cast("double")
     scale = float(10 ** digits)
-    return F.floor(x * scale + 0.5).cast("double") / scale
+    return F.floor(x * scale + half).cast("double") / scale
 
 
 def ratio(num: Column, den: Column) -> Column:

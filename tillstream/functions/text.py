@@ -55,7 +55,7 @@ def normalise_store(name: Column) -> Column:
 
 def has_any_word(name: Column, words: Sequence[str]) -> Column:
     """True where `name` contains one of `words`, ignoring case; null counts as no match."""
-    return F.coalesce(name.rlike("(?i)(?u)" + "|".join(words)), F.lit(False))
+    return F.coalesce(name.rlike("(?i)(?u)" + "|".join(f"\\Q{w}\\E" for w in words)), F.lit(False))
 
 
 def category_by_keyword(name: Column, rules: Sequence[tuple[str, str]], default: str = "other") -> Column:

@@ -32,28 +32,28 @@ def hourly_sales(lines: DataFrame, ts: str = "check_ts") -> DataFrame:
 def average_price(lines: DataFrame, keys: Sequence[str] = ("store", "product", DATE)) -> DataFrame:
     """Price weighted by quantity over positive sale quantities."""
     ok = lines.filter((F.col("qty") > 0) & F.col("price").isNotNull())
-    return ok.groupBy(*keys).agg((F.sum(F.col("price") * F.col("qty")) / F.sum("qty")).alias("avg_price"))
+    return drop_null_keys(ok, keys).groupBy(*keys).agg((F.sum(F.col("price") * F.col("qty")) / F.sum("qty")).alias("avg_price"))
 
 
 def last_sale(hourly: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    return hourly.groupBy(*keys, DATE).agg(F.max("hour").alias("last_hour"))
+    return drop_null_keys(hourly, [*keys, DATE]).groupBy(*keys, DATE).agg(F.max("hour").alias("last_hour"))
 
 
 def stale_share(lines: DataFrame, keys: Sequence[str] = ("store", "product", DATE)) -> DataFrame:
     stale = F.sum(F.when(F.col("freshness") == "yesterday", F.col("qty")).otherwise(0.0))
-    return lines.groupBy(*keys).agg(stale.alias("stale_qty"), F.sum("qty").alias("total_qty")).withColumn(
+    return drop_null_keys(lines, keys).groupBy(*keys).agg(stale.alias("stale_qty"), F.sum("qty").alias("total_qty")).withColumn(
         "stale_ratio", F.col("stale_qty") / (F.col("total_qty") + 1e-8))
 
 
 def store_totals(daily: DataFrame, values: Sequence[str], dims: Sequence[str] = ("city",)) -> DataFrame:
     """Store-day totals; `dims` are constant per store, so any value will do."""
-    return daily.groupBy("store", DATE).agg(
+    return drop_null_keys(daily, ["store", DATE]).groupBy("store", DATE).agg(
         *[F.sum(v).alias(v) for v in values], *[F.min(d).alias(d) for d in dims],
         F.countDistinct("product").alias("n_products"))
 
 
 def check_totals(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("check_id").agg(F.count("*").alias("items"), F.sum("qty").alias("qty"),
+    return drop_null_keys(lines, ["check_id"]).groupBy("check_id").agg(F.count("*").alias("items"), F.sum("qty").alias("qty"),
                                          F.sum("amount").alias("total"))
 
 
@@ -111,13 +111,13 @@ def freshness_by_hour(lines: DataFrame) -> DataFrame:
 
 def top_stale(lines: DataFrame, n: int = 10) -> DataFrame:
     stale = F.sum(F.when(F.col("freshness") == "yesterday", F.col("qty")).otherwise(0.0))
-    per = lines.groupBy("product").agg(stale.alias("stale_qty"), F.sum("qty").alias("total_qty"))
+    per = drop_null_keys(lines, ["product"]).groupBy("product").agg(stale.alias("stale_qty"), F.sum("qty").alias("total_qty"))
     return (per.withColumn("stale_pct", ratio(F.col("stale_qty") * 100, F.col("total_qty")))
                .filter(F.col("stale_qty") > 0).orderBy(F.desc("stale_qty"), "product").limit(n))
 
 
 def seller_stats(lines: DataFrame) -> DataFrame:
-    per = lines.groupBy("seller").agg(
+    per = drop_null_keys(lines, ["seller"]).groupBy("seller").agg(
         F.count("*").alias("checks"), F.sum("qty").alias("qty"), F.sum("amount").alias("revenue"),
         F.countDistinct(DATE).alias("days"), F.avg("hour").alias("avg_hour"),
         F.min("hour").alias("min_hour"), F.max("hour").alias("max_hour"))
@@ -128,7 +128,7 @@ def seller_stats(lines: DataFrame) -> DataFrame:
 def early_stop(hourly: DataFrame, keys: Sequence[str] = ("product",), stop_hour: int = 14,
                closing_hour: int = 19) -> DataFrame:
     """How often a product's last sale of the day is early."""
-    per = hourly.groupBy(*keys, DATE).agg(F.max("hour").alias("last_hour"))
+    per = drop_null_keys(hourly, [*keys, DATE]).groupBy(*keys, DATE).agg(F.max("hour").alias("last_hour"))
     early = F.sum((F.col("last_hour") <= stop_hour).cast("int"))
     return per.groupBy(*keys).agg(
         F.count("*").alias("total_days"), F.avg("last_hour").alias("mean_last_hour"),
@@ -143,7 +143,7 @@ def metric_rollup(df: DataFrame, dims: Sequence[str], aggs: Sequence[Column]) ->
 
 
 def store_profile(daily: DataFrame, value: str = "sold") -> DataFrame:
-    per = daily.groupBy("store").agg(
+    per = drop_null_keys(daily, ["store"]).groupBy("store").agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.sum(value).alias("total"),
         F.countDistinct("product").alias("n_products"), F.countDistinct(DATE).alias("n_days"))
     medians = exact_quantiles(daily, ["store"], value, [0.5]).select("store", F.col("q0").alias("median"))

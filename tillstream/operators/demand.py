@@ -304,9 +304,11 @@ def censored_rates(masked: DataFrame, steps: int = 25) -> DataFrame:
     """Poisson rate per pair and hour where masked counts are only lower bounds (EM).
 
     Rows shrink to distinct (count, flag) with their multiplicity, at most one entry per
-    day; the EM steps then run inside one expression, so no step adds a shuffle.
+    day; the EM steps then run inside one expression, so no step adds a shuffle. Goods by weight keep
+    their fractions; a censored fraction bounds the count by the next whole unit. `converged` is 1
+    where one more step moves the rate by less than a thousandth.
     """
-    cells = (masked.groupBy(*PAIR, "hour", F.col("qty").cast("int").alias("x"), F.col("strict").alias("c"))
+    cells = (masked.groupBy(*PAIR, "hour", F.col("qty").cast("double").alias("x"), F.col("strict").alias("c"))
                    .agg(F.count("*").alias("n")))
     per = cells.groupBy(*PAIR, "hour").agg(
         F.collect_list(F.struct("x", "c", "n")).alias("obs"), F.sum("n").alias("n_days"),
@@ -323,8 +325,9 @@ def censored_rates(masked: DataFrame, steps: int = 25) -> DataFrame:
         return F.greatest(F.lit(1.0) - F.aggregate(js, zero, term)["s"], F.lit(1e-12))
 
     def expected(o, rate):
-        mean_above = rate * F.when(o["x"] > 0, at_least(o["x"] - 1, rate)).otherwise(1.0) / at_least(o["x"], rate)
-        return F.when(o["c"] == 1, F.greatest(mean_above, o["x"].cast("double"))).otherwise(o["x"].cast("double"))
+        k = F.ceil(o["x"]).cast("int")
+        mean_above = rate * F.when(k > 0, at_least(k - 1, rate)).otherwise(1.0) / at_least(k, rate)
+        return F.when(o["c"] == 1, F.greatest(mean_above, o["x"])).otherwise(o["x"])
 
     def step(rate, _):
         total = F.aggregate("obs", F.lit(0.0), lambda acc, o: acc + expected(o, rate) * o["n"])
@@ -332,7 +335,8 @@ def censored_rates(masked: DataFrame, steps: int = 25) -> DataFrame:
 
     start = F.greatest(F.col("observed_rate"), F.lit(1e-6))
     rate = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-    return per.withColumn("rate", rate).drop("obs")
+    moved = F.abs(step(F.col("rate"), None) - F.col("rate"))
+    return per.withColumn("rate", rate).withColumn("converged", (moved <= 1e-3 * F.col("rate")).cast("int")).drop("obs")
 
 
 # ---- plans, baskets, timing ------------------------------------------------------
@@ -386,25 +390,30 @@ def hourly_plan(forecast: DataFrame, shares: DataFrame, hourly: DataFrame) -> Da
                 .join(actual, [*PAIR, DATE, "hour"], "left").fillna(0.0, subset=["actual"]))
 
 
+MASK_BITS = 60
+
+
 def basket_affinity(lines: DataFrame, n_items: int = 20, check: str = "check_id") -> DataFrame:
-    """Pair counts, support and lift among the n best-selling products (n <= 60).
+    """Pair counts, support and lift among the n best-selling products, for any n.
 
-    A check becomes one bit mask (`bit_or` keeps 8 bytes per check, whatever its size),
-    equal masks are counted, and only distinct masks are unfolded into pairs. No check is
-    collected and no join pairs its lines.
+    A check becomes a few bit masks of 60 products each (`bit_or` keeps 8 bytes per mask and check,
+    whatever its size), equal masks are counted, and only distinct ones are unfolded into
+    pairs. No check is collected and no join pairs its lines.
     """
-    if n_items > 60:
-        raise ValueError("a mask holds at most 60 products")
+    names = [f"_mask{w}" for w in range((n_items + MASK_BITS - 1) // MASK_BITS)]
     top = (lines.groupBy("product").agg(F.sum("qty").alias("_q")).orderBy(F.desc("_q"), "product").limit(n_items))
     order = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_q")).alias("q"), "product"))),
                                 lambda s: s["product"])).scalar()  # n names
     pos = F.array_position(order, F.col("product"))
-    bit = F.when(pos > 0, F.expr("shiftleft(1L, cast(pos - 1 as int))")).otherwise(F.lit(0).cast("bigint"))
-    masks = (lines.withColumn("pos", pos).withColumn("_bit", bit)
-                  .groupBy(check).agg(F.bit_or("_bit").alias("mask"))
-                  .groupBy("mask").agg(F.count("*").alias("n")))
-    ids = F.sequence(F.lit(0), F.lit(n_items - 1))
-    held = F.filter(ids, lambda i: F.call_function("getbit", F.col("mask"), i) == 1)
+    bits = [F.when(F.expr(f"pos > {w * MASK_BITS} and pos <= {(w + 1) * MASK_BITS}"),
+                   F.expr(f"shiftleft(1L, cast(pos - {w * MASK_BITS + 1} as int))")).otherwise(F.lit(0).cast("bigint")) for w in range(len(names))]
+    masks = (lines.withColumn("pos", pos).groupBy(check).agg(*[F.bit_or(b).alias(m) for b, m in zip(bits, names)])
+                  .groupBy(*names).agg(F.count("*").alias("n")))
+    def members(word: int) -> Column:
+        ids = F.sequence(F.lit(0), F.lit(min(MASK_BITS, n_items - word * MASK_BITS) - 1))
+        set_bits = F.filter(ids, lambda i: F.call_function("getbit", F.col(names[word]), i) == 1)
+        return F.transform(set_bits, lambda i: i + word * MASK_BITS)
+    held = F.concat(*[members(word) for word in range(len(names))])
     sets = masks.withColumn("items", held)
     singles = (sets.withColumn("i", F.explode("items")).groupBy("i").agg(F.sum("n").alias("n")))
     counts = singles.agg(F.map_from_entries(F.collect_list(F.struct("i", "n")))).scalar()

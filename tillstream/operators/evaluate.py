@@ -26,7 +26,7 @@ def r_squared(y: Column, p: Column) -> Column:
     ok = y.isNotNull() & p.isNotNull()
     y, e = F.when(ok, y), F.when(ok, y - p)
     n = F.count(y)
-    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / F.nullif(n, F.lit(0))
+    sst = F.var_pop(y) * n  # exact also for large totals, unlike sum(y^2) - sum(y)^2 / n
     flat = F.max(y) - F.min(y) <= F.abs(F.min(y)) * 1e-5 + 1e-8
     return F.when((n >= 2) & ~flat, 1 - F.sum(e * e) / F.nullif(sst, F.lit(0.0)))
 
@@ -53,7 +53,7 @@ def score_per_sku(preds: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
         F.count("*").alias("n_test_rows"), F.countDistinct(DATE).alias("n_test_days"),
         *[metric_columns()[m].alias(m) for m in METRICS])
     digits = {"r2": 4, "mse": 4, "mae": 4, "wmape": 2}
-    return raw.withColumns({m: round_half_up(F.col(m), d) for m, d in digits.items()})
+    return raw.withColumns({m: round_half_up(F.col(m), d, 0.50001) for m, d in digits.items()})
 
 
 def score_by_threshold(preds: DataFrame, thresholds: Sequence[int] = (15, 50, 100, 200)) -> DataFrame:

@@ -6,6 +6,7 @@ is Python; lags, calendar columns and scoring stay in SQL expressions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -78,6 +79,59 @@ def trend_season_forecast(rows: DataFrame, variant: str = "calendar_holidays", l
     return local_forecast(dated.withColumns(weekdays), features, label, keys=keys, min_rows=min_rows)
 
 
+def recursive_forecast(rows: DataFrame, label: str = "demand", order: int = 7, exog: Sequence[str] = (),
+                       horizon: int = 30, origins: int = 3, keys: Sequence[str] = PAIR, min_rows: int = 30,
+                       ridge: float = 1.0) -> DataFrame:
+    """AR(order) forecasts of the `horizon` rows after each of `origins` cut-offs, per series.
+
+    The last origin lies `horizon` rows before the end of the series, each earlier one another
+    `horizon` rows before. A forecast reads forecasts where its lags reach beyond the origin. A series with
+    fewer than `min_rows` complete rows before an origin forecasts their mean.
+    """
+    dated = rows.transform(add_calendar)
+    names = list(exog)
+    schema = T.StructType([f for f in dated.select(*keys, DATE, label).schema] + [
+        T.StructField("origin", T.IntegerType()), T.StructField("step", T.IntegerType()),
+        T.StructField("prediction", T.DoubleType()), T.StructField("status", T.StringType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(DATE).reset_index(drop=True)
+        y = pdf[label].fillna(0.0).to_numpy(float)
+        extra = pdf[names].astype(float).to_numpy()
+        parts = []
+        for origin in range(1, origins + 1):
+            start = len(y) - horizon * (origins - origin + 1)
+            if start < 1:
+                continue
+            test = pdf.loc[start:start + horizon - 1, [*keys, DATE, label]].copy()
+            predicted, status = _recursive(y, extra, start, len(test), order, min_rows, ridge)
+            parts.append(test.assign(origin=np.int32(origin), step=np.arange(1, len(test) + 1, dtype=np.int32), prediction=predicted, status=status))
+        return pd.concat(parts) if parts else pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema})
+
+    return dated.select(*keys, DATE, label, *names).groupBy(*keys).applyInPandas(run, schema)
+
+
+def _recursive(y: np.ndarray, extra: np.ndarray, start: int, steps: int, order: int, min_rows: int,
+               ridge: float) -> tuple[np.ndarray, str]:
+    """Forecasts of y[start:start + steps] from y[:start], and how they were made."""
+    seen = y[:start]
+    if start - order < min_rows:
+        return np.full(steps, seen.mean()), "mean"
+    lags = np.column_stack([seen[order - k:start - k] for k in range(1, order + 1)])
+    x = np.column_stack([lags, extra[order:start]])
+    mean, scale = x.mean(0), x.std(0, ddof=1)
+    varying = scale > 0
+    if not varying.any():
+        return np.full(steps, seen.mean()), "mean"
+    coef = _solve(np.column_stack([(x[:, varying] - mean[varying]) / scale[varying], np.ones(len(x))]), seen[order:], ridge)
+    path = list(seen)
+    for i in range(steps):
+        row = np.concatenate([path[:-order - 1:-1], extra[start + i]])
+        row = (row[varying] - mean[varying]) / scale[varying]
+        path.append(max(0.0, float(row @ coef[:-1] + coef[-1])))
+    return np.array(path[start:]), "ridge"
+
+
 def autoregressive_forecast(rows: DataFrame, label: str = "demand", order: int = 7,
                             exog: Sequence[str] = (), keys: Sequence[str] = PAIR, min_rows: int = 30) -> DataFrame:
     """AR(order) with optional calendar regressors; each test day uses the values before it."""
@@ -86,51 +140,71 @@ def autoregressive_forecast(rows: DataFrame, label: str = "demand", order: int =
     return local_forecast(lagged, features, label, keys=keys, min_rows=min_rows)
 
 
-# Published critical values of the KPSS level test and the p-values they
-# stand for, and of the Dickey-Fuller test with a constant for large samples.
+# Published critical values of the KPSS level test and the p-values they stand for, and the
+# published response surface of Dickey-Fuller p-values with a constant: where it begins, bends and ends,
+# and its polynomials (constant term first) below and above the bend.
 KPSS_CRITICAL = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
-ADF_CRITICAL = ((-3.43, 0.01), (-3.12, 0.025), (-2.86, 0.05), (-2.57, 0.10), (-1.57, 0.50), (-0.44, 0.90))
+ADF_RANGE = (-18.83, -1.61, 2.74)
+ADF_LOW = (2.1659, 1.4412, 0.038269)
+ADF_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
 def _interpolate(x: float, table: Sequence[tuple[float, float]]) -> float:
     return float(np.interp(x, [s for s, _ in table], [p for _, p in table]))
 
 
+def _adf_pvalue(x: float) -> float:
+    least, bend, most = ADF_RANGE
+    if x <= least or x >= most:
+        return 0.0 if x <= least else 1.0
+    z = sum(c * x ** i for i, c in enumerate(ADF_LOW if x <= bend else ADF_HIGH))
+    return 0.5 * math.erfc(-z / math.sqrt(2.0))
+
+
+def _bandwidth(e: np.ndarray) -> int:
+    """Lags of the long-run variance chosen from the data (Newey and West's rule for the Bartlett kernel)."""
+    n = len(e)
+    level, slope = float(e @ e) / n, 0.0
+    for k in range(1, int(n ** (2.0 / 9.0)) + 1):
+        both = 2.0 * float(e[k:] @ e[:-k]) / n
+        level, slope = level + both, slope + k * both
+    if level == 0:
+        return 0
+    return min(int(1.1447 * ((slope / level) ** 2) ** (1.0 / 3.0) * n ** (1.0 / 3.0)), n - 1)
+
+
 def _kpss(y: np.ndarray) -> float:
-    """KPSS level statistic with a Bartlett long-run variance, lags 12 (n/100)^(1/4)."""
+    """KPSS level statistic with a Bartlett long-run variance of data-dependent bandwidth."""
     n = len(y)
     e = y - y.mean()
-    lags = min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n - 1)
+    lags = _bandwidth(e)
     s2 = e @ e / n
     for k in range(1, lags + 1):
         s2 += 2.0 / n * (1.0 - k / (lags + 1.0)) * (e[k:] @ e[:-k])
     return float((np.cumsum(e) ** 2).sum() / (n * n * s2)) if s2 > 0 else 0.0
 
 
+def _level_regression(y: np.ndarray, p: int, first: int) -> tuple[float, float]:
+    """t statistic of the lagged level and AIC, with p lagged differences, from difference `first` on."""
+    diff = np.diff(y)
+    dep = diff[first:]
+    x = np.column_stack([y[first:-1], np.ones(len(dep))] + [diff[first - k: len(diff) - k] for k in range(1, p + 1)])
+    coef = np.linalg.lstsq(x, dep, rcond=None)[0]
+    resid = dep - x @ coef
+    sse, free = float(resid @ resid), len(dep) - x.shape[1]
+    if sse <= 0 or free <= 0:
+        return 0.0, np.inf
+    spread = np.linalg.pinv(x.T @ x)[0, 0] * sse / free
+    return (float(coef[0] / np.sqrt(spread)) if spread > 0 else 0.0), len(dep) * np.log(sse / len(dep)) + 2 * x.shape[1]
+
+
 def _adf(y: np.ndarray) -> float:
-    """t statistic of the lagged level; the number of difference lags minimises AIC."""
+    """t statistic of the lagged level. The number of lagged differences minimises AIC over the rows that
+    all candidates share; the chosen regression is then fitted again on all the rows it can use."""
     n = len(y)
-    diff = np.diff(y)
     top = max(0, min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2))
-    best = (np.inf, 0.0)
-    for p in range(top + 1):
-        dep = diff[top:]
-        cols = [y[top:-1], np.ones(len(dep))] + [diff[top - k: len(diff) - k] for k in range(1, p + 1)]
-        x = np.column_stack(cols)
-        if len(dep) <= x.shape[1] + 1:
-            break
-        coef = np.linalg.lstsq(x, dep, rcond=None)[0]
-        resid = dep - x @ coef
-        sse = float(resid @ resid)
-        if sse <= 0:
-            break
-        cov = np.linalg.pinv(x.T @ x) * sse / (len(dep) - x.shape[1])
-        if cov[0, 0] <= 0:
-            break
-        aic = len(dep) * np.log(sse / len(dep)) + 2 * x.shape[1]
-        if aic < best[0]:
-            best = (aic, float(coef[0] / np.sqrt(cov[0, 0])))
-    return best[1]
+    best = min(range(top + 1), key=lambda p: _level_regression(y, p, top)[1])
+    return _level_regression(y, best, best)[0]
 
 
 def stationarity(df: DataFrame, col: str = "demand", keys: Sequence[str] = PAIR) -> DataFrame:
@@ -144,7 +218,7 @@ def stationarity(df: DataFrame, col: str = "demand", keys: Sequence[str] = PAIR)
         if len(y) < 8 or y.std() < 1e-8:
             return pd.DataFrame([{**row, "adf_pvalue": 1.0, "adf_stat": 0.0, "kpss_pvalue": 0.1, "kpss_stat": 0.0}])
         a, k = _adf(y), _kpss(y)
-        return pd.DataFrame([{**row, "adf_pvalue": _interpolate(a, ADF_CRITICAL), "adf_stat": a,
+        return pd.DataFrame([{**row, "adf_pvalue": _adf_pvalue(a), "adf_stat": a,
                               "kpss_pvalue": _interpolate(k, KPSS_CRITICAL), "kpss_stat": k}])
 
     out = df.select(*keys, DATE, col).groupBy(*keys).applyInPandas(run, schema)

@@ -7,12 +7,14 @@ no tree needs a bin per store or product and training stays distributed over row
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
@@ -26,7 +28,7 @@ from tillstream.operators.filters import train_test
 from tillstream.operators.quantiles import exact_quantiles
 from tillstream.operators.series import add_series_features, feature_columns
 from tillstream.operators.targets import volume_class
-from tillstream.session import cut_lineage
+from tillstream.session import cut_lineage, ensure_checkpoint_dir
 
 CALENDAR = ("dow", "day", "is_weekend", "month", "week", "is_holiday", "is_pre_holiday", "is_post_holiday",
             "is_payday_week", "is_month_start", "is_month_end")
@@ -52,8 +54,19 @@ def training_frames(df: DataFrame, test_days: int, value: str = "demand",
     return full.filter(~F.col("is_test")), full.filter("is_test"), features
 
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+UNKNOWN = -1.0  # stands for a missing feature; known ones are never negative
+
+
+def _inputs(features: Sequence[str], out: str = "features") -> list[SQLTransformer | VectorAssembler]:
+    """Stages that assemble the features, a missing one as `UNKNOWN`: no row is dropped."""
+    known = ", ".join(f"coalesce(nanvl(cast(`{c}` as double), null), {UNKNOWN}D) as `_x{i}`" for i, c in enumerate(features))
+    return [SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol=out)]
+
+
+def _without_inputs(rows: DataFrame) -> DataFrame:
+    """Drop what a fitted pipeline adds beside its prediction."""
+    return rows.drop(*[c for c in rows.columns if c.startswith("_x") and c[2:].isdigit()], "raw_prediction", "features", "_raw")
 
 
 def gbt(features: Sequence[str], label: str = "label", loss: str = "squared", weight: str | None = None,
@@ -63,13 +76,13 @@ def gbt(features: Sequence[str], label: str = "label", loss: str = "squared", we
                          seed=SEED, subsamplingRate=0.8, predictionCol="raw_prediction")
     if weight:
         model = model.setWeightCol(weight)
-    return Pipeline(stages=[_assembler(features), model])
+    return Pipeline(stages=[*_inputs(features), model])
 
 
 def tweedie(features: Sequence[str], label: str = "label", power: float = 1.5) -> Pipeline:
     """Log-link Tweedie regression on standardised features."""
     return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"),
+        *_inputs(features, "_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
         GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=label,
                                     regParam=0.01, maxIter=25, predictionCol="raw_prediction")])
@@ -80,7 +93,7 @@ def predict(model: PipelineModel, rows: DataFrame, out: str = "prediction",
     """Predictions bounded below by 0."""
     raw = F.col("raw_prediction") if inverse is None else inverse(F.col("raw_prediction"))
     scored = model.transform(rows)
-    return scored.withColumn(out, clip(raw, 0.0)).drop("raw_prediction", "features", "_raw")
+    return _without_inputs(scored.withColumn(out, clip(raw, 0.0)))
 
 
 def fit_predict(pipe: Pipeline, train: DataFrame, test: DataFrame, out: str = "prediction") -> DataFrame:
@@ -120,35 +133,36 @@ def log_residual_forecast(train: DataFrame, test: DataFrame, features: Sequence[
     second = gbt([*features, "base"], "residual", trees=trees).fit(
         base_train.withColumn("residual", F.col("label") - F.col("base")))
     base_test = predict(first, test, "base", F.expm1)
-    return second.transform(base_test).withColumn(
-        "prediction", clip(F.col("base") + F.col("raw_prediction"), 0.0)).drop("raw_prediction", "features")
+    return _without_inputs(second.transform(base_test).withColumn(
+        "prediction", clip(F.col("base") + F.col("raw_prediction"), 0.0)))
 
 
 # ---- B07: one model per segment --------------------------------------------------
 
-MAX_SEGMENTS = 64
-
-
 def segmented_forecast(train: DataFrame, test: DataFrame, segment: str, features: Sequence[str],
-                       min_rows: int = 500, trees: int = 20, loss: str = "squared") -> DataFrame:
+                       min_rows: int = 500, trees: int = 20, loss: str = "squared", parallelism: int = 4) -> DataFrame:
     """Own model for every segment with enough training rows, the global one elsewhere.
 
-    Meant for a few segments (clusters, categories, tiers); for a model per store or SKU
-    use the local models, which Spark runs as one shuffle. Both frames are read once per
-    segment, so pass written ones (`training_frames` does that).
+    Training rows are written once, partitioned by segment, so that a fit reads its own segment's files
+    only, and `parallelism` fits run side by side; there is no bound on the number of segments.
+    Every test row comes back once.
     """
-    sizes = train.groupBy(segment).agg(F.count("*").alias("n")).limit(MAX_SEGMENTS + 1).collect()
-    if len(sizes) > MAX_SEGMENTS:
-        raise ValueError(f"{segment} has more than {MAX_SEGMENTS} values; use local models")
-    big = sorted(str(r[segment]) for r in sizes if r["n"] >= min_rows and r[segment] is not None)
+    spark, folder = train.sparkSession, f"{ensure_checkpoint_dir(train.sparkSession)}/segments-{uuid4().hex}"
     key = F.col(segment).cast("string")
+    sizes = train.filter(F.col(segment).isNotNull()).groupBy(key.alias("_segment")).agg(F.count("*").alias("n"))
+    own = sorted(r["_segment"] for r in sizes.filter(F.col("n") >= min_rows).select("_segment").collect())  # one per model
+    place = F.array_position(F.array(*[F.lit(n) for n in own]).cast("array<string>"), key)
+    train.withColumn("_place", F.coalesce(place, F.lit(0))).write.partitionBy("_place").parquet(folder)
+    rows, tested = spark.read.parquet(folder), cut_lineage(test.withColumn("_place", F.coalesce(place, F.lit(0))))
     pipe = gbt(features, loss=loss, trees=trees)
-    rest = test.filter(~F.coalesce(key.isin(big), F.lit(False))) if big else test
-    parts = [fit_predict(pipe, train, rest).withColumn("model_scope", F.lit("global"))]
-    for name in big:
-        part = fit_predict(pipe, train.filter(key == name), test.filter(key == name))
-        parts.append(part.withColumn("model_scope", F.lit("segment")))
-    return reduce(DataFrame.unionByName, parts)
+
+    def fit(at: int) -> DataFrame:
+        part = rows.filter(F.col("_place") == at) if at else rows
+        scope = "segment" if at else "global"
+        return fit_predict(pipe.copy(), part, tested.filter(F.col("_place") == at)).withColumn("model_scope", F.lit(scope))
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        parts = list(pool.map(fit, range(len(own) + 1)))
+    return reduce(DataFrame.unionByName, parts).drop("_place")
 
 
 # ---- B11: ensembles ---------------------------------------------------------------
@@ -178,7 +192,7 @@ def stacked_forecast(train: DataFrame, test: DataFrame, features: Sequence[str],
             out = fit_predict(pipe, seen, out, name)
         parts.append(out.select("label", *bases))
     meta_rows = cut_lineage(reduce(DataFrame.unionByName, parts))
-    meta = Pipeline(stages=[VectorAssembler(inputCols=list(bases), outputCol="features"),
+    meta = Pipeline(stages=[VectorAssembler(inputCols=list(bases), outputCol="features", handleInvalid="error"),
                             LinearRegression(labelCol="label", predictionCol="raw_prediction", regParam=0.01)])
     fitted = meta.fit(meta_rows)
     scored = test
@@ -205,33 +219,34 @@ def residual_chain(train: DataFrame, test: DataFrame, stages: Sequence[Sequence[
         model = gbt(features, "_left", trees=trees).fit(tr.withColumn("_left", F.col("label") - F.col("_sum")))
 
         def add(rows: DataFrame) -> DataFrame:
-            return model.transform(rows).withColumn("_sum", F.col("_sum") + F.col("raw_prediction")).drop(
-                "raw_prediction", "features")
+            return _without_inputs(model.transform(rows).withColumn("_sum", F.col("_sum") + F.col("raw_prediction")))
         tr, te = cut_lineage(add(tr)), add(te)
     return te.withColumn("prediction", clip(F.col("_sum"), 0.0)).drop("_sum")
 
 
 # ---- B12: class first, then a model per class -----------------------------------
 
-def two_stage_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 10) -> DataFrame:
+def two_stage_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 20,
+                       min_rows: int = 1) -> DataFrame:
     """Volume class by random forest, then a regression per class.
 
     `prediction_hard` follows the likeliest class; `prediction_soft` weights the class
-    models by probability. A class without enough rows uses the global model."""
+    models by probability. A class with fewer than `min_rows` training rows (none by default) uses the
+    model of all rows."""
     classes = ("low", "medium", "high")
     labelled = cut_lineage(train.withColumn("volume_class", volume_class(F.col("label"))))
     index = StringIndexer(inputCol="volume_class", outputCol="class_index", stringOrderType="alphabetAsc").fit(labelled)
     names = index.labelsArray[0]
-    forest = Pipeline(stages=[_assembler(features), RandomForestClassifier(
+    forest = Pipeline(stages=[*_inputs(features), RandomForestClassifier(
         labelCol="class_index", numTrees=20, maxDepth=6, seed=SEED, probabilityCol="class_probability",
         rawPredictionCol="class_raw", predictionCol="class_prediction")]).fit(index.transform(labelled))
-    out = forest.transform(test).withColumn("_p", vector_to_array("class_probability")).drop(
-        "features", "class_raw", "class_probability")
+    out = _without_inputs(forest.transform(test).withColumn("_p", vector_to_array("class_probability"))).drop(
+        "class_raw", "class_probability")
     sizes = {r[0]: r[1] for r in labelled.groupBy("volume_class").count().collect()}  # three rows
     fallback = gbt(features, trees=trees).fit(labelled)
     for c in classes:
         rows = labelled.filter(F.col("volume_class") == c)
-        model = gbt(features, trees=trees).fit(rows) if sizes.get(c, 0) >= 50 else fallback
+        model = gbt(features, trees=trees).fit(rows) if sizes.get(c, 0) >= min_rows else fallback
         out = predict(model, out, f"pred_{c}")
     chosen, soft = F, F.lit(0.0)
     for i, c in enumerate(names):
@@ -244,7 +259,7 @@ def two_stage_forecast(train: DataFrame, test: DataFrame, features: Sequence[str
 # ---- B15-B17: search, importance, learning curve ---------------------------------
 
 def search(train: DataFrame, features: Sequence[str], depths: Sequence[int] = (3, 5),
-           steps: Sequence[float] = (0.1, 0.3), trees: int = 8, parallelism: int = 2) -> DataFrame:
+           steps: Sequence[float] = (0.1, 0.3), trees: int = 20, parallelism: int = 2) -> DataFrame:
     """Validation MAE of every setting of the grid."""
     pipe = gbt(features, trees=trees)
     model = pipe.getStages()[-1]
@@ -266,7 +281,7 @@ def feature_importance(model: PipelineModel, features: Sequence[str], train: Dat
 
 
 def learning_curve(train: DataFrame, test: DataFrame, features: Sequence[str],
-                   histories: Sequence[int] = (90, 180, 365, 730), trees: int = 8) -> DataFrame:
+                   histories: Sequence[int] = (90, 180, 365, 730), trees: int = 20) -> DataFrame:
     """MAE by length of the training history, with the power-law fit log(mae) ~ log(days).
 
     The few curve points are fitted with `regr_slope`."""

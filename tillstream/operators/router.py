@@ -82,13 +82,6 @@ def difficulty() -> Column:
     return sum(parts[1:], parts[0])
 
 
-def _fill_unknown(skus: DataFrame) -> DataFrame:
-    """Unknown descriptors count as 0, an unknown or zero trend as 1."""
-    known = skus.fillna(0, subset=[c for c in DIFFICULTY if c != "demand_trend_mean"])
-    trend = F.coalesce(F.nullif(_c("demand_trend_mean"), F.lit(0.0)), F.lit(1.0))
-    return known.withColumn("demand_trend_mean", trend)
-
-
 def _choose(name: str, roles: dict[str, str]) -> Column:
     return _first([(roles[role], cond) for role, cond in RULES[name]], roles[DEFAULT_ROLE])
 
@@ -96,14 +89,16 @@ def _choose(name: str, roles: dict[str, str]) -> Column:
 def add_rules(skus: DataFrame, roles: dict[str, str] = ROLES) -> DataFrame:
     """Difficulty, the choice of every rule set, and the single-model baseline.
 
-    Only the difficulty and the last rule set fill unknown descriptors; the descriptors
-    themselves stay as they came.
+    An unknown descriptor (null or NaN) fails every condition on it, so it adds no difficulty and
+    fires no rule. A trend of 0 counts as 1 in the difficulty; the descriptors stay as they came.
     """
-    raw = skus.withColumns({n: _choose(n, roles) for n in ("rule_v0", "rule_v1")}).withColumn(
-        "_known", F.struct(*DIFFICULTY))
-    filled = _fill_unknown(raw).withColumn("difficulty", difficulty())
-    return (filled.withColumns({"rule_v2": _choose("rule_v2", roles), "single": F.lit(roles[DEFAULT_ROLE])})
-                  .withColumns({c: F.col(f"_known.{c}") for c in DIFFICULTY}).drop("_known"))
+    raw = skus.withColumn("_given", F.struct(*DIFFICULTY)).withColumns(
+        {c: F.nanvl(_c(c).cast("double"), F.lit(None)) for c in DIFFICULTY if dict(skus.dtypes)[c] in ("double", "float")})
+    chosen = raw.withColumns({n: _choose(n, roles) for n in ("rule_v0", "rule_v1")}).withColumn(
+        "demand_trend_mean", F.when(_c("demand_trend_mean") == 0, F.lit(1.0)).otherwise(_c("demand_trend_mean")))
+    scored = chosen.withColumn("difficulty", difficulty())
+    return (scored.withColumns({"rule_v2": _choose("rule_v2", roles), "single": F.lit(roles[DEFAULT_ROLE])})
+                  .withColumns({c: F.col(f"_given.{c}") for c in DIFFICULTY}).drop("_given"))
 
 
 def oracle_model(wide: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -151,14 +146,14 @@ def gate_sweep(scored: DataFrame, models: Sequence[str], fallbacks: Sequence[str
     metrics. Each row yields one small row per setting, which the aggregation combines
     before its exchange.
     """
-    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("fallback"), F.lit(float(x)).alias("threshold"))
-                               for f in fallbacks for x in thresholds]))
+    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("fallback"), F.lit(float(x)).alias("threshold"), F.lit(i).alias("position"))
+                               for i, (f, x) in enumerate((f, x) for f in fallbacks for x in thresholds)]))
     rows = scored.withColumn("_g", grid).select("*", "_g.*")
     passed = F.coalesce(_c("router_confidence") >= _c("threshold"), F.lit(False))
     model = F.when(passed, _c("router_model")).otherwise(_c("fallback"))
     picked = rows.withColumn("_m", model).withColumn("_ok", passed.cast("int"))
     value = {v: pick_by_name({m: _c(f"{m}_{v}") for m in models}, _c("_m")) for v in ("r2", "mae", "mse", "wmape")}
-    return picked.groupBy("fallback", "threshold").agg(
+    return picked.groupBy("fallback", "threshold", "position").agg(
         F.count("*").alias("n_rows"), F.avg("_ok").alias("gate_coverage"),
         *[F.avg(x).alias(f"avg_{v}") for v, x in value.items()],
         F.avg(F.coalesce(value["r2"] > 0, F.lit(False)).cast("int")).alias("positive_r2_share"))
@@ -167,8 +162,7 @@ def gate_sweep(scored: DataFrame, models: Sequence[str], fallbacks: Sequence[str
 def best_gate(sweep: DataFrame) -> DataFrame:
     """Setting with the lowest rounded (wmape, -r2, mae); the first listed wins a tie."""
     key = F.struct(round_half_up(_c("avg_wmape"), 2).alias("a"), (-round_half_up(_c("avg_r2"), 4)).alias("b"),
-                   round_half_up(_c("avg_mae"), 4).alias("c"), F.col("fallback").alias("d"),
-                   F.col("threshold").alias("e"))
+                   round_half_up(_c("avg_mae"), 4).alias("c"), F.col("position").alias("d"))
     row = F.struct(*sweep.columns)
     return sweep.agg(F.min_by(row, key).alias("_r")).select("_r.*")
 
@@ -179,7 +173,8 @@ def learned_router(skus: DataFrame, features: Sequence[str] = ROUTER_FEATURES, l
 
     A row's fold is its rank within its class modulo the fold count, so every fold holds
     every class. The number of folds is bounded by the smallest class; with fewer than
-    two rows in it the model is scored in sample.
+    two rows in it the model is scored in sample, which `status` says. Without labelled rows the
+    result is empty.
     """
     known = skus.filter(F.col(label).isNotNull() & F.coalesce(*[F.col(c) for c in features]).isNotNull())
     order = F.xxhash64(*keys)
@@ -191,7 +186,9 @@ def learned_router(skus: DataFrame, features: Sequence[str] = ROUTER_FEATURES, l
         F.pmod(F.row_number().over(spread) + slot, F.lit(folds)).alias("fold")))
     sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one per model
     if not sizes:
-        raise ValueError("no SKU has a label and a descriptor")
+        return rows.select(*keys, label, "fold", F.lit(None).cast("string").alias("router_model"),
+                           F.lit(None).cast("double").alias("router_confidence"), F.lit(None).cast("double").alias("router_margin"),
+                           F.lit("empty").alias("status"))
     n_folds = max(1, min(folds, min(sizes.values())))
     total, n_class = sum(sizes.values()), len(sizes)
     weight = F.try_element_at(F.create_map(*[x for k, n in sizes.items()
@@ -219,4 +216,5 @@ def learned_router(skus: DataFrame, features: Sequence[str] = ROUTER_FEATURES, l
         *keys, label, "fold",
         F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("prediction") + 1).cast("int")).alias("router_model"),
         F.element_at(ranked, 1).alias("router_confidence"),
-        (F.element_at(ranked, 1) - second).alias("router_margin"))
+        (F.element_at(ranked, 1) - second).alias("router_margin"),
+        F.lit("out_of_fold" if n_folds > 1 else "in_sample").alias("status"))

@@ -148,8 +148,9 @@ def volume_tiers(train: DataFrame, rows: DataFrame, value: str = "demand") -> Da
 
 
 # Demand classes of the two-stage model.
-CLASS_BOUNDS = [(2, "low"), (10, "medium")]
+CLASS_BOUNDS = [(2, "low"), (11, "medium")]
 
 
 def volume_class(x: Column) -> Column:
-    return bucket(x, CLASS_BOUNDS, "high", closed_right=True)
+    """Up to 2 is low, below 11 medium (11 itself is high)."""
+    return F.when(x <= CLASS_BOUNDS[0][0], CLASS_BOUNDS[0][1]).when(x < CLASS_BOUNDS[1][0], CLASS_BOUNDS[1][1]).when(x.isNotNull(), "high")

@@ -28,8 +28,8 @@ def overall_metrics(t):
 
 
 add_base("sku_metrics", f"""
-SELECT store, product, model, n_test_rows, n_test_days, floor(r2 * 1e4 + 0.5e0) / 1e4 AS r2, floor(mse * 1e4 + 0.5e0) / 1e4 AS mse,
-  floor(mae * 1e4 + 0.5e0) / 1e4 AS mae, floor(wmape * 100 + 0.5e0) / 100 AS wmape
+SELECT store, product, model, n_test_rows, n_test_days, floor(r2 * 1e4 + 0.50001e0) / 1e4 AS r2, floor(mse * 1e4 + 0.50001e0) / 1e4 AS mse,
+  floor(mae * 1e4 + 0.50001e0) / 1e4 AS mae, floor(wmape * 100 + 0.50001e0) / 100 AS wmape
 FROM (SELECT store, product, model, count(*) AS n_test_rows, count(DISTINCT date) AS n_test_days, {_R2} AS r2,
       avg({_E} * {_E}) AS mse, avg(abs{_E}) AS mae, {_WM} AS wmape
       FROM long_preds WHERE prediction IS NOT NULL GROUP BY store, product, model)""")

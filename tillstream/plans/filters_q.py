@@ -64,12 +64,12 @@ def merge_store_copies(t):
 @register("p05_first_category", "category:s n_products:i sold:f", """
 WITH f AS (SELECT product, category FROM (
   SELECT product, category, row_number() OVER (PARTITION BY product ORDER BY date, category) AS rn
-  FROM daily_fine WHERE date >= (SELECT max(date) FROM daily_fine) - 2) WHERE rn = 1)
+  FROM daily_fine) WHERE rn = 1)
 SELECT coalesce(f.category, 'other') AS category, count(DISTINCT d.product) AS n_products, sum(sold) AS sold
 FROM daily_fine d LEFT JOIN f ON d.product = f.product GROUP BY 1""")
 def first_category(t):
     d = daily_fine(t)
-    known = flt.first_category(flt.last_days(d, 3))
+    known = flt.first_category(d)
     return flt.attach_category(d, known).groupBy("category").agg(
         F.countDistinct("product").alias("n_products"), F.sum("sold").alias("sold"))
 

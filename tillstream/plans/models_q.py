@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tillstream.functions import weather as wx
 from tillstream.operators import aggregates as agg, clusters as cl, evaluate as ev, filters as flt
@@ -14,7 +14,7 @@ from tillstream.sources.testdata import daily, stock_daily, weather
 _M = "n_rows:i mae:f wmape:f r2:f"
 
 
-def _frames(t, lags=(1, 2, 3, 7)):
+def _frames(t, lags=(1, 2, 3, 7, 14, 30)):
     return md.training_frames(stock_daily(t), 90, "demand", lags)
 
 
@@ -53,15 +53,18 @@ def store_location_clusters(t):
 
 @register("g03_store_sales_clusters", "store:i cluster:i k:i silhouette:f")
 def store_sales_clusters(t):
-    rows = agg.store_profile(daily(t)).withColumns({c: F.col(c).cast("double") for c in ("n_products", "n_days")})
-    fit = cl.fit_clusters(rows, ("mean", "std", "median", "total", "n_products", "n_days", "cv"), (3, 4, 5))
+    city = daily(t).groupBy("store").agg(F.min("city").alias("city"))
+    code = F.dense_rank().over(Window.orderBy("city"))  # a row per store
+    rows = agg.store_profile(daily(t)).join(city, "store").withColumns(
+        {"n_products": F.col("n_products").cast("double"), "city_code": code.cast("double")})
+    fit = cl.fit_clusters(rows, ("mean", "std", "cv", "n_products", "city_code"), (5, 6, 7, 8))
     return fit.assign(rows).withColumns({"k": F.lit(fit.k), "silhouette": F.lit(fit.silhouette)})
 
 
 @register("g04_assign_and_summarise", "cluster:i n_rows:i demand_mean_mean:f cv_mean:f trend_mean:f")
 def assign_and_summarise(t):
     df = stock_daily(t)
-    fit = cl.fit_sku_clusters(flt.train_test(df, 90)[0], (3, 5))
+    fit = cl.fit_sku_clusters(flt.train_test(df, 90)[0])
     return cl.cluster_summary(fit.assign(cl.sku_cluster_rows(df)), "cluster", ("demand_mean", "cv", "trend"))
 
 
@@ -99,7 +102,7 @@ def log_target(t):
 @register("b05_log_residual", f"category:s {_M}")
 def log_residual(t):
     train, test, f = _frames(t)
-    return _score(md.log_residual_forecast(train, test, f, 10), "category")
+    return _score(md.log_residual_forecast(train, test, f), "category")
 
 
 @register("b06_weighted_models", f"weights:s {_M}")
@@ -108,8 +111,8 @@ def weighted_models(t):
     weak = train.groupBy("store", "product").agg((F.stddev_samp("label") > F.avg("label") * 0.6).cast("int").alias("is_weak_sku"))
     rows = tg.sample_weights(train.join(weak, ["store", "product"]), "label")
     out = None
-    for w in ("w_inverse_std", "w_weak_050"):
-        part = _score(md.fit_predict(md.gbt(f, weight=w, trees=10), rows, test)).withColumn("weights", F.lit(w))
+    for w in [c for c in rows.columns if c.startswith("w_")]:
+        part = _score(md.fit_predict(md.gbt(f, weight=w), rows, test)).withColumn("weights", F.lit(w))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -117,24 +120,24 @@ def weighted_models(t):
 @register("b07_segment_models", f"model_scope:s {_M}")
 def segment_models(t):
     train, test, f = _frames(t)
-    return _score(md.segmented_forecast(train, test, "category", f, 500, 8), "model_scope")
+    return _score(md.segmented_forecast(train, test, "category", f), "model_scope")
 
 
 @register("b07_tier_models", f"tier:s {_M}")
 def tier_models(t):
     train, test, f = _frames(t)
     tiered = tg.volume_tiers(train, train, "label"), tg.volume_tiers(train, test, "label")
-    return _score(md.segmented_forecast(*tiered, "tier", f, 500, 8), "tier")
+    return _score(md.segmented_forecast(*tiered, "tier", f), "tier")
 
 
 @register("b07_cluster_routed", f"model_scope:s {_M}")
 def cluster_routed(t):
     from tillstream.operators import joins
     train, test, f = _frames(t)
-    fit = cl.fit_sku_clusters(train, (3, 5))
+    fit = cl.fit_sku_clusters(train)
     groups = cut_lineage(fit.assign(cl.sku_cluster_rows(train)).select("store", "product", "cluster"))
     rows = [joins.attach_cluster(x, groups, "cluster") for x in (train, test)]
-    return _score(md.segmented_forecast(*rows, "cluster", f, 500, 8), "model_scope")
+    return _score(md.segmented_forecast(*rows, "cluster", f), "model_scope")
 
 
 @register("b07_high_demand_routed", f"is_high_demand:i {_M}")
@@ -142,38 +145,38 @@ def high_demand_routed(t):
     train, test, f = _frames(t)
     mean = F.col("pair_mean") >= tg.HIGH_DEMAND
     rows = [x.withColumn("is_high_demand", mean.cast("int")) for x in (train, test)]
-    return _score(md.segmented_forecast(*rows, "is_high_demand", f, 500, 8), "is_high_demand")
+    return _score(md.segmented_forecast(*rows, "is_high_demand", f), "is_high_demand")
 
 
 @register("b11_stacking", f"category:s {_M}")
 def stacking(t):
     train, test, f = _frames(t)
-    return _score(md.stacked_forecast(train, test, f, 2, trees=5), "category")
+    return _score(md.stacked_forecast(train, test, f, trees=20), "category")
 
 
 @register("b11_temporal_stacking", f"category:s {_M}")
 def temporal_stacking(t):
     train, test, f = _frames(t)
-    return _score(md.stacked_forecast(train, test, f, 2, True, 5), "category")
+    return _score(md.stacked_forecast(train, test, f, temporal=True, trees=20), "category")
 
 
 @register("b11_window_ensemble", f"category:s {_M}")
 def window_ensemble(t):
     train, test, f = _frames(t)
-    return _score(md.window_ensemble(train, test, f, (365, 730, None), 6), "category")
+    return _score(md.window_ensemble(train, test, f, trees=20), "category")
 
 
 @register("b11_residual_chain", f"category:s {_M}")
 def residual_chain(t):
     train, test, f = _frames(t)
     stages = [list(agg.ENCODINGS), [c for c in f if c.startswith("demand_")], list(md.CALENDAR)]
-    return _score(md.residual_chain(train, test, stages, 6), "category")
+    return _score(md.residual_chain(train, test, stages, 20), "category")
 
 
 @register("b12_two_stage", f"routing:s {_M}")
 def two_stage(t):
     train, test, f = _frames(t)
-    out = md.two_stage_forecast(train, test, f, 6)
+    out = md.two_stage_forecast(train, test, f)
     hard = _score(out, col="prediction_hard").withColumn("routing", F.lit("hard"))
     return hard.unionByName(_score(out, col="prediction_soft").withColumn("routing", F.lit("soft")))
 
@@ -187,7 +190,7 @@ def search(t):
 @register("b16_feature_importance", "feature:s importance:f6")
 def feature_importance(t):
     train, _, f = _frames(t)
-    return md.feature_importance(md.gbt(f, trees=10).fit(train), f, train)
+    return md.feature_importance(md.gbt(f).fit(train), f, train)
 
 
 @register("b17_learning_curve", "history_days:i mae:f exponent:f fitted_mae:f")
@@ -207,7 +210,7 @@ def _local_score(df, *by):
 @register("b08_local_models", f"status:s {_M}")
 def local_models(t):
     from tillstream.operators import series
-    rows = _local(t).transform(series.add_series_features, "demand", "demand", (1, 2, 3, 7), (3, 7))
+    rows = _local(t).transform(series.add_series_features, "demand", "demand")
     return _local_score(lm.local_forecast(rows, series.feature_columns(rows, ["demand"])), "status")
 
 
@@ -224,9 +227,9 @@ def trend_season(t):
 def store_totals(t):
     from tillstream.operators import series
     totals = agg.store_totals(stock_daily(t), ["demand"]).withColumn("product", F.lit("all")).withColumn("category", F.lit("all"))
-    train, test, f = md.training_frames(totals, 90, "demand", (1, 2, 3, 7))
-    glob = _score(md.fit_predict(md.gbt(f, trees=10), train, test)).withColumn("family", F.lit("global"))
-    rows = flt.label_split(totals, 90).transform(series.add_series_features, "demand", "demand", (1, 2, 3, 7), (3, 7))
+    train, test, f = md.training_frames(totals, 90, "demand")
+    glob = _score(md.fit_predict(md.gbt(f), train, test)).withColumn("family", F.lit("global"))
+    rows = flt.label_split(totals, 90).transform(series.add_series_features, "demand", "demand")
     local = _local_score(lm.local_forecast(rows, series.feature_columns(rows, ["demand"]), keys=("store",)))
     season = _local_score(lm.trend_season_forecast(flt.label_split(totals, 90), keys=("store",)))
     return (glob.unionByName(local.withColumn("family", F.lit("per_store")))
@@ -241,12 +244,19 @@ def stationarity(t):
 @register("b18_kpss", "store:i product:s kpss_stat:f stationary_kpss:i", """
 WITH e AS (SELECT store, product, row_number() OVER w AS i, count(*) OVER p AS n, demand - avg(demand) OVER p AS e,
   stddev_pop(demand) OVER p AS sd FROM stock_daily WINDOW p AS (PARTITION BY store, product), w AS (PARTITION BY store, product ORDER BY date)),
-c AS (SELECT *, sum(e) OVER (PARTITION BY store, product ORDER BY i) AS s, least(ceil(12e0 * pow(n / 100e0, 0.25e0)), n - 1) AS l FROM e),
-a AS (SELECT x.store, x.product, sum((1 - (x.i - y.i) / (x.l + 1)) * x.e * y.e) AS acv FROM c x JOIN c y
-      ON x.store = y.store AND x.product = y.product AND x.i > y.i AND x.i - y.i <= x.l GROUP BY x.store, x.product),
+c AS (SELECT *, sum(e) OVER (PARTITION BY store, product ORDER BY i) AS s FROM e),
+a AS (SELECT x.store, x.product, x.i - y.i AS k, sum(x.e * y.e) AS acv FROM c x JOIN c y
+      ON x.store = y.store AND x.product = y.product AND x.i > y.i AND x.i - y.i <= 80 GROUP BY x.store, x.product, x.i - y.i),
 g AS (SELECT store, product, max(n) AS n, max(sd) AS sd, sum(s * s) AS ss, sum(e * e) AS ee FROM c GROUP BY store, product),
-k AS (SELECT g.store, g.product, CASE WHEN n < 8 OR sd < 1e-8 THEN 0 ELSE ss / (n * n * ((ee + 2 * coalesce(acv, 0)) / n)) END AS kpss_stat
-      FROM g LEFT JOIN a USING (store, product))
+b AS (SELECT g.store, g.product, g.ee / g.n + coalesce(sum(2e0 * acv / n) FILTER (k <= floor(pow(n, 2e0 / 9))), 0) AS level,
+        coalesce(sum(k * 2e0 * acv / n) FILTER (k <= floor(pow(n, 2e0 / 9))), 0) AS slope
+      FROM g LEFT JOIN a USING (store, product) GROUP BY g.store, g.product, g.ee, g.n),
+l AS (SELECT store, product, CASE WHEN level = 0 THEN 0 ELSE least(floor(1.1447e0 * pow(pow(slope / nullif(level, 0), 2), 1e0 / 3) * pow(n, 1e0 / 3)), n - 1) END AS l
+      FROM g JOIN b USING (store, product)),
+v AS (SELECT g.store, g.product, any_value(g.n) AS n, any_value(sd) AS sd, any_value(ss) AS ss,
+        (any_value(ee) + 2 * coalesce(sum((1 - k / (l + 1)) * acv) FILTER (k <= l), 0)) / any_value(g.n) AS s2
+      FROM g JOIN l USING (store, product) LEFT JOIN a USING (store, product) GROUP BY g.store, g.product),
+k AS (SELECT store, product, CASE WHEN n < 8 OR sd < 1e-8 OR s2 <= 0 THEN 0 ELSE ss / (n * n * s2) END AS kpss_stat FROM v)
 SELECT *, CAST(kpss_stat < 0.463e0 AS INT) AS stationary_kpss FROM k""")
 def kpss(t):
     return lm.stationarity(stock_daily(t))
@@ -272,9 +282,9 @@ def future_rows(t):
     return md.future_rows(daily(t), "sold", forecast)
 
 
-@register("b20_autoregressive", f"exog:s {_M}")
+@register("b20_autoregressive", f"exog:s origin:i {_M}")
 def autoregressive(t):
-    rows = _local(t)
-    plain = _local_score(lm.autoregressive_forecast(rows)).withColumn("exog", F.lit("none"))
-    cal = _local_score(lm.autoregressive_forecast(rows, exog=("is_weekend", "is_holiday", "is_payday_week")))
+    rows = stock_daily(t)
+    plain = _local_score(lm.recursive_forecast(rows), "origin").withColumn("exog", F.lit("none"))
+    cal = _local_score(lm.recursive_forecast(rows, exog=("is_weekend", "is_holiday", "is_payday_week")), "origin")
     return plain.unionByName(cal.withColumn("exog", F.lit("calendar")))

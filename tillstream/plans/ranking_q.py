@@ -90,7 +90,7 @@ def difference(t):
 
 
 @register("u04_distinct_report", "n_rows:i n_distinct:i n_removed:i", """
-SELECT sum(n) AS n_rows, count(*) AS n_distinct, sum(n) - count(*) AS n_removed
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag)""")
+SELECT n AS n_rows, d AS n_distinct, n - d AS n_removed
+FROM (SELECT (SELECT count(*) FROM lineitem) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS d)""")
 def distinct_report(t):
-    return rk.distinct_report(t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    return rk.distinct_report(t("lineitem"))

@@ -20,8 +20,8 @@ _D = """(CASE WHEN mean_demand < 4 THEN 1.2e0 WHEN mean_demand < 8 THEN 0.6e0 EL
   + CASE WHEN cv_demand > 1.2e0 THEN 1.2e0 WHEN cv_demand > 0.9e0 THEN 0.7e0 ELSE 0 END
   + CASE WHEN share_censored > 0.7e0 THEN 1.1e0 WHEN share_censored > 0.5e0 THEN 0.6e0 ELSE 0 END
   + CASE WHEN n_days < 30 THEN 1e0 WHEN n_days < 60 THEN 0.4e0 ELSE 0 END
-  + CASE WHEN coalesce(cv_7d_mean, 0) > 0.45e0 THEN 0.2e0 ELSE 0 END
-  + CASE WHEN coalesce(nullif(demand_trend_mean, 0), 1) < 0.85e0 OR coalesce(nullif(demand_trend_mean, 0), 1) > 1.15e0 THEN 0.25e0 ELSE 0 END)"""
+  + CASE WHEN cv_7d_mean > 0.45e0 THEN 0.2e0 ELSE 0 END
+  + CASE WHEN demand_trend_mean < 0.85e0 AND demand_trend_mean <> 0 OR demand_trend_mean > 1.15e0 THEN 0.25e0 ELSE 0 END)"""
 add_base("ruled", f"""
 SELECT *, 'lag_filled' AS single,
   CASE WHEN cv_demand > 1 THEN 'avg14' WHEN mean_demand < 5 THEN 'avg14' WHEN share_censored > 0.5e0 THEN 'dow_last'
@@ -106,11 +106,11 @@ def gate_sweep(t):
 
 @register("r03_best_gate", _GATE_SPEC, f"""
 WITH {_GATE} SELECT * FROM s ORDER BY floor(avg_wmape * 100 + 0.5e0), -floor(avg_r2 * 1e4 + 0.5e0), floor(avg_mae * 1e4 + 0.5e0),
-  fallback, threshold LIMIT 1""")
+  CASE fallback WHEN 'lag_filled' THEN 0 ELSE 1 END, threshold LIMIT 1""")
 def best_gate(t):
     return rt.best_gate(_gate(t))
 
 
-@register("r04_learned_router", "store:i product:s oracle:s fold:i router_model:s router_confidence:f router_margin:f")
+@register("r04_learned_router", "store:i product:s oracle:s fold:i router_model:s router_confidence:f router_margin:f status:s")
 def learned_router(t):
     return rt.learned_router(ruled(t))

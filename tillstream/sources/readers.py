@@ -62,7 +62,9 @@ def read_check_lines(spark: SparkSession, path: str | list[str], fmt: str = "csv
         reader = reader.schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
     raw = canonicalise_columns(reader.csv(path))
     absent = [f.name for f in schemas.CHECK_LINES_RAW if f.name not in raw.columns]
-    return type_check_lines(raw.withColumns({c: F.lit(None).cast("string") for c in absent}))
+    if absent:
+        raise ValueError(f"the file lacks the columns {absent}")
+    return type_check_lines(raw)
 
 
 def read_drops(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv") -> DataFrame:
@@ -110,11 +112,15 @@ def star_extract(fact: DataFrame, stores: DataFrame, products: DataFrame,
 
 
 def read_star(spark: SparkSession, options: dict[str, str], fact: str, stores: str, products: str,
-              **kwargs) -> DataFrame:
-    """`star_extract` over three JDBC tables; the filter is pushed to the database."""
-    def load(table: str) -> DataFrame:
-        return spark.read.format("jdbc").options(**options, dbtable=table).load()
-    return star_extract(load(fact), load(stores), load(products), **kwargs)
+              fact_options: dict[str, str] | None = None, **kwargs) -> DataFrame:
+    """`star_extract` over three JDBC tables; the filter is pushed to the database.
+
+    `fact_options` are the fact table's own: `partitionColumn`, `lowerBound`, `upperBound` and
+    `numPartitions` read it in parallel. Without them one task reads the whole table.
+    """
+    def load(table: str, **own: str) -> DataFrame:
+        return spark.read.format("jdbc").options(**{**options, **own, "dbtable": table}).load()
+    return star_extract(load(fact, **(fact_options or {})), load(stores), load(products), **kwargs)
 
 
 def full_months(df: DataFrame, date: str = "date") -> DataFrame:

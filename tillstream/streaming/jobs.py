@@ -60,8 +60,14 @@ def last_sale_windows(events: DataFrame, ts: str = "check_ts", late: str = "2 ho
                       (F.col("last_hour") <= stop_hour).cast("int").alias("is_early_stop"))
 
 
+def _use_state_store(spark: SparkSession) -> None:
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
 def start_append(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Closed windows only, each written once."""
+    _use_state_store(df.sparkSession)
     writer = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(path)
@@ -77,6 +83,7 @@ def epoch_writer(path: str) -> Callable[[DataFrame, int], None]:
 
 def start_update(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Every changed window per epoch, open ones included."""
+    _use_state_store(df.sparkSession)
     writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(epoch_writer(path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
