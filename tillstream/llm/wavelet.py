@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tillstream.llm.common import bounded_batches, ensure_checkpoint_dir, text_or_empty
+from tillstream.llm.common import bounded_batches, broadcast_if_small, cut_lineage, ensure_checkpoint_dir, text_or_empty
 
 MAGIC = b"WVM1"
 RANK_BITS = 512
@@ -295,7 +295,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     shards = spark.read.parquet(folder)
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    placed = shards.join(offsets(shards), ["part", "seq"]).select("first", "doc_ids", "matrix")
+    first = broadcast_if_small(cut_lineage(offsets(shards)))
+    placed = shards.join(first, ["part", "seq"]).select("first", "doc_ids", "matrix")
     element = pa.array([], _element_kind(shards)).type
     return placed.mapInArrow(_read(element), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
