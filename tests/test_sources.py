@@ -27,6 +27,12 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
     assert bad.date is None and bad.price is None and bad.event_type == "return"
 
 
+def test_an_absent_header_is_an_error(spark, tmp_path):
+    (tmp_path / "b.csv").write_text(",".join(HEADER[:8]) + "\n", encoding="utf-8-sig")
+    with pytest.raises(ValueError, match="lacks"):
+        readers.read_check_lines(spark, str(tmp_path / "b.csv"))
+
+
 def test_unknown_headers_are_an_error(spark):
     df = spark.createDataFrame([(1,)], "x int")
     with pytest.raises(ValueError):

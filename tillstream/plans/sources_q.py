@@ -51,7 +51,9 @@ SELECT CASE l_returnflag WHEN 'N' THEN 'sale' WHEN 'R' THEN 'return' ELSE 'cance
        sum(round(l_extendedprice * 100) / 100) AS amount, min(CAST(l_shipdate AS DATE)) AS first_date
 FROM lineitem GROUP BY l_returnflag, l_linestatus, year(l_shipdate)""")
 def typed_check_lines(t):
-    lines = readers.type_check_lines(readers.canonicalise_columns(_raw_text_lines(t)))
+    path = _scratch(t.spark, "lines")
+    _raw_text_lines(t).write.option("header", True).csv(path)
+    lines = readers.read_check_lines(t.spark, path)
     return lines.groupBy("event_type", "freshness", F.year("date").alias("year")).agg(
         F.count("*").alias("n_lines"), F.sum("qty").alias("qty"), F.sum("amount").alias("amount"),
         F.min("date").alias("first_date"))
@@ -64,7 +66,11 @@ FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O')
 def union_drops(t):
     o = t("orders")
     first, second = o.filter(F.col("o_orderstatus").isin("F", "O")), o.filter(F.col("o_orderstatus").isin("O", "P"))
-    return readers.union_drops([first, second]).groupBy(F.col("o_orderstatus").alias("status")).agg(
+    path = _scratch(t.spark, "drops")
+    for folder, part in (("early/a", first), ("b", second)):
+        part.write.option("header", True).csv(f"{path}/{folder}")
+    good, _ = readers.split_drops(readers.read_drops(t.spark, path, o.schema))
+    return good.groupBy(F.col("o_orderstatus").alias("status")).agg(
         F.count("*").alias("n_rows"), F.sum("o_totalprice").alias("total"))
 
 

@@ -140,13 +140,14 @@ def sample_weights(t):
 
 @register("b07_volume_tiers", "tier:s is_high_demand:i n_rows:i product_avg:f6", f"""
 WITH a AS (SELECT l_partkey AS part, avg(l_quantity / 2) AS m FROM lineitem WHERE l_returnflag = 'N'
-           AND l_shipdate < TIMESTAMP '1996-01-01' GROUP BY l_partkey)
+           AND CAST(l_shipdate AS DATE) < (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem) - 89 GROUP BY l_partkey)
 SELECT CASE WHEN coalesce(m, 0) < 3 THEN 'low' WHEN coalesce(m, 0) < 15 THEN 'medium' ELSE 'high' END AS tier,
   CAST(coalesce(m, 0) >= 10 AS INT) AS is_high_demand, count(*) AS n_rows, avg(coalesce(m, 0)) AS product_avg
 FROM check_lines c LEFT JOIN a ON a.part = c.part GROUP BY 1, 2""")
 def volume_tiers(t):
+    from tillstream.operators.filters import train_test
     from tillstream.sources.testdata import check_lines
     lines = check_lines(t).withColumn("demand", F.col("qty") / 2).withColumn("product", F.col("part"))
-    train = lines.filter((F.col("event_type") == "sale") & (F.col("date") < F.lit("1996-01-01").cast("date")))
+    train = train_test(lines, 90)[0].filter(F.col("event_type") == "sale")
     return tg.volume_tiers(train, lines).groupBy("tier", "is_high_demand").agg(
         F.count("*").alias("n_rows"), F.avg("product_avg").alias("product_avg"))

@@ -47,6 +47,9 @@ def type_check_lines(raw: DataFrame) -> DataFrame:
     )
 
 
+OPTIONAL = ("seller",)  # null where a file does not have it; any other absent header is an error
+
+
 def read_check_lines(spark: SparkSession, path: str | list[str], fmt: str = "csv",
                      header: Sequence[str] | None = None, **options: str) -> DataFrame:
     """Typed check lines from CSV (text cells, source headers) or Parquet/ORC.
@@ -62,9 +65,9 @@ def read_check_lines(spark: SparkSession, path: str | list[str], fmt: str = "csv
         reader = reader.schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
     raw = canonicalise_columns(reader.csv(path))
     absent = [f.name for f in schemas.CHECK_LINES_RAW if f.name not in raw.columns]
-    if absent:
+    if set(absent) - set(OPTIONAL):
         raise ValueError(f"the file lacks the columns {absent}")
-    return type_check_lines(raw)
+    return type_check_lines(raw.withColumns({c: F.lit(None).cast("string") for c in absent}))
 
 
 def read_drops(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv") -> DataFrame:
