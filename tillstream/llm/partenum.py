@@ -16,8 +16,8 @@ No bucket of a signature is expanded into pairs:
    chunk first, so a signature that a third of all sets have is one entry per chunk.
 3. Each shared signature names one pivot, its member with the most neighbours; members are
    compared with their pivot only. In a family of near copies this links the bulk at once.
-4. What is left are signatures whose members are still in several components. Their members go
-   through a prefix filter: shingles ordered by how few of these members have them, the first
+4. What is left are signatures whose members beside the pivot are still in several components. These
+   go through a prefix filter: shingles ordered by how few of these members have them, the first
    (1 - g) * size + 1 of each, joined on the shingle under the length and position bounds. This is
    exact for the rest and has no cap: linked sets in different components share such a shingle.
 5. Candidates are verified on the whole sets, and links are contracted into components.
@@ -39,7 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillstream.llm.common import (bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, sorted_unique, stored,
                                    text_or_empty, word_hashes)
@@ -232,25 +232,29 @@ def _set_rows(n: int):
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary())], names=["p1", "p2", "elements"])
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sets], pa.binary())],
+                names=["p1", "p2", "elements", "short"])
     return run
 
 
-def _linked(percent: int):
+def _linked(percent: int, kind: type, out: tuple[str, str]):
+    """Keep pairs whose sets reach the similarity; shortened elements (`kind`) may keep a few more."""
+    def common(x: np.ndarray, y: np.ndarray) -> int:
+        if kind is np.uint64:
+            return len(np.intersect1d(x, y, assume_unique=True))
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        return int((y[at] == x).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(c).to_pylist() for c in ("a_set", "b_set"))
             keep = []
             for a, b in zip(left, right):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                small, large = sorted((len(x), len(y)))
-                if 100 * small < percent * large:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
+                both = min(common(x, y), len(y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield out
+            yield batch.select(list(out)).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -259,35 +263,52 @@ def _node(p1: Column, p2: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among (a1, b1) pairs of first fingerprints; a and b of the result are class names."""
-    a = sets.select(F.col("p1").alias("a1"), F.col("node").alias("a"), F.col("elements").alias("a_set"))
-    b = sets.select(F.col("p1").alias("b1"), F.col("node").alias("b"), F.col("elements").alias("b_set"))
+    """Links among (a1, b1) pairs of first fingerprints; a and b of the result are class names.
+
+    Sizes are compared first, then the sets with elements shortened to 16 bits, which can only look more
+    alike than they are; what is left is compared in full.
+    """
+    def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        out = pairs
+        for side in "ab":
+            out = out.join(sets.select(F.col("p1").alias(f"{side}1"), *[F.col(c).alias(f"{side}_{c}") for c in columns]), f"{side}1")
+        return out
     sizes = broadcast_if_small(cut_lineage(sets.select("p1", "size").distinct()))
     close = (pairs.join(sizes.select(F.col("p1").alias("a1"), F.col("size").alias("a_size")), "a1")
              .join(sizes.select(F.col("p1").alias("b1"), F.col("size").alias("b_size")), "b1")
              .filter(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")).select("a1", "b1").distinct())
-    return cut_lineage(close.join(a, "a1").join(b, "b1").select("a", "b", "a_set", "b_set")
-                       .mapInArrow(_linked(percent), "a string, b string"))
+    alike = cut_lineage(sides(close, "short").withColumnsRenamed({"a_short": "a_set", "b_short": "b_set"})
+                        .mapInArrow(_linked(percent, np.uint16, ("a1", "b1")), "a1 long, b1 long").distinct())
+    needed = broadcast_if_small(cut_lineage(alike.select(F.col("a1").alias("p1")).union(alike.select("b1")).distinct()))
+    sets = sets.join(needed, "p1", "left_semi")
+    return cut_lineage(sides(alike, "node", "elements").select(
+        F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_elements").alias("a_set"), F.col("b_elements").alias("b_set"))
+        .mapInArrow(_linked(percent, np.uint64, ("a", "b")), "a string, b string"))
+
 
+def _rest(members: DataFrame, pivots: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a1, b1) in different components among the members of signatures left open.
 
-def _rest(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a1, b1) in different components among the members of signatures left open."""
-    at = members.join(sets.select("p1", "node"), "p1").join(roots, "node", "left").select(
-        "sig", "p1", "node", F.coalesce("root", "node").alias("root"))
-    at = cut_lineage(at)
-    still = at.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
-    left = cut_lineage(at.join(still, "sig", "left_semi").select("p1", "node", "root").distinct())
+    A signature is open if its members beside the pivot, which has met them all, are in several components.
+    """
+    names = sets.select("p1", "node").join(roots, "node", "left").select(
+        "p1", F.xxhash64(F.coalesce("root", "node")).alias("root")).distinct()
+    names = broadcast_if_small(cut_lineage(names))
+    at = members.join(names, "p1")
+    others = at.join(pivots, "sig").filter("p1 <> b1")
+    still = others.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
+    left = cut_lineage(others.join(still, "sig", "left_semi").select("p1", "root").distinct())
     if left.isEmpty():
         return left.select(F.col("p1").alias("a1"), F.col("p1").alias("b1"))
-    left = left.join(sets.select("node", "size", "elements"), "node")
-    rows = left.select("p1", "root", "size", "elements").mapInArrow(
-        _element_rows, "p1 long, root string, size int, element long")
-    counts = rows.groupBy("element").agg(F.count("*").alias("many"))
-    own = rows.join(counts, "element").groupBy("p1", "root", "size").agg(
-        F.sort_array(F.collect_set(F.struct("many", "element"))).alias("own"))
-    length = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int") + 1
-    prefix = cut_lineage(own.select("p1", "root", "size", F.posexplode(F.slice("own", F.lit(1), length)).alias("pos", "e"))
-                         .select("p1", "root", "size", "pos", F.col("e.element").alias("element")))
+    rows = sets.select("p1", "size", "elements").join(broadcast_if_small(left), "p1").mapInArrow(
+        _element_rows, "p1 long, root long, size int, element long")
+    # An element that no other set has cannot be shared; it only moves the others back in the order.
+    counted = rows.withColumn("many", F.count("*").over(Window.partitionBy("element"))).filter("many > 1")
+    own = counted.groupBy("p1", "root", "size").agg(F.sort_array(F.collect_set(F.struct("many", "element"))).alias("own"))
+    alone = F.col("size") - F.size("own")
+    length = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int") + 1 - alone
+    prefix = cut_lineage(own.filter(length > 0).select("p1", "root", "size", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), length)).alias("pos", "e"))
+                         .select("p1", "root", "size", (F.col("pos") + F.col("alone")).alias("pos"), F.col("e.element").alias("element")))
     a = prefix.select("element", *[F.col(c).alias(f"a_{c}") for c in ("p1", "root", "size", "pos")])
     b = prefix.select("element", *[F.col(c).alias(f"b_{c}") for c in ("p1", "root", "size", "pos")])
     needed = F.ceil(F.lit(percent) * (F.col("a_size") + F.col("b_size")) / (100 + percent))
@@ -341,14 +362,14 @@ def find_links(content: DataFrame, rows: DataFrame, n: int, percent: int) -> Dat
         _signature_blocks(n, percent, 4 * buckets), "bucket long, sigs binary, names binary, states binary")
     members = stored(blocks.repartition(buckets, "bucket").mapInArrow(_shared_signatures, "sig long, p1 long, many long"))
     weight = broadcast_if_small(cut_lineage(members.groupBy("p1").agg(F.sum("many").alias("weight"))))
-    pivots = members.join(weight, "p1").groupBy("sig").agg(F.max(F.struct("weight", "p1")).alias("best")).select(
-        "sig", F.col("best.p1").alias("b1"))
+    pivots = stored(members.join(weight, "p1").groupBy("sig").agg(F.max(F.struct("weight", "p1")).alias("best")).select(
+        "sig", F.col("best.p1").alias("b1")))
     pairs = cut_lineage(members.join(pivots, "sig").filter("p1 <> b1").select(
         F.least("p1", "b1").alias("a1"), F.greatest("p1", "b1").alias("b1")).distinct())
     sets = stored(_sets_of(content, rows, weight.select("p1"), n))
     first = _verified(pairs, sets, percent)
     roots = components(first)
-    rest = _rest(members.select("sig", "p1"), sets, roots, percent)
+    rest = _rest(members.select("sig", "p1"), pivots, sets, roots, percent)
     return first.unionByName(_verified(rest, sets, percent))
 
 
@@ -360,8 +381,8 @@ def _sets_of(content: DataFrame, rows: DataFrame, wanted: DataFrame, n: int) ->
     ids = broadcast_if_small(cut_lineage(rows.join(wanted, "p1", "left_semi").groupBy("p1", "p2").agg(
         F.min("doc_id").alias("least")).select("least").distinct()))
     texts = content.join(ids, content["doc_id"].eqNullSafe(ids["least"]), "left_semi").select("content")
-    return texts.mapInArrow(_set_rows(n), "p1 long, p2 long, elements binary").select(
-        "p1", _node(F.col("p1"), F.col("p2")).alias("node"), (F.octet_length("elements") / 8).cast("int").alias("size"), "elements")
+    return texts.mapInArrow(_set_rows(n), "p1 long, p2 long, elements binary, short binary").select(
+        "p1", _node(F.col("p1"), F.col("p2")).alias("node"), (F.octet_length("elements") / 8).cast("int").alias("size"), "elements", "short")
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
