@@ -66,10 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def infer_encoding(run: str) -> tuple[str, str, int] | None:
     """Smallest alphabet that holds the run without its padding."""
     body = set(run.rstrip("="))
-    for name, symbols, least in ALPHABETS:
-        if body <= ORDER[name].keys():
-            return name, symbols, least
-    return None
+    return next((a for a in ALPHABETS if body <= ORDER[a[0]].keys()), None)
 
 
 def _chi_tail(x: float, k: int) -> float:
@@ -80,9 +77,9 @@ def _chi_tail(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(run: str, name: str, symbols: str) -> tuple[float, float, float]:
-    """P-values of the chi-squared, runs and serial-correlation tests."""
-    at = [ORDER[name][c] for c in run.rstrip("=")]
+def battery(body: str, name: str, symbols: str) -> tuple[float, float, float]:
+    """P-values of the chi-squared, runs and serial-correlation tests of a run without padding."""
+    at = [ORDER[name][c] for c in body]
     n, size = len(at), len(symbols)
     groups = max(2, min(size, n // 5))
     seen = [0] * groups
@@ -108,12 +105,12 @@ def battery(run: str, name: str, symbols: str) -> tuple[float, float, float]:
     return _chi_tail(chi, groups - 1), p_runs, p_serial
 
 
-def varied(run: str, size: int) -> bool:
+def varied(body: str, size: int) -> bool:
     """Whether the run has about as many different symbols as chance gives it."""
-    n = len(run.rstrip("="))
-    expected = size * (1 - (1 - 1 / size) ** n)
-    spread = math.sqrt(max(size * (1 - 1 / size) ** n * (1 - (1 - 1 / size) ** n), 0.25))
-    return len(set(run.rstrip("="))) >= expected - 3 * spread
+    n = len(body)
+    absent = (1 - 1 / size) ** n
+    spread = math.sqrt(max(size * absent * (1 - absent), 0.25))
+    return len(set(body)) >= size * (1 - absent) - 3 * spread
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
@@ -123,10 +120,11 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         start, end = m.span()
         if any(s < end and start < e for s, e, _ in base):
             continue
-        kind = infer_encoding(m.group())
-        if kind is None or end - start < kind[2] or not varied(m.group(), len(kind[1])):
+        body = m.group().rstrip("=")
+        kind = infer_encoding(body)
+        if kind is None or len(body) < kind[2] or not varied(body, len(kind[1])):
             continue
-        p = min(1.0, 3 * min(battery(m.group(), kind[0], kind[1])))
+        p = min(1.0, 3 * min(battery(body, kind[0], kind[1])))
         out.append((start, end, (end - start).bit_length(), min(P_CLASSES, int(-math.log10(max(p, 1e-300)) / STEP))))
     return out
 
