@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,7 @@ LONGEST = 16
 SAMPLES = 2
 THETA = 1.0
 BATCH = 700
+TRIES = 50
 ROUNDING = 1e-6  # chance below which what is left of a unit counts as nothing
 SPELLED = 1 << 21  # ids from here on stand for a character in bytes
 
@@ -240,27 +242,41 @@ class Lattices:
 
     def other_path(self, unit: int, taken: list[tuple[int, ...]], chances: list[float], rng: np.random.Generator) -> tuple[int, ...]:
         """Draw a segmentation of a unit other than those taken (piece lengths, last piece first)."""
-        while True:
-            left, path, mass, alive = int(self.size[unit]), (), 1.0, list(range(len(taken)))
+        for _ in range(TRIES):
+            left, path, mass, alive = int(self.size[unit]), [], 1.0, list(range(len(taken)))
             while left:
-                row = self.base[left - 1] + self.rank[unit]
-                shares = np.zeros(LONGEST)
-                shares[:left] = np.diff(self.rest[row, :left].astype(np.float64), prepend=0.0)
-                shares[self.top[row] - 1] = self.top_share[row]
-                free = shares * mass
+                shares = self.shares(unit, left)
+                free = shares * mass if alive else shares
                 for t in alive:
                     at = taken[t][len(path)] - 1
                     free[at] = 0.0 if len(taken[t]) == len(path) + 1 else max(0.0, free[at] - chances[t])
                 ends = np.cumsum(free)
                 if ends[-1] <= 0:
                     break  # rounding led into a part with taken paths only
-                length = min(int(np.searchsorted(ends, rng.random() * ends[-1], side="right")) + 1, LONGEST)
+                length = int(np.searchsorted(ends, rng.random() * ends[-1], side="right")) + 1
+                length = min(length, int(np.flatnonzero(free)[-1]) + 1)
                 mass *= shares[length - 1]
-                path += (length,)
-                alive = [t for t in alive if taken[t][:len(path)] == path]
+                alive = [t for t in alive if taken[t][len(path)] == length]
+                path.append(length)
                 left -= length
             else:
+                return tuple(path)
+        # What is left is as small as rounding errors: take its likeliest part.
+        queue: list[tuple[float, int, tuple[int, ...]]] = [(-1.0, int(self.size[unit]), ())]
+        while True:
+            mass, left, path = heappop(queue)
+            if not left and path not in taken:
                 return path
+            for at in np.flatnonzero(self.shares(unit, left)) if left else ():
+                heappush(queue, (mass * self.shares(unit, left)[at], left - int(at) - 1, (*path, int(at) + 1)))
+
+    def shares(self, unit: int, left: int) -> np.ndarray:
+        """Chances of the lengths 1, 2, ... of the piece that ends after `left` characters of a unit."""
+        row = self.base[left - 1] + self.rank[unit]
+        shares = np.zeros(LONGEST)
+        shares[:left] = np.diff(self.rest[row, :left].astype(np.float64), prepend=0.0)
+        shares[self.top[row] - 1] = self.top_share[row]
+        return shares
 
 
 def _largest(values: np.ndarray, most: int) -> list[int]:
