@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -17,7 +16,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 __all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "broadcast_if_small", "cut_lineage", "ensure_checkpoint_dir",
-           "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "stored", "text_or_empty", "word_hashes"]
+           "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "stored", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,7 +55,7 @@ def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -70,12 +69,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """The one of this worker process, which later tasks use again."""
-    return WordHashes()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit integers (a bijection), element by element."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, ngram_hashes, word_hashes
+from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, ngram_hashes
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -182,7 +182,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, rate: float =
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        lines = Lines([t or "" for t in batch.column("text").to_pylist()], word_hashes())
+        lines = Lines([t or "" for t in batch.column("text").to_pylist()], WordHashes())
         rows += [(lines.features[a:b], y) for a, b, y in zip(lines.cuts, lines.cuts[1:], batch.column("quality").to_pylist())]
     weights, pairs = fit(rows)
     yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()]), pa.array([pairs.ravel().tolist()])], names=["weights", "pairs"])
@@ -206,7 +206,7 @@ def _label(weights: list[float], pairs: list[float], share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emission = np.array(weights).reshape(len(FEATURES), 2)
         between = np.array(pairs).reshape(2, 2).tolist()
-        words = word_hashes()
+        words = WordHashes()
         for batch in batches:
             lines = Lines([t or "" for t in batch.column("_text").to_pylist()], words)
             scores = (lines.features @ emission).tolist()

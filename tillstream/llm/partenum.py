@@ -41,16 +41,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillstream.llm.common import (bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, sorted_unique, stored,
-                                   text_or_empty, word_hashes)
+from tillstream.llm.common import (WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, sorted_unique, stored,
+                                   text_or_empty)
 from tillstream.llm.components import components
 
 N2, K2 = 2, 1
 BAND = 1.25
 RARE = 0.02
 SEEN = 100_000
-CHUNK = 1 << 20  # signatures that a task sorts at a time
-BUCKET = 4 << 20  # shingles per receiving task, of which well under half become signatures
+CHUNK = 1 << 19  # signatures that a task sorts at a time
+BUCKET = 1 << 20  # shingles per receiving task, of which well under half become signatures
 SHARED, MEMBER = 1, 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -133,7 +133,7 @@ def fingerprint(elements: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(texts: Iterator[bytes], n: int) -> Iterator[np.ndarray]:
-    words = word_hashes()
+    words = WordHashes()
     for text in texts:
         yield sorted_unique(ngram_hashes(words.of(text.lower().split()), n))
 

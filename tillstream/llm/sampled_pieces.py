@@ -414,7 +414,7 @@ def _encode(path: str, k: int, theta: float, seed: int):
             groups, at, size = [], 0, 0
             for i, t in enumerate(texts):  # long texts get smaller groups
                 size += len(t)
-                if i + 1 - at >= BATCH or size >= 3_000_000 or i + 1 == len(texts):
+                if i + 1 - at >= BATCH or size >= 1_500_000 or i + 1 == len(texts):
                     groups.append((at, i + 1))
                     at, size = i + 1, 0
             for low, high in groups:

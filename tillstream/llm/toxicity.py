@@ -18,7 +18,6 @@ is the share of toxic labels seen (0 if none); a null id is not held out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, sorted_unique, word_hashes
+from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, sorted_unique
 
 BITS = 20
 LEVELS = (2, 4, 8)
@@ -52,16 +51,11 @@ class _Stems(WordHashes):
         return value
 
 
-@lru_cache(maxsize=1)
-def _stems() -> _Stems:
-    return _Stems()
-
-
 class Features:
     """Text to hashed feature indices, with word hashes remembered between texts."""
 
     def __init__(self):
-        self.words, self.stems = word_hashes(), _stems()
+        self.words, self.stems = WordHashes(), _Stems()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Indices in no order; one that comes twice counts once."""
