@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillstream.llm.common import cut_lineage
 
+HASH = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, root): nodes have one root exactly when edges connect them.
 
-    Node names should be in random order (hashes): each round then leaves a fraction of the nodes, also
-    on long paths. Smallest neighbours are pre-aggregated, so a hub costs one row per task; joins have
-    unique nodes on one side, so that skewed ones can be split.
+    Names (strings) are compared by their hashes: in that random order each round leaves a fraction of the
+    nodes, also on long paths. Smallest neighbours are pre-aggregated, so a hub costs one row per task;
+    joins have unique nodes on one side, so that skewed ones can be split.
     """
-    edges = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
+    def shuffled(name: str) -> Column:
+        return F.concat(F.lpad(F.hex(F.xxhash64(name)), HASH, "0"), F.col(name)).alias(name)
+    edges = cut_lineage(edges.filter("a <> b").select(shuffled("a"), shuffled("b")).distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,9 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
         moved = edges.join(left, "a").join(right, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         edges = cut_lineage(moved.filter("a <> b").distinct())
     if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return _named(edges.select(F.col("a").alias("node"), F.col("b").alias("root")))
     roots = steps[-1]
     for step in reversed(steps[:-1]):
         later = roots.select(F.col("node").alias("root"), F.col("root").alias("later"))
         roots = step.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
-    return cut_lineage(roots)
+    return cut_lineage(_named(roots))
+
+
+def _named(roots: DataFrame) -> DataFrame:
+    """Names without their hashes."""
+    return roots.select(*[F.substr(c, F.lit(HASH + 1)).alias(c) for c in ("node", "root")])
