@@ -7,8 +7,14 @@ have none. A document's identifiers, in order, form a sequence. `RULES` are orde
 and the identifiers that make it up, one after the other; longer ones come first, and what a rule takes is
 not open to later ones. Identifiers that no rule takes are counted as left over.
 
-Everything is a projection of one row: no shuffle, no Python, no state. Only sentences with a key word are
-looked up, and texts without one have no sentences to cut.
+A sentence is not cut after `v.`, before `all rights reserved` or before `either version`, as licences have these
+inside sentences.
+
+Everything is a projection of one row: no shuffle, no Python, no state. Only sentences with a word of `NEEDED` are
+looked up, and texts without one have no sentences to cut; `NEEDED` is derived from `SENTENCES`, so that no
+pattern can match without one of its words.
+
+`oracle` is SQL of the first version: its `KEYWORD` and `STOP` drop some listed sentences, where `scan` finds more.
 
 Defined results: null text counts as empty; texts without known sentences have no licence, an empty sequence
 and the state `none`; repeated rows are scanned one by one.
@@ -16,13 +22,14 @@ and the state `none`; repeated rows are scanned one by one.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillstream.llm.common import text_or_empty
 
-# A word that every pattern below needs; sentences without one are not looked up.
+# For `oracle` only: some patterns below match without any of these.
 KEYWORD = ("licen[cs]e|copyright|permission|redistribut|warrant|liab|\\bspdx\\b|public domain|endorse|"
            "free software|see the gnu|sell copies|derived from this software")
 
@@ -135,16 +142,39 @@ RULES = [
 SPACE = "[\\x20\\x09-\\x0D]+"
 LEADER = "(^|\\n)[\\x20\\x09]*(//+|#+|\\*+|/\\*+|;+|--)[\\x20\\x09]*"
 BLANK = "\\n[\\x20\\x09\\x0B-\\x0D]*\\n"
-STOP = "([.;!?])[\\x20\\x09-\\x0D]+"
+STOP = "([.;!?])[\\x20\\x09-\\x0D]+"  # for `oracle` only
+SENTENCE_END = f"((?<!\\bv)\\.|[;!?]){SPACE}+(?!all{SPACE}rights{SPACE}reserved|either{SPACE}version)"  # possessive spaces
 CUT = "\x01"
 
 
+def needed_words(parsed) -> set[str]:
+    """Words, one of which is in every match of a parsed pattern; empty if there are none.
+
+    A word is a run of literals without white space and quotes, so it stands in the text as in the normalised sentence.
+    """
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if str(op) == "LITERAL" and not re.match(r"[\s\"'\x01]", chr(arg)):
+            run += chr(arg)
+            continue
+        found, run = [*found, {run}], ""
+        if str(op) == "SUBPATTERN":
+            found.append(needed_words(arg[-1]))
+        elif str(op) == "BRANCH":
+            options = [needed_words(a) for a in arg[1]]
+            found.append(set().union(*options) if all(options) else set())
+    return max((f for f in found if f and "" not in f), key=lambda f: min(map(len, f)), default=set())
+
+
+NEEDED = "|".join(re.escape(w) for w in sorted(set().union(*(needed_words(re._parser.parse(p)) for _, p in SENTENCES))))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text that have a key word."""
+    """Normalised sentences of a text that have a needed word."""
     plain = F.translate(F.lower(text), "“”‘’\x01", "\"\"'' ")
     plain = F.regexp_replace(plain, LEADER, "$1")
-    cut = F.regexp_replace(F.regexp_replace(plain, BLANK, CUT), STOP, f"$1{CUT}")
-    parts = F.filter(F.split(cut, CUT), lambda s: s.rlike(KEYWORD))
+    cut = F.regexp_replace(F.regexp_replace(plain, BLANK, CUT), SENTENCE_END, f"$1{CUT}")
+    parts = F.filter(F.split(cut, CUT), lambda s: s.rlike(NEEDED))
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, SPACE, " ")))
 
 
@@ -165,7 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
     `licences` are distinct and sorted; `state` is none, recognised, or unknown (only identifiers left over).
     """
     empty = F.array().cast("array<string>")
-    known = F.when(F.lower(text_or_empty()).rlike(KEYWORD),
+    known = F.when(F.lower(text_or_empty()).rlike(NEEDED),
                    F.filter(F.transform(sentences(text_or_empty()), identify), lambda i: i.isNotNull())).otherwise(empty)
     found = docs.select("doc_id", known.alias("known"))
     # Each identifier has its own commas, so that neighbours do not share one.
