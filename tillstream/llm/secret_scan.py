@@ -1,7 +1,10 @@
 """Secret scans: key patterns, and a randomness test battery with false-discovery control.
 
 Patterns find assigned, access and hex secrets. Beside these, every long run of token characters is tested.
-Its encoding is inferred as the smallest alphabet that holds it, and three tests ask whether it looks
+A run is split at an inner `=`, so that the value of `NAME=value` is a candidate of its own. A part that mixes `+` or `/`
+with `-` or `_` fits no alphabet: it is split once at the first two and once at the last two, and of overlapping parts the
+longest that looks random is the candidate, or else the one that comes nearest.
+A candidate's encoding is inferred as the smallest alphabet that holds it, and three tests ask whether it looks
 drawn evenly from that alphabet: chi-squared for even use of symbol groups, a runs test of symbols
 above and below the middle, and the serial correlation of neighbours. Words, numbers and markup fail;
 keys do not.
@@ -25,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +54,10 @@ ORDER = {name: {c: i for i, c in enumerate(symbols)} for name, symbols, _ in ALP
 FDR = 0.05
 P_CLASSES = 400  # of 0.05 in -log10 p
 STEP = 0.05
+PART = re.compile(r"[A-Za-z0-9+/_-]+")
+ONE_ALPHABET = (re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"[A-Za-z0-9+/]+"))  # parts of a run that no alphabet holds
+LEAST_LENGTH = min(least for _, _, least in ALPHABETS)
+LOOKS_RANDOM = 0.05
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -113,19 +121,42 @@ def varied(body: str, size: int) -> bool:
     return len(set(body)) >= size * (1 - absent) - 3 * spread
 
 
+def _tested(text: str, start: int, end: int, base: list[tuple[int, int, str]]) -> tuple[int, int, float] | None:
+    """(start, end, p-value) of a part, none if a pattern has it or it cannot be tested."""
+    body = text[start:end].rstrip("=")
+    kind = infer_encoding(body) if len(body) >= LEAST_LENGTH else None
+    if kind is None or len(body) < kind[2] or any(s < end and start < e for s, e, _ in base) or not varied(body, len(kind[1])):
+        return None
+    return start, end, min(1.0, 3 * min(battery(body, kind[0], kind[1])))
+
+
+def _mixed(text: str, start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int, float]]:
+    """Tested parts of one alphabet that do not overlap, of a part that no alphabet holds."""
+    spans = {m.span() for pattern in ONE_ALPHABET for m in pattern.finditer(text, start, end)}
+    padded = end
+    while text[padded - 1] == "=":
+        padded -= 1
+    found = [t for s, e in spans if (t := _tested(text, s, end if e == padded else e, base))]
+    kept: list[tuple[int, int, float]] = []
+    for t in sorted(found, key=lambda t: (-min(t[2], LOOKS_RANDOM), t[0] - t[1], t[0])):
+        at = bisect(kept, t)
+        if (not at or kept[at - 1][1] <= t[0]) and (at == len(kept) or t[1] <= kept[at][0]):
+            kept.insert(at, t)
+    return kept
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, p class) of each run that is long enough to test."""
+    """(start, end, length class, p class) of each part of a run that is long enough to test."""
     out = []
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, e, _ in base):
-            continue
-        body = m.group().rstrip("=")
-        kind = infer_encoding(body)
-        if kind is None or len(body) < kind[2] or not varied(body, len(kind[1])):
-            continue
-        p = min(1.0, 3 * min(battery(body, kind[0], kind[1])))
-        out.append((start, end, (end - start).bit_length(), min(P_CLASSES, int(-math.log10(max(p, 1e-300)) / STEP))))
+        parts = [p.span() for p in PART.finditer(text, *m.span())]
+        for start, stop in parts:
+            end = m.end() if (start, stop) == parts[-1] else stop  # padding belongs to the last part
+            if infer_encoding(text[start:stop]):
+                found = [t] if (t := _tested(text, start, end, base)) else []
+            else:
+                found = _mixed(text, start, end, base)
+            out += [(s, e, (e - s).bit_length(), min(P_CLASSES, int(-math.log10(max(p, 1e-300)) / STEP))) for s, e, p in found]
     return out
 
 
