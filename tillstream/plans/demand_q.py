@@ -116,7 +116,7 @@ SELECT * FROM (SELECT *, lag(demand, 1) OVER w AS demand_lag1, lag(demand, 2) OV
   f7 AS ({_P} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
 WHERE demand_lag3 IS NOT NULL AND demand_roll_std7 IS NOT NULL""")
 def attach_demand(t):
-    df = demand_daily(t).transform(series.add_series_features, "demand", "demand", (1, 2, 3), (3,))
+    df = demand_daily(t).transform(series.add_series_features, "demand", "demand")
     return df.dropna(subset=series.feature_columns(df, ["demand"]))
 
 
@@ -387,7 +387,7 @@ SELECT category, avg(delta) FILTER (others_out <= 0) AS delta_none, count(*) FIL
   coalesce(avg(delta) FILTER (others_out >= 1) - avg(delta) FILTER (others_out <= 0), 0) AS difference
 FROM substitution GROUP BY category""")
 def substitution_by_category(t):
-    return dem.substitution_by_category(_substitution(t), 1)
+    return dem.substitution_by_category(_substitution(t))
 
 
 _BY = (8, 10, 12, 14, 16, 18)
