@@ -7,7 +7,8 @@ in lines with words are content and no base rule fails.
 
 Weights are trained here by gradient steps on the likelihood (forward-backward), on a bounded sample of
 `PER_CLASS` documents of each quality label, smallest hash of the id first; a line's label is that of its
-document. Labelling is one narrow pass over whole texts, vectorised per Arrow batch.
+document. Each training chain is a text with one of the other label set into its middle, so that the pair weights see
+changes of label in both directions. Labelling is one narrow pass over whole texts, vectorised per Arrow batch.
 
 Defined results: null text counts as empty; an empty or blank text has no words, fails the base rules
 and is not kept; without labels of both kinds every line is content; repeated rows are labelled one by one.
@@ -163,13 +164,13 @@ def chain_gradient(scores: np.ndarray, pairs: np.ndarray, labels: np.ndarray) ->
     return by_line, both, float(likely)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights per feature and label and per pair of labels, from (features of the lines, label)."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights per feature and label and per pair of labels, from (features, labels) of the lines."""
     weights, pairs = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
     squares, pair_squares = np.full_like(weights, 1e-3), np.full_like(pairs, 1e-3)
     for _ in range(epochs):
-        for features, label in rows:
-            by_line, both, _ = chain_gradient(features @ weights, pairs, np.full(len(features), label))
+        for features, labels in rows:
+            by_line, both, _ = chain_gradient(features @ weights, pairs, labels)
             step = features.T @ by_line / len(features) - 1e-4 * weights
             both = both / len(features)
             squares += step ** 2
@@ -179,12 +180,26 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, rate: float =
     return weights, pairs
 
 
+def mixed_chains(rows: list[tuple[str, int]]) -> list[tuple[str, np.ndarray]]:
+    """(text, label of each line): texts with one of the other label in the middle, in turn; the rarer label is used again."""
+    kinds = [[t.split("\n") for t, y in rows if y == label] for label in (0, 1)]
+    out = []
+    for i in range(max(map(len, kinds)) if all(kinds) else 0):
+        outer = i % 2
+        host, guest = (kinds[y][i % len(kinds[y])] for y in (outer, 1 - outer))
+        at = (len(host) + i // 2 % 2) // 2  # of an even number of lines the middle, of others either side of it
+        labels = np.full(len(host) + len(guest), outer)
+        labels[at:at + len(guest)] = 1 - outer
+        out.append(("\n".join(host[:at] + guest + host[at:]), labels))
+    return out
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        lines = Lines([t or "" for t in batch.column("text").to_pylist()], WordHashes())
-        rows += [(lines.features[a:b], y) for a, b, y in zip(lines.cuts, lines.cuts[1:], batch.column("quality").to_pylist())]
-    weights, pairs = fit(rows)
+        rows += [(t or "", y) for t, y in zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist())]
+    words = WordHashes()
+    weights, pairs = fit([(Lines([text], words).features, labels) for text, labels in mixed_chains(rows)])
     yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()]), pa.array([pairs.ravel().tolist()])], names=["weights", "pairs"])
 
 
