@@ -105,7 +105,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out, own = [np.empty(0, np.uint64)], _band_of(size)
     totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(elements ^ SALT), dtype=np.uint64)])
-    for band in [own] + [own + 1] * (size * 100 // percent >= bands()[own + 1][0]):
+    for band in range(own, _band_of(size * 100 // percent) + 1):  # of every larger set that can be linked
         k, n1, borders = scheme(band, percent)
         if k == 0:  # only equal sets are similar enough
             continue
