@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
@@ -15,8 +16,8 @@ from tillstream.session import cut_lineage, ensure_checkpoint_dir
 WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-__all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "broadcast_if_small", "cut_lineage", "ensure_checkpoint_dir",
-           "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "stored", "text_or_empty"]
+__all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "broadcast_if_small", "byte_batches", "cut_lineage",
+           "ensure_checkpoint_dir", "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "stored", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +34,23 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def byte_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about `size` bytes, or one row if that is longer, for the jobs run inside the block.
+
+    The caller's settings are put back at the end, so a lazy frame must be written (`stored`) inside.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000000"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it from there.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillstream.llm import (block_names, chat_trees, licence_rules, line_crf, mixing, partenum, sampled_pieces, secret_scan,
+from tillstream.llm import (block_names, chat_trees, licence_rules, line_crf, mixing, partenum, pii, sampled_pieces, secret_scan,
                             toxicity, wavelet)
 from tillstream.llm.common import read, text_or_empty
 
@@ -139,3 +139,12 @@ def op9_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_wavelet_shards")
 def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_pii_spans")
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(read(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k.name) for k in pii.BASE], F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+                        listed("spans").alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
