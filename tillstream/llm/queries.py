@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillstream.llm import (block_names, chat_trees, licence_rules, line_crf, mixing, partenum, pii, sampled_pieces, secret_scan,
-                            toxicity, wavelet)
+from tillstream.llm import (bit_search, block_names, chat_trees, licence_rules, line_crf, mixing, partenum, pii,
+                            sampled_pieces, secret_scan, toxicity, wavelet)
 from tillstream.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,21 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op11_bit_search", f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '{bit_search.TERM}') AS terms FROM documents),
+c AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM d WHERE len(terms) > 0),
+t AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term, docs),
+q AS (SELECT item_id, unnest(regexp_extract_all({SQL_LOWER}, '{bit_search.TERM}')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""")
+def op11_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op12_pii_spans")
 def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(read(spark, sf_dir, "documents"))
