@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillstream.llm import (bit_search, block_names, chat_trees, licence_rules, line_crf, mixing, partenum, pii,
+from tillstream.llm import (bit_search, block_names, chat_trees, collocations, licence_rules, line_crf, mixing, partenum, pii,
                             sampled_pieces, secret_scan, toxicity, wavelet)
 from tillstream.llm.common import read, text_or_empty
 
@@ -163,3 +163,26 @@ def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k.name) for k in pii.BASE], F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
                         listed("spans").alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
+
+
+@query("op13_toivonen_phrases", f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({SQL_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+o AS (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(words) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS many, string_split(phrase, ' ') AS words FROM o GROUP BY lang, size, phrase),
+n AS (SELECT lang, CAST(sum(many) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size > 1 AND many >= 30),
+i AS (SELECT c.lang, c.many, array_to_string(c.words[s.s:s.s + m.m - 1], ' ') AS phrase FROM c, (VALUES (2), (3)) AS m(m), (VALUES (1), (2), (3)) AS s(s)
+      WHERE m.m < c.size AND s.s + m.m - 1 <= c.size),
+x AS (SELECT lang, phrase, max(many) AS around FROM i GROUP BY lang, phrase),
+k AS (SELECT c.lang, c.phrase, c.many AS a, k.k, array_to_string(c.words[1:k.k], ' ') AS head, array_to_string(c.words[k.k + 1:], ' ') AS tail
+      FROM c LEFT JOIN x ON x.lang = c.lang AND x.phrase = c.phrase, (VALUES (1), (2), (3)) AS k(k)
+      WHERE k.k < c.size AND (x.around IS NULL OR 100 * x.around < 80 * c.many)),
+t AS (SELECT k.lang, k.phrase, k.a, k.k, h.many AS l, r.many AS r, CAST((2000000 * CAST(k.a AS HUGEINT)) // (h.many + r.many) AS BIGINT) AS score
+      FROM k JOIN f h ON h.lang = k.lang AND h.phrase = k.head JOIN f r ON r.lang = k.lang AND r.phrase = k.tail),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000""")
+def op13_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
