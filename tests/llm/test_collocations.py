@@ -70,17 +70,27 @@ def test_equals_brute_force(spark, seed, least, share, bits):
     assert result(got) == brute(rows, least, 40)
 
 
-def test_border_failures_are_closed(spark, monkeypatch):
+def spelt(found, names):
+    word = {r.w1: (r.lang, r.word) for r in names.collect()}
+    return {(word[r.w1][0], " ".join(word[w][1] for w in (r.w1, r.w2, r.w3, r.w4) if w)): r.many for r in found.collect()}
+
+
+def with_totals(counts):
+    totals = Counter()
+    for (lang, phrase), c in counts.items():
+        totals[lang, ""] += c * (" " not in phrase)
+    return counts + totals
+
+
+def test_border_failures_are_closed_by_one_expansion(spark, monkeypatch):
     rows, passes = corpus(4, 150), []
     real = collocations._count
-    monkeypatch.setattr(collocations, "_count", lambda *a: passes.append(a[3]) or real(*a))
-    # Rows of the sample have nothing in common with the others: every level fails once.
+    monkeypatch.setattr(collocations, "_count", lambda *a, **k: passes.append(k) or real(*a, **k))
     docs = frame_of(spark, rows)
-    monkeypatch.setattr(type(docs), "sample", lambda self, share, seed: self.limit(0))
-    found = collocations.frequent_phrases(docs, least=4, batch_bytes=4 << 10)
-    assert passes.count(collocations.LONGEST) == collocations.LONGEST
-    want = {k: c for k, c in brute_counts(rows).items() if c >= 4}
-    assert {(r.lang, r.phrase): r.many for r in found.filter("size > 0").collect()} == want
+    monkeypatch.setattr(type(docs), "sample", lambda self, share, seed: self.limit(0))  # proposes nothing
+    found = spelt(*collocations.frequent_phrases(docs, least=4, batch_bytes=4 << 10))
+    assert passes[-1] == {"expand": True} and passes.count({"expand": True}) == 1
+    assert found == {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
 
 
 def test_a_full_filter_loses_nothing(spark, monkeypatch):
@@ -89,31 +99,78 @@ def test_a_full_filter_loses_nothing(spark, monkeypatch):
     assert result(collocations.collocations(frame_of(spark, rows), least=3)) == brute(rows, 3, 2000)
 
 
+def test_equal_names_are_mined_again(spark, monkeypatch):
+    rows, real, seeds = corpus(7, 60), collocations.word_names, set()
+
+    def names(words, langs, codes, seed):
+        seeds.add(seed)
+        out = real(words, langs, codes, seed)
+        return out % np.uint64(40) + np.uint64(1) if seed == collocations.SEED else out
+    monkeypatch.setattr(collocations, "word_names", names)
+    monkeypatch.setattr(collocations, "_count", in_process(collocations))
+    monkeypatch.setattr(collocations, "_words_of_names", lambda texts, phrases, bits, seed: words_in_process(spark, rows, phrases, seed))
+    found = spelt(*collocations.frequent_phrases(frame_of(spark, rows), least=4))
+    assert seeds == {collocations.SEED, collocations.SEED + 1}
+    assert found == {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
+
+
+def in_process(module):
+    """`_count` in this process, where a patched function is seen."""
+    def count(texts, now, before, longest, seed, expand=False):
+        rows, total = texts.collect(), Counter()
+        for columns, many in module.counted([bytes(r.text or b"") for r in rows], [r.lang for r in rows], now, before, longest, seed, expand):
+            signed = [c.view(np.int64).tolist() for c in columns] + [[0] * len(many)] * (4 - len(columns))
+            total.update(dict(zip(zip(*signed), many.tolist()))) if len(many) == len(set(zip(*signed))) else [total.update({k: n}) for k, n in zip(zip(*signed), many.tolist())]
+        return texts.sparkSession.createDataFrame([(*k, n) for k, n in total.items()], "w1 long, w2 long, w3 long, w4 long, many long")
+    return count
+
+
+def words_in_process(spark, rows, phrases, seed):
+    wanted = {r.w1 for r in phrases.filter("w2 = 0").collect()}
+    pairs = sorted({k for k in with_totals(brute_counts(rows)) if " " not in k[1]})
+    codes = sorted({g for g, _ in pairs})
+    names = collocations.word_names([w.encode() for _, w in pairs], np.array([codes.index(g) for g, _ in pairs]), codes, seed).view(np.int64).tolist()
+    return spark.createDataFrame([(n, g, w) for n, (g, w) in zip(names, pairs) if n in wanted], "w1 long, lang string, word string")
+
+
+def filter_of(phrases, seed=collocations.SEED):
+    codes = sorted({g for g, _ in phrases})
+    now = collocations._nothing(1 << 18)
+    for lang, phrase in phrases:
+        at = codes.index(lang)
+        parts = [collocations.word_names([w.encode()], np.array([at]), codes, seed) for w in phrase.split(" ")]
+        place = collocations.Filter.places(collocations.phrase_names(parts), now.bits).ravel()
+        np.bitwise_or.at(now.words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    return now
+
+
 def test_passes_count_each_phrase_once():
     rows = corpus(6, 60)
     texts, langs = [(t or "").encode() for t, _ in rows], [g or "und" for _, g in rows]
     want, seen, before = brute_counts(rows), Counter(), None
+    codes = sorted(set(langs))
+    word = {}
+    for lang, phrase in with_totals(want):
+        if " " not in phrase:
+            word[collocations.word_names([phrase.encode()], np.array([codes.index(lang)]), codes, collocations.SEED)[0]] = (lang, phrase)
     for threshold in (10, 4, 2, 1):
-        often = [k for k, c in want.items() if c >= threshold]
-        now = collocations._nothing(1 << 18)
-        at = collocations.Filter.places(collocations.phrase_names([g for g, _ in often], [p for _, p in often]), now.bits).ravel()
-        np.bitwise_or.at(now.words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-        for batch in collocations.counted(texts, langs, now, before):
-            for r in batch.to_pylist():
-                if r["size"]:
-                    assert (r["lang"], r["phrase"]) not in seen
-                    seen[r["lang"], r["phrase"]] = r["many"]
+        now = filter_of([k for k, c in want.items() if c >= threshold])
+        for columns, many in collocations.counted(texts, langs, now, before):
+            for *names, n in zip(*columns, many):
+                key = word[names[0]][0], " ".join(word[x][1] for x in names)
+                assert key not in seen
+                seen[key] = n
         before = now
-    assert seen == want
+    assert seen == with_totals(want)
 
 
 def test_large_counts_are_exact(spark, monkeypatch):
     big = 4 * 10 ** 18
-    counts = [("en", 0, "", big), ("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 7)]
-    frame = spark.createDataFrame(counts, collocations.COUNTS)
-    monkeypatch.setattr(collocations, "frequent_phrases", lambda *a: frame)
-    row, = collocations.collocations(frame).collect()
-    assert row.score == 2_000_000 * (big - 7) // (2 * big - 1) and (row.a, row.l, row.r, row.n) == (big - 7, big, big - 1, big)
+    found = spark.createDataFrame([(9, 0, 0, 0, big), (1, 0, 0, 0, big), (2, 0, 0, 0, big - 1), (1, 2, 0, 0, big - 7)], "w1 long, w2 long, w3 long, w4 long, many long")
+    names = spark.createDataFrame([(9, "en", ""), (1, "en", "a"), (2, "en", "b")], "w1 long, lang string, word string")
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda *a: (found, names))
+    row, = collocations.collocations(None).collect()
+    assert row.score == 2_000_000 * (big - 7) // (2 * big - 1) and (row.phrase, row.a, row.l, row.r, row.n) == ("a b", big - 7, big, big - 1, big)
 
 
 def test_odd_rows_and_empty_tables(spark, odd):

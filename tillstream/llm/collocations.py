@@ -7,17 +7,19 @@ parts at most, so mining goes by levels:
    gives the phrases that are probably frequent, S;
 2. a full pass counts, exactly, every phrase whose two longest parts (without its last, without its first word) are
    in S: these are S and its negative border. All single words are counted;
-3. a counted phrase that proves frequent but is missing in S is a failure of the border: S takes it up, and a
-   further pass counts what the larger S adds, until nothing is missing. Then every frequent phrase has been
-   counted, by induction on its length.
+3. a counted phrase that proves frequent but is missing in S is a failure of the border: S takes it up, and an
+   expansion pass counts what that adds. There a phrase that is counted for the first time may be
+   a part too, so what it leads to is counted in the same pass, and the mining is closed: by induction on its
+   length every frequent phrase has been counted.
 
 S travels to the tasks as a Bloom filter of `FILTER_BITS` bits at most, whatever its size. A false
 positive makes tasks count one phrase more, which is exact all the same; beyond its capacity the filter
 passes more, and never loses any. S itself and all counts are tables.
 
-Tasks count the phrases of some megabytes of text before anything is shuffled, by integer names of their words that
-are exact within the batch; between tasks the phrase itself is the key. So a word or passage that
-every document has is one row per batch.
+Tasks count the phrases of some megabytes of text before anything is shuffled, so a word or passage that every
+document has is one row per batch. Between tasks a phrase is the sequence of its words' 64-bit names (a word of a lang
+has one name). At the end the frequent words are read once more with their names; should two of one name come up, all is
+mined again with another seed, so counts are exact. A lang's words together count as the empty word.
 
 Defined results: a null lang is `und`; null and empty texts have no words; repeated rows count each time; an
 empty table gives no phrases; other columns of any name are left out.
@@ -38,8 +40,8 @@ from tillstream.llm.common import byte_batches, mix64, stored
 
 LONGEST = 4
 LEAST = 30
-SHARE = 0.25
-SLACK = 0.4
+SHARE = 0.125
+SLACK = 0.5
 WITHIN = 80  # a phrase goes if a longer one around it has this share of its count, in percent
 FILTER_BITS = 1 << 27
 HASHES = 3
@@ -47,7 +49,7 @@ SEED = 7
 
 # Bytes in lower case; a tab is a space, and what ends a piece a line feed.
 _BREAKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
-COUNTS = "lang string, size int, phrase string, many long"
+NAMES = [f"w{k}" for k in range(1, LONGEST + 1)]  # a word's name each, 0 beyond the last
 
 
 class Filter(NamedTuple):
@@ -80,114 +82,104 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, n
             np.cumsum((kind == 1) | (kind == 2))[real])
 
 
-def _names(words: list[bytes], langs: np.ndarray, codes: list[str]) -> np.ndarray:
-    """64-bit names of words of a lang, for the filter."""
-    lang = np.fromiter((xxhash.xxh3_64_intdigest(c.encode()) for c in codes), np.uint64, len(codes))
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return mix64(word ^ mix64(lang[langs]))
+def word_names(words: list[bytes], langs: np.ndarray, codes: list[str], seed: int) -> np.ndarray:
+    """64-bit names, not 0, of words of a lang; `langs` are places in `codes`."""
+    lang = np.fromiter((xxhash.xxh3_64_intdigest(c.encode(), seed) for c in codes), np.uint64, len(codes))
+    word = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return np.maximum(mix64(word ^ mix64(lang[langs])), np.uint64(1))
 
 
 def _longer(names: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Names of phrases that go on with a word."""
+    """Names, for the filter, of phrases that go on with a word."""
     return mix64(names * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the number of each key among them, and how often each comes."""
-    kept, number, many = np.unique(keys, return_inverse=True, return_counts=True)
-    return kept, number, many
+def phrase_names(columns: list[np.ndarray]) -> np.ndarray:
+    """Names, for the filter, of sequences of word names."""
+    out = columns[0].copy()
+    for word in columns[1:]:
+        more = word != 0
+        out[more] = _longer(out[more], word[more])
+    return out
+
+
+def _langs_of(text: np.ndarray, langs: list[str]) -> tuple[np.ndarray, list[str]]:
+    codes = sorted(set(langs))
+    number = {c: i for i, c in enumerate(codes)}
+    return np.array([number[x] for x in langs], np.int64)[text], codes
 
 
-def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter | None, longest: int = LONGEST) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a batch that `now` admits and `before` did not (none: nothing has been counted yet).
+def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter | None, longest: int = LONGEST, seed: int = SEED,
+            expand: bool = False) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns of word names, counts) of the phrases of a batch that `now` admits and `before` did not.
 
-    A phrase is admitted if its two longest parts are admitted and in the filter; words always are. With the
-    words, all of a lang's words are counted together, as size 0.
+    A phrase is admitted if its two longest parts are admitted and in the filter; with `expand` also if they are
+    counted here for the first time. Words always are admitted, and count if nothing has been counted before (none).
     """
     words, at, text, piece = words_of(texts)
     if not len(at):
         return
-    codes = sorted(set(langs))
-    lang_of = np.array([codes.index(x) for x in langs])[text] if len(codes) > 1 else np.zeros(len(at), np.int64)
-    # Level 1: words of a lang. `unit` is the number of each occurrence's phrase, -1 if it is not counted.
-    kept, unit, many = _distinct(lang_of * len(words) + at)
-    lang, last = kept // len(words), kept % len(words)
-    words_at = unit
-    one = names = _names([words[i] for i in last], lang, codes)
-    phrases = [words[i] for i in last]
-    fresh = np.full(len(kept), before is None)
-    admitted = [np.ones(len(kept), bool), np.full(len(kept), before is not None)]  # by now, by before
+    lang_of, codes = _langs_of(text, langs)
+    # `unit` is the number of each occurrence's phrase, -1 if it is not counted.
+    kept, unit, many = np.unique(lang_of * len(words) + at, return_inverse=True, return_counts=True)
+    lang, word = kept // len(words), kept % len(words)
+    word_at, one = unit, word_names([words[i] for i in word], lang, codes, seed)
+    names, columns = one, [one]
     if before is None:
-        total = np.bincount(lang, many, len(codes)).astype(np.int64)
-        yield _emitted(codes, 0, [b""] * len(codes), total)
+        used, start = np.unique(lang, return_index=True)
+        yield [word_names([b""] * len(used), used, codes, seed)], np.add.reduceat(many, start)
+    admitted, known = np.ones(len(kept), bool), np.full(len(kept), before is not None)  # by now, by before
     for size in range(1, longest + 1):
+        fresh = admitted & ~known
         if fresh.any():
-            yield _emitted([codes[x] for x in lang[fresh]], size, [p for p, f in zip(phrases, fresh) if f], many[fresh])
-        if size == longest:
+            yield [c[fresh] for c in columns], many[fresh]
+        if size == longest or len(unit) < 2:
             return
-        open_ = [a & f.holds(names) if f else a for a, f in zip(admitted, (now, before))]
-        usable = np.append(open_[0], False)[unit]  # -1 finds the appended one
-        place = np.flatnonzero(usable[:-1] & usable[1:] & (piece[size:] == piece[:len(piece) - size]) if len(unit) > 1 else [])
+        held = now.holds(names)
+        usable = np.append(admitted & (held | fresh if expand else held), False)[unit]  # -1 finds the appended one
+        place = np.flatnonzero(usable[:-1] & usable[1:] & (piece[size:] == piece[:len(piece) - size]))
         if not len(place):
             return
-        left, right = unit[place], unit[place + 1]
-        kept, number, many = _distinct(left * len(names) + right)
+        was = known & before.holds(names) if before else np.zeros(len(names), bool)
+        kept, number, many = np.unique(unit[place] * len(names) + unit[place + 1], return_inverse=True, return_counts=True)
         left, right = kept // len(names), kept % len(names)
-        fresh_before = open_[1][left] & open_[1][right]
-        admitted = [np.ones(len(kept), bool), fresh_before]
-        fresh = ~fresh_before
-        first = np.full(len(kept), len(place))
-        first[number[::-1]] = place[::-1]
-        ends = words_at[first + size]  # the last word of each phrase
-        phrases = [phrases[a] + b" " + words[w] for a, w in zip(left, last[ends])]
-        names = _longer(names[left], one[ends])
-        lang = lang[left]
-        new = np.full(len(unit) - 1, -1)
-        new[place] = number
-        unit = new
-
-
-def _emitted(langs: list[str], size: int, phrases: list[bytes], many: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(np.full(len(many), size), pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()),
-         pa.array(many, pa.int64())], names=["lang", "size", "phrase", "many"])
+        admitted, known = np.ones(len(kept), bool), was[left] & was[right]
+        somewhere = np.empty(len(kept), np.int64)
+        somewhere[number] = place
+        last = one[word_at[somewhere + size]]
+        names, columns = _longer(names[left], last), [c[left] for c in columns] + [last]
+        unit = np.full(len(unit) - 1, -1)
+        unit[place] = number
 
 
 def _nothing(bits: int) -> Filter:
     return Filter(bits, np.zeros(bits >> 6, np.uint64))
 
 
-def _count(texts: DataFrame, now: Filter, before: Filter | None, longest: int) -> DataFrame:
+def _count(texts: DataFrame, now: Filter, before: Filter | None, longest: int, seed: int, expand: bool = False) -> DataFrame:
+    """w1..w4, many: counts of a pass over all rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from counted([t or b"" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist(), now, before, longest)
-    return texts.mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("many").alias("many"))
+            for columns, many in counted([t or b"" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist(), now, before, longest, seed, expand):
+                empty = np.zeros(len(many), np.int64)
+                found = [c.view(np.int64) for c in columns] + [empty] * (LONGEST - len(columns)) + [many]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=[*NAMES, "many"])
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in (*NAMES, "many"))).groupBy(*NAMES).agg(F.sum("many").alias("many"))
 
 
-def phrase_names(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """The names that `counted` gives to phrases."""
-    codes = sorted(set(langs))
-    number = {c: i for i, c in enumerate(codes)}
-    parts = [p.encode().split(b" ") for p in phrases]
-    words = _names([w for p in parts for w in p], np.array([number[x] for x, p in zip(langs, parts) for _ in p], np.int64), codes)
-    ends = np.cumsum([len(p) for p in parts])
-    at = ends - [len(p) for p in parts]
-    out = words[at].copy()
-    for k in range(1, LONGEST):
-        more = at + k < ends
-        out[more] = _longer(out[more], words[at[more] + k])
-    return out
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy().view(np.uint64) for c in NAMES]
 
 
 def _filter_of(phrases: DataFrame, bits: int) -> Filter:
-    """Filter of (lang, phrase); at most bits / 64 rows of two numbers reach the driver."""
+    """Filter of phrases; at most bits / 64 rows of two numbers reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(Filter.places(phrase_names(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()), bits)) if batch.num_rows else np.empty(0, np.uint64)
+            at = np.unique(Filter.places(phrase_names(_columns(batch)), bits))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
                                              names=["place", "bit"])
-    found = phrases.select("lang", "phrase").mapInArrow(run, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(max(1, bits >> 6), np.uint64)
+    found = phrases.select(*NAMES).mapInArrow(run, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits >> 6, np.uint64)
     words[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Filter(bits, words)
 
@@ -196,39 +188,68 @@ def _missing(phrases: DataFrame, held: Filter) -> DataFrame:
     """Phrases that the filter does not hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                lost = ~held.holds(phrase_names(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()))
-                yield batch.filter(pa.array(lost))
-    return phrases.select("lang", "phrase").mapInArrow(run, "lang string, phrase string")
+            yield batch.filter(pa.array(~held.holds(phrase_names(_columns(batch)))))
+    return phrases.select(*NAMES).mapInArrow(run, ", ".join(f"{c} long" for c in NAMES))
 
 
-def _closed(texts: DataFrame, least: int, longest: int, now: Filter, before: Filter | None) -> DataFrame:
-    """Frequent phrases by passes from the filter `now` on, until it holds all that are shorter than `longest`.
+def _shorter(phrases: DataFrame, longest: int) -> DataFrame:
+    return phrases.filter(F.col(NAMES[longest - 1]) == 0)
+
+
+def _levels(texts: DataFrame, least: int, longest: int, bits: int, seed: int) -> tuple[DataFrame, int]:
+    """Frequent phrases of a sample, one pass a level, and the bits of a filter that holds them (`bits` at most)."""
+    found = often = stored(_count(texts, _nothing(64), None, 1, seed).filter(F.col("many") >= least))
+    size, wanted = 1 << 16, 64 * often.count()
+    while size < min(bits, wanted):
+        size <<= 1
+    before, now = _nothing(size), _filter_of(often, size)
+    for length in range(2, longest + 1):
+        often = stored(_count(texts, now, before, length, seed).filter(F.col("many") >= least))
+        found = found.unionByName(often)
+        before, now = now, Filter(size, now.words | _filter_of(often, size).words)
+    return found, size
 
-    What `before` admits is counted already. Started with nothing, this mines level by level.
-    """
-    found = None
-    while True:
-        often = stored(_count(texts, now, before, longest).filter((F.col("many") >= least) | (F.col("size") == 0)))
-        found = often if found is None else found.unionByName(often)
-        failed = stored(_missing(often.filter(F.col("size").between(1, longest - 1)), now))
-        if failed.isEmpty():
-            return found
-        now, before = Filter(now.bits, now.words | _filter_of(failed, now.bits).words), now
+
+def _words_of_names(texts: DataFrame, phrases: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(w1, lang, word) of the single words among `phrases`."""
+    held = _filter_of(phrases.filter(F.col(NAMES[1]) == 0), bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, at, text, _ = words_of([t or b"" for t in batch.column("text").to_pylist()])
+            if not len(at):
+                continue
+            lang_of, codes = _langs_of(text, batch.column("lang").to_pylist())
+            kept = np.unique(lang_of * len(words) + at)
+            lang, word = np.append(kept // len(words), np.arange(len(codes))), [words[i] for i in kept % len(words)] + [b""] * len(codes)
+            names = word_names(word, lang, codes, seed)
+            wanted = np.flatnonzero(held.holds(names))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[wanted].view(np.int64)), pa.array([codes[lang[i]] for i in wanted], pa.string()),
+                 pa.array([word[i] for i in wanted], pa.binary()).cast(pa.string())], names=["w1", "lang", "word"])
+    listed = texts.mapInArrow(run, "w1 long, lang string, word string").distinct()
+    return listed.join(phrases.filter(F.col(NAMES[1]) == 0).select("w1"), "w1", "left_semi")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, share: float = SHARE, bits: int = FILTER_BITS,
-                     batch_bytes: int = 8 << 20) -> DataFrame:
-    """(lang, size, phrase, many) of all phrases of 1 to `LONGEST` words that come `least` times; size 0: all words of a lang."""
+                     batch_bytes: int = 8 << 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Phrases of 1 to `LONGEST` words that come `least` times: (w1..w4, many), and the words behind names: (w1, lang, word).
+
+    The empty word of a lang stands for all its words.
+    """
     texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     with byte_batches(docs.sparkSession, batch_bytes):
-        sample, lowest = texts.sample(share, SEED), max(2, int(share * least * SLACK))
-        words = stored(_count(sample, _nothing(64), None, 1).filter((F.col("many") >= lowest) & (F.col("size") == 1)))
-        size, wanted = 1 << 16, 64 * words.count()
-        while size < min(bits, wanted):
-            size <<= 1
-        proposed = words.unionByName(_closed(sample, lowest, LONGEST - 1, _filter_of(words, size), _nothing(size)))
-        return _closed(texts, least, LONGEST, _filter_of(proposed, size), None)
+        proposed, size = _levels(texts.sample(share, SEED), max(2, int(share * least * SLACK)), LONGEST - 1, bits, seed)
+        now = _filter_of(proposed, size)
+        found = stored(_count(texts, now, None, LONGEST, seed).filter(F.col("many") >= least))
+        failed = stored(_missing(_shorter(found, LONGEST), now))
+        if not failed.isEmpty():
+            wider = Filter(size, now.words | _filter_of(failed, size).words)
+            found = found.unionByName(stored(_count(texts, wider, now, LONGEST, seed, expand=True).filter(F.col("many") >= least)))
+        words = stored(_words_of_names(texts, found, size, seed))
+    if not words.groupBy("w1").count().filter("count > 1").isEmpty():
+        return frequent_phrases(docs, least, share, bits, batch_bytes, seed + 1)
+    return found, words
 
 
 def _wide(column: str) -> Column:
@@ -241,23 +262,27 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = LEAST, share: fl
     A phrase of count a is cut after its first k words, which come l times, the rest r times; the cut of the lowest
     floor(2000000 a / (l + r)) counts, then the smallest k. A phrase inside a longer one that comes nearly as often goes.
     """
-    found = frequent_phrases(docs, least, share, bits)
-    counts, totals = found.filter("size > 0"), found.filter("size = 0").select("lang", F.col("many").alias("n"))
-    many = counts.select("lang", F.col("phrase").alias("part"), "many")
-    longer = counts.filter(F.col("size") > 1).withColumn("words", F.split("phrase", " "))
-    part = lambda start, length: F.array_join(F.slice("words", start, length), " ")
-    # The count of the longest common container of each phrase decides: one row per phrase and part.
+    found, names = frequent_phrases(docs, least, share, bits)
+    counts = found.select(F.filter(F.array(*NAMES), lambda w: w != 0).alias("words"), "many").withColumn("size", F.size("words"))
+    longer = counts.filter("size > 1")
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(
-        F.sequence(F.lit(1), F.col("size") - m + 1), lambda s: F.array_join(F.slice("words", s, m), " "))))
-    around = longer.filter(F.col("size") > 2).select("lang", "many", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("many").alias("around"))
-    kept = longer.join(around, ["lang", "phrase"], "left").filter(
+        F.sequence(F.lit(1), F.col("size") - m + 1), lambda s: F.slice("words", s, m))))
+    around = longer.filter("size > 2").select("many", F.explode(inner).alias("words")).groupBy("words").agg(F.max("many").alias("around"))
+    kept = longer.join(around, "words", "left").filter(
         F.col("around").isNull() | (F.lit(100) * _wide("around") < F.lit(WITHIN) * _wide("many")))
-    cuts = kept.select("lang", "phrase", F.col("many").alias("a"), "size", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
-    named = lambda name, count: many.select("lang", F.col("part").alias(name), F.col("many").alias(count))
-    cuts = cuts.join(named("head", "l"), ["lang", "head"]).join(named("tail", "r"), ["lang", "tail"])
+    cuts = kept.select("words", F.col("many").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    cuts = cuts.select("words", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("head"), F.slice("words", F.col("k") + 1, F.col("size")).alias("tail"))
+    named = lambda name, count: counts.select(F.col("words").alias(name), F.col("many").alias(count))
+    cuts = cuts.join(named("head", "l"), "head").join(named("tail", "r"), "tail")
     cuts = cuts.withColumn("score", F.expr("2000000 * cast(a AS decimal(31,0)) div (cast(l AS decimal(20,0)) + r)"))
-    worst = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")).select("lang", "phrase", "cut.*")
+    worst = cuts.groupBy("words").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")).select("words", "cut.*")
+    first = worst.withColumn("w1", F.col("words")[0]).join(names.select("w1", "lang"), "w1")
+    # Ties at the end stay until the words are known.
+    by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    best = first.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top).drop("place", "k", "w1")
+    spelt = best.select("words", F.posexplode("words").alias("at", "w1")).join(names.select("w1", "word"), "w1").groupBy("words").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    totals = names.filter("word = ''").join(found.filter(F.col(NAMES[1]) == 0).select("w1", F.col("many").alias("n")), "w1").select("lang", "n")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = worst.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    last = best.join(spelt, "words").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    return last.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
