@@ -46,6 +46,7 @@ WITHIN = 80  # a phrase goes if a longer one around it has this share of its cou
 FILTER_BITS = 1 << 27
 HASHES = 3
 SEED = 7
+ROWS = 32_768  # counts handed over at once
 
 # Bytes in lower case; a tab is a space, and what ends a piece a line feed.
 _BREAKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -163,7 +164,8 @@ def _count(texts: DataFrame, now: Filter, before: Filter | None, longest: int, s
             for columns, many in counted([t or b"" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist(), now, before, longest, seed, expand):
                 empty = np.zeros(len(many), np.int64)
                 found = [c.view(np.int64) for c in columns] + [empty] * (LONGEST - len(columns)) + [many]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=[*NAMES, "many"])
+                for low in range(0, len(many), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[low:low + ROWS]) for c in found], names=[*NAMES, "many"])
     return texts.mapInArrow(run, ", ".join(f"{c} long" for c in (*NAMES, "many"))).groupBy(*NAMES).agg(F.sum("many").alias("many"))
 
 
@@ -232,7 +234,7 @@ def _words_of_names(texts: DataFrame, phrases: DataFrame, bits: int, seed: int)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, share: float = SHARE, bits: int = FILTER_BITS,
-                     batch_bytes: int = 8 << 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+                     batch_bytes: int = 4 << 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to `LONGEST` words that come `least` times: (w1..w4, many), and the words behind names: (w1, lang, word).
 
     The empty word of a lang stands for all its words.
