@@ -82,15 +82,15 @@ def with_totals(counts):
     return counts + totals
 
 
-def test_border_failures_are_closed_by_one_expansion(spark, monkeypatch):
-    rows, passes = corpus(4, 150), []
-    real = collocations._count
-    monkeypatch.setattr(collocations, "_count", lambda *a, **k: passes.append(k) or real(*a, **k))
+def test_border_failures_are_closed(spark, monkeypatch):
+    rows, taken = corpus(4, 150), []
+    real = collocations._missing
+    monkeypatch.setattr(collocations, "_missing", lambda *a: taken.append(real(*a)) or taken[-1])
     docs = frame_of(spark, rows)
     monkeypatch.setattr(type(docs), "sample", lambda self, share, seed: self.limit(0))  # proposes nothing
     found = spelt(*collocations.frequent_phrases(docs, least=4, batch_bytes=4 << 10))
-    assert passes[-1] == {"expand": True} and passes.count({"expand": True}) == 1
-    assert found == {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
+    want = {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
+    assert found == want and taken[0].count() == sum(" " not in p for _, p in want)
 
 
 def test_a_full_filter_loses_nothing(spark, monkeypatch):
@@ -100,68 +100,58 @@ def test_a_full_filter_loses_nothing(spark, monkeypatch):
 
 
 def test_equal_names_are_mined_again(spark, monkeypatch):
-    rows, real, seeds = corpus(7, 60), collocations.word_names, set()
-
-    def names(words, langs, codes, seed):
-        seeds.add(seed)
-        out = real(words, langs, codes, seed)
-        return out % np.uint64(40) + np.uint64(1) if seed == collocations.SEED else out
-    monkeypatch.setattr(collocations, "word_names", names)
-    monkeypatch.setattr(collocations, "_count", in_process(collocations))
-    monkeypatch.setattr(collocations, "_words_of_names", lambda texts, phrases, bits, seed: words_in_process(spark, rows, phrases, seed))
+    rows, seeds, real = corpus(7, 60), [], collocations._words_of_names
+
+    def colliding(texts, names, bits, seed):
+        seeds.append(seed)
+        found = real(texts, names, bits, seed)
+        return found if len(seeds) > 1 else found.unionByName(found.limit(1).selectExpr("w1", "lang", "concat(word, 'x') AS word"))
+    monkeypatch.setattr(collocations, "_words_of_names", colliding)
     found = spelt(*collocations.frequent_phrases(frame_of(spark, rows), least=4))
-    assert seeds == {collocations.SEED, collocations.SEED + 1}
+    assert seeds == [collocations.SEED, collocations.SEED + 1]
     assert found == {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
 
 
-def in_process(module):
-    """`_count` in this process, where a patched function is seen."""
-    def count(texts, now, before, longest, seed, expand=False):
-        rows, total = texts.collect(), Counter()
-        for columns, many in module.counted([bytes(r.text or b"") for r in rows], [r.lang for r in rows], now, before, longest, seed, expand):
-            signed = [c.view(np.int64).tolist() for c in columns] + [[0] * len(many)] * (4 - len(columns))
-            total.update(dict(zip(zip(*signed), many.tolist()))) if len(many) == len(set(zip(*signed))) else [total.update({k: n}) for k, n in zip(zip(*signed), many.tolist())]
-        return texts.sparkSession.createDataFrame([(*k, n) for k, n in total.items()], "w1 long, w2 long, w3 long, w4 long, many long")
-    return count
-
-
-def words_in_process(spark, rows, phrases, seed):
-    wanted = {r.w1 for r in phrases.filter("w2 = 0").collect()}
-    pairs = sorted({k for k in with_totals(brute_counts(rows)) if " " not in k[1]})
-    codes = sorted({g for g, _ in pairs})
-    names = collocations.word_names([w.encode() for _, w in pairs], np.array([codes.index(g) for g, _ in pairs]), codes, seed).view(np.int64).tolist()
-    return spark.createDataFrame([(n, g, w) for n, (g, w) in zip(names, pairs) if n in wanted], "w1 long, lang string, word string")
-
-
-def filter_of(phrases, seed=collocations.SEED):
-    codes = sorted({g for g, _ in phrases})
-    now = collocations._nothing(1 << 18)
-    for lang, phrase in phrases:
-        at = codes.index(lang)
-        parts = [collocations.word_names([w.encode()], np.array([at]), codes, seed) for w in phrase.split(" ")]
-        place = collocations.Filter.places(collocations.phrase_names(parts), now.bits).ravel()
-        np.bitwise_or.at(now.words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+def test_equal_phrase_names_only_raise_bounds(spark, monkeypatch):
+    rows = corpus(8, 80)
+    want = {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 5}
+    everything = collocations.Filter(64, np.full(1, ~np.uint64(0)))
+    monkeypatch.setattr(collocations, "_filter_of", lambda names, bits: everything._replace(words=np.resize(everything.words, bits >> 6), bits=bits))
+    assert spelt(*collocations.frequent_phrases(frame_of(spark, rows), least=5)) == want
+
+
+def filter_of(names, bits=1 << 18):
+    now = collocations._nothing(bits)
+    place = collocations.Filter.places(np.array(names, np.uint64), bits).ravel()
+    np.bitwise_or.at(now.words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
     return now
 
 
 def test_passes_count_each_phrase_once():
     rows = corpus(6, 60)
     texts, langs = [(t or "").encode() for t, _ in rows], [g or "und" for _, g in rows]
-    want, seen, before = brute_counts(rows), Counter(), None
-    codes = sorted(set(langs))
-    word = {}
-    for lang, phrase in with_totals(want):
+    codes, want, word, name = sorted(set(langs)), with_totals(brute_counts(rows)), {}, {}
+    for lang, phrase in want:
         if " " not in phrase:
             word[collocations.word_names([phrase.encode()], np.array([codes.index(lang)]), codes, collocations.SEED)[0]] = (lang, phrase)
+
+    def phrases(now, before):
+        for names, columns, many, known in collocations.counted(texts, langs, now, before):
+            for n, *parts, count, old in zip(names, *columns, many, known):
+                key = word[parts[0]][0], " ".join(word[x][1] for x in parts)
+                name[key] = n
+                yield key, count, old
+    everything = collocations.Filter(64, np.full(1, ~np.uint64(0)))
+    assert {k: c for k, c, _ in phrases(everything, None)} == want
+    assert len(set(name.values())) == len(name)
+    seen, before = Counter(), None
     for threshold in (10, 4, 2, 1):
-        now = filter_of([k for k, c in want.items() if c >= threshold])
-        for columns, many in collocations.counted(texts, langs, now, before):
-            for *names, n in zip(*columns, many):
-                key = word[names[0]][0], " ".join(word[x][1] for x in names)
-                assert key not in seen
-                seen[key] = n
+        now = filter_of([name[k] for k, c in want.items() if c >= threshold])
+        fresh = [(k, c) for k, c, old in phrases(now, before) if not old]
+        assert not set(seen) & {k for k, _ in fresh} and len(fresh) == len(dict(fresh))
+        seen.update(dict(fresh))
         before = now
-    assert seen == with_totals(want)
+    assert seen == want
 
 
 def test_large_counts_are_exact(spark, monkeypatch):

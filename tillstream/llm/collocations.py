@@ -5,21 +5,22 @@ parts at most, so mining goes by levels:
 
 1. a sample of the rows (`share`), mined level by level for phrases that come `share * least * SLACK` times in it,
    gives the phrases that are probably frequent, S;
-2. a full pass counts, exactly, every phrase whose two longest parts (without its last, without its first word) are
-   in S: these are S and its negative border. All single words are counted;
-3. a counted phrase that proves frequent but is missing in S is a failure of the border: S takes it up, and an
-   expansion pass counts what that adds. There a phrase that is counted for the first time may be
-   a part too, so what it leads to is counted in the same pass, and the mining is closed: by induction on its
-   length every frequent phrase has been counted.
-
-S travels to the tasks as a Bloom filter of `FILTER_BITS` bits at most, whatever its size. A false
-positive makes tasks count one phrase more, which is exact all the same; beyond its capacity the filter
-passes more, and never loses any. S itself and all counts are tables.
+2. a full pass counts every phrase whose two longest parts (without its last, without its first word) are in S: these
+   are S and its negative border. All single words are counted. Phrases go by a 64-bit name here, so the sums
+   bound their counts from above; what reaches `least` may be frequent;
+3. one more pass counts the phrases that may be frequent exactly, as sequences of words. A phrase that may be frequent
+   but is missing in S is a failure of the border: S takes it up, and the same pass counts, exactly, all that this adds.
+   There a phrase that is counted for the first time may be a part too, so what it leads to is counted as
+   well, and the mining is closed: by induction on its length every frequent phrase has been counted.
+
+S travels to the tasks as a Bloom filter of `FILTER_BITS` bits at most, whatever its size, and so do the phrases that may
+be frequent. A false positive makes tasks count one phrase more, which is exact all the same; beyond its capacity
+the filter passes more, and never loses any. S itself and all counts are tables.
 
 Tasks count the phrases of some megabytes of text before anything is shuffled, so a word or passage that every
-document has is one row per batch. Between tasks a phrase is the sequence of its words' 64-bit names (a word of a lang
-has one name). At the end the frequent words are read once more with their names; should two of one name come up, all is
-mined again with another seed, so counts are exact. A lang's words together count as the empty word.
+document has is one row per batch. In exact counts a phrase is the sequence of its words' 64-bit names (a word of a
+lang has one name). At the end the frequent words are read once more with their names; should two of one name come up,
+all is mined again with another seed, so counts are exact. A lang's words together count as the empty word.
 
 Defined results: a null lang is `und`; null and empty texts have no words; repeated rows count each time; an
 empty table gives no phrases; other columns of any name are left out.
@@ -62,7 +63,7 @@ class Filter(NamedTuple):
     @staticmethod
     def places(names: np.ndarray, bits: int) -> np.ndarray:
         step = mix64(names) | np.uint64(1)
-        return (names + np.arange(HASHES, dtype=np.uint64)[:, None] * step) & np.uint64(bits - 1)
+        return (mix64(step) + np.arange(HASHES, dtype=np.uint64)[:, None] * step) & np.uint64(bits - 1)
 
     def holds(self, names: np.ndarray) -> np.ndarray:
         at = self.places(names, self.bits)
@@ -90,18 +91,9 @@ def word_names(words: list[bytes], langs: np.ndarray, codes: list[str], seed: in
     return np.maximum(mix64(word ^ mix64(lang[langs])), np.uint64(1))
 
 
-def _longer(names: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Names, for the filter, of phrases that go on with a word."""
-    return mix64(names * np.uint64(0x9E3779B97F4A7C15) + word)
-
-
-def phrase_names(columns: list[np.ndarray]) -> np.ndarray:
-    """Names, for the filter, of sequences of word names."""
-    out = columns[0].copy()
-    for word in columns[1:]:
-        more = word != 0
-        out[more] = _longer(out[more], word[more])
-    return out
+def _sized(names: np.ndarray, size: int) -> np.ndarray:
+    """Phrase names: the last two bits tell the number of words."""
+    return names & np.uint64(2 ** 64 - 4) | np.uint64(size - 1)
 
 
 def _langs_of(text: np.ndarray, langs: list[str]) -> tuple[np.ndarray, list[str]]:
@@ -111,11 +103,11 @@ def _langs_of(text: np.ndarray, langs: list[str]) -> tuple[np.ndarray, list[str]
 
 
 def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter | None, longest: int = LONGEST, seed: int = SEED,
-            expand: bool = False) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(columns of word names, counts) of the phrases of a batch that `now` admits and `before` did not.
+            expand: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(names, columns of word names, counts, whether `before` admits them) of the phrases of a batch that `now` admits.
 
-    A phrase is admitted if its two longest parts are admitted and in the filter; with `expand` also if they are
-    counted here for the first time. Words always are admitted, and count if nothing has been counted before (none).
+    A phrase is admitted if its two longest parts are admitted and in the filter; with `expand` also if `before`
+    does not admit them. Words are always admitted, by `before` too, but for none: then nothing has been counted before.
     """
     words, at, text, piece = words_of(texts)
     if not len(at):
@@ -125,112 +117,118 @@ def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter |
     kept, unit, many = np.unique(lang_of * len(words) + at, return_inverse=True, return_counts=True)
     lang, word = kept // len(words), kept % len(words)
     word_at, one = unit, word_names([words[i] for i in word], lang, codes, seed)
-    names, columns = one, [one]
-    if before is None:
-        used, start = np.unique(lang, return_index=True)
-        yield [word_names([b""] * len(used), used, codes, seed)], np.add.reduceat(many, start)
-    admitted, known = np.ones(len(kept), bool), np.full(len(kept), before is not None)  # by now, by before
+    names, columns, known = _sized(one, 1), [one], np.full(len(kept), before is not None)
+    used, start = np.unique(lang, return_index=True)
+    every = word_names([b""] * len(codes), np.arange(len(codes)), codes, seed)[used]
+    yield _sized(every, 1), [every], np.add.reduceat(many, start), known[:len(every)]
     for size in range(1, longest + 1):
-        fresh = admitted & ~known
-        if fresh.any():
-            yield [c[fresh] for c in columns], many[fresh]
+        yield names, columns, many, known
         if size == longest or len(unit) < 2:
             return
         held = now.holds(names)
-        usable = np.append(admitted & (held | fresh if expand else held), False)[unit]  # -1 finds the appended one
+        usable = np.append(held | ~known if expand else held, False)[unit]  # -1 finds the appended one
         place = np.flatnonzero(usable[:-1] & usable[1:] & (piece[size:] == piece[:len(piece) - size]))
         if not len(place):
             return
         was = known & before.holds(names) if before else np.zeros(len(names), bool)
         kept, number, many = np.unique(unit[place] * len(names) + unit[place + 1], return_inverse=True, return_counts=True)
         left, right = kept // len(names), kept % len(names)
-        admitted, known = np.ones(len(kept), bool), was[left] & was[right]
         somewhere = np.empty(len(kept), np.int64)
         somewhere[number] = place
         last = one[word_at[somewhere + size]]
-        names, columns = _longer(names[left], last), [c[left] for c in columns] + [last]
+        names = _sized(mix64(names[left] * np.uint64(0x9E3779B97F4A7C15) + last), size + 1)
+        columns, known = [c[left] for c in columns] + [last], was[left] & was[right]
         unit = np.full(len(unit) - 1, -1)
         unit[place] = number
 
 
-def _nothing(bits: int) -> Filter:
-    return Filter(bits, np.zeros(bits >> 6, np.uint64))
+def _texts(batch: pa.RecordBatch) -> tuple[list[bytes], list[str]]:
+    return [t or b"" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist()
+
 
+def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(columns[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[low:low + ROWS].view(np.int64)) for c in columns], names=names)
 
-def _count(texts: DataFrame, now: Filter, before: Filter | None, longest: int, seed: int, expand: bool = False) -> DataFrame:
-    """w1..w4, many: counts of a pass over all rows."""
+
+def _bounds(texts: DataFrame, now: Filter, before: Filter | None, longest: int, seed: int, least: int) -> DataFrame:
+    """(name, many) of what `now` admits and `before` did not, sums of `least` or more: no phrase comes more often than that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for columns, many in counted([t or b"" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist(), now, before, longest, seed, expand):
-                empty = np.zeros(len(many), np.int64)
-                found = [c.view(np.int64) for c in columns] + [empty] * (LONGEST - len(columns)) + [many]
-                for low in range(0, len(many), ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[low:low + ROWS]) for c in found], names=[*NAMES, "many"])
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in (*NAMES, "many"))).groupBy(*NAMES).agg(F.sum("many").alias("many"))
+            for names, _, many, known in counted(*_texts(batch), now, before, longest, seed):
+                yield from _sliced([names[~known], many[~known]], ["name", "many"])
+    return texts.mapInArrow(run, "name long, many long").groupBy("name").agg(F.sum("many").alias("many")).filter(F.col("many") >= least)
 
 
-def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(c).to_numpy().view(np.uint64) for c in NAMES]
+def _exact(texts: DataFrame, now: Filter, before: Filter, maybe: Filter, seed: int, least: int) -> DataFrame:
+    """w1..w4, many: phrases that come `least` times, of those that `maybe` holds and those that only `now` admits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, columns, many, known in counted(*_texts(batch), now, before, LONGEST, seed, expand=True):
+                wanted = maybe.holds(names) | ~known
+                empty = np.zeros(int(wanted.sum()), np.int64)
+                yield from _sliced([c[wanted] for c in columns] + [empty] * (LONGEST - len(columns)) + [many[wanted]], [*NAMES, "many"])
+    rows = texts.mapInArrow(run, ", ".join(f"{c} long" for c in (*NAMES, "many")))
+    return rows.groupBy(*NAMES).agg(F.sum("many").alias("many")).filter(F.col("many") >= least)
+
 
+def _nothing(bits: int) -> Filter:
+    return Filter(bits, np.zeros(bits >> 6, np.uint64))
 
-def _filter_of(phrases: DataFrame, bits: int) -> Filter:
-    """Filter of phrases; at most bits / 64 rows of two numbers reach the driver."""
+
+def _filter_of(names: DataFrame, bits: int) -> Filter:
+    """Filter of a column `name`; at most bits / 64 rows of two numbers reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(Filter.places(phrase_names(_columns(batch)), bits))
+            at = np.unique(Filter.places(batch.column("name").to_numpy().view(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
                                              names=["place", "bit"])
-    found = phrases.select(*NAMES).mapInArrow(run, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    found = names.select("name").mapInArrow(run, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(bits >> 6, np.uint64)
     words[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Filter(bits, words)
 
 
-def _missing(phrases: DataFrame, held: Filter) -> DataFrame:
-    """Phrases that the filter does not hold."""
+def _missing(names: DataFrame, held: Filter) -> DataFrame:
+    """Names of phrases shorter than the longest that the filter does not hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~held.holds(phrase_names(_columns(batch)))))
-    return phrases.select(*NAMES).mapInArrow(run, ", ".join(f"{c} long" for c in NAMES))
-
-
-def _shorter(phrases: DataFrame, longest: int) -> DataFrame:
-    return phrases.filter(F.col(NAMES[longest - 1]) == 0)
+            yield batch.filter(pa.array(~held.holds(batch.column("name").to_numpy().view(np.uint64))))
+    return names.filter(F.col("name").bitwiseAND(F.lit(3)) < LONGEST - 1).select("name").mapInArrow(run, "name long")
 
 
-def _levels(texts: DataFrame, least: int, longest: int, bits: int, seed: int) -> tuple[DataFrame, int]:
-    """Frequent phrases of a sample, one pass a level, and the bits of a filter that holds them (`bits` at most)."""
-    found = often = stored(_count(texts, _nothing(64), None, 1, seed).filter(F.col("many") >= least))
+def _levels(texts: DataFrame, least: int, bits: int, seed: int) -> Filter:
+    """Filter, of `bits` at most, of the phrases shorter than the longest that come `least` times; one pass a level."""
+    often = stored(_bounds(texts, _nothing(64), None, 1, seed, least))
     size, wanted = 1 << 16, 64 * often.count()
     while size < min(bits, wanted):
         size <<= 1
     before, now = _nothing(size), _filter_of(often, size)
-    for length in range(2, longest + 1):
-        often = stored(_count(texts, now, before, length, seed).filter(F.col("many") >= least))
-        found = found.unionByName(often)
+    for length in range(2, LONGEST):
+        often = _bounds(texts, now, before, length, seed, least)
         before, now = now, Filter(size, now.words | _filter_of(often, size).words)
-    return found, size
+    return now
 
 
-def _words_of_names(texts: DataFrame, phrases: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(w1, lang, word) of the single words among `phrases`."""
-    held = _filter_of(phrases.filter(F.col(NAMES[1]) == 0), bits)
+def _words_of_names(texts: DataFrame, names: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(w1, lang, word) of the words whose names are `w1` in `names`."""
+    held = _filter_of(names.withColumnRenamed("w1", "name"), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, at, text, _ = words_of([t or b"" for t in batch.column("text").to_pylist()])
+            texts, langs = _texts(batch)
+            words, at, text, _ = words_of(texts)
             if not len(at):
                 continue
-            lang_of, codes = _langs_of(text, batch.column("lang").to_pylist())
+            lang_of, codes = _langs_of(text, langs)
             kept = np.unique(lang_of * len(words) + at)
             lang, word = np.append(kept // len(words), np.arange(len(codes))), [words[i] for i in kept % len(words)] + [b""] * len(codes)
-            names = word_names(word, lang, codes, seed)
-            wanted = np.flatnonzero(held.holds(names))
+            named = word_names(word, lang, codes, seed)
+            wanted = np.flatnonzero(held.holds(named))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[wanted].view(np.int64)), pa.array([codes[lang[i]] for i in wanted], pa.string()),
+                [pa.array(named[wanted].view(np.int64)), pa.array([codes[lang[i]] for i in wanted], pa.string()),
                  pa.array([word[i] for i in wanted], pa.binary()).cast(pa.string())], names=["w1", "lang", "word"])
-    listed = texts.mapInArrow(run, "w1 long, lang string, word string").distinct()
-    return listed.join(phrases.filter(F.col(NAMES[1]) == 0).select("w1"), "w1", "left_semi")
+    return texts.mapInArrow(run, "w1 long, lang string, word string").distinct().join(names, "w1", "left_semi")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, share: float = SHARE, bits: int = FILTER_BITS,
@@ -241,14 +239,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, share: float = SHARE,
     """
     texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     with byte_batches(docs.sparkSession, batch_bytes):
-        proposed, size = _levels(texts.sample(share, SEED), max(2, int(share * least * SLACK)), LONGEST - 1, bits, seed)
-        now = _filter_of(proposed, size)
-        found = stored(_count(texts, now, None, LONGEST, seed).filter(F.col("many") >= least))
-        failed = stored(_missing(_shorter(found, LONGEST), now))
-        if not failed.isEmpty():
-            wider = Filter(size, now.words | _filter_of(failed, size).words)
-            found = found.unionByName(stored(_count(texts, wider, now, LONGEST, seed, expand=True).filter(F.col("many") >= least)))
-        words = stored(_words_of_names(texts, found, size, seed))
+        now = _levels(texts.sample(share, SEED), max(2, int(share * least * SLACK)), bits, seed)
+        possible = stored(_bounds(texts, now, None, LONGEST, seed, least))
+        wider = Filter(now.bits, now.words | _filter_of(_missing(possible, now), now.bits).words)
+        found = stored(_exact(texts, wider, now, _filter_of(possible, now.bits), seed, least))
+        words = stored(_words_of_names(texts, found.filter(F.col(NAMES[1]) == 0).select("w1"), now.bits, seed))
     if not words.groupBy("w1").count().filter("count > 1").isEmpty():
         return frequent_phrases(docs, least, share, bits, batch_bytes, seed + 1)
     return found, words
