@@ -80,8 +80,8 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, n
     kind = mark[at]
     real = kind == 0
     number = np.cumsum(mark == 0) - 1
-    return ([n for n, m in zip(names, mark) if not m], number[at[real]], np.cumsum(kind == 2)[real],
-            np.cumsum((kind == 1) | (kind == 2))[real])
+    return ([n for n, m in zip(names, mark) if not m], number[at[real]], np.cumsum(kind == 2, dtype=np.int32)[real],
+            np.cumsum((kind == 1) | (kind == 2), dtype=np.int32)[real])
 
 
 def word_names(words: list[bytes], langs: np.ndarray, codes: list[str], seed: int) -> np.ndarray:
@@ -113,10 +113,12 @@ def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter |
     if not len(at):
         return
     lang_of, codes = _langs_of(text, langs)
+    del text
     # `unit` is the number of each occurrence's phrase, -1 if it is not counted.
     kept, unit, many = np.unique(lang_of * len(words) + at, return_inverse=True, return_counts=True)
     lang, word = kept // len(words), kept % len(words)
     word_at, one = unit, word_names([words[i] for i in word], lang, codes, seed)
+    del at, lang_of, words
     names, columns, known = _sized(one, 1), [one], np.full(len(kept), before is not None)
     used, start = np.unique(lang, return_index=True)
     every = word_names([b""] * len(codes), np.arange(len(codes)), codes, seed)[used]
@@ -143,6 +145,8 @@ def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter |
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[list[bytes], list[str]]:
+    """Texts and langs; what Arrow holds of former batches goes back first."""
+    pa.default_memory_pool().release_unused()
     return [t or b"" for t in batch.column("text").to_pylist()], batch.column("lang").to_pylist()
 
 
@@ -232,7 +236,7 @@ def _words_of_names(texts: DataFrame, names: DataFrame, bits: int, seed: int) ->
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, share: float = SHARE, bits: int = FILTER_BITS,
-                     batch_bytes: int = 4 << 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+                     batch_bytes: int = 2 << 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to `LONGEST` words that come `least` times: (w1..w4, many), and the words behind names: (w1, lang, word).
 
     The empty word of a lang stands for all its words.
