@@ -70,8 +70,13 @@ def test_equals_brute_force(spark, seed, least, share, bits):
     assert result(got) == brute(rows, least, 40)
 
 
-def spelt(found, names):
-    word = {r.w1: (r.lang, r.word) for r in names.collect()}
+def spelt(found, seed, rows):
+    """Phrases by their words, of names."""
+    pairs = sorted({k for k in with_totals(brute_counts(rows)) if " " not in k[1]})
+    codes = sorted({g for g, _ in pairs})
+    names = collocations.word_names([w.encode() for _, w in pairs], np.array([codes.index(g) for g, _ in pairs]), codes, seed).view(np.int64).tolist()
+    word = dict(zip(names, pairs))
+    assert all(word[r.lang][1] == "" and word[r.lang][0] == word[r.w1][0] for r in found.collect())
     return {(word[r.w1][0], " ".join(word[w][1] for w in (r.w1, r.w2, r.w3, r.w4) if w)): r.many for r in found.collect()}
 
 
@@ -88,7 +93,7 @@ def test_border_failures_are_closed(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_missing", lambda *a: taken.append(real(*a)) or taken[-1])
     docs = frame_of(spark, rows)
     monkeypatch.setattr(type(docs), "sample", lambda self, share, seed: self.limit(0))  # proposes nothing
-    found = spelt(*collocations.frequent_phrases(docs, least=4, batch_bytes=4 << 10))
+    found = spelt(*collocations.frequent_phrases(docs, least=4, batch_bytes=4 << 10), rows)
     want = {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
     assert found == want and taken[0].count() == sum(" " not in p for _, p in want)
 
@@ -100,16 +105,16 @@ def test_a_full_filter_loses_nothing(spark, monkeypatch):
 
 
 def test_equal_names_are_mined_again(spark, monkeypatch):
-    rows, seeds, real = corpus(7, 60), [], collocations._words_of_names
+    rows, seeds, real = corpus(7, 60), [], collocations._exact
 
-    def colliding(texts, names, bits, seed):
+    def colliding(texts, now, before, maybe, seed):
         seeds.append(seed)
-        found = real(texts, names, bits, seed)
-        return found if len(seeds) > 1 else found.unionByName(found.limit(1).selectExpr("w1", "lang", "concat(word, 'x') AS word"))
-    monkeypatch.setattr(collocations, "_words_of_names", colliding)
-    found = spelt(*collocations.frequent_phrases(frame_of(spark, rows), least=4))
-    assert seeds == [collocations.SEED, collocations.SEED + 1]
-    assert found == {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
+        found = real(texts, now, before, maybe, seed)
+        return found if len(seeds) > 1 else found.unionByName(found.filter("w2 = 0").limit(1).selectExpr("lang", "w1", "w2", "w3 + 1 AS w3", "w4", "1L AS many"))
+    monkeypatch.setattr(collocations, "_exact", colliding)
+    found, seed = collocations.frequent_phrases(frame_of(spark, rows), least=4)
+    assert seeds == [collocations.SEED, collocations.SEED + 1] and seed == seeds[1]
+    assert spelt(found, seed, rows) == {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 4}
 
 
 def test_equal_phrase_names_only_raise_bounds(spark, monkeypatch):
@@ -117,7 +122,7 @@ def test_equal_phrase_names_only_raise_bounds(spark, monkeypatch):
     want = {k: c for k, c in with_totals(brute_counts(rows)).items() if c >= 5}
     everything = collocations.Filter(64, np.full(1, ~np.uint64(0)))
     monkeypatch.setattr(collocations, "_filter_of", lambda names, bits: everything._replace(words=np.resize(everything.words, bits >> 6), bits=bits))
-    assert spelt(*collocations.frequent_phrases(frame_of(spark, rows), least=5)) == want
+    assert spelt(*collocations.frequent_phrases(frame_of(spark, rows), least=5), rows) == want
 
 
 def filter_of(names, bits=1 << 18):
@@ -136,8 +141,8 @@ def test_passes_count_each_phrase_once():
             word[collocations.word_names([phrase.encode()], np.array([codes.index(lang)]), codes, collocations.SEED)[0]] = (lang, phrase)
 
     def phrases(now, before):
-        for names, columns, many, known in collocations.counted(texts, langs, now, before):
-            for n, *parts, count, old in zip(names, *columns, many, known):
+        for names, columns, many, known, _ in collocations.counted(texts, langs, now, before):
+            for n, *parts, count, old in zip(names, *(columns if columns[1:] and columns[1].all() else columns[:1]), many, known):
                 key = word[parts[0]][0], " ".join(word[x][1] for x in parts)
                 name[key] = n
                 yield key, count, old
@@ -156,11 +161,12 @@ def test_passes_count_each_phrase_once():
 
 def test_large_counts_are_exact(spark, monkeypatch):
     big = 4 * 10 ** 18
-    found = spark.createDataFrame([(9, 0, 0, 0, big), (1, 0, 0, 0, big), (2, 0, 0, 0, big - 1), (1, 2, 0, 0, big - 7)], "w1 long, w2 long, w3 long, w4 long, many long")
-    names = spark.createDataFrame([(9, "en", ""), (1, "en", "a"), (2, "en", "b")], "w1 long, lang string, word string")
-    monkeypatch.setattr(collocations, "frequent_phrases", lambda *a: (found, names))
-    row, = collocations.collocations(None).collect()
-    assert row.score == 2_000_000 * (big - 7) // (2 * big - 1) and (row.phrase, row.a, row.l, row.r, row.n) == ("a b", big - 7, big, big - 1, big)
+    lang, a, b = collocations.word_names([b"", b"a", b"b"], np.zeros(3, np.int64), ["en"], collocations.SEED).view(np.int64).tolist()
+    rows = [(lang, lang, 0, 0, 0, big), (lang, a, 0, 0, 0, big), (lang, b, 0, 0, 0, big - 1), (lang, a, b, 0, 0, big - 7)]
+    found = spark.createDataFrame(rows, "lang long, w1 long, w2 long, w3 long, w4 long, many long")
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda *a: (found, collocations.SEED))
+    row, = collocations.collocations(frame_of(spark, [("a b", "en")])).collect()
+    assert row.score == 2_000_000 * (big - 7) // (2 * big - 1) and tuple(row)[:7] == ("en", 1, "a b", big - 7, big, big - 1, big)
 
 
 def test_odd_rows_and_empty_tables(spark, odd):

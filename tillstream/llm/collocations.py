@@ -19,8 +19,9 @@ the filter passes more, and never loses any. S itself and all counts are tables.
 
 Tasks count the phrases of some megabytes of text before anything is shuffled, so a word or passage that every
 document has is one row per batch. In exact counts a phrase is the sequence of its words' 64-bit names (a word of a
-lang has one name). At the end the frequent words are read once more with their names; should two of one name come up,
-all is mined again with another seed, so counts are exact. A lang's words together count as the empty word.
+lang has one name). Words are counted with a second name beside it; should two words share the first one, all is mined
+again with another seed, so counts are exact. A lang's words together count as the empty word. Texts are read
+once more for the words of the phrases that are returned.
 
 Defined results: a null lang is `und`; null and empty texts have no words; repeated rows count each time; an
 empty table gives no phrases; other columns of any name are left out.
@@ -41,17 +42,19 @@ from tillstream.llm.common import byte_batches, mix64, stored
 
 LONGEST = 4
 LEAST = 30
-SHARE = 0.125
+SHARE = 0.0625
 SLACK = 0.5
 WITHIN = 80  # a phrase goes if a longer one around it has this share of its count, in percent
 FILTER_BITS = 1 << 27
 HASHES = 3
 SEED = 7
+BATCH = 2 << 20  # bytes of text
 ROWS = 32_768  # counts handed over at once
 
 # Bytes in lower case; a tab is a space, and what ends a piece a line feed.
 _BREAKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 NAMES = [f"w{k}" for k in range(1, LONGEST + 1)]  # a word's name each, 0 beyond the last
+CHECK = 1 << 32  # added to the seed of second names
 
 
 class Filter(NamedTuple):
@@ -102,9 +105,14 @@ def _langs_of(text: np.ndarray, langs: list[str]) -> tuple[np.ndarray, list[str]
     return np.array([number[x] for x in langs], np.int64)[text], codes
 
 
+def _checked(words: list[bytes], langs: np.ndarray, codes: list[str], names: np.ndarray, seed: int) -> list[np.ndarray]:
+    """Columns of single words: name, none, second name."""
+    return [names, np.zeros(len(names), np.uint64), word_names(words, langs, codes, seed + CHECK)]
+
+
 def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter | None, longest: int = LONGEST, seed: int = SEED,
-            expand: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(names, columns of word names, counts, whether `before` admits them) of the phrases of a batch that `now` admits.
+            expand: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, columns of word names, counts, whether `before` admits them, lang names) of the phrases that `now` admits.
 
     A phrase is admitted if its two longest parts are admitted and in the filter; with `expand` also if `before`
     does not admit them. Words are always admitted, by `before` too, but for none: then nothing has been counted before.
@@ -117,14 +125,15 @@ def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter |
     # `unit` is the number of each occurrence's phrase, -1 if it is not counted.
     kept, unit, many = np.unique(lang_of * len(words) + at, return_inverse=True, return_counts=True)
     lang, word = kept // len(words), kept % len(words)
-    word_at, one = unit, word_names([words[i] for i in word], lang, codes, seed)
-    del at, lang_of, words
-    names, columns, known = _sized(one, 1), [one], np.full(len(kept), before is not None)
+    words = [words[i] for i in word]
+    word_at, one = unit, word_names(words, lang, codes, seed)
+    del at, lang_of
+    names, columns, known = _sized(one, 1), _checked(words, lang, codes, one, seed) if expand else [one], np.full(len(kept), before is not None)
     used, start = np.unique(lang, return_index=True)
-    every = word_names([b""] * len(codes), np.arange(len(codes)), codes, seed)[used]
-    yield _sized(every, 1), [every], np.add.reduceat(many, start), known[:len(every)]
+    tongue = word_names([b""] * len(codes), np.arange(len(codes)), codes, seed)
+    yield _sized(tongue[used], 1), _checked([b""] * len(used), used, codes, tongue[used], seed), np.add.reduceat(many, start), known[:len(used)], tongue[used]
     for size in range(1, longest + 1):
-        yield names, columns, many, known
+        yield names, columns, many, known, tongue[lang]
         if size == longest or len(unit) < 2:
             return
         held = now.holds(names)
@@ -139,7 +148,7 @@ def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter |
         somewhere[number] = place
         last = one[word_at[somewhere + size]]
         names = _sized(mix64(names[left] * np.uint64(0x9E3779B97F4A7C15) + last), size + 1)
-        columns, known = [c[left] for c in columns] + [last], was[left] & was[right]
+        columns, known, lang = [c[left] for c in columns[:size]] + [last], was[left] & was[right], lang[left]
         unit = np.full(len(unit) - 1, -1)
         unit[place] = number
 
@@ -159,21 +168,33 @@ def _bounds(texts: DataFrame, now: Filter, before: Filter | None, longest: int,
     """(name, many) of what `now` admits and `before` did not, sums of `least` or more: no phrase comes more often than that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, _, many, known in counted(*_texts(batch), now, before, longest, seed):
+            for names, _, many, known, _ in counted(*_texts(batch), now, before, longest, seed):
                 yield from _sliced([names[~known], many[~known]], ["name", "many"])
     return texts.mapInArrow(run, "name long, many long").groupBy("name").agg(F.sum("many").alias("many")).filter(F.col("many") >= least)
 
 
-def _exact(texts: DataFrame, now: Filter, before: Filter, maybe: Filter, seed: int, least: int) -> DataFrame:
-    """w1..w4, many: phrases that come `least` times, of those that `maybe` holds and those that only `now` admits."""
+def _exact(texts: DataFrame, now: Filter, before: Filter, maybe: Filter, seed: int) -> DataFrame:
+    """lang, w1..w4, many: exact counts of the phrases that `maybe` holds and of those that only `now` admits.
+
+    A single word has its second name as w3.
+    """
+    columns = ["lang", *NAMES, "many"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, columns, many, known in counted(*_texts(batch), now, before, LONGEST, seed, expand=True):
+            for names, found, many, known, lang in counted(*_texts(batch), now, before, LONGEST, seed, expand=True):
                 wanted = maybe.holds(names) | ~known
                 empty = np.zeros(int(wanted.sum()), np.int64)
-                yield from _sliced([c[wanted] for c in columns] + [empty] * (LONGEST - len(columns)) + [many[wanted]], [*NAMES, "many"])
-    rows = texts.mapInArrow(run, ", ".join(f"{c} long" for c in (*NAMES, "many")))
-    return rows.groupBy(*NAMES).agg(F.sum("many").alias("many")).filter(F.col("many") >= least)
+                yield from _sliced([lang[wanted]] + [c[wanted] for c in found] + [empty] * (LONGEST - len(found)) + [many[wanted]], columns)
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).groupBy("lang", *NAMES).agg(F.sum("many").alias("many"))
+
+
+def bits_for(many: int, bits: int) -> int:
+    """Bits of a filter for so many words and what is built of them, `bits` at most."""
+    size = 1 << 16
+    while size < min(bits, 64 * many):
+        size <<= 1
+    return size
 
 
 def _nothing(bits: int) -> Filter:
@@ -204,9 +225,7 @@ def _missing(names: DataFrame, held: Filter) -> DataFrame:
 def _levels(texts: DataFrame, least: int, bits: int, seed: int) -> Filter:
     """Filter, of `bits` at most, of the phrases shorter than the longest that come `least` times; one pass a level."""
     often = stored(_bounds(texts, _nothing(64), None, 1, seed, least))
-    size, wanted = 1 << 16, 64 * often.count()
-    while size < min(bits, wanted):
-        size <<= 1
+    size = bits_for(often.count(), bits)
     before, now = _nothing(size), _filter_of(often, size)
     for length in range(2, LONGEST):
         often = _bounds(texts, now, before, length, seed, least)
@@ -214,9 +233,9 @@ def _levels(texts: DataFrame, least: int, bits: int, seed: int) -> Filter:
     return now
 
 
-def _words_of_names(texts: DataFrame, names: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(w1, lang, word) of the words whose names are `w1` in `names`."""
-    held = _filter_of(names.withColumnRenamed("w1", "name"), bits)
+def _spelt(texts: DataFrame, names: DataFrame, bits: int, seed: int) -> DataFrame:
+    """(name, lang, word) of the words behind `name`."""
+    held = _filter_of(names, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,26 +250,30 @@ def _words_of_names(texts: DataFrame, names: DataFrame, bits: int, seed: int) ->
             wanted = np.flatnonzero(held.holds(named))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(named[wanted].view(np.int64)), pa.array([codes[lang[i]] for i in wanted], pa.string()),
-                 pa.array([word[i] for i in wanted], pa.binary()).cast(pa.string())], names=["w1", "lang", "word"])
-    return texts.mapInArrow(run, "w1 long, lang string, word string").distinct().join(names, "w1", "left_semi")
+                 pa.array([word[i] for i in wanted], pa.binary()).cast(pa.string())], names=["name", "lang", "word"])
+    return texts.mapInArrow(run, "name long, lang string, word string").distinct().join(names, "name", "left_semi")
+
+
+def _texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, share: float = SHARE, bits: int = FILTER_BITS,
-                     batch_bytes: int = 2 << 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Phrases of 1 to `LONGEST` words that come `least` times: (w1..w4, many), and the words behind names: (w1, lang, word).
+                     batch_bytes: int = BATCH, seed: int = SEED) -> tuple[DataFrame, int]:
+    """(lang, w1..w4, many) of the phrases of 1 to `LONGEST` words that come `least` times, by names, and the seed of these.
 
-    The empty word of a lang stands for all its words.
+    The empty word of a lang, named as the lang is, stands for all its words.
     """
-    texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    texts = _texts_of(docs)
     with byte_batches(docs.sparkSession, batch_bytes):
         now = _levels(texts.sample(share, SEED), max(2, int(share * least * SLACK)), bits, seed)
         possible = stored(_bounds(texts, now, None, LONGEST, seed, least))
         wider = Filter(now.bits, now.words | _filter_of(_missing(possible, now), now.bits).words)
-        found = stored(_exact(texts, wider, now, _filter_of(possible, now.bits), seed, least))
-        words = stored(_words_of_names(texts, found.filter(F.col(NAMES[1]) == 0).select("w1"), now.bits, seed))
-    if not words.groupBy("w1").count().filter("count > 1").isEmpty():
+        single = F.col(NAMES[1]) == 0
+        found = stored(_exact(texts, wider, now, _filter_of(possible, now.bits), seed).filter((F.col("many") >= least) | single))
+    if not found.filter(single).groupBy(NAMES[0]).count().filter("count > 1").isEmpty():
         return frequent_phrases(docs, least, share, bits, batch_bytes, seed + 1)
-    return found, words
+    return found.filter(F.col("many") >= least).withColumn(NAMES[2], F.when(single, 0).otherwise(F.col(NAMES[2]))), seed
 
 
 def _wide(column: str) -> Column:
@@ -263,27 +286,31 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = LEAST, share: fl
     A phrase of count a is cut after its first k words, which come l times, the rest r times; the cut of the lowest
     floor(2000000 a / (l + r)) counts, then the smallest k. A phrase inside a longer one that comes nearly as often goes.
     """
-    found, names = frequent_phrases(docs, least, share, bits)
-    counts = found.select(F.filter(F.array(*NAMES), lambda w: w != 0).alias("words"), "many").withColumn("size", F.size("words"))
+    found, seed = frequent_phrases(docs, least, share, bits)
+    counts = found.select("lang", F.filter(F.array(*NAMES), lambda w: w != 0).alias("words"), "many").withColumn("size", F.size("words"))
     longer = counts.filter("size > 1")
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(
         F.sequence(F.lit(1), F.col("size") - m + 1), lambda s: F.slice("words", s, m))))
     around = longer.filter("size > 2").select("many", F.explode(inner).alias("words")).groupBy("words").agg(F.max("many").alias("around"))
     kept = longer.join(around, "words", "left").filter(
         F.col("around").isNull() | (F.lit(100) * _wide("around") < F.lit(WITHIN) * _wide("many")))
-    cuts = kept.select("words", F.col("many").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.select("words", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("head"), F.slice("words", F.col("k") + 1, F.col("size")).alias("tail"))
+    cuts = kept.select("lang", "words", F.col("many").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    cuts = cuts.select("lang", "words", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("head"),
+                       F.slice("words", F.col("k") + 1, F.col("size")).alias("tail"))
     named = lambda name, count: counts.select(F.col("words").alias(name), F.col("many").alias(count))
     cuts = cuts.join(named("head", "l"), "head").join(named("tail", "r"), "tail")
     cuts = cuts.withColumn("score", F.expr("2000000 * cast(a AS decimal(31,0)) div (cast(l AS decimal(20,0)) + r)"))
-    worst = cuts.groupBy("words").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")).select("words", "cut.*")
-    first = worst.withColumn("w1", F.col("words")[0]).join(names.select("w1", "lang"), "w1")
+    worst = cuts.groupBy("lang", "words").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")).select("lang", "words", "cut.*")
     # Ties at the end stay until the words are known.
     by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    best = first.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top).drop("place", "k", "w1")
-    spelt = best.select("words", F.posexplode("words").alias("at", "w1")).join(names.select("w1", "word"), "w1").groupBy("words").agg(
+    best = stored(worst.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top).drop("place", "k"))
+    wanted = stored(best.select(F.explode(F.concat(F.array("lang"), "words")).alias("name")).distinct())
+    with byte_batches(docs.sparkSession, BATCH):
+        words = stored(_spelt(_texts_of(docs), wanted, bits_for(wanted.count(), bits), seed))
+    spelt = best.select("words", F.posexplode("words").alias("at", "name")).join(words, "name").groupBy("words").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    totals = names.filter("word = ''").join(found.filter(F.col(NAMES[1]) == 0).select("w1", F.col("many").alias("n")), "w1").select("lang", "n")
+    totals = counts.filter("words[0] = lang").select("lang", F.col("many").alias("n")).join(
+        words.filter("word = ''").select(F.col("name").alias("lang"), F.col("lang").alias("code")), "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     last = best.join(spelt, "words").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return last.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return last.join(totals, "lang").select(F.col("code").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
