@@ -70,12 +70,16 @@ def test_equals_brute_force(spark, seed, least, share, bits):
     assert result(got) == brute(rows, least, 40)
 
 
+def names_of(pairs, seed=collocations.SEED):
+    """Names of (lang, word)."""
+    digests = lambda texts: collocations.digests([t.encode() for t in texts], seed)[0]
+    return collocations.named(digests([w for _, w in pairs]), digests([g for g, _ in pairs]))
+
+
 def spelt(found, seed, rows):
     """Phrases by their words, of names."""
     pairs = sorted({k for k in with_totals(brute_counts(rows)) if " " not in k[1]})
-    codes = sorted({g for g, _ in pairs})
-    names = collocations.word_names([w.encode() for _, w in pairs], np.array([codes.index(g) for g, _ in pairs]), codes, seed).view(np.int64).tolist()
-    word = dict(zip(names, pairs))
+    word = dict(zip(names_of(pairs, seed).view(np.int64).tolist(), pairs))
     assert all(word[r.lang][1] == "" and word[r.lang][0] == word[r.w1][0] for r in found.collect())
     return {(word[r.w1][0], " ".join(word[w][1] for w in (r.w1, r.w2, r.w3, r.w4) if w)): r.many for r in found.collect()}
 
@@ -135,14 +139,13 @@ def filter_of(names, bits=1 << 18):
 def test_passes_count_each_phrase_once():
     rows = corpus(6, 60)
     texts, langs = [(t or "").encode() for t, _ in rows], [g or "und" for _, g in rows]
-    codes, want, word, name = sorted(set(langs)), with_totals(brute_counts(rows)), {}, {}
-    for lang, phrase in want:
-        if " " not in phrase:
-            word[collocations.word_names([phrase.encode()], np.array([codes.index(lang)]), codes, collocations.SEED)[0]] = (lang, phrase)
+    want, name = with_totals(brute_counts(rows)), {}
+    single = [k for k in want if " " not in k[1]]
+    word = dict(zip(names_of(single), single))
 
     def phrases(now, before):
         for names, columns, many, known, _ in collocations.counted(texts, langs, now, before):
-            for n, *parts, count, old in zip(names, *(columns if columns[1:] and columns[1].all() else columns[:1]), many, known):
+            for n, *parts, count, old in zip(names, *columns, many, known):
                 key = word[parts[0]][0], " ".join(word[x][1] for x in parts)
                 name[key] = n
                 yield key, count, old
@@ -161,7 +164,7 @@ def test_passes_count_each_phrase_once():
 
 def test_large_counts_are_exact(spark, monkeypatch):
     big = 4 * 10 ** 18
-    lang, a, b = collocations.word_names([b"", b"a", b"b"], np.zeros(3, np.int64), ["en"], collocations.SEED).view(np.int64).tolist()
+    lang, a, b = names_of([("en", ""), ("en", "a"), ("en", "b")]).view(np.int64).tolist()
     rows = [(lang, lang, 0, 0, 0, big), (lang, a, 0, 0, 0, big), (lang, b, 0, 0, 0, big - 1), (lang, a, b, 0, 0, big - 7)]
     found = spark.createDataFrame(rows, "lang long, w1 long, w2 long, w3 long, w4 long, many long")
     monkeypatch.setattr(collocations, "frequent_phrases", lambda *a: (found, collocations.SEED))

@@ -30,6 +30,7 @@ empty table gives no phrases; other columns of any name are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -54,7 +55,6 @@ ROWS = 32_768  # counts handed over at once
 # Bytes in lower case; a tab is a space, and what ends a piece a line feed.
 _BREAKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 NAMES = [f"w{k}" for k in range(1, LONGEST + 1)]  # a word's name each, 0 beyond the last
-CHECK = 1 << 32  # added to the seed of second names
 
 
 class Filter(NamedTuple):
@@ -87,11 +87,20 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, n
             np.cumsum((kind == 1) | (kind == 2), dtype=np.int32)[real])
 
 
-def word_names(words: list[bytes], langs: np.ndarray, codes: list[str], seed: int) -> np.ndarray:
-    """64-bit names, not 0, of words of a lang; `langs` are places in `codes`."""
-    lang = np.fromiter((xxhash.xxh3_64_intdigest(c.encode(), seed) for c in codes), np.uint64, len(codes))
-    word = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
-    return np.maximum(mix64(word ^ mix64(lang[langs])), np.uint64(1))
+def digests(words: list[bytes], seed: int) -> np.ndarray:
+    """Two rows of 64-bit hashes."""
+    joined = b"".join(map(xxhash.xxh3_128_digest, words, repeat(seed)))
+    return np.frombuffer(joined, ">u8").astype(np.uint64).reshape(-1, 2).T
+
+
+def named(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """64-bit names, not 0, from hashes of words and of their langs."""
+    return np.maximum(mix64(words ^ mix64(langs)), np.uint64(1))
+
+
+def lang_names(codes: list[str], seed: int) -> np.ndarray:
+    """The name of a lang is that of its empty word; two rows, as of `digests`."""
+    return named(digests([b""], seed), digests([c.encode() for c in codes], seed))
 
 
 def _sized(names: np.ndarray, size: int) -> np.ndarray:
@@ -105,17 +114,14 @@ def _langs_of(text: np.ndarray, langs: list[str]) -> tuple[np.ndarray, list[str]
     return np.array([number[x] for x in langs], np.int64)[text], codes
 
 
-def _checked(words: list[bytes], langs: np.ndarray, codes: list[str], names: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Columns of single words: name, none, second name."""
-    return [names, np.zeros(len(names), np.uint64), word_names(words, langs, codes, seed + CHECK)]
-
-
 def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter | None, longest: int = LONGEST, seed: int = SEED,
-            expand: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+            maybe: Filter | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
     """(names, columns of word names, counts, whether `before` admits them, lang names) of the phrases that `now` admits.
 
-    A phrase is admitted if its two longest parts are admitted and in the filter; with `expand` also if `before`
-    does not admit them. Words are always admitted, by `before` too, but for none: then nothing has been counted before.
+    A phrase is admitted if its two longest parts are admitted and in the filter. Words are always admitted, by `before`
+    too, but for none: then nothing has been counted before. With `maybe`, phrases that `before` admits are left out if
+    it does not hold them, those that only `now` admits may be parts though no filter holds them, and single words
+    have a second name in the third column.
     """
     words, at, text, piece = words_of(texts)
     if not len(at):
@@ -125,30 +131,37 @@ def counted(texts: list[bytes], langs: list[str], now: Filter, before: Filter |
     # `unit` is the number of each occurrence's phrase, -1 if it is not counted.
     kept, unit, many = np.unique(lang_of * len(words) + at, return_inverse=True, return_counts=True)
     lang, word = kept // len(words), kept % len(words)
-    words = [words[i] for i in word]
-    word_at, one = unit, word_names(words, lang, codes, seed)
-    del at, lang_of
-    names, columns, known = _sized(one, 1), _checked(words, lang, codes, one, seed) if expand else [one], np.full(len(kept), before is not None)
+    hashes, tongue = digests(words, seed), digests([c.encode() for c in codes], seed)
+    word_at, (one, other) = unit, named(hashes[:, word], tongue[:, lang])
+    del at, lang_of, words, hashes
+    tongue = lang_names(codes, seed)
+    names, known = _sized(one, 1), np.full(len(kept), before is not None)
     used, start = np.unique(lang, return_index=True)
-    tongue = word_names([b""] * len(codes), np.arange(len(codes)), codes, seed)
-    yield _sized(tongue[used], 1), _checked([b""] * len(used), used, codes, tongue[used], seed), np.add.reduceat(many, start), known[:len(used)], tongue[used]
+    single = lambda a, b: [a, np.zeros(len(a), np.uint64), b] if maybe else [a]
+    yield _sized(tongue[0, used], 1), single(*tongue[:, used]), np.add.reduceat(many, start), known[:len(used)], tongue[0, used]
+    columns = single(one, other)
     for size in range(1, longest + 1):
-        yield names, columns, many, known, tongue[lang]
+        yield names, columns, many, known, tongue[0, lang]
         if size == longest or len(unit) < 2:
             return
-        held = now.holds(names)
-        usable = np.append(held | ~known if expand else held, False)[unit]  # -1 finds the appended one
+        usable = now.holds(names)
+        if maybe:
+            usable = usable & maybe.holds(names) | ~known
+        usable = np.append(usable, False)[unit]  # -1 finds the appended one
         place = np.flatnonzero(usable[:-1] & usable[1:] & (piece[size:] == piece[:len(piece) - size]))
+        was = known & before.holds(names) if before else np.zeros(len(names), bool)
+        joined = lambda left, last: _sized(mix64(names[left] * np.uint64(0x9E3779B97F4A7C15) + last), size + 1)
+        if maybe and len(place):
+            left, right = unit[place], unit[place + 1]
+            place = place[~(was[left] & was[right]) | maybe.holds(joined(left, one[word_at[place + size]]))]
         if not len(place):
             return
-        was = known & before.holds(names) if before else np.zeros(len(names), bool)
         kept, number, many = np.unique(unit[place] * len(names) + unit[place + 1], return_inverse=True, return_counts=True)
         left, right = kept // len(names), kept % len(names)
         somewhere = np.empty(len(kept), np.int64)
         somewhere[number] = place
         last = one[word_at[somewhere + size]]
-        names = _sized(mix64(names[left] * np.uint64(0x9E3779B97F4A7C15) + last), size + 1)
-        columns, known, lang = [c[left] for c in columns[:size]] + [last], was[left] & was[right], lang[left]
+        names, columns, known, lang = joined(left, last), [c[left] for c in columns[:size]] + [last], was[left] & was[right], lang[left]
         unit = np.full(len(unit) - 1, -1)
         unit[place] = number
 
@@ -182,7 +195,7 @@ def _exact(texts: DataFrame, now: Filter, before: Filter, maybe: Filter, seed: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, found, many, known, lang in counted(*_texts(batch), now, before, LONGEST, seed, expand=True):
+            for names, found, many, known, lang in counted(*_texts(batch), now, before, LONGEST, seed, maybe):
                 wanted = maybe.holds(names) | ~known
                 empty = np.zeros(int(wanted.sum()), np.int64)
                 yield from _sliced([lang[wanted]] + [c[wanted] for c in found] + [empty] * (LONGEST - len(found)) + [many[wanted]], columns)
@@ -245,12 +258,13 @@ def _spelt(texts: DataFrame, names: DataFrame, bits: int, seed: int) -> DataFram
                 continue
             lang_of, codes = _langs_of(text, langs)
             kept = np.unique(lang_of * len(words) + at)
-            lang, word = np.append(kept // len(words), np.arange(len(codes))), [words[i] for i in kept % len(words)] + [b""] * len(codes)
-            named = word_names(word, lang, codes, seed)
-            wanted = np.flatnonzero(held.holds(named))
+            lang, word = kept // len(words), kept % len(words)
+            found = named(digests(words, seed)[0, word], digests([c.encode() for c in codes], seed)[0, lang])
+            wanted = np.flatnonzero(held.holds(found))
+            rows = [(codes[lang[i]], words[word[i]]) for i in wanted] + [(c, b"") for c in codes]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(named[wanted].view(np.int64)), pa.array([codes[lang[i]] for i in wanted], pa.string()),
-                 pa.array([word[i] for i in wanted], pa.binary()).cast(pa.string())], names=["name", "lang", "word"])
+                [pa.array(np.append(found[wanted], lang_names(codes, seed)[0]).view(np.int64)), pa.array([r[0] for r in rows], pa.string()),
+                 pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())], names=["name", "lang", "word"])
     return texts.mapInArrow(run, "name long, lang string, word string").distinct().join(names, "name", "left_semi")
 
 
@@ -297,8 +311,8 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = LEAST, share: fl
     cuts = kept.select("lang", "words", F.col("many").alias("a"), "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "words", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("head"),
                        F.slice("words", F.col("k") + 1, F.col("size")).alias("tail"))
-    named = lambda name, count: counts.select(F.col("words").alias(name), F.col("many").alias(count))
-    cuts = cuts.join(named("head", "l"), "head").join(named("tail", "r"), "tail")
+    counted_as = lambda name, count: counts.select(F.col("words").alias(name), F.col("many").alias(count))
+    cuts = cuts.join(counted_as("head", "l"), "head").join(counted_as("tail", "r"), "tail")
     cuts = cuts.withColumn("score", F.expr("2000000 * cast(a AS decimal(31,0)) div (cast(l AS decimal(20,0)) + r)"))
     worst = cuts.groupBy("lang", "words").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")).select("lang", "words", "cut.*")
     # Ties at the end stay until the words are known.
