@@ -13,7 +13,9 @@ def test_attach_demand_keeps_rows_with_the_whole_history(frame, monkeypatch):
     first = datetime.date(2024, 1, 1)
     rows = [(s, "a", str(first + datetime.timedelta(i)), float((i * 7 + s) % 11), 0.0, 0) for s, n in ((1, 40), (2, 30)) for i in range(n)]
     daily = frame("store int, product string, date date, demand double, lost_qty double, is_censored int", rows)
-    monkeypatch.setattr(demand_q, "demand_daily", lambda t: daily)
+    monkeypatch.setattr(demand_q.dem, "attach_demand", lambda *a: daily)
+    monkeypatch.setattr(demand_q, "sold_daily", lambda t: None)
+    monkeypatch.setattr(demand_q, "sold_estimates", lambda t: None)
     df = demand_q.attach_demand(None)
     features = {f"demand_lag{k}" for k in (1, 2, 3, 7, 14, 30)} | {f"demand_roll_mean{k}" for k in (3, 7, 14, 30)} | {"demand_roll_std7"}
     assert features <= set(df.columns)
@@ -29,7 +31,8 @@ def test_attach_demand_keeps_rows_with_the_whole_history(frame, monkeypatch):
 def test_substitution_by_category_compares_none_with_five(frame, monkeypatch):
     rows = [(1, f"p{i}", f"2024-01-0{d}", "c", 1.0 + i + d, int(i >= out)) for d, out in ((1, 0), (2, 1), (3, 4), (4, 5), (5, 6)) for i in range(9)]
     effect = dem.substitution_effect(frame("store int, product string, date date, category string, sold double, stock int", rows))
-    monkeypatch.setattr(demand_q, "_substitution", lambda t: effect)
+    monkeypatch.setattr(demand_q, "weekly_fine", lambda t: None)
+    monkeypatch.setattr(demand_q, "_stocked", lambda rows: effect)
     got = demand_q.substitution_by_category(None).collect()
     # Every product sells d + a constant, so a day's delta is d - 3: none out on day 1, five and six on days 4 and 5.
     assert [tuple(r) for r in got] == [("c", -2.0, 9, pytest.approx((4 * 1 + 3 * 2) / 7), 7, pytest.approx(10 / 7 + 2))]

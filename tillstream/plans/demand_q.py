@@ -108,15 +108,47 @@ def estimate_demand(t):
 _P = "PARTITION BY store, product ORDER BY date"
 
 
-@register("d04_attach_demand", f"{_KEYS} demand:f lost_qty:f is_censored:i demand_lag1:f demand_lag3:f demand_roll_mean3:f demand_roll_std7:f", f"""
-SELECT * FROM (SELECT *, lag(demand, 1) OVER w AS demand_lag1, lag(demand, 2) OVER w AS l2, lag(demand, 3) OVER w AS demand_lag3,
-  CASE WHEN count(demand) OVER f3 >= 1 THEN avg(demand) OVER f3 END AS demand_roll_mean3,
-  CASE WHEN count(demand) OVER f7 >= 2 THEN stddev_samp(demand) OVER f7 END AS demand_roll_std7
-  FROM demand_daily WINDOW w AS ({_P}), f3 AS ({_P} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
-  f7 AS ({_P} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-WHERE demand_lag3 IS NOT NULL AND demand_roll_std7 IS NOT NULL""")
+# Sales of a store and first letter of the category: series that are long enough for a lag of 30 rows.
+add_base("sold_daily", "SELECT store, substr(category, 1, 1) AS product, date, sum(qty) AS sold FROM sales GROUP BY ALL")
+add_base("sold_estimates", """
+SELECT store, product, date, 1 AS is_censored, CAST((dayofyear(date) + store) % 5 AS DOUBLE) AS lost_qty,
+  sold + (dayofyear(date) + store) % 5 AS demand_estimated
+FROM sold_daily WHERE (dayofyear(date) + store * 7) % 11 <= 3""")
+
+
+def sold_daily(t):
+    return sales(t).groupBy("store", F.substring("category", 1, 1).alias("product"), "date").agg(F.sum("qty").alias("sold"))
+
+
+def sold_estimates(t):
+    """Estimates for some days only; the others keep what was sold."""
+    doy = F.dayofyear("date")
+    lost = ((doy + F.col("store")) % 5).cast("double")
+    return sold_daily(t).filter((doy + F.col("store") * 7) % 11 <= 3).withColumns(
+        {"is_censored": F.lit(1), "lost_qty": lost, "demand_estimated": F.col("sold") + lost})
+
+
+_D04 = [f"demand_lag{k}" for k in series.LAGS] + [f"demand_roll_mean{k}" for k in series.WINDOWS] + ["demand_roll_std7"]
+
+
+def series_sql(col: str, prefix: str) -> str:
+    """Lags, rolling means (half the window at least) and the 7-row deviation, over `p` in date order."""
+    frame = "(p ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+    lags = [f"lag({col}, {k}) OVER p AS {prefix}_lag{k}" for k in series.LAGS]
+    means = [f"CASE WHEN count({col}) OVER {frame.format(k)} >= {max(1, k // 2)} THEN avg({col}) OVER {frame.format(k)} END AS {prefix}_roll_mean{k}"
+             for k in series.WINDOWS]
+    std = f"CASE WHEN count({col}) OVER {frame.format(7)} >= 2 THEN stddev_samp({col}) OVER {frame.format(7)} END AS {prefix}_roll_std7"
+    return ", ".join([*lags, *means, std])
+
+
+@register("d04_attach_demand", f"{_KEYS} demand:f lost_qty:f is_censored:i " + " ".join(f"{c}:f" for c in _D04), f"""
+WITH attached AS (
+  SELECT d.store, d.product, d.date, coalesce(e.demand_estimated, d.sold) AS demand, coalesce(e.lost_qty, 0) AS lost_qty, coalesce(e.is_censored, 0) AS is_censored
+  FROM sold_daily d LEFT JOIN sold_estimates e ON d.store = e.store AND d.product = e.product AND d.date = e.date)
+SELECT * FROM (SELECT *, {series_sql("demand", "demand")} FROM attached WINDOW p AS (PARTITION BY store, product ORDER BY date))
+WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _D04)}""")
 def attach_demand(t):
-    df = demand_daily(t).transform(series.add_series_features, "demand", "demand")
+    df = dem.attach_demand(sold_daily(t), sold_estimates(t)).transform(series.add_series_features, "demand", "demand")
     return df.dropna(subset=series.feature_columns(df, ["demand"]))
 
 
@@ -348,18 +380,36 @@ def purchase_time_groups(t):
     return dem.purchase_time_groups(sale_events(t))
 
 
-def _substitution(t):
-    fine = daily_fine(t)
+def _stocked(rows):
     stock = (F.dayofyear("date") + F.col("store") * 7 + F.expr("cast(substring(product, 7) as int)")) % 4
-    return dem.substitution_effect(fine.withColumn("stock", stock))
+    return dem.substitution_effect(rows.withColumn("stock", stock))
+
+
+def _substitution(t):
+    return _stocked(daily_fine(t))
+
 
+def weekly_fine(t):
+    """Region x week x category x brand: some tens of products meet, so five and more can be sold out."""
+    regions = t("nation").select(F.col("n_nationkey").alias("store"), F.col("n_regionkey").alias("region"))
+    week = F.to_date(F.date_trunc("week", "date")).alias("date")
+    return sales(t).join(regions, "store").groupBy(week, F.col("region").alias("store"), "category", "product").agg(F.sum("qty").alias("sold"))
 
-add_base("substitution", """
+
+def _substitution_sql(rows: str) -> str:
+    return f"""
 SELECT *, sold - avg_sold AS delta, sold / (avg_sold + 0.1e0) AS ratio FROM (
   SELECT *, avg(sold) OVER (PARTITION BY store, product) AS avg_sold,
     sum(o) OVER (PARTITION BY store, date) - o AS others_out, sum(o) OVER (PARTITION BY store, date, category) - o AS others_out_category
   FROM (SELECT *, CAST(stock = 0 AS INT) AS o FROM (
-    SELECT *, (dayofyear(date) + store * 7 + CAST(substr(product, 7) AS INT)) % 4 AS stock FROM daily_fine))) WHERE stock > 0""")
+    SELECT *, (dayofyear(date) + store * 7 + CAST(substr(product, 7) AS INT)) % 4 AS stock FROM {rows}))) WHERE stock > 0"""
+
+
+add_base("weekly_fine", """
+SELECT CAST(date_trunc('week', s.date) AS DATE) AS date, n_regionkey AS store, s.category, s.product, sum(s.qty) AS sold
+FROM sales s JOIN nation ON s.store = n_nationkey GROUP BY CAST(date_trunc('week', s.date) AS DATE), n_regionkey, s.category, s.product""")
+add_base("substitution", _substitution_sql("daily_fine"))
+add_base("weekly_effect", _substitution_sql("weekly_fine"))
 _SUB = "n_rows:i avg_sold:f avg_norm:f avg_delta:f avg_ratio:f"
 
 
@@ -383,11 +433,11 @@ def substitution_same_category(t):
 
 @register("d21_substitution_by_category", "category:s delta_none:f n_none:i delta_many:f n_many:i difference:f", """
 SELECT category, avg(delta) FILTER (others_out <= 0) AS delta_none, count(*) FILTER (others_out <= 0) AS n_none,
-  avg(delta) FILTER (others_out >= 1) AS delta_many, count(*) FILTER (others_out >= 1) AS n_many,
-  coalesce(avg(delta) FILTER (others_out >= 1) - avg(delta) FILTER (others_out <= 0), 0) AS difference
-FROM substitution GROUP BY category""")
+  avg(delta) FILTER (others_out >= 5) AS delta_many, count(*) FILTER (others_out >= 5) AS n_many,
+  coalesce(avg(delta) FILTER (others_out >= 5) - avg(delta) FILTER (others_out <= 0), 0) AS difference
+FROM weekly_effect GROUP BY category""")
 def substitution_by_category(t):
-    return dem.substitution_by_category(_substitution(t))
+    return dem.substitution_by_category(_stocked(weekly_fine(t)))
 
 
 _BY = (8, 10, 12, 14, 16, 18)
