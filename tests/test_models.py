@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillstream.operators import clusters as cl, local_models as lm, models as md, router as rt, targets as tg
+from tillstream.operators import clusters as cl, linear_models as lin, local_models as lm, models as md, router as rt, targets as tg
 
 
 @pytest.fixture(scope="module")
@@ -43,16 +43,14 @@ def test_global_models_learn_the_level(frames):
 def test_segments_fall_back_to_the_global_model(frames):
     train, test, features = frames
     few = train.filter((F.col("category") != "c0") | (F.col("date") > F.lit("2024-04-25").cast("date")))
-    out = md.segmented_forecast(few, test, "category", features, 200, 3)
+    out = lin.segmented_forecast(few, test, "category", features, 200)
     scopes = {(r.category, r.model_scope) for r in out.select("category", "model_scope").distinct().collect()}
     assert scopes == {("c0", "global"), ("c1", "segment"), ("c2", "segment")} and out.count() == test.count()
+    assert out.columns == [*test.columns, "prediction", "model_scope"]
 
 
-def test_many_segments_and_unknown_features(frames):
+def test_unknown_features(frames):
     train, test, features = frames
-    many = [x.withColumn("segment", F.concat_ws("-", "store", "product", F.pmod(F.dayofmonth("date"), F.lit(7)))) for x in (train, test)]
-    out = md.segmented_forecast(*many, "segment", features[:4], 5, 1, parallelism=8)
-    assert out.count() == test.count() and out.filter("model_scope = 'segment'").select("segment").distinct().count() > 64
     gaps = test.withColumn(features[0], F.when(F.pmod(F.dayofmonth("date"), F.lit(3)) > 0, F.col(features[0])))
     assert gaps.filter(F.col(features[0]).isNull()).count() > 0
     for pipe in (md.gbt(features, trees=3), md.tweedie(features)):

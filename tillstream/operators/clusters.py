@@ -9,7 +9,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillstream.operators.aggregates import CLUSTER_FEATURES, cluster_features
 from tillstream.session import cut_lineage
@@ -60,6 +61,17 @@ def fit_clusters(rows: DataFrame, features: Sequence[str], ks: Sequence[int], im
     return Clustering(PipelineModel(stages=[*prep.stages, best[2]]), best[1], best[0], tried)
 
 
+def nearest_centre(fit: Clustering, rows: DataFrame, out: str = "cluster") -> DataFrame:
+    """Cluster of the nearest centre in the scaled space, from the centres alone; the first of equally near ones."""
+    centres = [[float(x) for x in c] for c in fit.model.stages[-1].clusterCenters()]  # k rows
+    scaled = PipelineModel(stages=fit.model.stages[:-1]).transform(rows).withColumn("_x", vector_to_array("_scaled"))
+
+    def distance(centre: list[float]) -> Column:
+        return F.aggregate(F.zip_with("_x", F.array(*[F.lit(c) for c in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    ranked = F.array_sort(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]))
+    return scaled.withColumn(out, ranked[0]["cluster"]).drop("_raw", "_scaled", "_x")
+
+
 def sku_cluster_rows(train: DataFrame) -> DataFrame:
     """The seven descriptors, with level and history length on a log scale."""
     rows = cluster_features(train)

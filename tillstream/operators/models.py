@@ -7,9 +7,7 @@ no tree needs a bin per store or product and training stays distributed over row
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from uuid import uuid4
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -25,10 +23,11 @@ from tillstream.functions.maths import clip
 from tillstream.operators.aggregates import ENCODINGS, profile_encodings
 from tillstream.operators.common import DATE, PAIR, max_date
 from tillstream.operators.filters import train_test
+from tillstream.operators.linear_models import LEVELS, fit_quantiles
 from tillstream.operators.quantiles import exact_quantiles
 from tillstream.operators.series import add_series_features, feature_columns
 from tillstream.operators.targets import volume_class
-from tillstream.session import cut_lineage, ensure_checkpoint_dir
+from tillstream.session import cut_lineage
 
 CALENDAR = ("dow", "day", "is_weekend", "month", "week", "is_holiday", "is_pre_holiday", "is_post_holiday",
             "is_payday_week", "is_month_start", "is_month_end")
@@ -54,7 +53,7 @@ def training_frames(df: DataFrame, test_days: int, value: str = "demand",
     return full.filter(~F.col("is_test")), full.filter("is_test"), features
 
 
-UNKNOWN = -1.0  # stands for a missing feature; known ones are never negative
+UNKNOWN = -1000.0  # stands for a missing feature, below what known ones reach
 
 
 def _inputs(features: Sequence[str], out: str = "features") -> list[SQLTransformer | VectorAssembler]:
@@ -119,6 +118,19 @@ def residual_intervals(model_fit: Pipeline, train: DataFrame, test: DataFrame, g
     return out.withColumns(cols).drop("_o", *[f"q{i}" for i in range(len(probs))])
 
 
+def quantile_intervals(model_fit: Pipeline, train: DataFrame, test: DataFrame, features: Sequence[str],
+                       levels: Sequence[float] = LEVELS, calibration_days: int = 365) -> DataFrame:
+    """Quantiles of the label by a linear quantile regression on the features and a median model's forecast.
+
+    The regression is fitted on a calibration slice that the model has not seen (the whole history, if that is no
+    longer than twice the slice, is halved by date)."""
+    span = train.agg(F.datediff(F.max(DATE), F.min(DATE))).first()[0] or 0
+    fit_rows, calib = train_test(train, max(1, min(calibration_days, span // 2)))
+    model = model_fit.fit(fit_rows)
+    quantiles = fit_quantiles(predict(model, calib, "base"), (*features, "base"), levels)
+    return quantiles.predict(predict(model, test, "base"))
+
+
 # ---- B05: log target and second stage -------------------------------------------
 
 def log_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 20) -> DataFrame:
@@ -137,34 +149,6 @@ def log_residual_forecast(train: DataFrame, test: DataFrame, features: Sequence[
         "prediction", clip(F.col("base") + F.col("raw_prediction"), 0.0)))
 
 
-# ---- B07: one model per segment --------------------------------------------------
-
-def segmented_forecast(train: DataFrame, test: DataFrame, segment: str, features: Sequence[str],
-                       min_rows: int = 500, trees: int = 20, loss: str = "squared", parallelism: int = 4) -> DataFrame:
-    """Own model for every segment with enough training rows, the global one elsewhere.
-
-    Training rows are written once, partitioned by segment, so that a fit reads its own segment's files
-    only, and `parallelism` fits run side by side; there is no bound on the number of segments.
-    Every test row comes back once.
-    """
-    spark, folder = train.sparkSession, f"{ensure_checkpoint_dir(train.sparkSession)}/segments-{uuid4().hex}"
-    key = F.col(segment).cast("string")
-    sizes = train.filter(F.col(segment).isNotNull()).groupBy(key.alias("_segment")).agg(F.count("*").alias("n"))
-    own = sorted(r["_segment"] for r in sizes.filter(F.col("n") >= min_rows).select("_segment").collect())  # one per model
-    place = F.array_position(F.array(*[F.lit(n) for n in own]).cast("array<string>"), key)
-    train.withColumn("_place", F.coalesce(place, F.lit(0))).write.partitionBy("_place").parquet(folder)
-    rows, tested = spark.read.parquet(folder), cut_lineage(test.withColumn("_place", F.coalesce(place, F.lit(0))))
-    pipe = gbt(features, loss=loss, trees=trees)
-
-    def fit(at: int) -> DataFrame:
-        part = rows.filter(F.col("_place") == at) if at else rows
-        scope = "segment" if at else "global"
-        return fit_predict(pipe.copy(), part, tested.filter(F.col("_place") == at)).withColumn("model_scope", F.lit(scope))
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        parts = list(pool.map(fit, range(len(own) + 1)))
-    return reduce(DataFrame.unionByName, parts).drop("_place")
-
-
 # ---- B11: ensembles ---------------------------------------------------------------
 
 def stacked_forecast(train: DataFrame, test: DataFrame, features: Sequence[str], folds: int = 3,

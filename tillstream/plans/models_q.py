@@ -6,16 +6,53 @@ from pyspark.sql import Window, functions as F
 
 from tillstream.functions import weather as wx
 from tillstream.operators import aggregates as agg, clusters as cl, evaluate as ev, filters as flt
-from tillstream.operators import local_models as lm, models as md, targets as tg
+from tillstream.operators import features as ft, linear_models as lin, local_models as lm, model_store as ms, models as md, targets as tg
+from tillstream.plans import features_q as ftq
+from tillstream.plans.features_q import feature_table
 from tillstream.plans.registry import register
-from tillstream.session import cut_lineage
+from tillstream.session import cut_lineage, ensure_checkpoint_dir
 from tillstream.sources.testdata import daily, stock_daily, weather
 
 _M = "n_rows:i mae:f wmape:f r2:f"
 
 
-def _frames(t, lags=(1, 2, 3, 7, 14, 30)):
-    return md.training_frames(stock_daily(t), 90, "demand", lags)
+def _frames(t):
+    """(train, test, features) of the written feature table."""
+    return ft.split(feature_table(t))
+
+
+def _store(t):
+    return ms.ModelStore(t.spark, f"{ensure_checkpoint_dir(t.spark)}/models")
+
+
+def _fit_global(t, loss="squared"):
+    """Fit the global model and keep it as a new version, under the name of the feature table's version."""
+    table = feature_table(t)
+    train, test, f = ft.split(table)
+    model = md.gbt(f, loss=loss).fit(train)
+    error = md.predict(model, test).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
+    _store(t).save(f"{loss}_{ftq.table_version(t)}", model, train, f, {} if error is None else {"mae": error})
+    return model
+
+
+def _global(t, loss="squared"):
+    """The saved global model of these files, fitted if there is none yet."""
+    name = f"{loss}_{ftq.table_version(t)}"
+    return _store(t).load(name, rows=feature_table(t))[0] if _store(t).versions(name) else _fit_global(t, loss)
+
+
+def _with_base(t):
+    """(train, test) with the global model's forecast as `base`."""
+    train, test, _ = _frames(t)
+    model = _global(t)
+    return [md.predict(model, rows, "base") for rows in (train, test)]
+
+
+# Features of the linear models: level, recent course, price, weather and calendar.
+LINEAR = ("demand_lag1", "demand_lag2", "demand_lag7", "demand_lag14", "demand_roll_mean7", "demand_roll_mean30", "demand_roll_std7",
+          "demand_dow_mean", "pct_censored_7d", "lost_qty_lag1", "demand_trend", "items_in_store_today", "stock_lag1", "price_vs_median",
+          "price_change_7d", "temp_mean", "is_bad_weather", "is_weekend", "is_holiday", "pair_mean", "product_cv")
+SEGMENT = ("base", *LINEAR)  # segment models correct the global one
 
 
 def _score(df, *by, col="prediction"):
@@ -44,8 +81,8 @@ def _locations(t):
 _LOC = ("area", "traffic", "rent", "competitors")
 
 
-@register("g02_store_location_clusters", "store:i cluster:i k:i silhouette:f")
-def store_location_clusters(t):
+@register("g02_store_locatiohas_clusters", "store:i cluster:i k:i silhouette:f")
+def store_locatiohas_clusters(t):
     rows = _locations(t)
     fit = cl.fit_store_clusters(rows, _LOC)
     return fit.assign(rows).withColumns({"k": F.lit(fit.k), "silhouette": F.lit(fit.silhouette)})
@@ -61,17 +98,46 @@ def store_sales_clusters(t):
     return fit.assign(rows).withColumns({"k": F.lit(fit.k), "silhouette": F.lit(fit.silhouette)})
 
 
+def _stored_clusters(t):
+    """(reloaded pipeline, clustering that was saved) of the SKU clusters, by way of the model store."""
+    train = cl.sku_cluster_rows(flt.train_test(stock_daily(t), 90)[0])
+    fit = cl.fit_clusters(train, cl.CLUSTER_FEATURES, (3, 5, 7, 9))
+    store = _store(t)
+    store.save("sku_clusters", fit.model, train, cl.CLUSTER_FEATURES, {"k": fit.k, "silhouette": fit.silhouette})
+    rows = cl.sku_cluster_rows(stock_daily(t))
+    model, saved = store.load("sku_clusters", rows=rows)
+    return cl.Clustering(model, int(saved.metrics["k"]), saved.metrics["silhouette"], {}), fit, rows
+
+
 @register("g04_assign_and_summarise", "cluster:i n_rows:i demand_mean_mean:f cv_mean:f trend_mean:f")
 def assign_and_summarise(t):
-    df = stock_daily(t)
-    fit = cl.fit_sku_clusters(flt.train_test(df, 90)[0])
-    return cl.cluster_summary(fit.assign(cl.sku_cluster_rows(df)), "cluster", ("demand_mean", "cv", "trend"))
+    """All rows assigned by the pipeline that was saved and loaded again."""
+    saved, _, rows = _stored_clusters(t)
+    return cl.cluster_summary(saved.assign(rows), "cluster", ("demand_mean", "cv", "trend"))
+
+
+@register("g04_reloaded_clusters", "n_rows:i has_clusters:i n_reassigned:i n_not_nearest:i", """
+SELECT count(*) AS n_rows, 1 AS has_clusters, 0 AS n_reassigned, 0 AS n_not_nearest FROM (SELECT DISTINCT store, product FROM stock_daily)""")
+def reloaded_clusters(t):
+    """The reloaded pipeline assigns as the fitted one, each row to the nearest of the stored centres."""
+    saved, fit, rows = _stored_clusters(t)
+    nearest = cl.nearest_centre(saved, rows).select("store", "product", F.col("cluster").alias("nearest"))
+    both = saved.assign(rows).join(fit.assign(rows).select("store", "product", F.col("cluster").alias("fitted")), ["store", "product"]).join(nearest, ["store", "product"])
+    return both.agg(F.count("*").alias("n_rows"), (F.countDistinct("cluster") > 1).cast("int").alias("has_clusters"),
+                    F.count_if(F.col("cluster") != F.col("fitted")).alias("n_reassigned"), F.count_if(F.col("cluster") != F.col("nearest")).alias("n_not_nearest"))
 
 
 @register("b01_global_squared", f"category:s {_M}")
 def global_squared(t):
-    train, test, f = _frames(t)
-    return _score(md.fit_predict(md.gbt(f), train, test), "category")
+    _, test, _ = _frames(t)
+    return _score(md.predict(_fit_global(t), test), "category")
+
+
+@register("b01_saved_model", f"category:s {_M}")
+def saved_model(t):
+    """Scores of the global model as it was saved and loaded again."""
+    _, test, _ = _frames(t)
+    return _score(md.predict(_global(t), test), "category")
 
 
 @register("b02_global_median", f"category:s {_M}")
@@ -80,11 +146,28 @@ def global_median(t):
     return _score(md.fit_predict(md.gbt(f, loss="absolute"), train, test), "category")
 
 
-@register("b03_intervals", "n_rows:i coverage_pct:f width_mean:f width_median:f width_p90:f pinball_p10:f pinball_p90:f")
+_B03 = "n_rows:i coverage_pct:f coverage50_pct:f crossing_any_pct:f width_mean:f width_median:f width_p90:f pinball_p10:f pinball_p50:f pinball_p90:f"
+
+
+def _interval(df):
+    inner = F.avg(((F.col("fact") >= F.col("p25")) & (F.col("fact") <= F.col("p75"))).cast("int")) * 100
+    return ev.interval_report(df).withColumn("coverage50_pct", df.agg(inner).scalar())
+
+
+@register("b03_intervals", _B03)
 def intervals(t):
+    """P10 to P90 by quantile regression on the features and the median model, on rows that this has not seen."""
+    train, test, f = _frames(t)
+    out = md.quantile_intervals(md.gbt(f, loss="absolute"), train, test, LINEAR)
+    return _interval(out.withColumn("fact", F.col("label")))
+
+
+@register("b03_residual_intervals", _B03)
+def residual_intervals(t):
+    """Residual quantiles per category around the median model."""
     train, test, f = _frames(t)
     out = md.residual_intervals(md.gbt(f, loss="absolute"), train, test, "category")
-    return ev.interval_report(out.withColumn("fact", F.col("label")))
+    return _interval(out.withColumn("fact", F.col("label")))
 
 
 @register("b04_tweedie", f"category:s {_M}")
@@ -119,33 +202,45 @@ def weighted_models(t):
 
 @register("b07_segment_models", f"model_scope:s {_M}")
 def segment_models(t):
-    train, test, f = _frames(t)
-    return _score(md.segmented_forecast(train, test, "category", f), "model_scope")
+    train, test = _with_base(t)
+    return _score(lin.segmented_forecast(train, test, "category", SEGMENT), "model_scope")
+
+
+@register("b07_segment_coefficients", "segment:s n_rows:i slope:f intercept:f", """
+SELECT store || '/' || product AS segment, count(*) AS n_rows, regr_slope(demand, demand_roll_mean7) AS slope,
+  regr_intercept(demand, demand_roll_mean7) AS intercept
+FROM feature_table WHERE is_test = 0 GROUP BY store, product""")
+def segment_coefficients(t):
+    """One feature, one model per pair: the same sums as the slope and intercept of SQL."""
+    train, _, _ = _frames(t)
+    scale, models, _ = lin.segment_regression(train.withColumn("segment", F.concat_ws("/", "store", "product")), "segment", ["demand_roll_mean7"], ridge=0.0)
+    slope = F.col("beta")[1] / F.lit(scale.deviations[0])
+    return models.select("segment", "n_rows", slope.alias("slope"), (F.col("beta")[0] - slope * F.lit(scale.means[0])).alias("intercept"))
 
 
 @register("b07_tier_models", f"tier:s {_M}")
 def tier_models(t):
-    train, test, f = _frames(t)
+    train, test = _with_base(t)
     tiered = tg.volume_tiers(train, train, "label"), tg.volume_tiers(train, test, "label")
-    return _score(md.segmented_forecast(*tiered, "tier", f), "tier")
+    return _score(lin.segmented_forecast(*tiered, "tier", SEGMENT), "tier")
 
 
 @register("b07_cluster_routed", f"model_scope:s {_M}")
 def cluster_routed(t):
     from tillstream.operators import joins
-    train, test, f = _frames(t)
+    train, test = _with_base(t)
     fit = cl.fit_sku_clusters(train)
     groups = cut_lineage(fit.assign(cl.sku_cluster_rows(train)).select("store", "product", "cluster"))
     rows = [joins.attach_cluster(x, groups, "cluster") for x in (train, test)]
-    return _score(md.segmented_forecast(*rows, "cluster", f), "model_scope")
+    return _score(lin.segmented_forecast(*rows, "cluster", SEGMENT), "model_scope")
 
 
 @register("b07_high_demand_routed", f"is_high_demand:i {_M}")
 def high_demand_routed(t):
-    train, test, f = _frames(t)
+    train, test = _with_base(t)
     mean = F.col("pair_mean") >= tg.HIGH_DEMAND
     rows = [x.withColumn("is_high_demand", mean.cast("int")) for x in (train, test)]
-    return _score(md.segmented_forecast(*rows, "is_high_demand", f), "is_high_demand")
+    return _score(lin.segmented_forecast(*rows, "is_high_demand", SEGMENT), "is_high_demand")
 
 
 @register("b11_stacking", f"category:s {_M}")
@@ -169,7 +264,8 @@ def window_ensemble(t):
 @register("b11_residual_chain", f"category:s {_M}")
 def residual_chain(t):
     train, test, f = _frames(t)
-    stages = [list(agg.ENCODINGS), [c for c in f if c.startswith("demand_")], list(md.CALENDAR)]
+    known = ("encodings", "calendar")
+    stages = [list(ft.GROUPS["encodings"]), [c for g, cs in ft.GROUPS.items() if g not in known for c in cs], list(ft.GROUPS["calendar"])]
     return _score(md.residual_chain(train, test, stages, 20), "category")
 
 
@@ -190,7 +286,7 @@ def search(t):
 @register("b16_feature_importance", "feature:s importance:f6")
 def feature_importance(t):
     train, _, f = _frames(t)
-    return md.feature_importance(md.gbt(f).fit(train), f, train)
+    return md.feature_importance(_global(t), f, train)
 
 
 @register("b17_learning_curve", "history_days:i mae:f exponent:f fitted_mae:f")
