@@ -42,10 +42,10 @@ def _global(t, loss="squared"):
 
 
 def _with_base(t):
-    """(train, test) with the global model's forecast as `base`."""
+    """(train, test) with the global model's forecast as `base`, each scored once."""
     train, test, _ = _frames(t)
     model = _global(t)
-    return [md.predict(model, rows, "base") for rows in (train, test)]
+    return [cut_lineage(md.predict(model, rows, "base")) for rows in (train, test)]
 
 
 # Features of the linear models: level, recent course, price, weather and calendar.
