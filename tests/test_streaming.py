@@ -71,11 +71,67 @@ def test_a_retried_epoch_replaces_its_rows(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_drift_windows_slide(spark, tmp_path):
-    land = tmp_path / "land"
+def history(spark, path, mean):
+    spark.createDataFrame([("p", mean, 5.0)], "product string, hist_mean double, hist_std double").write.mode("overwrite").parquet(path)
+
+
+def test_drift_uses_the_history_of_the_day(spark, tmp_path):
+    land, known, out, ckpt = tmp_path / "land", str(tmp_path / "history"), str(tmp_path / "o"), str(tmp_path / "c")
+
+    def step():
+        log = jobs.read_landing(spark, str(land), SCHEMA).select("product", F.col("check_ts").alias("timestamp"), (F.col("qty") * 50).alias("prediction"))
+        jobs.finish(jobs.start_drift(log, known, out, ckpt, ["product"]))
+        return sorted((r.window_end.day, r.n_recent, r.hist_mean, r.is_drift) for r in spark.read.parquet(out).collect())
+
+    history(spark, known, 10.0)
     drop(land, "a", [at(10, h) for h in range(12)])
-    events = jobs.read_landing(spark, str(land), SCHEMA).select(
-        F.col("check_ts").alias("timestamp"), (F.col("qty") * 50).alias("prediction"))
-    out = jobs.run_update(jobs.drift_windows(events, 10.0, 5.0), str(tmp_path / "o"), str(tmp_path / "c"), ["window_start"])
-    rows = out.collect()
-    assert len(rows) == 7 and all(r.n_recent == 12 and r.is_drift == 1 for r in rows)
+    drop(land, "b", [at(14, 12)])  # the watermark reaches the 13th: windows that end by then are closed
+    first = step()
+    assert first == [(11, 12, 10.0, 1), (12, 12, 10.0, 1), (13, 12, 10.0, 1)]
+    history(spark, known, 50.0)
+    drop(land, "c", [at(16, 12)])
+    assert step() == [*first, (14, 12, 50.0, 0), (15, 13, 50.0, 0)]
+    assert step() == [*first, (14, 12, 50.0, 0), (15, 13, 50.0, 0)]  # nothing new has landed
+
+
+def test_drift_without_history(spark):
+    windows = spark.createDataFrame([("q", 12, 3.0), ("p", 12, 99.0), ("p", 9, 99.0)], "product string, n_recent long, recent_mean double")
+    known = spark.createDataFrame([("p", 1.0, 2.0)], "product string, hist_mean double, hist_std double")
+    got = {(r.product, r.n_recent): (r.drift_ratio, r.is_drift) for r in jobs.with_drift(windows, known, ["product"]).collect()}
+    assert got["q", 12] == (None, 0) and got["p", 12][1] == 1 and got["p", 9][1] == 0
+
+
+def batch_alerts(rows, until, quiet=3, min_days=3):
+    """Alerts due by `until`, from all sales at once."""
+    out, hours = [], []
+    days = sorted({r.date() for r in rows})
+    for day in days:
+        sold = sorted({r.replace(second=0) for r in rows if r.date() == day})
+        midnight = dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1)
+        usual = sum(hours) // len(hours) if len(hours) >= min_days else None
+        for a, b in zip(sold, [*sold[1:], None]):
+            due = a + dt.timedelta(hours=quiet)
+            if due < midnight and (b is None or b > due) and usual is not None and a.hour < usual and due <= until:
+                out.append((str(day), "open", a.hour, sum(r <= a for r in rows if r.date() == day)))
+        if midnight <= until:
+            out.append((str(day), "close", sold[-1].hour, len([r for r in rows if r.date() == day])))
+            hours.append(sold[-1].hour)
+    return sorted(out)
+
+
+def test_alerts_come_once_whatever_the_batches(spark, tmp_path):
+    days = [[8, 12, 18, 19], [9, 19], [8, 13, 18], [8, 10], [8, 12, 13, 19], [7, 19], [8]]
+    rows = [at(d + 1, h) for d, hs in enumerate(days) for h in hs]
+    until = max(rows) - dt.timedelta(hours=2)
+    want = batch_alerts(rows, until)
+    assert ("2024-01-04", "open", 10, 2) in want and [w for w in want if w[1] == "close"] == sorted(w for w in want if w[1] == "close")
+    for name, cuts in (("one", [len(rows)]), ("many", [3, 5, 9, 10, 11, 14, len(rows)])):
+        land, out, ckpt = tmp_path / f"land-{name}", str(tmp_path / f"out-{name}"), str(tmp_path / f"ckpt-{name}")
+        start = 0
+        for i, cut in enumerate(cuts):
+            drop(land, f"f{i}", rows[start:cut])
+            start = cut
+            jobs.finish(jobs.start_append(jobs.early_stop_alerts(jobs.read_landing(spark, str(land), SCHEMA)), out, ckpt))
+        jobs.finish(jobs.start_append(jobs.early_stop_alerts(jobs.read_landing(spark, str(land), SCHEMA)), out, ckpt))  # nothing new
+        got = sorted((str(r.date), r.kind, r.last_hour, int(r.sold)) for r in spark.read.parquet(out).collect())
+        assert got == want, name

@@ -8,10 +8,11 @@ replaces, and readers keep the latest epoch of a key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 # Keeps window state on local disk instead of the executors' heap.
 STATE_STORE = {
@@ -39,16 +40,118 @@ def hourly_windows(events: DataFrame, ts: str = "check_ts", late: str = "2 days"
                  .select("store", "product", F.col("w.start").alias("window_start"), "qty", "amount", "n_lines"))
 
 
-def drift_windows(log: DataFrame, hist_mean: float, hist_std: float, ts: str = "timestamp",
-                  late: str = "1 day", size: str = "7 days", slide: str = "1 day") -> DataFrame:
-    """Sliding drift of predictions against fixed history figures."""
+def prediction_windows(log: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp",
+                       late: str = "1 day", size: str = "7 days", slide: str = "1 day") -> DataFrame:
+    """Number and mean of predictions per sliding window and key."""
     timed = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    per = timed.groupBy(F.window(ts, size, slide).alias("w")).agg(
+    per = timed.groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(
         F.count("*").alias("n_recent"), F.avg("prediction").alias("recent_mean"))
-    ratio = F.abs(F.col("recent_mean") - hist_mean) / (F.lit(float(hist_std)) + 1e-8)
-    return per.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_recent", "recent_mean",
-                      ratio.alias("drift_ratio"),
-                      ((F.col("n_recent") >= 10) & (ratio > 2.0)).cast("int").alias("is_drift"))
+    return per.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_recent", "recent_mean")
+
+
+def with_drift(windows: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Windows joined with their key's history (hist_mean, hist_std); a key without history has no ratio and no drift."""
+    joined = windows.join(history.select(*keys, "hist_mean", "hist_std"), list(keys), "left")
+    ratio = F.abs(F.col("recent_mean") - F.col("hist_mean")) / (F.col("hist_std") + 1e-8)
+    return joined.withColumn("drift_ratio", ratio).withColumn(
+        "is_drift", F.coalesce((F.col("n_recent") >= 10) & (F.col("drift_ratio") > 2.0), F.lit(False)).cast("int"))
+
+
+def start_drift(log: DataFrame, history: str, path: str, checkpoint: str, keys: Sequence[str], available_now: bool = True,
+                **windows) -> StreamingQuery:
+    """Closed windows joined with the history table, each written once.
+
+    The table below `history` is listed again for every micro-batch, so figures that were replaced since
+    the last one are used from the next one on. An epoch has its own partition, which a retry replaces.
+    """
+    _use_state_store(log.sparkSession)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        known = batch.sparkSession.read.parquet(history)
+        epoch_writer(path)(with_drift(batch, known, keys), epoch)
+    writer = (prediction_windows(log, keys, **windows).writeStream.outputMode("append")
+              .option("checkpointLocation", checkpoint).foreachBatch(write))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+MINUTE, DAY = 60_000, 86_400_000
+ALERTS = "store {store}, product {product}, date date, kind string, alert_at timestamp, last_hour int, sold double, usual_hour int"
+
+
+class EarlyStop(StatefulProcessor):
+    """Alerts of one (store, product), driven by event-time timers.
+
+    `open`: a pair that usually sells until a later hour has had no sale for `quiet_hours`, and its day is not over. Fired
+    when the watermark passes that moment, so no sale that is in time can be missing. `close`: once per
+    day with sales, when the watermark passes midnight, with the day's last hour. The usual hour is the mean
+    last hour of the days closed before, rounded down, from `min_days` of them on.
+
+    State of a pair is the minutes with sales of its open days (1,440 a day at most) and two numbers.
+    """
+
+    def __init__(self, quiet_hours: int, min_days: int):
+        self.quiet, self.min_days = quiet_hours * 60, min_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "minutes array<long>, sold array<double>")
+        self.closed = handle.getValueState("closed", "days long, hours long")
+
+    def _usual(self) -> int | None:
+        days, hours = self.closed.get() if self.closed.exists() else (0, 0)
+        return hours // days if days >= self.min_days else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        sold = dict(zip(*self.open.get())) if self.open.exists() else {}
+        new = set()
+        for row in rows:
+            minute = row["at_ms"] // MINUTE
+            if minute not in sold:
+                new.add(minute)
+            sold[minute] = sold.get(minute, 0.0) + (row["qty"] or 0.0)
+        for minute in new:
+            midnight = (minute * MINUTE // DAY + 1) * DAY
+            self.handle.registerTimer(midnight)
+            if (due := (minute + self.quiet) * MINUTE) < midnight:
+                self.handle.registerTimer(due)
+        order = sorted(sold)
+        self.open.update((order, [sold[m] for m in order]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        sold = dict(zip(*self.open.get())) if self.open.exists() else {}
+        day = (now - 1) // DAY
+        today = {m: q for m, q in sold.items() if m * MINUTE // DAY == day}
+        usual = self._usual()
+
+        def alert(kind: str, hour: int, until: int) -> Row:
+            quantity = float(sum(q for m, q in today.items() if m <= until))
+            return Row(store=key[0], product=key[1], date=datetime.date(1970, 1, 1) + datetime.timedelta(days=day), kind=kind,
+                       alert_at=datetime.datetime.fromtimestamp(now / 1000, datetime.timezone.utc), last_hour=hour, sold=quantity, usual_hour=usual)
+        if now % DAY == 0:
+            if today:
+                last = max(today) // 60 % 24
+                yield alert("close", last, max(today))
+                days, hours = self.closed.get() if self.closed.exists() else (0, 0)
+                self.closed.update((days + 1, hours + last))
+                rest = sorted(m for m in sold if m not in today)
+                self.open.update((rest, [sold[m] for m in rest]))
+            return
+        since = now // MINUTE - self.quiet
+        hour = since // 60 % 24
+        if since in today and usual is not None and hour < usual and not any(since < m <= since + self.quiet for m in today):
+            yield alert("open", hour, since)
+
+
+def early_stop_alerts(events: DataFrame, ts: str = "check_ts", late: str = "2 hours", quiet_hours: int = 3, min_days: int = 3) -> DataFrame:
+    """Stream of alerts, each once; see `EarlyStop`. Rows with a null key or time are left out; days are those of UTC."""
+    timed = events.dropna(subset=["store", "product", ts]).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    types = dict(events.dtypes)
+    rows = timed.select("store", "product", ts, F.unix_millis(ts).alias("at_ms"), F.col("qty").cast("double").alias("qty"))
+    return rows.groupBy("store", "product").transformWithState(
+        EarlyStop(quiet_hours, min_days), ALERTS.format(store=types["store"], product=types["product"]), "Append", "EventTime")
 
 
 def last_sale_windows(events: DataFrame, ts: str = "check_ts", late: str = "2 hours", stop_hour: int = 14) -> DataFrame:
@@ -96,10 +199,14 @@ def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
             .filter(F.col("_rn") == 1).drop("_rn", "epoch"))
 
 
-def run_update(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
-    """Process what has landed so far, then read the current values."""
-    query = start_update(df, path, checkpoint)
+def finish(query: StreamingQuery) -> None:
+    """Wait until what has landed is processed; a failed query raises."""
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+
+
+def run_update(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Process what has landed so far, then read the current values."""
+    finish(start_update(df, path, checkpoint))
     return latest_rows(df.sparkSession, path, keys)
