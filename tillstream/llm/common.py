@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,7 +18,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 __all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "broadcast_if_small", "byte_batches", "cut_lineage",
-           "ensure_checkpoint_dir", "keep_rows", "mix64", "ngram_hashes", "read", "sorted_unique", "stored", "text_or_empty"]
+           "ensure_checkpoint_dir", "keep_rows", "mix64", "ngram_hashes", "read", "released", "sorted_unique", "stored", "text_or_empty"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,10 +29,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Smaller Arrow batches for text: a batch of very long texts then still fits a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Smaller Arrow batches for text, for lazy frames: `rows` rows, or fewer beyond `size` bytes."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 @contextmanager
@@ -73,7 +75,7 @@ def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for up to `limit` words."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 65_536):
         super().__init__()
         self.limit = limit
 
@@ -87,6 +89,16 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow holds beside them goes back to the system after each and at the end."""
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+    pool.release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit integers (a bijection), element by element."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

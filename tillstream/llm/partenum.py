@@ -39,18 +39,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tillstream.llm.common import (WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, sorted_unique, stored,
-                                   text_or_empty)
+from tillstream.llm.common import (WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, released,
+                                   sorted_unique, stored, text_or_empty)
 from tillstream.llm.components import components
 
 N2, K2 = 2, 1
 BAND = 1.25
 RARE = 0.02
 SEEN = 100_000
-CHUNK = 1 << 19  # signatures that a task sorts at a time
-BUCKET = 1 << 20  # shingles per receiving task, of which well under half become signatures
+CHUNK = 1 << 18  # signatures that a task sorts at a time
+BUCKET = 1 << 18  # shingles per bucket, of which well under half become signatures
+PARTS = 4  # buckets per receiving task, which takes them one after another
+MOST_PARTS = 20_000  # receiving tasks; beyond that a task takes more buckets
 SHARED, MEMBER = 1, 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -144,7 +146,7 @@ def _text_bytes(batch: pa.RecordBatch) -> list[bytes]:
 
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sets = list(_sets(_text_bytes(batch), n))
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -179,7 +181,7 @@ def _signature_blocks(n: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs, names, many = [], [], 0
-        for batch in batches:
+        for batch in released(batches):
             for s in _sets(_text_bytes(batch), n):
                 if not len(s):
                     continue
@@ -202,11 +204,19 @@ def _signature_blocks(n: int, percent: int, buckets: int):
 
 
 def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, p1, many) of the signatures that classes share, from all blocks of a partition's buckets."""
-    columns: list[list[bytes]] = [[], [], []]
-    for batch in batches:
-        for column, name in zip(columns, ("sigs", "names", "states")):
-            column += batch.column(name).to_pylist()
+    """(sig, p1, many) of the signatures that classes share, bucket by bucket; a partition's rows come sorted by bucket."""
+    bucket, columns = None, [[], [], []]
+    for batch in released(batches):
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "names", "states"))):
+            if at != bucket:
+                yield from _shared_of(columns)
+                bucket, columns = at, [[], [], []]
+            for column, value in zip(columns, row):
+                column.append(value)
+    yield from _shared_of(columns)
+
+
+def _shared_of(columns: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
     sigs, names, state = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int64, np.int64, np.uint8)))
     if not len(sigs):
         return
@@ -227,7 +237,7 @@ def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sets = list(_sets(_text_bytes(batch), n))
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -247,7 +257,7 @@ def _linked(percent: int, kind: type, out: tuple[str, str]):
         return int((y[at] == x).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             left, right = (batch.column(c).to_pylist() for c in ("a_set", "b_set"))
             keep = []
             for a, b in zip(left, right):
@@ -303,7 +313,9 @@ def _rest(members: DataFrame, pivots: DataFrame, sets: DataFrame, roots: DataFra
     rows = sets.select("p1", "size", "elements").join(broadcast_if_small(left), "p1").mapInArrow(
         _element_rows, "p1 long, root long, size int, element long")
     # An element that no other set has cannot be shared; it only moves the others back in the order.
-    counted = rows.withColumn("many", F.count("*").over(Window.partitionBy("element"))).filter("many > 1")
+    # Counts are added up before their exchange and joined back, so that AQE can split a shingle that very many sets have.
+    many = rows.groupBy("element").agg(F.count("*").alias("many")).filter("many > 1")
+    counted = rows.join(many, "element")
     own = counted.groupBy("p1", "root", "size").agg(F.sort_array(F.collect_set(F.struct("many", "element"))).alias("own"))
     alone = F.col("size") - F.size("own")
     length = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int") + 1 - alone
@@ -355,12 +367,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def find_links(content: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect every component, between names of classes of equal sets."""
-    # Blocks are dealt so that a task of the receiving side reads some millions of signatures at most.
+    # Blocks are dealt so that a task of the receiving side sorts some hundred thousand signatures at a time.
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = total // BUCKET + 1
     blocks = content.select("content").mapInArrow(
-        _signature_blocks(n, percent, 4 * buckets), "bucket long, sigs binary, names binary, states binary")
-    members = stored(blocks.repartition(buckets, "bucket").mapInArrow(_shared_signatures, "sig long, p1 long, many long"))
+        _signature_blocks(n, percent, buckets), "bucket long, sigs binary, names binary, states binary")
+    dealt = blocks.repartition(min(buckets // PARTS + 1, MOST_PARTS), "bucket").sortWithinPartitions("bucket")
+    members = stored(dealt.mapInArrow(_shared_signatures, "sig long, p1 long, many long"))
     weight = broadcast_if_small(cut_lineage(members.groupBy("p1").agg(F.sum("many").alias("weight"))))
     pivots = stored(members.join(weight, "p1").groupBy("sig").agg(F.max(F.struct("weight", "p1")).alias("best")).select(
         "sig", F.col("best.p1").alias("b1")))

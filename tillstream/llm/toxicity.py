@@ -4,7 +4,7 @@ Features of a text, each in a set (binary): its lower-case words, word pairs, sk
 two words between, and stems (the first five characters); a word or stem that returns adds one feature
 per level of `LEVELS` that its count reaches. They are hashed into 2**BITS weights. FTRL-proximal keeps
 a learning rate per weight and pulls rare and noisy ones to exactly zero by L1, so that what is left is
-a short list of (index, weight), bounded by `MAX_WEIGHTS`, that travels to the tasks inside the function.
+a short list of (index, weight), 2**BITS at most (8 MB), that travels to the tasks inside the function.
 
 Training reads a bounded sample of labelled rows, `PER_CLASS` of each label, smallest hash of the id
 first; class weights restore the base rate. Features are made in parallel; FTRL itself is sequential, so
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, sorted_unique
+from tillstream.llm.common import WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, released, sorted_unique
 
 BITS = 20
 LEVELS = (2, 4, 8)
@@ -34,7 +34,6 @@ STEM = 5
 PER_CLASS = 6000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 5.0, 0.5
-MAX_WEIGHTS = 200_000
 THRESHOLD = 0.3
 SEED = 11
 
@@ -93,9 +92,6 @@ def ftrl(rows: Iterator[tuple[np.ndarray, int, float]], epochs: int = EPOCHS) ->
             z[at] += gradient - (np.sqrt(n[at]) - np.sqrt(old)) / ALPHA * w
     every = np.flatnonzero(np.abs(z[:-1]) > L1)
     values = weights(every)
-    if len(every) > MAX_WEIGHTS:
-        every = np.sort(every[np.argsort(-np.abs(values), kind="stable")[:MAX_WEIGHTS]])
-        values = weights(every)
     return float(weights(bias)[0]), every.astype(np.int32), values.astype(np.float32)
 
 
@@ -105,7 +101,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
-    for batch in batches:
+    for batch in released(batches):
         found = [sorted_unique(features(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array([x.tobytes() for x in found], pa.binary())],
                                          names=["order", "toxic", "features"])
