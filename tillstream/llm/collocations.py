@@ -31,7 +31,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tillstream.llm.bloom import Filter, bits_for, filter_of as _filter_of, nothing as _nothing
 from tillstream.llm.common import byte_batches, mix64, stored
 
 LONGEST = 4
@@ -47,7 +47,6 @@ SHARE = 0.0625
 SLACK = 0.5
 WITHIN = 80  # a phrase goes if a longer one around it has this share of its count, in percent
 FILTER_BITS = 1 << 27
-HASHES = 3
 SEED = 7
 BATCH = 2 << 20  # bytes of text
 ROWS = 32_768  # counts handed over at once
@@ -57,22 +56,6 @@ _BREAKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abc
 NAMES = [f"w{k}" for k in range(1, LONGEST + 1)]  # a word's name each, 0 beyond the last
 
 
-class Filter(NamedTuple):
-    """Bloom filter of phrase names; `bits` is a power of two."""
-
-    bits: int
-    words: np.ndarray
-
-    @staticmethod
-    def places(names: np.ndarray, bits: int) -> np.ndarray:
-        step = mix64(names) | np.uint64(1)
-        return (mix64(step) + np.arange(HASHES, dtype=np.uint64)[:, None] * step) & np.uint64(bits - 1)
-
-    def holds(self, names: np.ndarray) -> np.ndarray:
-        at = self.places(names, self.bits)
-        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
-
-
 def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, and for each occurrence its word, its text and its piece, in order."""
     # A carriage return cannot be left in a text, so it marks the next one.
@@ -202,31 +185,6 @@ def _exact(texts: DataFrame, now: Filter, before: Filter, maybe: Filter, seed: i
     return texts.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).groupBy("lang", *NAMES).agg(F.sum("many").alias("many"))
 
 
-def bits_for(many: int, bits: int) -> int:
-    """Bits of a filter for so many words and what is built of them, `bits` at most."""
-    size = 1 << 16
-    while size < min(bits, 64 * many):
-        size <<= 1
-    return size
-
-
-def _nothing(bits: int) -> Filter:
-    return Filter(bits, np.zeros(bits >> 6, np.uint64))
-
-
-def _filter_of(names: DataFrame, bits: int) -> Filter:
-    """Filter of a column `name`; at most bits / 64 rows of two numbers reach the driver."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(Filter.places(batch.column("name").to_numpy().view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
-                                             names=["place", "bit"])
-    found = names.select("name").mapInArrow(run, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(bits >> 6, np.uint64)
-    words[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return Filter(bits, words)
-
-
 def _missing(names: DataFrame, held: Filter) -> DataFrame:
     """Names of phrases shorter than the longest that the filter does not hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillstream.llm.bloom import Filter, bits_for, filter_of
 from tillstream.llm.common import (WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, released,
                                    sorted_unique, stored, text_or_empty)
 from tillstream.llm.components import components
@@ -53,6 +54,8 @@ CHUNK = 1 << 18  # signatures that a task sorts at a time
 BUCKET = 1 << 18  # shingles per bucket, of which well under half become signatures
 PARTS = 4  # buckets per receiving task, which takes them one after another
 MOST_PARTS = 20_000  # receiving tasks; beyond that a task takes more buckets
+FILTER_BITS = 1 << 27  # at most, of the shingles that several open sets have
+ELEMENTS = "p1 long, root long, size int, element long"
 SHARED, MEMBER = 1, 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -310,12 +313,12 @@ def _rest(members: DataFrame, pivots: DataFrame, sets: DataFrame, roots: DataFra
     left = cut_lineage(others.join(still, "sig", "left_semi").select("p1", "root").distinct())
     if left.isEmpty():
         return left.select(F.col("p1").alias("a1"), F.col("p1").alias("b1"))
-    rows = sets.select("p1", "size", "elements").join(broadcast_if_small(left), "p1").mapInArrow(
-        _element_rows, "p1 long, root long, size int, element long")
-    # An element that no other set has cannot be shared; it only moves the others back in the order.
-    # Counts are added up before their exchange and joined back, so that AQE can split a shingle that very many sets have.
-    many = rows.groupBy("element").agg(F.count("*").alias("many")).filter("many > 1")
-    counted = rows.join(many, "element")
+    members_of = sets.select("p1", "size", "elements").join(broadcast_if_small(left), "p1")
+    # An element that no other set has cannot be shared; it only moves the others back in the order. Counts are added up
+    # before their exchange; a filter of what several sets have keeps the rest out of the join, which AQE can split.
+    many = stored(members_of.mapInArrow(_element_rows(None), ELEMENTS).groupBy("element").agg(F.count("*").alias("many")).filter("many > 1"))
+    held = filter_of(many.select(F.col("element").alias("name")), bits_for(many.count() // 4, FILTER_BITS))
+    counted = members_of.mapInArrow(_element_rows(held), ELEMENTS).join(many, "element")
     own = counted.groupBy("p1", "root", "size").agg(F.sort_array(F.collect_set(F.struct("many", "element"))).alias("own"))
     alone = F.col("size") - F.size("own")
     length = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int") + 1 - alone
@@ -330,15 +333,20 @@ def _rest(members: DataFrame, pivots: DataFrame, sets: DataFrame, roots: DataFra
     return cut_lineage(a.join(b, "element").filter(fits).select(F.col("a_p1").alias("a1"), F.col("b_p1").alias("b1")).distinct())
 
 
-def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("elements").to_pylist()]
-        for at in range(0, len(sets), 64):
-            part = sets[at:at + 64]
-            take = pa.array(np.repeat(np.arange(at, at + len(part)), [len(x) for x in part]))
-            yield pa.RecordBatch.from_arrays([
-                *[batch.column(c).take(take) for c in ("p1", "root", "size")], pa.array(np.concatenate(part))],
-                names=["p1", "root", "size", "element"])
+def _element_rows(held: Filter | None):
+    """A row per element of a set, of those that `held` holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in released(batches):
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("elements").to_pylist()]
+            for at in range(0, len(sets), 64):
+                part = sets[at:at + 64]
+                if held:
+                    part = [x[held.holds(x.view(np.uint64))] for x in part]
+                take = pa.array(np.repeat(np.arange(at, at + len(part)), [len(x) for x in part]))
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(c).take(take) for c in ("p1", "root", "size")], pa.array(np.concatenate(part))],
+                    names=["p1", "root", "size", "element"])
+    return run
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
