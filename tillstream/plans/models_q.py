@@ -209,13 +209,13 @@ def segment_models(t):
 @register("b07_segment_coefficients", "segment:s n_rows:i slope:f intercept:f", """
 SELECT store || '/' || product AS segment, count(*) AS n_rows, regr_slope(demand, demand_roll_mean7) AS slope,
   regr_intercept(demand, demand_roll_mean7) AS intercept
-FROM feature_table WHERE is_test = 0 GROUP BY store, product""")
+FROM feature_table WHERE is_test = 0 GROUP BY store, product HAVING count(*) >= 5""")
 def segment_coefficients(t):
-    """One feature, one model per pair: the same sums as the slope and intercept of SQL."""
+    """One feature, one model per pair of five rows and more: the same sums as the slope and intercept of SQL."""
     train, _, _ = _frames(t)
     scale, models, _ = lin.segment_regression(train.withColumn("segment", F.concat_ws("/", "store", "product")), "segment", ["demand_roll_mean7"], ridge=0.0)
     slope = F.col("beta")[1] / F.lit(scale.deviations[0])
-    return models.select("segment", "n_rows", slope.alias("slope"), (F.col("beta")[0] - slope * F.lit(scale.means[0])).alias("intercept"))
+    return models.filter("n_rows >= 5").select("segment", "n_rows", slope.alias("slope"), (F.col("beta")[0] - slope * F.lit(scale.means[0])).alias("intercept"))
 
 
 @register("b07_tier_models", f"tier:s {_M}")
