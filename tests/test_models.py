@@ -122,3 +122,29 @@ def test_weights_have_mean_one(panel):
     w = tg.sample_weights(panel.withColumn("is_weak_sku", (F.col("store") == "s0").cast("int")))
     row = w.agg(*[F.avg(c).alias(c) for c in ("w_std", "w_inverse_std", "w_weak_025", "w_weak_050")]).first()
     assert all(v == pytest.approx(1.0) for v in row)
+
+
+def test_search_folds_go_by_date(frames):
+    train, _, _ = frames
+    days = []
+    for seen, judged in md.rolling_origins(train, 3, 10):
+        a, b = seen.agg(F.max("date")).first()[0], judged.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+        assert a < b.a and (b.b - b.a).days == 9 and (b.a - a).days == 1
+        days.append((b.a, b.b))
+    assert days == sorted(days, reverse=True) and all(x[0] > y[1] for x, y in zip(days, days[1:]))
+
+
+def test_search_halves_and_refits_the_winner(frames):
+    train, test, features = frames
+    trials, winner = md.search(train, features, (1, 4), (0.05, 0.3), trees=8, folds=2, fold_days=10, history_days=60)
+    rows = sorted(trials.collect(), key=lambda r: (r.rung, r.mae))
+    assert [r.rung for r in rows] == [0] * 4 + [1] * 2
+    assert {(r.n_folds, r.history_days, r.trees) for r in rows if r.rung == 0} == {(1, 30, 4)}
+    assert {(r.n_folds, r.history_days, r.trees) for r in rows if r.rung == 1} == {(2, 60, 8)}
+    assert [r.is_kept for r in rows] == [1, 1, 0, 0, 1, 0]
+    assert {(r.depth, r.step) for r in rows if r.rung == 1} == {(r.depth, r.step) for r in rows[:2]}
+    best = winner.stages[-1]
+    assert (best.getOrDefault("maxDepth"), best.getOrDefault("stepSize")) == (rows[4].depth, rows[4].step)
+    assert mae(md.predict(winner, test)) < 2.5
+    none, nothing = md.search(train.limit(0), features)
+    assert none.count() == 0 and nothing is None

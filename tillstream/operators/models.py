@@ -7,15 +7,14 @@ no tree needs a bin per store or product and training stays distributed over row
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillstream.functions.calendar import add_calendar
@@ -242,19 +241,49 @@ def two_stage_forecast(train: DataFrame, test: DataFrame, features: Sequence[str
 
 # ---- B15-B17: search, importance, learning curve ---------------------------------
 
-def search(train: DataFrame, features: Sequence[str], depths: Sequence[int] = (3, 5),
-           steps: Sequence[float] = (0.1, 0.3), trees: int = 20, parallelism: int = 2) -> DataFrame:
-    """Validation MAE of every setting of the grid."""
-    pipe = gbt(features, trees=trees)
-    model = pipe.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(model.maxDepth, list(depths)).addGrid(model.stepSize, list(steps)).build()
-    split = TrainValidationSplit(
-        estimator=pipe, estimatorParamMaps=grid, trainRatio=0.8, seed=SEED, parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol="label", predictionCol="raw_prediction", metricName="mae"))
-    fitted = split.fit(train)
-    rows = [(int(p[model.maxDepth]), float(p[model.stepSize]), float(m))
-            for p, m in zip(grid, fitted.validationMetrics)]
-    return train.sparkSession.createDataFrame(rows, "depth int, step double, mae double").orderBy("mae", "depth", "step")
+def rolling_origins(train: DataFrame, folds: int, fold_days: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(seen, judged) per fold, latest first: `fold_days` days and all rows before them. No row is judged by one of its future."""
+    last, out = max_date(train), []
+    for k in range(folds):
+        start, end = F.date_sub(last, (k + 1) * fold_days - 1), F.date_sub(last, k * fold_days)
+        out.append((train.filter(F.col(DATE) < start), train.filter((F.col(DATE) >= start) & (F.col(DATE) <= end))))
+    return out
+
+
+SEARCH = "rung int, depth int, step double, n_folds int, history_days int, trees int, mae double, is_kept int"
+
+
+def search(train: DataFrame, features: Sequence[str], depths: Sequence[int] = (3, 5), steps: Sequence[float] = (0.1, 0.3), trees: int = 20,
+           folds: int = 3, fold_days: int = 30, history_days: int = 180, parallelism: int = 4) -> tuple[DataFrame, PipelineModel | None]:
+    """(every trial, the winner fitted on all rows): successive halving over folds by date.
+
+    The first rung tries all settings on one fold, a short history and few trees; each further rung doubles these and takes
+    the better half of the settings, until one is left. Ties go to the smaller depth, then the smaller step. A
+    fold without rows on either side is left out; without any fold there is no winner.
+    """
+    cuts = [(seen, judged) for seen, judged in rolling_origins(train, folds, fold_days) if not seen.isEmpty() and not judged.isEmpty()]
+    alive = sorted((d, float(s)) for d in set(depths) for s in set(steps)) if cuts else []
+    rungs = max(1, (len(alive) - 1).bit_length())
+    trials: list[tuple] = []
+
+    def mae(setting: tuple[int, float], rung: int) -> tuple[float, tuple[int, float], int, int, int]:
+        left = rungs - 1 - rung
+        n_folds, n_trees, days = max(1, len(cuts) >> left), max(1, trees >> left), max(1, history_days >> left)
+        parts = []
+        for seen, judged in cuts[:n_folds]:
+            recent = seen.filter(F.col(DATE) > F.date_sub(max_date(seen), days))
+            scored = fit_predict(gbt(features, trees=n_trees, depth=setting[0], step=setting[1]), recent, judged)
+            parts.append(scored.select(F.abs(F.col("label") - F.col("prediction")).alias("e")))
+        return reduce(DataFrame.unionByName, parts).agg(F.avg("e")).first()[0], setting, n_folds, days, n_trees
+
+    for rung in range(rungs if alive else 0):
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            found = sorted(pool.map(lambda s: mae(s, rung), alive))
+        alive = [f[1] for f in found[:-(-len(found) // 2)]] if rung < rungs - 1 else [found[0][1]]
+        trials += [(rung, s[0], s[1], n, days, t, float(e), int(s in alive)) for e, s, n, days, t in found]
+    table = train.sparkSession.createDataFrame(trials, SEARCH)
+    winner = gbt(features, trees=trees, depth=alive[0][0], step=alive[0][1]).fit(train) if alive else None
+    return table, winner
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], train: DataFrame) -> DataFrame:

@@ -277,10 +277,14 @@ def two_stage(t):
     return hard.unionByName(_score(out, col="prediction_soft").withColumn("routing", F.lit("soft")))
 
 
-@register("b15_search", "depth:i step:f mae:f")
+@register("b15_search", "rung:i depth:i step:f n_folds:i history_days:i trees:i mae:f is_kept:i test_mae:f")
 def search(t):
-    train, _, f = _frames(t)
-    return md.search(train, f)
+    """Trials by rung; the winner's row has its error on the test days, fitted again on all training rows."""
+    train, test, f = _frames(t)
+    trials, winner = md.search(train, f)
+    error = md.predict(winner, test).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0] if winner else None
+    last = trials.agg(F.max("rung")).scalar()
+    return trials.withColumn("test_mae", F.when((F.col("rung") == last) & (F.col("is_kept") == 1), F.lit(error).cast("double")))
 
 
 @register("b16_feature_importance", "feature:s importance:f6")
