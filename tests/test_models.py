@@ -148,3 +148,32 @@ def test_search_halves_and_refits_the_winner(frames):
     assert mae(md.predict(winner, test)) < 2.5
     none, nothing = md.search(train.limit(0), features)
     assert none.count() == 0 and nothing is None
+
+
+def test_planted_breaks_are_found_within_a_week(spark):
+    rng, rows, planted = np.random.default_rng(8), [], {}
+    for s in range(12):
+        at = sorted(rng.choice([(70,), (150,), (60, 160), ()][s % 4], size=len([(70,), (150,), (60, 160), ()][s % 4]), replace=False).tolist())
+        planted[f"s{s}"] = at
+        for i in range(280):
+            d = dt.date(2024, 1, 1) + dt.timedelta(days=i)
+            level = 60 + 0.1 * i + sum((0.6 if k % 2 == 0 else -0.9) * max(0, i - c) for k, c in enumerate(at)) + 4 * (d.weekday() == 5)
+            rows.append((f"s{s}", "p", d, float(max(0.0, level + rng.normal(0, 2))), i >= 250))
+    df = spark.createDataFrame(rows, "store string, product string, date date, demand double, is_test boolean")
+    out = lm.trend_break_forecast(df)
+    got = {r.store: [(b - dt.date(2024, 1, 1)).days for b in r.breaks] for r in out.select("store", "breaks").distinct().collect()}
+    for store, at in planted.items():
+        assert len(got[store]) == len(at) and all(abs(a - b) <= 7 for a, b in zip(got[store], at)), (store, got[store], at)
+    line = lm.trend_season_forecast(df)
+    assert out.count() == line.count() == 12 * 30 and mae(out, label="demand") < 0.5 * mae(line, label="demand")
+
+
+def test_breaks_of_odd_series(spark):
+    first = dt.date(2024, 1, 1)
+    rows = [("flat", 5.0, i) for i in range(60)] + [("short", 2.0, i) for i in range(20)] + [("gaps", None if i % 3 else float(i), i) for i in range(120)]
+    rows += [("untested", 1.0, i) for i in range(40)]
+    df = spark.createDataFrame([(s, "p", first + dt.timedelta(days=i), v, i % 60 >= 50 or (s == "short" and i > 15)) for s, v, i in rows],
+                               "store string, product string, date date, demand double, is_test boolean")
+    got = lm.trend_break_forecast(df).collect()
+    assert all(r.prediction is not None and r.prediction >= 0 for r in got)
+    assert {r.status for r in got if r.store == "short"} == {"mean"} and all(abs(r.prediction - 5) < 0.01 for r in got if r.store == "flat")

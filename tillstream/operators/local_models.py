@@ -79,6 +79,101 @@ def trend_season_forecast(rows: DataFrame, variant: str = "calendar_holidays", l
     return local_forecast(dated.withColumns(weekdays), features, label, keys=keys, min_rows=min_rows)
 
 
+def _lasso(gram: np.ndarray, corr: np.ndarray, penalty: float, rounds: int = 200) -> np.ndarray:
+    """Coefficients of unit columns under an L1 penalty, by coordinate descent on their products."""
+    beta = np.zeros(len(corr))
+    left = corr.copy()
+    for _ in range(rounds):
+        moved = 0.0
+        for j in range(len(beta)):
+            raw = left[j] + beta[j]
+            new = np.sign(raw) * max(abs(raw) - penalty, 0.0)
+            if new != beta[j]:
+                left -= gram[:, j] * (new - beta[j])
+                moved = max(moved, abs(new - beta[j]))
+                beta[j] = new
+        if moved < 1e-6 * max(1.0, np.abs(corr).max()):
+            break
+    return beta
+
+
+def find_breaks(t: np.ndarray, y: np.ndarray, base: np.ndarray, every: int = 7) -> np.ndarray:
+    """Days (values of t) at which the slope of y changes, given the columns `base` that stay unpenalised.
+
+    Hinges max(0, t - c) at every `every`-th day go through an L1 fit of what `base` leaves; of neighbours that are taken
+    together the strongest stays, and those that do not lower the Bayesian information criterion go one by one.
+    """
+    span = t[-1] - t[0]
+    places = np.arange(t[0] + max(every, span * 0.05), t[-1] - max(every, span * 0.1), every)
+    if len(places) < 1 or len(y) < base.shape[1] + 10:
+        return np.empty(0)
+    hinges = np.maximum(0.0, t[:, None] - places)
+    q, _ = np.linalg.qr(base)
+    rest, cols = y - q @ (q.T @ y), hinges - q @ (q.T @ hinges)
+    norm = np.linalg.norm(cols, axis=0)
+    cols = cols / np.where(norm > 1e-9, norm, np.inf)
+    noise = 1.4826 * np.median(np.abs(np.diff(rest))) / np.sqrt(2)  # slow courses cancel between neighbours
+    beta = _lasso(cols.T @ cols, cols.T @ rest, max(noise, 1e-9) * np.sqrt(2 * np.log(len(places) + 1)))
+    kept: list[int] = []
+    for j in sorted(np.flatnonzero(beta), key=lambda j: -abs(beta[j])):
+        if all(abs(places[j] - places[k]) > 3 * every for k in kept):
+            kept.append(int(j))
+
+    def criterion(chosen: list[int]) -> float:
+        x = np.column_stack([base, hinges[:, chosen]])
+        error = ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+        return len(y) * np.log(max(error, 1e-12) / len(y)) + 2 * len(chosen) * np.log(len(y))
+    best, moving = criterion(kept), True
+    while moving:  # a step moves one break by a place, or drops it
+        moving = False
+        options = [kept[:i] + kept[i + 1:] for i in range(len(kept))]
+        options += [kept[:i] + [j] + kept[i + 1:] for i in range(len(kept)) for j in (kept[i] - 1, kept[i] + 1) if 0 <= j < len(places) and j not in kept]
+        scored = min(((criterion(o), o) for o in options), default=(best, kept))
+        if scored[0] < best - 1e-9:
+            best, kept, moving = *scored, True
+    return np.sort(places[kept])
+
+
+def trend_break_forecast(rows: DataFrame, variant: str = "calendar_holidays", label: str = "demand", test_flag: str = "is_test",
+                         keys: Sequence[str] = PAIR, min_rows: int = 30, every: int = 7) -> DataFrame:
+    """Trend with change points, weekday effects and the variant's regressors, per series; the last slope goes on.
+
+    `breaks` has the dates of the change points, none for a series with fewer than `min_rows` training rows, which
+    forecasts its mean.
+    """
+    dated = rows.transform(add_calendar)
+    names = list(VARIANTS[variant])
+    schema = T.StructType([f for f in dated.select(*keys, DATE, label).schema] + [
+        T.StructField("prediction", T.DoubleType()), T.StructField("status", T.StringType()), T.StructField("breaks", T.ArrayType(T.DateType()))])
+    epoch = pd.Timestamp("1970-01-01")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(DATE)
+        is_test = pdf[test_flag].astype(bool)
+        train, test = pdf[~is_test].dropna(subset=[label]), pdf[is_test]
+        out = test[[*keys, DATE, label]].copy()
+        out["breaks"] = pd.Series([[]] * len(out), out.index, object)
+        if len(train) < min_rows:
+            return out.assign(prediction=float(train[label].mean()) if len(train) else 0.0, status="mean")[schema.names]
+
+        def days(frame: pd.DataFrame) -> np.ndarray:
+            return (pd.to_datetime(frame[DATE]) - epoch).dt.days.to_numpy(float)
+
+        def design(frame: pd.DataFrame) -> np.ndarray:
+            dow = frame["dow"].to_numpy()
+            return np.column_stack([(dow[:, None] == np.arange(6)).astype(float), frame[names].to_numpy(float), days(frame) - start, np.ones(len(frame))])
+        t, y = days(train), train[label].to_numpy(float)
+        start = t[0]
+        found = find_breaks(t, y, design(train), every)
+        x, ahead = (np.column_stack([design(f), np.maximum(0.0, days(f)[:, None] - found)]) for f in (train, test))
+        coef = np.linalg.lstsq(x.T @ x + 1e-6 * np.eye(x.shape[1]), x.T @ y, rcond=None)[0]
+        dates = [(epoch + pd.Timedelta(days=int(c))).date() for c in found]
+        out["breaks"] = pd.Series([dates] * len(out), out.index, object)
+        return out.assign(prediction=np.clip(ahead @ coef, 0.0, None), status="trend")[schema.names]
+
+    return dated.select(*keys, DATE, label, test_flag, "dow", *names).groupBy(*keys).applyInPandas(run, schema)
+
+
 def recursive_forecast(rows: DataFrame, label: str = "demand", order: int = 7, exog: Sequence[str] = (),
                        horizon: int = 30, origins: int = 3, keys: Sequence[str] = PAIR, min_rows: int = 30,
                        ridge: float = 1.0) -> DataFrame:

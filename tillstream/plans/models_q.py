@@ -323,6 +323,13 @@ def trend_season(t):
     return out
 
 
+@register("b09_trend_breaks", f"status:s n_breaks:i {_M}")
+def trend_breaks(t):
+    """Trend with change points per series, by how many there are."""
+    found = lm.trend_break_forecast(_local(t)).withColumn("n_breaks", F.size("breaks"))
+    return _local_score(found, "status", "n_breaks")
+
+
 @register("b10_store_totals", f"family:s {_M}")
 def store_totals(t):
     from tillstream.operators import series
