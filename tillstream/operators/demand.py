@@ -8,6 +8,7 @@ by pair once; the per-day windows and the per-hour means reuse that partitioning
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -339,6 +340,75 @@ def censored_rates(masked: DataFrame, steps: int = 25) -> DataFrame:
     return per.withColumn("rate", rate).withColumn("converged", (moved <= 1e-3 * F.col("rate")).cast("int")).drop("obs")
 
 
+def censored_rate_interval(masked: DataFrame, level: float = 0.9, steps: int = 50) -> DataFrame:
+    """Likeliest Poisson rate per pair and hour with the interval its profile likelihood allows.
+
+    Days that were not masked enter as their number and sum; masked ones say that the count was at least `qty`, and
+    shrink to one entry per whole count. The rate is the root of the score, the limits are where twice the log
+    likelihood has fallen by the chi-squared quantile of `level`; each is halved `steps` times from a
+    bracket that is known to hold it, inside one expression. Without an unmasked day the likelihood
+    has no maximum: rate and limits are null. Where nothing was sold or missed, rate and lower limit are 0.
+    """
+    drop = NormalDist().inv_cdf((1.0 + level) / 2.0) ** 2 / 2.0
+    open_day = F.col("strict") == 0
+    cells = masked.groupBy(*PAIR, "hour", F.when(~open_day, F.ceil(F.coalesce("qty", F.lit(0.0))).cast("int")).alias("k")).agg(
+        F.count("*").alias("n"), F.sum(F.col("qty").cast("double")).alias("x"))
+    log_factorial = F.aggregate(F.sequence(F.lit(1), F.col("k")), F.lit(0.0), lambda acc, j: acc + F.log(j))
+    bound = F.when(F.col("k") > 0, F.struct("k", "n", log_factorial.alias("lf")))
+    is_open = F.col("k").isNull()
+    per = cells.groupBy(*PAIR, "hour").agg(
+        F.sum("n").alias("n_days"), F.coalesce(F.sum(F.when(~is_open, F.col("n"))), F.lit(0)).alias("n_censored"),
+        F.coalesce(F.sum(F.when(is_open, F.col("n"))), F.lit(0)).alias("n0"),
+        F.coalesce(F.sum(F.when(is_open, F.col("x"))), F.lit(0.0)).alias("s"),
+        F.coalesce(F.sum(F.when(F.col("k") > 0, F.col("k") * F.col("n"))), F.lit(0)).alias("ks"),
+        F.collect_list(bound).alias("obs"))
+
+    def log_pmf(o: Column, rate: Column) -> Column:
+        return o["k"] * F.log(rate) - rate - o["lf"]
+
+    def log_tail(o: Column, rate: Column) -> Column:
+        """log P(X >= k): the terms from k on where the rate is small, 1 minus those before k otherwise."""
+        def grow(acc, j):
+            t = acc["t"] * rate / (o["k"] + j)
+            return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+        def fall(acc, j):
+            t = F.when(j == 0, F.exp(-rate)).otherwise(acc["t"] * rate / j)
+            return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+        start = [F.struct(F.lit(v).alias("t"), F.lit(v).alias("s")) for v in (1.0, 0.0)]
+        above = F.aggregate(F.sequence(F.lit(1), o["k"] + 60), start[0], grow)["s"]
+        below = F.aggregate(F.sequence(F.lit(0), o["k"] - 1), start[1], fall)["s"]
+        return (F.when(o["k"] == 1, F.log(-F.expm1(-rate)))
+                 .when(rate > o["k"], F.log(F.lit(1.0) - below)).otherwise(log_pmf(o, rate) + F.log(above)))
+
+    def score(rate: Column) -> Column:
+        missed = F.aggregate("obs", F.lit(0.0), lambda acc, o: acc + o["n"] * o["k"] * F.exp(log_pmf(o, rate) - log_tail(o, rate)))
+        return (F.col("s") + missed) / rate - F.col("n0")
+
+    def likelihood(rate: Column) -> Column:
+        sold = F.when(F.col("s") > 0, F.col("s") * F.log(rate)).otherwise(0.0) - F.col("n0") * rate
+        return F.aggregate("obs", sold, lambda acc, o: acc + o["n"] * log_tail(o, rate))
+
+    def halve(low: Column, width: Column, go_up) -> Column:
+        def step(at, i):
+            middle = at + width * F.pow(F.lit(0.5), i)
+            return F.when(go_up(middle), middle).otherwise(at)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), low, step)
+
+    some = F.col("s") + F.col("ks") > 0
+    solved = (per.withColumn("n0", F.when(F.col("n0") > 0, F.col("n0").cast("double")))
+                 .withColumn("rate", F.when(some, halve(F.col("s") / F.col("n0"), F.col("ks") / F.col("n0"), lambda m: score(m) > 0))
+                                      .when(F.col("n0").isNotNull(), 0.0))
+                 .withColumn("_floor", F.when(some, likelihood(F.col("rate"))).otherwise(0.0) - drop))
+    # sold * log(rate) lies below its tangent at 2 * s / n0, so the likelihood is under the floor beyond this rate
+    tangent = F.when(F.col("s") > 0, F.col("s") * F.log(2.0 * F.col("s") / F.col("n0")) - F.col("s")).otherwise(0.0)
+    far = F.greatest(F.col("rate"), (tangent - F.col("_floor")) * 2.0 / F.col("n0"))
+    return (solved.withColumn("rate_low", F.when(some, halve(F.lit(0.0), F.col("rate"), lambda m: likelihood(m) < F.col("_floor")))
+                                           .when(F.col("n0").isNotNull(), 0.0))
+                  .withColumn("rate_high", halve(F.col("rate"), far - F.col("rate"), lambda m: likelihood(m) > F.col("_floor")))
+                  .select(*PAIR, "hour", "n_days", "n_censored", *[F.when(F.col("n0").isNotNull(), F.col(c)).alias(c) for c in ("rate", "rate_low", "rate_high")]))
+
+
 # ---- plans, baskets, timing ------------------------------------------------------
 
 def recent_hour_profile(hourly: DataFrame, n_days: int = 30, min_days: int = 7) -> DataFrame:

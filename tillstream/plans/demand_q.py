@@ -312,6 +312,38 @@ def censored_rates(t):
     return dem.censored_rates(dem.advanced_stockout_mask(dem.pair_hour_grid(hourly(t))))
 
 
+# ln P(X >= 1) = ln(1 - exp(-rate)) is all that a strict mask needs; halvings go from the same brackets.
+_LL = "(CASE WHEN s > 0 THEN s * ln({r}) ELSE 0 END - n0 * {r} + CASE WHEN c1 > 0 THEN c1 * ln(1 - exp(-({r}))) ELSE 0 END)"
+_MID = "({a} + {w} * pow(0.5e0, step + 1))"
+
+
+def _mid(at: str, width: str) -> str:
+    return _MID.format(a=at, w=width)
+
+
+@register("d14_rate_interval", "store:i product:s hour:i n_days:i n_censored:i rate:f rate_low:f rate_high:f", f"""
+WITH RECURSIVE m AS (SELECT *, median(CASE WHEN qty > 0 THEN qty END) OVER w AS usual, median(traffic) OVER w AS ut
+           FROM near_grid WINDOW w AS (PARTITION BY store, product, hour)),
+f AS (SELECT *, coalesce(qty < usual * 0.3e0 AND traffic >= ut * 0.5e0 AND near > 0, FALSE) AND qty <= 1 AS c FROM m),
+g AS (SELECT store, product, hour, count(*) AS n_days, count(*) FILTER (c) AS n_censored, CAST(nullif(count(*) FILTER (NOT c), 0) AS DOUBLE) AS n0,
+  CAST(coalesce(sum(qty) FILTER (NOT c), 0) AS DOUBLE) AS s, CAST(count(*) FILTER (c AND qty > 0) AS DOUBLE) AS c1 FROM f GROUP BY store, product, hour),
+p AS (SELECT *, s / n0 AS lo, c1 / n0 AS wd, 0 AS step FROM g WHERE s + c1 > 0 UNION ALL
+  SELECT store, product, hour, n_days, n_censored, n0, s, c1,
+    CASE WHEN (s + CASE WHEN c1 > 0 THEN c1 * {_mid('lo', 'wd')} * exp(-{_mid('lo', 'wd')}) / (1 - exp(-{_mid('lo', 'wd')})) ELSE 0 END) / {_mid('lo', 'wd')} > n0
+         THEN {_mid('lo', 'wd')} ELSE lo END, wd, step + 1 FROM p WHERE step < 50),
+r AS (SELECT * EXCLUDE (lo, wd, step), lo AS rate, {_LL.format(r='lo')} - 1.3527717270e0 AS fl FROM p WHERE step = 50
+  UNION ALL SELECT *, CASE WHEN n0 > 0 THEN 0e0 END, -1.3527717270e0 FROM g WHERE s + c1 = 0),
+h AS (SELECT *, CASE WHEN n0 > 0 THEN 0e0 END AS rate_low, rate AS rate_high,
+    greatest(rate, (CASE WHEN s > 0 THEN s * ln(2 * s / n0) - s ELSE 0 END - fl) * 2 / n0) - rate AS wd, 0 AS step FROM r UNION ALL
+  SELECT store, product, hour, n_days, n_censored, n0, s, c1, rate, fl,
+    CASE WHEN rate > 0 AND {_LL.format(r=_mid('rate_low', 'rate'))} < fl THEN {_mid('rate_low', 'rate')} ELSE rate_low END,
+    CASE WHEN wd > 0 AND {_LL.format(r=_mid('rate_high', 'wd'))} > fl THEN {_mid('rate_high', 'wd')} ELSE rate_high END, wd, step + 1 FROM h WHERE step < 50)
+SELECT * FROM h WHERE step = 50""")
+def censored_rate_interval(t):
+    """The strict mask over all hours, its rates with 90 % intervals."""
+    return dem.censored_rate_interval(dem.advanced_stockout_mask(dem.pair_hour_grid(hourly(t))))
+
+
 add_base("recent_profile", """
 SELECT store, product, hour, floor(m / tot * 1e4 + 0.5e0) / 1e4 AS share FROM (
   SELECT *, sum(m) OVER (PARTITION BY store, product) AS tot FROM (
