@@ -268,7 +268,7 @@ def _bandwidth(e: np.ndarray) -> int:
     return min(int(1.1447 * ((slope / level) ** 2) ** (1.0 / 3.0) * n ** (1.0 / 3.0)), n - 1)
 
 
-def _kpss(y: np.ndarray) -> float:
+def kpss_level(y: np.ndarray) -> float:
     """KPSS level statistic with a Bartlett long-run variance of data-dependent bandwidth."""
     n = len(y)
     e = y - y.mean()
@@ -312,7 +312,7 @@ def stationarity(df: DataFrame, col: str = "demand", keys: Sequence[str] = PAIR)
         row = {k: pdf[k].iloc[0] for k in keys}
         if len(y) < 8 or y.std() < 1e-8:
             return pd.DataFrame([{**row, "adf_pvalue": 1.0, "adf_stat": 0.0, "kpss_pvalue": 0.1, "kpss_stat": 0.0}])
-        a, k = _adf(y), _kpss(y)
+        a, k = _adf(y), kpss_level(y)
         return pd.DataFrame([{**row, "adf_pvalue": _adf_pvalue(a), "adf_stat": a,
                               "kpss_pvalue": _interpolate(k, KPSS_CRITICAL), "kpss_stat": k}])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tillstream.functions import weather as wx
-from tillstream.operators import aggregates as agg, clusters as cl, evaluate as ev, filters as flt
+from tillstream.operators import aggregates as agg, arima as am, clusters as cl, evaluate as ev, filters as flt
 from tillstream.operators import features as ft, linear_models as lin, local_models as lm, model_store as ms, models as md, targets as tg
 from tillstream.plans import features_q as ftq
 from tillstream.plans.features_q import feature_table
@@ -395,3 +395,35 @@ def autoregressive(t):
     plain = _local_score(lm.recursive_forecast(rows), "origin").withColumn("exog", F.lit("none"))
     cal = _local_score(lm.recursive_forecast(rows, exog=("is_weekend", "is_holiday", "is_payday_week")), "origin")
     return plain.unionByName(cal.withColumn("exog", F.lit("calendar")))
+
+
+@register("b20_arima_families", f"family:s origin:i status:s {_M}")
+def arima_families(t):
+    """Rolling-origin errors of the four families: with and without weekly terms, with and without regressors."""
+    return _local_score(am.arima_forecast(stock_daily(t)), "family", "origin", "status")
+
+
+@register("b20_arima_orders", "orders:s n_series:i n_rows:i sigma:f")
+def arima_orders(t):
+    """Which seasonal orders the search takes, over how many series."""
+    models = am.arima_models(stock_daily(t))
+    return models.groupBy("orders").agg(F.count("*").alias("n_series"), F.sum("n_rows").alias("n_rows"), F.avg("sigma").alias("sigma"))
+
+
+# Both regressions in sums: a long autoregression of one lag gives e, then w on its own lag and that of e.
+@register("b20_two_step", "store:i product:s n_rows:i ar1:f ma1:f", """
+WITH y AS (SELECT store, product, count(*) OVER p AS n, row_number() OVER w - 8 AS t, demand - lag(demand, 7) OVER w AS w FROM stock_daily
+  WINDOW p AS (PARTITION BY store, product), w AS (PARTITION BY store, product ORDER BY date)),
+l AS (SELECT *, lag(w) OVER (PARTITION BY store, product ORDER BY t) AS w1 FROM y WHERE t >= 0),
+f AS (SELECT store, product, sum(w * w1) / nullif(sum(w1 * w1), 0) AS phi, stddev_pop(w) AS sd FROM l GROUP BY store, product),
+e AS (SELECT l.*, sd, lag(w - phi * w1) OVER (PARTITION BY l.store, l.product ORDER BY t) AS e1 FROM l JOIN f USING (store, product)),
+g AS (SELECT store, product, max(sd) AS sd, sum(w1 * w1) AS aa, sum(w1 * e1) AS ab, sum(e1 * e1) AS bb, sum(w1 * w) AS aw, sum(e1 * w) AS bw
+  FROM e WHERE t >= 2 GROUP BY store, product),
+c AS (SELECT *, (aw * bb - bw * ab) / nullif(aa * bb - ab * ab, 0) AS a, (bw * aa - aw * ab) / nullif(aa * bb - ab * ab, 0) AS b FROM g)
+SELECT store, product, n AS n_rows, CASE WHEN good THEN a END AS ar1, CASE WHEN good THEN b END AS ma1
+FROM (SELECT DISTINCT store, product, n FROM y) LEFT JOIN c USING (store, product)
+  CROSS JOIN LATERAL (SELECT n >= 21 AND sd >= 1e-8 AND abs(a) < 0.995e0 AND abs(b) < 0.995e0 AS good)""")
+def two_step(t):
+    """Fixed orders (1,0,1)(0,1,0)[7] without the refinement, which plain sums can follow."""
+    models = am.arima_models(stock_daily(t), orders=am.Orders(p=1, q=1, sd=1), long_order=1, refine=False)
+    return models.select("store", "product", "n_rows", F.col("ar")[1].alias("ar1"), F.col("ma")[1].alias("ma1"))
