@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -67,6 +68,63 @@ def test_keys_found_prose_left_alone(spark, documents, prose):
     assert found >= 36 and sum(len(got[100 + i]) for i in range(200)) <= 4
 
 
+def test_false_discovery_rate_and_recall_among_planted_runs(spark, documents, prose):
+    """200 keys among 2,000 runs of names, paths and words: few of the reported are no keys, and most keys are found."""
+    rng = random.Random(11)
+    words = [w for i in range(400) for w in re.findall(r"[A-Za-z]+", prose(i, 30))]
+
+    def name(i):
+        parts = [rng.choice(words) for _ in range(rng.randint(4, 9))]
+        return ("".join(w.capitalize() for w in parts), "_".join(parts), "https/" + "/".join(parts), "".join(parts),
+                "-".join(parts) + str(rng.randint(0, 9999)))[i % 5]
+    keys = [base64.b64encode(rng.randbytes(rng.choice([24, 30, 36, 48]))).decode() for _ in range(200)]
+    runs = keys + [name(i) for i in range(2000)]
+    rows = [(i, prose(i, 25) + " see " + r + " " + prose(i + 7, 10)) for i, r in enumerate(runs)]
+    true = false = 0
+    for r in secret_scan.scan(documents(rows)).collect():
+        for s in r.spans:
+            if s.kind == "random":
+                hit = r.doc_id < 200 and rows[r.doc_id][1][s.start:s.end] in runs[r.doc_id]
+                true, false = true + hit, false + (not hit)
+    assert false <= 0.1 * (true + false)
+    assert true >= 160
+
+
+def test_text_alone_yields_nothing(spark, documents, prose):
+    """Names of every style, no key among them; and no class without a rejection reports its candidates."""
+    rng = random.Random(12)
+    rows = [(i, prose(i, 30) + " " + rng.choice(["", "_", "/", "-"]).join(prose(i + 3, 12).replace(".", "").split())) for i in range(600)]
+    got = secret_scan.scan(documents(rows)).collect()
+    assert sum(len(r.spans) for r in got) <= 3
+    alone = secret_scan.scan(documents([(1, "anbletitionthtionbletion"), (2, "a few words")])).collect()
+    assert all(r.spans == [] for r in alone)
+
+
+def test_text_like_runs_hold_their_alphabet(prose):
+    text = prose(1, 400) + " 2024-05-17 and 1234567 " + "k" * 40
+    for a, (name, symbols, least) in enumerate(secret_scan.ALPHABETS):
+        for size in range(5, 12):
+            run = secret_scan.text_like(text, a, size, 7919 * size)
+            assert set(run) <= set(symbols) and (not run or least <= len(run) <= 512) and "kkkkkkkkkkkkkkkk" not in run
+    assert secret_scan.text_like("", 5, 6, 3) == secret_scan.text_like("too short", 5, 6, 3) == ""
+
+
+def test_chances_equal_plain_counts(spark, documents, prose):
+    rng = random.Random(13)
+    texts = [prose(i, 60) for i in range(80)]
+    tested = [(i, [(0, 1, rng.choice([6, 7]), rng.choice([0, 4, 17, 80, 290, 301, 2000]), rng.choice([4, 5]))]) for i in range(30)]
+    found = spark.createDataFrame(tested, "doc_id long, tested array<struct<start:long,end:long,size:int,p:int,alphabet:int>>")
+    frame = spark.createDataFrame([(t,) for t in texts], "_text string")
+    got = {(r.alphabet, r["size"], r.p): r.rarity for r in secret_scan.chances(found, frame).collect()}
+    assert set(got) == {(c[4], c[2], c[3]) for _, cs in tested for c in cs if c[3] <= 300}
+    for (a, size, p), rarity in got.items():
+        null = []
+        for t in texts:
+            null += [secret_scan.p_class(secret_scan.fitness(run, *secret_scan.ALPHABETS[a][:2])) for run in secret_scan.null_runs(t, a, size)]
+        chance = (1 + sum(v <= p for v in null)) / (1 + len(null))
+        assert rarity == int(-math.log10(chance) / secret_scan.STEP + 1e-9)
+
+
 def test_odd_rows_and_driver_table(spark, odd):
     got = secret_scan.scan(odd).collect()
     assert len(got) == odd.count() and all(r.spans == [] and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got if r.doc_id in (1, 2, 3, 4))
