@@ -112,17 +112,17 @@ def test_text_like_runs_hold_their_alphabet(prose):
 def test_chances_equal_plain_counts(spark, documents, prose):
     rng = random.Random(13)
     texts = [prose(i, 60) for i in range(80)]
-    tested = [(i, [(0, 1, rng.choice([6, 7]), rng.choice([0, 4, 17, 80, 290, 301, 2000]), rng.choice([4, 5]))]) for i in range(30)]
+    tested = [(i, [(0, 1, rng.choice([6, 7]), rng.choice([0, 1, 4, 17, 58, 61, 400]), rng.choice([4, 5]))]) for i in range(30)]
     found = spark.createDataFrame(tested, "doc_id long, tested array<struct<start:long,end:long,size:int,p:int,alphabet:int>>")
     frame = spark.createDataFrame([(t,) for t in texts], "_text string")
     got = {(r.alphabet, r["size"], r.p): r.rarity for r in secret_scan.chances(found, frame).collect()}
-    assert set(got) == {(c[4], c[2], c[3]) for _, cs in tested for c in cs if c[3] <= 300}
+    assert set(got) == {(c[4], c[2], c[3]) for _, cs in tested for c in cs if c[3] <= 60}
     for (a, size, p), rarity in got.items():
         null = []
         for t in texts:
             null += [secret_scan.p_class(secret_scan.fitness(run, *secret_scan.ALPHABETS[a][:2])) for run in secret_scan.null_runs(t, a, size)]
         chance = (1 + sum(v <= p for v in null)) / (1 + len(null))
-        assert rarity == int(-math.log10(chance) / secret_scan.STEP + 1e-9)
+        assert rarity == int(-math.log10(chance) / secret_scan.RARITY_STEP + 1e-9)
 
 
 def test_odd_rows_and_driver_table(spark, odd):

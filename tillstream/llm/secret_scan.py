@@ -57,8 +57,9 @@ ALPHABETS = (("decimal", "0123456789", 40), ("hex", "0123456789abcdef", 24), ("h
              ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 20))
 ORDER = {name: {c: i for i, c in enumerate(symbols)} for name, symbols, _ in ALPHABETS}
 FDR = 0.05
-P_CLASSES = 2000  # of 0.01 in -log10 p
-STEP = 0.01
+P_CLASSES = 400  # of 0.05 in -log10 p
+STEP = 0.05
+RARITY_STEP = 0.01  # the same for chances under the null
 PART = re.compile(r"[A-Za-z0-9+/_-]+")
 ONE_ALPHABET = (re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"[A-Za-z0-9+/]+"))  # parts of a run that no alphabet holds
 LEAST_LENGTH = min(least for _, _, least in ALPHABETS)
@@ -164,7 +165,7 @@ def _mixed(text: str, start: int, end: int, base: list[tuple[int, int, str]]) ->
     return kept
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int, int]]:
+def tested_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int, int]]:
     """(start, end, length class, p class, alphabet) of each part of a run that is long enough to test."""
     out = []
     for m in CANDIDATE.finditer(text):
@@ -179,6 +180,11 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out
 
 
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, length class, p class) of each part of a run that is long enough to test."""
+    return [c[:4] for c in tested_parts(text, base)]
+
+
 def text_like(text: str, alphabet: int, size: int, seed: int) -> str:
     """A run of ordinary words of a text, in the style of an alphabet and of a length of this class; empty if there are too few.
 
@@ -236,18 +242,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = base_spans(text or "")
             base.append([{"start": s, "end": e, "kind": KINDS.index(k)} for s, e, k in found])
             digests.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in found).encode()).hexdigest())
-            tested.append([dict(zip(("start", "end", "size", "p", "alphabet"), c)) for c in candidates(text or "", found)])
+            tested.append([dict(zip(("start", "end", "size", "p", "alphabet"), c)) for c in tested_parts(text or "", found)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, spans), pa.array(digests), pa.array(tested, kind)],
                                          names=["doc_id", "base", "base_sha256", "tested"])
 
 
-def thresholds(found: DataFrame, fdr: float = FDR) -> DataFrame:
+def thresholds(found: DataFrame, fdr: float = FDR, step: float = STEP) -> DataFrame:
     """Per length class the smallest p class (of -log10 p) that Benjamini-Hochberg rejects; none: no row."""
     counts = found.select(F.explode("tested").alias("c")).groupBy(F.col("c.size").alias("size"), F.col("c.p").alias("p")).agg(F.count("*").alias("many"))
     whole = Window.partitionBy("size")
     smaller = whole.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.select("size", "p", F.sum("many").over(smaller).alias("rank"), F.sum("many").over(whole).alias("total"))
-    rejected = F.pow(F.lit(10.0), -F.col("p") * F.lit(STEP)) <= F.lit(fdr) * F.col("rank") / F.col("total")
+    rejected = F.pow(F.lit(10.0), -F.col("p") * F.lit(step)) <= F.lit(fdr) * F.col("rank") / F.col("total")
     return ranked.filter(rejected).groupBy("size").agg(F.min("p").alias("limit"))
 
 
@@ -265,7 +271,7 @@ def chances(found: DataFrame, texts: DataFrame) -> DataFrame:
     cell = Window.partitionBy("alphabet", "size")
     as_random = F.sum("many").over(cell.orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     chance = (as_random + 1) / (F.sum("many").over(cell) + 1)
-    return both.select("alphabet", "size", "p", "asked", F.floor(-F.log10(chance) / STEP + 1e-9).cast("int").alias("rarity")).filter("asked = 1").drop("asked")
+    return both.select("alphabet", "size", "p", "asked", F.floor(-F.log10(chance) / RARITY_STEP + 1e-9).cast("int").alias("rarity")).filter("asked = 1").drop("asked")
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -283,7 +289,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     found = cut_lineage(scanned.withColumn("rarities", rarities.scalar()).withColumn("tested", F.transform("tested", lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["size"].alias("size"),
         F.coalesce(F.try_element_at("rarities", (c["alphabet"] * 64 + c["size"]) * (P_CLASSES + 1) + c["p"]), F.lit(-1)).alias("p")))).drop("rarities"))
-    limits = thresholds(found, fdr).agg(F.map_from_entries(F.collect_list(F.struct("size", "limit"))))
+    limits = thresholds(found, fdr, RARITY_STEP).agg(F.map_from_entries(F.collect_list(F.struct("size", "limit"))))
     joined = found.withColumn("limits", limits.scalar())
     random = F.filter("tested", lambda c: F.coalesce(c["p"] >= F.try_element_at("limits", c["size"]), F.lit(False)))
     extra = F.transform(random, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(KINDS.index("random")).alias("kind")))
