@@ -36,3 +36,28 @@ def test_substitution_by_category_compares_none_with_five(frame, monkeypatch):
     got = demand_q.substitution_by_category(None).collect()
     # Every product sells d + a constant, so a day's delta is d - 3: none out on day 1, five and six on days 4 and 5.
     assert [tuple(r) for r in got] == [("c", -2.0, 9, pytest.approx((4 * 1 + 3 * 2) / 7), 7, pytest.approx(10 / 7 + 2))]
+
+
+def test_attach_demand_restores_both_kinds_of_series(frame):
+    first, days = datetime.date(2024, 1, 1), range(40)
+    # One sale at 10 and one at 20 o'clock, but only the first of them on every fourth day: 10 o'clock has half of a day.
+    stopped = {i for i in days if i % 4 == 3}
+    day = {i: str(first + datetime.timedelta(i)) for i in days}
+    events = [(7, "click", f"{day[i]} {h}:30:00", 1.0) for i in days for h in (10, 20) if h == 10 or i not in stopped]
+    lines = [(h - 9, 1, 1, 3.0, 30.0, "N", "O", day[i]) for i in days for h in (10, 20) if h == 10 or i not in stopped]
+    tables = {
+        "events": frame("user_id long, event_type string, ts timestamp, value double", events),
+        "nation": frame("n_nationkey int, n_name string", [(2, "x")]),
+        "supplier": frame("s_suppkey long, s_nationkey int", [(1, 2)]),
+        "part": frame("p_partkey long, p_brand string, p_type string", [(1, "Brand#11", "SMALL")]),
+        "lineitem": frame("l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+                          "l_returnflag string, l_linestatus string, l_shipdate timestamp", lines)}
+    got = demand_q.attach_demand(tables.__getitem__).collect()
+    for store, product, unit in ((7, "click", 1.0), (2, "SMALL", 3.0)):
+        rows = sorted((r for r in got if (r.store, r.product) == (store, product)), key=lambda r: r.date)
+        assert [(r.date - first).days for r in rows] == list(range(30, 40))
+        for r in rows:
+            out = (r.date - first).days in stopped
+            assert (r.sold, r.demand, r.lost_qty, r.is_censored) == (unit * (1 if out else 2), unit * 2, unit * out, out)
+            assert r.demand_lag30 == unit * 2 and r.demand_roll_mean30 == unit * 2 and r.demand_roll_std7 == 0
+    assert len(got) == 20

@@ -108,24 +108,43 @@ def estimate_demand(t):
 _P = "PARTITION BY store, product ORDER BY date"
 
 
-# Sales of a store and first letter of the category: series that are long enough for a lag of 30 rows.
-add_base("sold_daily", "SELECT store, substr(category, 1, 1) AS product, date, sum(qty) AS sold FROM sales GROUP BY ALL")
-add_base("sold_estimates", """
-SELECT store, product, date, 1 AS is_censored, CAST((dayofyear(date) + store) % 5 AS DOUBLE) AS lost_qty,
-  sold + (dayofyear(date) + store) % 5 AS demand_estimated
-FROM sold_daily WHERE (dayofyear(date) + store * 7) % 11 <= 3""")
+# Hours of two kinds of series: users' events, and the dense series of a store and part type, long enough for a lag of
+# 30 rows. Check lines have no time of day; it follows from check and part by fixed arithmetic, 8 to 21 o'clock.
+add_base("till_hours", """
+SELECT store, product, date, hour, qty FROM hourly WHERE store IS NOT NULL AND product IS NOT NULL AND hour IS NOT NULL
+UNION ALL
+SELECT s.store, s.category, s.date, 8 + (coalesce(s.check_id, 0) + s.part) % 14 AS hour, sum(s.qty) FROM sales s
+WHERE s.category IS NOT NULL AND s.date IS NOT NULL
+GROUP BY s.store, s.category, s.date, 8 + (coalesce(s.check_id, 0) + s.part) % 14""")
+add_base("sold_daily", """
+SELECT store, product, date, sum(qty) AS sold, max(hour) AS last_hour FROM till_hours GROUP BY store, product, date""")
+add_base("sold_shares", """
+SELECT h.store, h.product, h.date, h.hour,
+  sum(h.qty) OVER (PARTITION BY h.store, h.product, h.date ORDER BY h.hour) / d.sold AS cum_share
+FROM till_hours h JOIN sold_daily d ON h.store = d.store AND h.product = d.product AND h.date = d.date WHERE d.last_hour >= 17""")
+add_base("sold_profiles", profile_sql("store,product", "sold_shares"))
+add_base("sold_estimates", f"""
+SELECT *, {RESTORE_SQL} FROM (
+  SELECT d.*, p.cum_share AS cum_at_stop, p.cum_share IS NOT NULL AND last_hour < 17 AND p.cum_share >= 0.05e0 AS adj
+  FROM sold_daily d LEFT JOIN sold_profiles p ON d.store = p.store AND d.product = p.product AND d.last_hour = p.hour)""")
+
+
+def till_hours(t):
+    """The hourly mart of users' events and of the sales of a store and part type."""
+    hour = (8 + (F.coalesce("check_id", F.lit(0)) + F.col("part")) % 14).cast("int")
+    lines = sales(t).filter("category IS NOT NULL AND date IS NOT NULL").groupBy(
+        "store", F.col("category").alias("product"), "date", hour.alias("hour")).agg(F.sum("qty").alias("qty"))
+    return hourly(t).select("store", "product", "date", "hour", "qty").unionByName(lines)
 
 
 def sold_daily(t):
-    return sales(t).groupBy("store", F.substring("category", 1, 1).alias("product"), "date").agg(F.sum("qty").alias("sold"))
+    return till_hours(t).groupBy("store", "product", "date").agg(F.sum("qty").alias("sold"))
 
 
 def sold_estimates(t):
-    """Estimates for some days only; the others keep what was sold."""
-    doy = F.dayofyear("date")
-    lost = ((doy + F.col("store")) % 5).cast("double")
-    return sold_daily(t).filter((doy + F.col("store") * 7) % 11 <= 3).withColumns(
-        {"is_censored": F.lit(1), "lost_qty": lost, "demand_estimated": F.col("sold") + lost})
+    """Demand restored from the profile of each pair at the hour of its last sale."""
+    h = till_hours(t)
+    return dem.estimate_demand(h, dem.build_profiles(h))
 
 
 _D04 = [f"demand_lag{k}" for k in series.LAGS] + [f"demand_roll_mean{k}" for k in series.WINDOWS] + ["demand_roll_std7"]
