@@ -17,7 +17,7 @@ No piece crosses from one unit (a run of marks with the characters after it, or
 the next, so the lattice is a chain of unit lattices. Forward sums are made once per distinct unit of an
 Arrow batch, for all units at once; draws go step by step for all places of a batch at once. Random
 numbers come from a generator per row, seeded by a hash of row key and seed, so runs and
-partitionings agree. Memory is bounded by the batch (`BATCH` rows), not by the table.
+partitionings agree. Memory is bounded by the group (`BATCH` rows, `GROUP_CHARS`), not by the table.
 
 Defined results: null text counts as empty; an empty text has one segmentation, the empty one, with
 score 1; a text with fewer than k segmentations returns all of them (kappa is then minus infinity and
@@ -27,18 +27,19 @@ each score is 1); repeated rows with equal keys get equal samples; a null key is
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import accumulate, chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from tillstream.llm.common import bounded_batches
+from tillstream.llm.common import bounded_batches, released
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -46,6 +47,7 @@ LONGEST = 16
 SAMPLES = 2
 THETA = 1.0
 BATCH = 700
+GROUP_CHARS = 600_000  # of the texts sampled together, some 100 MB of arrays
 TRIES = 50
 ROUNDING = 1e-6  # chance below which what is left of a unit counts as nothing
 SPELLED = 1 << 21  # ids from here on stand for a character in bytes
@@ -98,19 +100,21 @@ class Vocabulary:
                 h = h * self.BASE + np.uint64(ord(c) + 1)
         return int(h)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of each hash in `keys`, -1 where there is no such piece."""
-        out = np.full(len(hashes), -1, np.int64)
-        todo = np.arange(len(hashes))
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, and the index of each in `keys`."""
+        places, found, todo = [], [], None
         for factor, table in zip(self.FACTORS, self.tables):
-            at = table[((hashes[todo] * factor) >> np.uint64(46)).astype(np.int64)]
-            hit = self.keys[at] == hashes[todo]
-            hit &= at >= 0
-            out[todo[hit]] = at[hit]
-            todo = todo[~hit & (at >= 0)]
+            at = table[((hashes * factor) >> np.uint64(46)).astype(np.int64)]
+            used = np.flatnonzero(at >= 0)
+            at, hashes = at[used], hashes[used]
+            todo = used if todo is None else todo[used]
+            hit = self.keys[at] == hashes
+            places.append(todo[hit])
+            found.append(at[hit])
+            todo, hashes = todo[~hit], hashes[~hit]
             if not len(todo):
                 break
-        return out
+        return np.concatenate(places), np.concatenate(found)
 
 
 @lru_cache(maxsize=2)
@@ -124,12 +128,12 @@ class Lattices:
     The units are ranked by size, longest first. Row `base[j] + rank[u]` of the tables describes the end
     after j + 1 characters of unit u, so that all units' ends at one depth are neighbours: the last piece
     has `top` characters with chance `top_share`; `rest` cumulates the chances of all other lengths 1, 2, ...;
-    `ids[., L-1]` is the piece of L characters.
+    `ids[., L-1]` is the piece of L characters, `spelled` a last character that is no piece.
     """
 
     def __init__(self, units: list[str], vocab: Vocabulary):
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.vocab, n = vocab, len(code)
+        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.vocab, n = vocab, len(text)
         self.size = np.fromiter(map(len, units), np.int64, len(units))
         order = np.argsort(-self.size, kind="stable")
         self.rank = np.empty(len(units), np.int64)
@@ -139,28 +143,32 @@ class Lattices:
         wide = len(units) - np.cumsum(np.bincount(self.size, minlength=deepest + 1))[:deepest] if len(units) else np.zeros(0, np.int64)
         self.base = np.concatenate([[0], np.cumsum(wide)]).astype(np.int64)
         depth = np.arange(n) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        row = self.base[depth] + np.repeat(self.rank, self.size)
-        self.ids = np.full((n, LONGEST), -1, np.int32)
+        code = np.empty(n, np.uint64)
+        code[self.base[depth] + np.repeat(self.rank, self.size)] = text
+        del depth, text
+        # Row of the character before, in the same unit; at depth 0 there is none.
+        up = np.arange(n) - np.repeat(np.concatenate([[0], wide[:-1]]).astype(np.int64)[:len(wide)], wide)
+        # Spelled characters, of one character only, are kept apart, so that pieces take two bytes if their ids do.
+        self.ids = np.full((n, LONGEST), -1, np.int16 if len(vocab.bytes) <= 1 << 15 else np.int32)
+        self.spelled = np.full(n, -1, np.int32)
         weight = np.zeros((n, LONGEST), np.float32)
-        ends, hashes, power = np.arange(n), code + np.uint64(1), np.ones(1, np.uint64)
-        for length in range(1, LONGEST + 1):
-            if length > 1:
-                more = depth[ends] >= length - 1
-                ends, hashes = ends[more], hashes[more]
+        own = code + np.uint64(1)
+        first, hashes, low, power = np.arange(n), own, 0, np.ones(1, np.uint64)
+        for length in range(1, min(LONGEST, deepest) + 1):
+            if length > 1:  # rows from `low` on have so many characters up to them
+                more = int(self.base[length - 1])
+                first, hashes, low = up[first[more - low:]], hashes[more - low:], more
                 power = power * vocab.BASE
-                hashes = hashes + (code[ends - length + 1] + np.uint64(1)) * power
-            found = vocab.find(hashes)
-            hit = np.flatnonzero(found >= 0)
-            at, found = row[ends[hit]], found[hit]
+                hashes = hashes + own[first] * power
+            at, found = vocab.find(hashes)
+            at += low
             self.ids[at, length - 1] = vocab.ids[found]
             weight[at, length - 1] = vocab.weights[found]
-            if length == 1:
-                bare = np.ones(n, bool)
-                bare[hit] = False
-                bare = np.flatnonzero(bare)
+        bare = np.flatnonzero(weight[:, 0] == 0)
         spelled = code[bare].astype(np.int64)
-        self.ids[row[bare], 0] = np.where(spelled < 128, vocab.byte_ids[spelled % 128], SPELLED + spelled)
-        weight[row[bare], 0] = vocab.least ** _width(spelled)
+        self.spelled[bare] = np.where(spelled < 128, vocab.byte_ids[spelled % 128], SPELLED + spelled)
+        weight[bare, 0] = vocab.least ** _width(spelled)
+        del first, hashes, own, code, up
         self._forward(weight, wide, self.size[order], order)
 
     def _forward(self, weight: np.ndarray, wide: np.ndarray, size: np.ndarray, order: np.ndarray) -> None:
@@ -208,23 +216,21 @@ class Lattices:
         `random` gives each place its own numbers, one per character. The fourth result is the length
         of each piece.
         """
-        start = np.cumsum(self.size[unit]) - self.size[unit]
-        left, count = self.size[unit].copy(), np.zeros(len(unit), np.int64)
-        steps, rank = [], self.rank[unit]
-        place = np.arange(len(unit))
+        left, rank = self.size[unit], self.rank[unit]
+        start = np.cumsum(left) - left
+        steps, count, place = [], np.zeros(len(unit), np.int64), np.arange(len(unit))
         while len(place):
-            ends = left[place] - 1
-            rows = self.base[ends] + rank[place]
-            length, over = self.top[rows].astype(np.int64), random[start[place] + ends] - self.top_share[rows]
+            rows = self.base[left - 1] + rank
+            length, over = self.top[rows].astype(np.int64), random[start + (left - 1)] - self.top_share[rows]
             other = np.flatnonzero(over >= 0)
-            table = self.rest[rows[other]]
-            found = (table <= over[other][:, None]).sum(1)
+            found = (self.rest[rows[other]] <= over[other][:, None]).sum(1)
             # A number beyond the last chance is due to rounding; the top piece stands for it.
-            length[other] = np.where(found < np.minimum(ends[other] + 1, LONGEST), found + 1, length[other])
-            steps.append((place, self.ids[rows, length - 1], length))
-            count[place] += 1
-            left[place] -= length
-            place = place[left[place] > 0]
+            length[other] = np.where(found < np.minimum(left[other], LONGEST), found + 1, length[other])
+            steps.append((place, self.pieces(rows, length), length))
+            left = left - length
+            count[place[left == 0]] = len(steps)
+            more = np.flatnonzero(left)
+            place, left, rank, start = place[more], left[more], rank[more], start[more]
         after = np.cumsum(count)
         ids = np.empty(int(after[-1]) if len(after) else 0, np.int32)
         long = np.empty(len(ids), np.int64)
@@ -235,10 +241,17 @@ class Lattices:
         chance = np.minimum(logs[after] - logs[after - count] - self.log_total[unit], 0.0)
         return ids, count, chance, long
 
+    def pieces(self, rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Id of the piece of `length` characters at each row, or its spelled character."""
+        ids = self.ids[rows, length - 1].astype(np.int32)
+        none = np.flatnonzero(ids < 0)
+        ids[none] = self.spelled[rows[none]]
+        return ids
+
     def path_ids(self, unit: int, path: tuple[int, ...]) -> np.ndarray:
         """Pieces, last first, of a segmentation given by their lengths, last first."""
         ends = self.size[unit] - 1 - np.concatenate([[0], np.cumsum(path)[:-1]]).astype(np.int64)
-        return self.ids[self.base[ends] + self.rank[unit], np.array(path) - 1]
+        return self.pieces(self.base[ends] + self.rank[unit], np.array(path))
 
     def other_path(self, unit: int, taken: list[tuple[int, ...]], chances: list[float], rng: np.random.Generator) -> tuple[int, ...]:
         """Draw a segmentation of a unit other than those taken (piece lengths, last piece first)."""
@@ -246,15 +259,15 @@ class Lattices:
             left, path, mass, alive = int(self.size[unit]), [], 1.0, list(range(len(taken)))
             while left:
                 shares = self.shares(unit, left)
-                free = shares * mass if alive else shares
+                free = [x * mass for x in shares] if alive else shares
                 for t in alive:
                     at = taken[t][len(path)] - 1
                     free[at] = 0.0 if len(taken[t]) == len(path) + 1 else max(0.0, free[at] - chances[t])
-                ends = np.cumsum(free)
+                ends = list(accumulate(free))
                 if ends[-1] <= 0:
                     break  # rounding led into a part with taken paths only
-                length = int(np.searchsorted(ends, rng.random() * ends[-1], side="right")) + 1
-                length = min(length, int(np.flatnonzero(free)[-1]) + 1)
+                length = bisect_right(ends, rng.random() * ends[-1]) + 1
+                length = min(length, max(i for i, x in enumerate(free) if x) + 1)
                 mass *= shares[length - 1]
                 alive = [t for t in alive if taken[t][len(path)] == length]
                 path.append(length)
@@ -267,15 +280,16 @@ class Lattices:
             mass, left, path = heappop(queue)
             if not left and path not in taken:
                 return path
-            for at in np.flatnonzero(self.shares(unit, left)) if left else ():
-                heappush(queue, (mass * self.shares(unit, left)[at], left - int(at) - 1, (*path, int(at) + 1)))
+            for at, share in enumerate(self.shares(unit, left)) if left else ():
+                if share:
+                    heappush(queue, (mass * share, left - at - 1, (*path, at + 1)))
 
-    def shares(self, unit: int, left: int) -> np.ndarray:
+    def shares(self, unit: int, left: int) -> list[float]:
         """Chances of the lengths 1, 2, ... of the piece that ends after `left` characters of a unit."""
-        row = self.base[left - 1] + self.rank[unit]
-        shares = np.zeros(LONGEST)
-        shares[:left] = np.diff(self.rest[row, :left].astype(np.float64), prepend=0.0)
-        shares[self.top[row] - 1] = self.top_share[row]
+        row = int(self.base[left - 1] + self.rank[unit])
+        upto = self.rest[row, :left].tolist()
+        shares = [b - a for a, b in zip([0.0, *upto], upto)]
+        shares[int(self.top[row]) - 1] = float(self.top_share[row])
         return shares
 
 
@@ -292,15 +306,10 @@ def _units(text: str) -> list[str]:
     if text[0] == " " or "  " in text or MARK in text or "\0" in text:
         return UNIT.findall(MARK + text.replace(" ", MARK))
     # The same with single spaces, by plain splitting.
-    return [u for u in (MARK + text.replace(" ", "\0" + MARK).replace("\n", "\0\n\0")).split("\0") if u]
-
-
-class _Numbers(dict):
-    """Units numbered in the order in which they come up."""
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = number = len(self)
-        return number
+    marked = MARK + text.replace(" ", "\0" + MARK)
+    if "\n" not in text:
+        return marked.split("\0")
+    return [u for u in marked.replace("\n", "\0\n\0").split("\0") if u]
 
 
 def _width(code: np.ndarray) -> np.ndarray:
@@ -318,17 +327,19 @@ def _spell(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
                            if len(p) == 1 and p[0] >= SPELLED else p for p in parts])
 
 
-def _cut_gumbel(place: np.ndarray, top: float, random: np.ndarray) -> np.ndarray:
-    """Gumbel values at these locations, given that none is above `top`."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-top, -(place - np.log(-np.log(random))))
+def _cut(gumbel: float, top: float) -> float:
+    """A Gumbel value, given that it is not above `top`."""
+    return float(-np.logaddexp(-top, -gumbel))
 
 
 def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per text up to k of (ids, log probability, inclusion score), in the order drawn."""
-    known = _Numbers()
-    split = [np.fromiter(map(known.__getitem__, u), np.int64, len(u)) for u in map(_units, texts)]
+    parts = list(map(_units, texts))
+    known = dict.fromkeys(chain.from_iterable(parts))
+    known = dict(zip(known, range(len(known))))
+    split = [np.fromiter(map(known.__getitem__, u), np.int64, len(u)) for u in parts]
     lattices = Lattices(list(known), vocab)
+    del parts, known
     rngs = [np.random.Generator(np.random.PCG64(xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), seed))) for key in keys]
 
     def draws(which: list[int], froms: list[int]):
@@ -351,21 +362,21 @@ def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, s
     def settle(d: int, value: float, sample, start: int) -> None:
         """Record a sample and open the regions that turn off it at its units from `start` on."""
         _, count, chance, long = sample
-        before = np.cumsum(chance) - chance
+        before = (np.cumsum(chance) - chance)[start:]
+        likely = np.exp(chance[start:])
         with np.errstate(divide="ignore"):
-            rest = np.log1p(-np.exp(np.minimum(chance, 0.0)))
-        rest[np.exp(chance) >= 1 - ROUNDING] = -np.inf  # one segmentation only, up to rounding
-        place = before + rest
-        place[:start] = -np.inf
-        values = _cut_gumbel(place, value, np.maximum(rngs[d].random(len(place)), 1e-300))
-        values[~np.isfinite(place)] = -np.inf
+            rest = np.log1p(-likely)
+            rest[likely >= 1 - ROUNDING] = -np.inf  # one segmentation only, up to rounding
+            # Gumbel values; cutting them off at `value` keeps their order.
+            values = before + rest - np.log(-np.log(np.maximum(rngs[d].random(len(chance))[start:], 1e-300)))
         number = len(results[d])
         results[d].append((sample, value, float(chance.sum())))
-        for i in _largest(values, k + 1 - number):
-            if values[i] > -np.inf:
+        for j in _largest(values, k + 1 - number):
+            if values[j] > -np.inf:
+                i = start + j
                 end = int(count[:i + 1].sum())
                 path = tuple(long[end - int(count[i]):end][::-1].tolist())
-                regions[d].append((float(values[i]), number, i, [path], [float(np.exp(chance[i]))]))
+                regions[d].append((_cut(float(values[j]), value), number, i, [path], [float(likely[j])]))
 
     live = list(range(len(texts)))
     for d, sample in zip(live, draws(live, [0] * len(live))):
@@ -393,9 +404,9 @@ def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, s
             spent, gone = taken + [path], chances + [float(np.exp(logp))]
             mass = 1 - sum(gone)
             if mass > ROUNDING:
-                place = np.array([float(old[2][:i].sum()) + np.log(mass)])
-                again = float(_cut_gumbel(place, value, np.array([max(rngs[d].random(), 1e-300)]))[0])
-                regions[d].append((again, parent, i, spent, gone))
+                place = float(old[2][:i].sum()) + np.log(mass)
+                again = place - np.log(-np.log(max(rngs[d].random(), 1e-300)))
+                regions[d].append((_cut(float(again), value), parent, i, spent, gone))
             settle(d, value, joined, i + 1)
     out = []
     for d in range(len(texts)):
@@ -408,13 +419,13 @@ def sample_batch(keys: list[str], texts: list[str], vocab: Vocabulary, k: int, s
 def _encode(path: str, k: int, theta: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, theta)
-        for batch in batches:
+        for batch in released(batches):
             keys = ["" if x is None else str(x) for x in batch.column("_key").to_pylist()]
             texts = [x or "" for x in batch.column("_text").to_pylist()]
             groups, at, size = [], 0, 0
             for i, t in enumerate(texts):  # long texts get smaller groups
                 size += len(t)
-                if i + 1 - at >= BATCH or size >= 1_500_000 or i + 1 == len(texts):
+                if i + 1 - at >= BATCH or size >= GROUP_CHARS or i + 1 == len(texts):
                     groups.append((at, i + 1))
                     at, size = i + 1, 0
             for low, high in groups:
@@ -443,10 +454,14 @@ def sample_encodings(docs: DataFrame, path: str, k: int = SAMPLES, theta: float
 
 def decoded(path: str, ids: Column) -> Column:
     """The text of an array of ids, as the library decodes it: without the leading space."""
-    @pandas_udf("string")
-    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = vocabulary(path, THETA).bytes
+    @arrow_udf("string")
+    def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = pa.array(vocabulary(path, THETA).bytes, pa.large_binary())
         for rows in batches:
-            texts = [b"".join([pieces[i] for i in x.tolist()]).decode("utf-8", "replace") for x in rows]
-            yield pd.Series([t[1:] if t.startswith(" ") else t for t in texts])
+            flat = pieces.take(rows.flatten())
+            ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8)
+            cuts = ends[np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)].tolist()
+            data = memoryview(flat.buffers()[2] or b"")
+            texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+            yield pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())
     return join(ids)
