@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -18,7 +19,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 __all__ = ["WHITE", "WORD", "WordHashes", "bounded_batches", "broadcast_if_small", "byte_batches", "cut_lineage",
-           "ensure_checkpoint_dir", "keep_rows", "mix64", "ngram_hashes", "read", "released", "sorted_unique", "stored", "text_or_empty"]
+           "ensure_checkpoint_dir", "keep_rows", "mix64", "ngram_hashes", "read", "released", "sorted_unique", "stored", "text_or_empty", "word_hashes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -124,6 +125,59 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return acc
 
 
+# Fixed values of `word_hashes`: an odd base, one 64-bit number per byte (A-Z as a-z), and what separates words.
+BASE = np.uint64(0x5851F42D4C957F2D)
+BYTES = mix64(np.array([ord(chr(i).lower()) if i < 128 else i for i in range(256)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+BLANK = np.isin(np.arange(256), list(WHITE.encode()))
+SPAN = 1 << 16  # bytes hashed at a time
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    bases = (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SPAN, b, np.uint64))]) for b in bases)
+
+
+def word_hashes(texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text, A-Z lowered, and where each text's words start (with the end).
+
+    A hash is a polynomial over the bytes, so all words of an array come from one running sum.
+    """
+    texts = texts.cast(pa.binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    size = int(offsets[-1] - offsets[0])
+    if not size:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0]))
+    offsets = offsets - offsets[0]
+    blank = BLANK[data]
+    edges = np.zeros(size + 1, bool)  # places at which a word cannot go on
+    edges[offsets] = True
+    starts = ~blank
+    starts[1:] &= blank[:-1] | edges[1:-1]
+    starts = np.flatnonzero(starts)
+    ends = ~blank
+    ends[:-1] &= blank[1:] | edges[1:-1]
+    ends = np.flatnonzero(ends) + 1
+    out, at = np.empty(len(starts), np.uint64), 0
+    power, inverse = _powers()
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(ends, low + SPAN, side="right"))
+        if to <= at:  # a word longer than a span
+            out[at] = xxhash.xxh3_64_intdigest(data[low:int(ends[at])].tobytes().lower())
+            at += 1
+            continue
+        span = int(ends[to - 1]) - low
+        total = np.zeros(span + 1, np.uint64)
+        np.cumsum(BYTES[data[low:low + span]] * power[:span], out=total[1:])
+        a, b = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix64((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        at = to
+    return out, np.searchsorted(starts, offsets)
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, key: Iterable[str], copies: str) -> DataFrame:
     """Rows of `docs` whose `key` columns are in `keys`, one row for each key.
 

@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillstream.llm.bloom import Filter, bits_for, filter_of
-from tillstream.llm.common import (WordHashes, bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, released,
-                                   sorted_unique, stored, text_or_empty)
+from tillstream.llm.common import (bounded_batches, broadcast_if_small, cut_lineage, mix64, ngram_hashes, released, sorted_unique,
+                                   stored, text_or_empty, word_hashes)
 from tillstream.llm.components import components
 
 N2, K2 = 2, 1
@@ -60,6 +60,9 @@ SHARED, MEMBER = 1, 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
+SUBSETS = np.array(list(combinations(range(N2), N2 - K2)))
+
+
 @lru_cache(maxsize=None)
 def bands(top: int = 1 << 40) -> tuple[tuple[int, int], ...]:
     """(lowest, highest) set size of each band, up to a band that holds `top`."""
@@ -85,8 +88,9 @@ def _tail(mean: float, least: int) -> float:
 
 
 @lru_cache(maxsize=None)
-def scheme(band: int, percent: int) -> tuple[int, int, np.ndarray]:
-    """k, n1 and the borders of the second-level parts for pairs whose larger set is in `band`.
+def scheme(band: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray, np.uint64]:
+    """k, n1, the borders of the second-level parts, a number per first-level part and subset, and one more, for pairs
+    whose larger set is in `band`.
 
     n1 is raised above what k asks for until the smallest sets seldom have so many empty subsets that
     the guarantee might rest on them alone.
@@ -100,7 +104,8 @@ def scheme(band: int, percent: int) -> tuple[int, int, np.ndarray]:
             break
         n1 += 1
     borders = np.array([(i << 64) // (n1 * N2) for i in range(1, n1 * N2)], dtype=np.uint64)
-    return k, n1, borders
+    named = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(band << 40)
+    return k, n1, borders, mix64(named[:, None] + np.arange(len(SUBSETS), dtype=np.uint64)), named[0] + np.uint64(32)
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
@@ -111,50 +116,51 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     out, own = [np.empty(0, np.uint64)], _band_of(size)
     totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(elements ^ SALT), dtype=np.uint64)])
     for band in range(own, _band_of(size * 100 // percent) + 1):  # of every larger set that can be linked
-        k, n1, borders = scheme(band, percent)
+        k, n1, borders, named, other = scheme(band, percent)
         if k == 0:  # only equal sets are similar enough
             continue
         cuts = np.concatenate([[0], np.searchsorted(elements, borders), [size]])
-        counts = np.diff(cuts).reshape(n1, N2)
-        sums = np.diff(totals[cuts]).reshape(n1, N2)
-        named = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(band << 40)
-        subsets = [list(c) for c in combinations(range(N2), N2 - K2)]
-        empty = [counts[:, c].sum(1) == 0 for c in subsets]
-        for j, c in enumerate(subsets):
-            found = mix64(mix64(named + np.uint64(j)) + sums[:, c].sum(1, dtype=np.uint64))
-            out.append(found[~empty[j]])
+        sums = totals[cuts]
+        counts = (cuts[1:] - cuts[:-1]).reshape(n1, N2)[:, SUBSETS].sum(2)
+        found = mix64(named + (sums[1:] - sums[:-1]).reshape(n1, N2)[:, SUBSETS].sum(2, dtype=np.uint64))
+        full = counts > 0
+        out.append(found[full])
         # At least n1 - k // (K2 + 1) first-level parts share a subset. Unless some of these must be
         # without an empty one, sets of this kind also share an element of their prefix by hash.
-        if np.logical_or.reduce(empty).sum() >= n1 - k // (K2 + 1):
+        if n1 - np.count_nonzero(full.all(1)) >= n1 - k // (K2 + 1):
             prefix = size + percent * -size // 100 + 1
-            out.append(mix64(elements[:prefix] + mix64(named[:1] + np.uint64(32))))
+            out.append(mix64(elements[:prefix] + mix64(np.array([other]))))
     return np.concatenate(out)
 
 
-def fingerprint(elements: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over the set, as signed integers."""
-    pair = np.array([mix64(elements).sum(dtype=np.uint64), mix64(elements + SALT).sum(dtype=np.uint64)]) + np.uint64(len(elements))
-    return tuple(int(x) for x in mix64(pair).view(np.int64))
-
-
-def _sets(texts: Iterator[bytes], n: int) -> Iterator[np.ndarray]:
-    words = WordHashes()
-    for text in texts:
-        yield sorted_unique(ngram_hashes(words.of(text.lower().split()), n))
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit sums over each set, a row per set, as signed integers."""
+    size = np.array([len(s) for s in sets], np.int64)
+    pair = np.zeros((len(sets), 2), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        flat = np.concatenate(sets)
+        starts = (np.cumsum(size) - size)[some]
+        pair[some, 0] = np.add.reduceat(mix64(flat), starts)
+        pair[some, 1] = np.add.reduceat(mix64(flat + SALT), starts)
+    return mix64(pair + size.astype(np.uint64)[:, None]).view(np.int64)
 
 
-def _text_bytes(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column("content").to_pylist()
+def _sets(texts: pa.BinaryArray, n: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, in ascending order."""
+    words, at = word_hashes(texts)
+    grams = ngram_hashes(words, n) if len(words) >= n else words[:0]
+    return [sorted_unique(grams[a:b - n + 1] if b - a >= n else ngram_hashes(words[a:b], n)) for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            sets = list(_sets(_text_bytes(batch), n))
-            prints = [fingerprint(s) for s in sets]
+            sets = _sets(batch.column("content"), n)
+            prints = fingerprints(sets)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
+                pa.array(prints[:, 0]), pa.array(prints[:, 1])],
                 names=["doc_id", "n_shingles", "p1", "p2"])
     return run
 
@@ -185,10 +191,10 @@ def _signature_blocks(n: int, percent: int, buckets: int):
         seen: set[int] = set()
         sigs, names, many = [], [], 0
         for batch in released(batches):
-            for s in _sets(_text_bytes(batch), n):
+            sets = _sets(batch.column("content"), n)
+            for s, name in zip(sets, fingerprints(sets)[:, 0].tolist()):
                 if not len(s):
                     continue
-                name = fingerprint(s)[0]
                 if name in seen:  # copies within a task give their signatures once
                     continue
                 if len(seen) >= SEEN:
@@ -241,10 +247,10 @@ def _shared_of(columns: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
 def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            sets = list(_sets(_text_bytes(batch), n))
-            prints = [fingerprint(s) for s in sets]
+            sets = _sets(batch.column("content"), n)
+            prints = fingerprints(sets)
             yield pa.RecordBatch.from_arrays([
-                pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
+                pa.array(prints[:, 0]), pa.array(prints[:, 1]),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
                 pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sets], pa.binary())],
                 names=["p1", "p2", "elements", "short"])
