@@ -163,6 +163,28 @@ class WaveletMatrix:
         return cls(n, planes, zeros, ranks), lengths
 
 
+class PieceTokens(dict):
+    """Ids of the pieces of plain words as little-endian 32-bit bytes, remembered between words."""
+
+    LIMIT = 500_000
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        # Byte-level spelling: printable bytes stand for themselves, the others follow from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = [b for b in range(256) if b not in plain]
+        self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        spelled = piece if piece.isascii() else "".join(map(self.spelling.__getitem__, piece.encode()))
+        tokens = self.model.tokenize(spelled)
+        ids = self[piece] = struct.pack("<I", tokens[0].id) if len(tokens) == 1 else array("I", [t.id for t in tokens]).tobytes()
+        return ids
+
+
 class WordTokens(dict):
     """Ids of words as little-endian 32-bit bytes, remembered between texts.
 
@@ -175,18 +197,14 @@ class WordTokens(dict):
     # Fixed value: the tokenizer's split pattern.
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ſ]+")
+    MARKS = b".,;:!?)\"]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        # Byte-level spelling: printable bytes stand for themselves, the others follow from 256 on.
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        rest = [b for b in range(256) if b not in plain]
-        self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.pieces = PieceTokens(self.tokenizer.model)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -194,20 +212,17 @@ class WordTokens(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if not self.PLAIN.fullmatch(text):
-            value = self[word] = self._encode(text)
-            return value
-        parts = []
-        for piece in self.PIECE.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= self.LIMIT:
-                    self.pieces.clear()
-                spelled = piece if piece.isascii() else "".join(map(self.spelling.__getitem__, piece.encode()))
-                ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            parts.append(ids)
-        value = self[word] = b"".join(parts)
+        letters = word.rstrip(self.MARKS)
+        if letters.isalpha():  # A-Z and a-z, and one run of punctuation at most
+            value = self.pieces[letters.lower().decode()]
+            if len(letters) < len(word):
+                value += self.pieces[word[len(letters):].decode()]
+        elif self.PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+            lower = text.lower()
+            value = b"".join(map(self.pieces.__getitem__, [lower] if lower.isalpha() else self.PIECE.findall(lower)))
+        else:
+            value = self._encode(text)
+        self[word] = value
         return value
 
     def of(self, text: bytes) -> bytes:
