@@ -15,7 +15,8 @@ No bucket of a signature is expanded into pairs:
 2. Signatures that two classes share are found by sorting them in arrays. Each task combines its own
    chunk first, so a signature that a third of all sets have is one entry per chunk.
 3. Each shared signature names one pivot, its member with the most neighbours; members are
-   compared with their pivot only. In a family of near copies this links the bulk at once.
+   compared with their pivot only. In a family of near copies this links the bulk at once. Neighbours
+   are counted over all chunks: the text that a family comes from is its pivot however the rows are dealt.
 4. What is left are signatures whose members beside the pivot are still in several components. These
    go through a prefix filter: shingles ordered by how few of these members have them, the first
    (1 - g) * size + 1 of each, joined on the shingle under the length and position bounds. This is
@@ -56,7 +57,6 @@ PARTS = 4  # buckets per receiving task, which takes them one after another
 MOST_PARTS = 20_000  # receiving tasks; beyond that a task takes more buckets
 FILTER_BITS = 1 << 27  # at most, of the shingles that several open sets have
 ELEMENTS = "p1 long, root long, size int, element long"
-SHARED, MEMBER = 1, 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -168,24 +168,23 @@ def _fingerprints(n: int):
 def _signature_blocks(n: int, percent: int, buckets: int):
     """Signatures with their class, in one block of arrays per chunk and bucket.
 
-    Within a chunk a signature travels once, marked if more classes of the chunk have it; these others are
-    known to share it and go to a bucket of their own class, so that a signature of very many sets
+    Within a chunk a signature travels once, with the number of the chunk's classes that have it; the others (with 0)
+    are known to share it and go to a bucket of their own class, so that a signature of very many sets
     costs its bucket one entry per chunk.
     """
     def blocks(sigs: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(sigs, kind="stable")
-        again = np.concatenate([[False], sigs[order][1:] == sigs[order][:-1]])
-        state = np.zeros(len(sigs), np.uint8)
-        state[order[:-1][again[1:]]] = SHARED
-        state[order[again]] = MEMBER
-        bucket = (np.where(state == MEMBER, mix64(names.view(np.uint64)), sigs) % np.uint64(buckets)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], sigs[order][1:] != sigs[order][:-1]]))
+        counts = np.zeros(len(sigs), np.int32)
+        counts[order[starts]] = np.diff(starts, append=len(sigs))
+        bucket = (np.where(counts == 0, mix64(names.view(np.uint64)), sigs) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         found, starts = np.unique(bucket[by], return_index=True)
         cuts = [*starts.tolist(), len(by)]
         parts = [by[x:y] for x, y in zip(cuts, cuts[1:])]
         return pa.RecordBatch.from_arrays([
-            pa.array(found, pa.int64()), *[pa.array([v[x].tobytes() for x in parts], pa.binary()) for v in (sigs, names, state)]],
-            names=["bucket", "sigs", "names", "states"])
+            pa.array(found, pa.int64()), *[pa.array([v[x].tobytes() for x in parts], pa.binary()) for v in (sigs, names, counts)]],
+            names=["bucket", "sigs", "names", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -213,10 +212,14 @@ def _signature_blocks(n: int, percent: int, buckets: int):
 
 
 def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, p1, many) of the signatures that classes share, bucket by bucket; a partition's rows come sorted by bucket."""
+    """(sig, p1, many, tells) of the signatures that classes share, bucket by bucket; a partition's rows come sorted by bucket.
+
+    `many` is the number of classes with the signature, 0 where the bucket of another row has counted it; of the
+    rows that have it one `tells` it to those.
+    """
     bucket, columns = None, [[], [], []]
     for batch in released(batches):
-        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "names", "states"))):
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "names", "counts"))):
             if at != bucket:
                 yield from _shared_of(columns)
                 bucket, columns = at, [[], [], []]
@@ -226,22 +229,24 @@ def _shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _shared_of(columns: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-    sigs, names, state = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int64, np.int64, np.uint8)))
+    sigs, names, counts = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.int64, np.int64, np.int32)))
     if not len(sigs):
         return
-    known = state == MEMBER
+    known = counts == 0
     order = np.argsort(sigs[~known], kind="stable")
-    s, p, shared = sigs[~known][order], names[~known][order], state[~known][order] == SHARED
-    many = np.empty(0, np.int64)
+    s, p, many = sigs[~known][order], names[~known][order], counts[~known][order].astype(np.int64)
+    tells = np.zeros(len(s), bool)
     if len(s):
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        several = (np.minimum.reduceat(p, starts) != np.maximum.reduceat(p, starts)) | np.logical_or.reduceat(shared, starts)
-        size = np.diff(starts, append=len(s))
-        keep = np.repeat(several, size)
-        s, p, many = s[keep], p[keep], np.repeat(size, size)[keep]
+        size, total = np.diff(starts, append=len(s)), np.add.reduceat(many, starts)
+        tells[starts] = total > size
+        keep = np.repeat((np.minimum.reduceat(p, starts) != np.maximum.reduceat(p, starts)) | (total > size), size)
+        s, p, many, tells = s[keep], p[keep], np.repeat(total, size)[keep], tells[keep]
+    others = int(known.sum())
     yield pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([s, sigs[known]])), pa.array(np.concatenate([p, names[known]])),
-        pa.array(np.concatenate([many, np.full(known.sum(), 2, np.int64)]))], names=["sig", "p1", "many"])
+        pa.array(np.concatenate([many, np.zeros(others, np.int64)])), pa.array(np.concatenate([tells, np.zeros(others, bool)]))],
+        names=["sig", "p1", "many", "tells"])
 
 
 def _set_rows(n: int):
@@ -385,10 +390,12 @@ def find_links(content: DataFrame, rows: DataFrame, n: int, percent: int) -> Dat
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = total // BUCKET + 1
     blocks = content.select("content").mapInArrow(
-        _signature_blocks(n, percent, buckets), "bucket long, sigs binary, names binary, states binary")
+        _signature_blocks(n, percent, buckets), "bucket long, sigs binary, names binary, counts binary")
     dealt = blocks.repartition(min(buckets // PARTS + 1, MOST_PARTS), "bucket").sortWithinPartitions("bucket")
-    members = stored(dealt.mapInArrow(_shared_signatures, "sig long, p1 long, many long"))
-    weight = broadcast_if_small(cut_lineage(members.groupBy("p1").agg(F.sum("many").alias("weight"))))
+    members = stored(dealt.mapInArrow(_shared_signatures, "sig long, p1 long, many long, tells boolean"))
+    told = broadcast_if_small(stored(members.filter("tells").select("sig", F.col("many").alias("told"))))
+    weight = broadcast_if_small(cut_lineage(members.join(told, "sig", "left").groupBy("p1").agg(
+        F.sum(F.coalesce("told", "many")).alias("weight"))))
     pivots = stored(members.join(weight, "p1").groupBy("sig").agg(F.max(F.struct("weight", "p1")).alias("best")).select(
         "sig", F.col("best.p1").alias("b1")))
     pairs = cut_lineage(members.join(pivots, "sig").filter("p1 <> b1").select(
