@@ -1,6 +1,7 @@
 """Late data, replays and equality with the batch answer."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -135,3 +136,31 @@ def test_alerts_come_once_whatever_the_batches(spark, tmp_path):
         jobs.finish(jobs.start_append(jobs.early_stop_alerts(jobs.read_landing(spark, str(land), SCHEMA)), out, ckpt))  # nothing new
         got = sorted((str(r.date), r.kind, r.last_hour, int(r.sold)) for r in spark.read.parquet(out).collect())
         assert got == want, name
+
+
+def test_alerts_of_many_pairs_take_few_timers(spark, tmp_path):
+    pick = random.Random(4)
+    pairs = {(f"s{i}", p): sorted({dt.datetime(2024, 1, d, h, pick.choice((0, 30))) for d in range(1, 10) for h in pick.sample(range(6, 24), 4)})
+             for i in range(20) for p in ("a", "b")}
+    end = dt.datetime(2024, 1, 10, 20)
+    pairs["last", "a"] = [end]
+    want = sorted((*pair, *alert) for pair, sales in pairs.items() for alert in batch_alerts(sales, end - dt.timedelta(hours=2)))
+    assert {w[3] for w in want} == {"open", "close"} and len(want) > 400
+    days = [dt.datetime(2024, 1, d, 13) for d in (3, 4, 6, 9, 11)]
+    # At most one timer when rows come and one when it fires, per batch and group; pairs may share a group.
+    for name, cuts, groups, most in (("one", days[-1:], {}, 2 * 41), ("many", days, {}, 5 * 2 * 41), ("shared", days, {"groups": 3}, 5 * 2 * 3)):
+        land, out, ckpt = tmp_path / f"land-{name}", str(tmp_path / f"out-{name}"), str(tmp_path / f"ckpt-{name}")
+        land.mkdir()
+        start, timers = dt.datetime(2024, 1, 1), 0
+        for i, cut in enumerate(cuts):
+            part = pd.DataFrame([(*pair, r, qty, 2.0) for pair, sales in pairs.items() for r in sales if start <= r < cut for qty in (1.0, None)],
+                                columns=SCHEMA.fieldNames())
+            part["check_ts"] = pd.to_datetime(part["check_ts"], utc=True)
+            part.to_parquet(land / f"f{i}.parquet", coerce_timestamps="us")
+            start = cut
+            query = jobs.start_append(jobs.early_stop_alerts(jobs.read_landing(spark, str(land), SCHEMA), **groups), out, ckpt)
+            jobs.finish(query)
+            timers += sum(int(o.customMetrics["numRegisteredTimers"]) for p in query.recentProgress for o in p.stateOperators)
+        got = sorted((r.store, r["product"], str(r.date), r.kind, r.last_hour, int(r.sold)) for r in spark.read.parquet(out).collect())
+        assert got == want, name
+        assert 0 < timers <= most, name

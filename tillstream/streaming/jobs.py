@@ -8,10 +8,12 @@ replaces, and readers keep the latest epoch of a key.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F, types as T
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 # Keeps window state on local disk instead of the executors' heap.
@@ -75,83 +77,121 @@ def start_drift(log: DataFrame, history: str, path: str, checkpoint: str, keys:
     return writer.start()
 
 
-MINUTE, DAY = 60_000, 86_400_000
+MINUTE, DAY, NEVER = 60_000, 86_400_000, -1 << 62
 ALERTS = "store {store}, product {product}, date date, kind string, alert_at timestamp, last_hour int, sold double, usual_hour int"
+PAIRS = ("store array<{store}>, product array<{product}>, days array<long>, hours array<long>, "
+         "minutes array<array<long>>, sold array<array<double>>, done long, timer long")
 
 
 class EarlyStop(StatefulProcessor):
-    """Alerts of one (store, product), driven by event-time timers.
+    """Alerts per (store, product) of a group of pairs, driven by event time.
 
     `open`: a pair that usually sells until a later hour has had no sale for `quiet_hours`, and its day is not over. Fired
     when the watermark passes that moment, so no sale that is in time can be missing. `close`: once per
     day with sales, when the watermark passes midnight, with the day's last hour. The usual hour is the mean
     last hour of the days closed before, rounded down, from `min_days` of them on.
 
-    State of a pair is the minutes with sales of its open days (1,440 a day at most) and two numbers.
+    State of a pair is the minutes with sales of its open days (1,440 a day at most) and two numbers. A call to the state
+    store is a round trip from Python, so the pairs of a group share one value and one timer, set to the first moment due in
+    any of them: a batch costs a group a few calls, whatever its pairs, days and alerts. `done` is the last watermark at
+    which the timer fired. What fell due by then has been seen; a row that is in time is later, and so is what it makes due.
     """
 
-    def __init__(self, quiet_hours: int, min_days: int):
-        self.quiet, self.min_days = quiet_hours * 60, min_days
+    def __init__(self, quiet_hours: int, min_days: int, state: str):
+        self.quiet, self.min_days, self.state = quiet_hours * 60, min_days, state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "minutes array<long>, sold array<double>")
-        self.closed = handle.getValueState("closed", "days long, hours long")
-
-    def _usual(self) -> int | None:
-        days, hours = self.closed.get() if self.closed.exists() else (0, 0)
-        return hours // days if days >= self.min_days else None
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        sold = dict(zip(*self.open.get())) if self.open.exists() else {}
-        new = set()
-        for row in rows:
-            minute = row["at_ms"] // MINUTE
-            if minute not in sold:
-                new.add(minute)
-            sold[minute] = sold.get(minute, 0.0) + (row["qty"] or 0.0)
-        for minute in new:
-            midnight = (minute * MINUTE // DAY + 1) * DAY
-            self.handle.registerTimer(midnight)
-            if (due := (minute + self.quiet) * MINUTE) < midnight:
-                self.handle.registerTimer(due)
-        order = sorted(sold)
-        self.open.update((order, [sold[m] for m in order]))
+        self.pairs = handle.getValueState("pairs", self.state)
+
+    def _load(self) -> tuple[dict[tuple, list], int, int | None]:
+        """By pair the days closed, the sum of their last hours, the open minutes in order and what each sold; `done`; the timer."""
+        store, product, *values, done, timer = self.pairs.get() or ((),) * 6 + (NEVER, None)
+        return {(s, p): list(v) for s, p, *v in zip(store, product, *values)}, done, timer
+
+    def _save(self, pairs: dict[tuple, list], done: int, timer: int | None) -> None:
+        """`timer`: the one that is set and has not fired."""
+        first = min((self._first_due(minutes, done) for _, _, minutes, _ in pairs.values() if minutes), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.pairs.update((*map(list, zip(*pairs)), *map(list, zip(*pairs.values())), done, first))
+
+    def _first_due(self, minutes: list[int], done: int) -> int:
+        """The end of the first day that is open, or of quiet hours after `done` if these end earlier."""
+        midnight = _midnight(minutes[0])
+        i = bisect.bisect_right(minutes, done // MINUTE - self.quiet)
+        return midnight if i == len(minutes) else min(midnight, (minutes[i] + self.quiet) * MINUTE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pairs, done, timer = self._load()
+        changed: dict[tuple, dict[int, float]] = {}
+        for frame in rows:
+            for store, product, at_ms, qty in zip(*(frame[c].tolist() for c in ("store", "product", "at_ms", "qty"))):
+                pair = (store, product)
+                if (sold := changed.get(pair)) is None:
+                    sold = changed[pair] = dict(zip(*pairs.setdefault(pair, [0, 0, [], []])[2:]))
+                minute = at_ms // MINUTE
+                sold[minute] = sold.get(minute, 0.0) + qty
+        for pair, sold in changed.items():
+            order = sorted(sold)
+            pairs[pair][2:] = order, [sold[m] for m in order]
+        self._save(pairs, done, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        sold = dict(zip(*self.open.get())) if self.open.exists() else {}
-        day = (now - 1) // DAY
-        today = {m: q for m, q in sold.items() if m * MINUTE // DAY == day}
-        usual = self._usual()
-
-        def alert(kind: str, hour: int, until: int) -> Row:
-            quantity = float(sum(q for m, q in today.items() if m <= until))
-            return Row(store=key[0], product=key[1], date=datetime.date(1970, 1, 1) + datetime.timedelta(days=day), kind=kind,
-                       alert_at=datetime.datetime.fromtimestamp(now / 1000, datetime.timezone.utc), last_hour=hour, sold=quantity, usual_hour=usual)
-        if now % DAY == 0:
-            if today:
-                last = max(today) // 60 % 24
-                yield alert("close", last, max(today))
-                days, hours = self.closed.get() if self.closed.exists() else (0, 0)
-                self.closed.update((days + 1, hours + last))
-                rest = sorted(m for m in sold if m not in today)
-                self.open.update((rest, [sold[m] for m in rest]))
-            return
-        since = now // MINUTE - self.quiet
-        hour = since // 60 % 24
-        if since in today and usual is not None and hour < usual and not any(since < m <= since + self.quiet for m in today):
-            yield alert("open", hour, since)
-
-
-def early_stop_alerts(events: DataFrame, ts: str = "check_ts", late: str = "2 hours", quiet_hours: int = 3, min_days: int = 3) -> DataFrame:
-    """Stream of alerts, each once; see `EarlyStop`. Rows with a null key or time are left out; days are those of UTC."""
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        pairs, done, _ = self._load()
+        out = [alert for pair, of in pairs.items() for alert in self._alerts(pair, of, done, now)]
+        self._save(pairs, now, None)
+        if out:
+            store, product, day, kind, at, hour, sold, usual = zip(*out)
+            first = datetime.date(1970, 1, 1)
+            yield pd.DataFrame({"store": store, "product": product, "date": [first + datetime.timedelta(days=d) for d in day], "kind": kind,
+                                "alert_at": pd.to_datetime(at, unit="ms", utc=True), "last_hour": hour, "sold": sold,
+                                "usual_hour": pd.array(usual, dtype="Int32")})
+
+    def _alerts(self, pair: tuple, of: list, done: int, now: int) -> Iterator[tuple]:
+        """What fell due after `done` and by `now`, in order of time; days that are over leave the pair."""
+        minutes, sold = of[2:]
+        start = 0
+        while start < len(minutes):
+            midnight = _midnight(minutes[start])
+            day, end = midnight // DAY - 1, bisect.bisect_left(minutes, midnight // MINUTE, start)
+            usual = of[1] // of[0] if of[0] >= self.min_days else None
+            for i in range(start, end) if usual is not None else ():
+                due, hour = (minutes[i] + self.quiet) * MINUTE, minutes[i] // 60 % 24
+                quiet = i + 1 == end or minutes[i + 1] > minutes[i] + self.quiet
+                if quiet and done < due <= now and due < midnight and hour < usual:
+                    yield *pair, day, "open", due, hour, float(sum(sold[start:i + 1])), usual
+            if midnight > now:
+                break
+            last = minutes[end - 1] // 60 % 24
+            yield *pair, day, "close", midnight, last, float(sum(sold[start:end])), usual
+            of[0], of[1], start = of[0] + 1, of[1] + last, end
+        of[2:] = minutes[start:], sold[start:]
+
+
+def _midnight(minute: int) -> int:
+    """The end of a minute's day."""
+    return (minute * MINUTE // DAY + 1) * DAY
+
+
+def early_stop_alerts(events: DataFrame, ts: str = "check_ts", late: str = "2 hours", quiet_hours: int = 3, min_days: int = 3,
+                      groups: int = 4096) -> DataFrame:
+    """Stream of alerts, each once; see `EarlyStop`. Rows with a null key or time are left out; days are those of UTC.
+
+    `groups`: how many groups the pairs are dealt into by hash; fixed for the life of a checkpoint.
+    """
     timed = events.dropna(subset=["store", "product", ts]).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     types = dict(events.dtypes)
-    rows = timed.select("store", "product", ts, F.unix_millis(ts).alias("at_ms"), F.col("qty").cast("double").alias("qty"))
-    return rows.groupBy("store", "product").transformWithState(
-        EarlyStop(quiet_hours, min_days), ALERTS.format(store=types["store"], product=types["product"]), "Append", "EventTime")
+    keys = {"store": types["store"], "product": types["product"]}
+    rows = timed.select(F.pmod(F.xxhash64("store", "product"), F.lit(groups)).cast("int").alias("part"), "store", "product", ts,
+                        F.unix_millis(ts).alias("at_ms"), F.coalesce(F.col("qty").cast("double"), F.lit(0.0)).alias("qty"))
+    return rows.groupBy("part").transformWithStateInPandas(
+        EarlyStop(quiet_hours, min_days, PAIRS.format(**keys)), ALERTS.format(**keys), "Append", "EventTime")
 
 
 def last_sale_windows(events: DataFrame, ts: str = "check_ts", late: str = "2 hours", stop_hour: int = 14) -> DataFrame:
